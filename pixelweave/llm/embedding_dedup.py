@@ -6,8 +6,9 @@ made per vector. A vector is stored under its own key in each table and asks und
 take runner-up coordinates where they are nearly as large. Vectors that meet are compared in double precision.
 
 ``k`` follows the number of vectors, so buckets of unrelated vectors keep about the same size at every scale. Equal
-vectors are one class, and a bucket is cut into blocks of ``BLOCK`` vectors that meet block by block, so neither copies
-nor a crowded bucket end in one task; each block pair is one matrix product.
+vectors are one class. The bucket join is an equi-join that Spark may split where a bucket is crowded; it carries 128
+sign bits of each vector and passes on only pairs that these leave possible (six standard deviations of the bit count at
+the threshold), so vectors are fetched for few pairs that are not links.
 
 Defined cases: null, zero-length, all-zero vectors and vectors with a null or non-finite component link with nothing
 (n_links 0, own component). Vectors of different lengths never link. Repeated vec_id rows are separate rows of one class.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.llm.common import components, table, written
 
-BLOCK = 512
+SKETCH_BITS = 128
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -80,6 +81,23 @@ def bucket_keys(x: np.ndarray, tables: int, k: int, probes: int, seed: int = 7)
     return out
 
 
+def sign_sketch(x: np.ndarray, seed: int = 11) -> np.ndarray:
+    """(n, 2) words of 64 signs of rotated coordinates: vectors at angle t differ in about t / pi of the bits."""
+    n, d = x.shape
+    wide = padded_length(d)
+    padded = np.zeros((n, wide))
+    padded[:, :d] = x
+    rng = np.random.default_rng([seed, wide])
+    signs: list[np.ndarray] = []
+    while sum(s.shape[1] for s in signs) < SKETCH_BITS:
+        y = padded
+        for _ in range(3):
+            y = hadamard(y * rng.choice([-1.0, 1.0], wide))
+        signs.append(y > 0)
+    bits = np.concatenate(signs, axis=1)[:, :SKETCH_BITS]
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def _keys(tables: int, k: int, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,62 +109,41 @@ def _keys(tables: int, k: int, probes: int):
                 for i, v in enumerate(vectors):
                     by_length.setdefault(len(v), []).append(i)
                 for length, rows in by_length.items():
-                    keys = bucket_keys(np.array([vectors[i] for i in rows]), tables, k, probes)
-                    n = keys.shape[0]
+                    x = np.array([vectors[i] for i in rows])
+                    keys, sketch = bucket_keys(x, tables, k, probes), sign_sketch(x)
                     own = np.zeros(keys.shape, bool)
                     own[:, :, 0] = True
-                    owner = np.broadcast_to(part[rows][:, None, None], own.shape)
+                    spread = lambda y, shape=keys.shape: pa.array(np.broadcast_to(y[:, None, None], shape).ravel())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.ravel()), pa.array(np.full(keys.size, length, np.int32)), pa.array(owner.ravel()), pa.array(own.ravel())],
-                        ["_key", "_len", "_rep", "_own"],
+                        [
+                            pa.array(keys.ravel()),
+                            pa.array(np.full(keys.size, length, np.int32)),
+                            spread(part[rows]),
+                            spread(sketch[:, 0]),
+                            spread(sketch[:, 1]),
+                            pa.array(own.ravel()),
+                        ],
+                        ["_key", "_len", "_rep", "_s1", "_s2", "_own"],
                     )
 
     return run
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64)
-    # The largest component goes out first: squares of huge or tiny components stay in range.
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-
-def _verify(threshold: float):
-    def run(key, left, right):
-        a, b = left.column("_rep").to_numpy(), right.column("_rep").to_numpy()
-        if len(a) and len(b):
-            i, j = np.nonzero(_matrix(left.column("_v")) @ _matrix(right.column("_v")).T >= threshold)
-            a, b = a[i], b[j]
-        else:
-            a, b = a[:0], b[:0]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-        return pa.table({"_a": pairs[:, 0].copy(), "_b": pairs[:, 1].copy()})
-
-    return run
-
-
 def near_pairs(reps: DataFrame, threshold: float, tables: int = 12, probes: int = 5, per_bucket: int = 16) -> DataFrame:
-    """``reps (_rep long, _v array<double>)`` valid and distinct: ``(_a, _b)`` found with cosine >= threshold."""
-    n = reps.count()
-    d = reps.agg(F.max(F.size("_v"))).first()[0] or 1
-    k = max(1, math.ceil(math.log(max(2, n / per_bucket)) / math.log(2 * padded_length(d))))
-    keys = written(reps.select("_rep", "_v").mapInArrow(_keys(tables, k, probes), "_key long, _len int, _rep long, _own boolean"))
-    block = F.pmod(F.xxhash64("_rep"), F.lit(1 << 62))
-    sizes = keys.groupBy("_key", "_len").agg(F.count_if("_own").alias("_n"), F.count(F.lit(1)).alias("_m"))
-    sizes = sizes.filter("_n > 0 AND _m > 1").select("_key", "_len", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_nb"), F.ceil(F.col("_m") / BLOCK).cast("int").alias("_mb"))
-    keyed = keys.join(written(sizes), ["_key", "_len"])
-    # A stored block meets each asking block: both sides are copied only in buckets of more than one block.
-    stored = keyed.filter("_own").select(
-        "_key", "_len", (block % F.col("_nb")).alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_mb") - 1)).alias("_j"), "_rep"
-    )
-    asked = keyed.select(
-        "_key", "_len", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_i"), (block % F.col("_mb")).alias("_j"), "_rep"
-    )
-    by = ["_key", "_len", "_i", "_j"]
-    stored = stored.select(*by[:2], F.col("_i").cast("long"), F.col("_j").cast("long"), "_rep").join(reps, "_rep")
-    asked = asked.select(*by[:2], F.col("_i").cast("long"), F.col("_j").cast("long"), "_rep").join(reps, "_rep")
-    found = stored.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_verify(threshold), "_a long, _b long")
-    return found.distinct()
+    """``reps (_rep long, _v array<double> of length 1)`` distinct: ``(_a, _b)`` found with cosine >= threshold."""
+    n, d = reps.agg(F.count("*"), F.max(F.size("_v"))).first()
+    k = max(1, math.ceil(math.log(max(2, n / per_bucket)) / math.log(2 * padded_length(d or 1))))
+    keys = written(reps.select("_rep", "_v").mapInArrow(_keys(tables, k, probes), "_key long, _len int, _rep long, _s1 long, _s2 long, _own boolean"))
+    share = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    limit = math.ceil(SKETCH_BITS * share + 6 * math.sqrt(SKETCH_BITS * share * (1 - share)))
+    # Only the vector's number and its 128 sign bits travel with the keys; pairs whose signs differ too much end here.
+    a, b = keys.filter("_own").alias("a"), keys.alias("b")
+    differ = F.bit_count(F.col("a._s1").bitwiseXOR(F.col("b._s1"))) + F.bit_count(F.col("a._s2").bitwiseXOR(F.col("b._s2")))
+    met = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._len") == F.col("b._len")) & (F.col("a._rep") != F.col("b._rep")) & (differ <= limit))
+    pairs = met.select(F.least("a._rep", "b._rep").alias("_a"), F.greatest("a._rep", "b._rep").alias("_b")).distinct()
+    both = pairs.join(reps.toDF("_a", "_va"), "_a").join(reps.toDF("_b", "_vb"), "_b")
+    cosine = F.aggregate(F.zip_with("_va", "_vb", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return both.filter(cosine >= threshold).select("_a", "_b")
 
 
 def embedding_components(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
@@ -162,7 +159,12 @@ def embedding_components(rows: DataFrame, id_col: str = "vec_id", vec_col: str =
     # One class per distinct vector, numbered as the table of classes is written.
     classes = base.filter("_v IS NOT NULL").groupBy("_hash", "_v").agg(F.count("*").alias("_size"), F.min("_id").alias("_first"))
     classes = written(classes.withColumn("_rep", F.monotonically_increasing_id()))
-    pairs = written(near_pairs(classes.select("_rep", "_v"), threshold))
+    # To length 1; the largest component goes out first, so that squares of huge or tiny components stay in range.
+    most = F.array_max(F.transform("_v", lambda x: F.abs(x)))
+    unit = classes.select("_rep", "_v", most.alias("_most")).select("_rep", F.expr("transform(_v, x -> x / _most)").alias("_v"))
+    unit = unit.withColumn("_norm", F.sqrt(F.expr("aggregate(_v, 0D, (acc, x) -> acc + x * x)")))
+    unit = written(unit.select("_rep", F.expr("transform(_v, x -> x / _norm)").alias("_v")))
+    pairs = written(near_pairs(unit, threshold))
     ends = pairs.union(pairs.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
     far = ends.join(classes.select(F.col("_rep").alias("_b"), "_size"), "_b").groupBy(F.col("_a").alias("_rep")).agg(F.sum("_size").alias("_far"))
     comp = components(pairs).withColumnRenamed("_node", "_rep")
@@ -188,9 +190,9 @@ def op9_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
       ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
 r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
