@@ -27,9 +27,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    out = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=rest)
-    return out.filter(~decontaminate.is_contaminated()).select(*docs.columns)
+    # A row is known by its id and the hash of its text, so texts stay out of the search.
+    full = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
+    found = decontaminate.contamination(full, table(spark, sf_dir, "benchmark"), id_col="_id", text_col="_text", keep=("_hash",))
+    bad = found.filter(decontaminate.is_contaminated()).select(F.col("_id").alias("_bad"), F.col("_hash").alias("_bad_hash"))
+    clean = full.join(bad, F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("_hash") == F.col("_bad_hash")), "left_anti")
+    return clean.select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

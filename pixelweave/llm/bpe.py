@@ -3,7 +3,7 @@
 1. ``word_blocks``: each task cuts its documents into blocks of bounded size, splits their texts into words, and writes
    for each block its distinct words and, per document, the positions as codes into them (compressed). Texts go no
    further. The table is bucketed by block, so what comes back later meets it without moving it again.
-2. The (word, block, place) rows of all blocks are dealt by word and sorted, so that each distinct word is one run: it is
+2. The (word, address) rows of all blocks are dealt by word and sorted, so that each distinct word is one run: it is
    encoded once, its ids meet their pieces in a join with the vocabulary (a table of fixed size), and the run's answer
    is addressed back to each block, packed.
 3. Each block joins its answers and puts ids and pieces back by position.
@@ -35,8 +35,9 @@ WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 IS_SPECIAL = regex.compile("(" + "|".join(map(regex.escape, SPECIAL)) + ")")
 
-BLOCK_CHARS = 16_000_000
-PACK = 200_000
+BLOCK_CHARS = 8_000_000
+PACK = 120_000
+PLACE_BITS = 24  # an address is a block number and a place among its words
 
 
 def vocabulary_path() -> str:
@@ -69,13 +70,19 @@ def _blocks(limit: int):
             nonlocal chars
             sizes = np.fromiter(map(len, codes), np.int64, len(codes))
             flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
+            # Frequent words get small codes, and the four bytes of the codes lie apart: both make them compress well.
+            by_count = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[by_count] = np.arange(len(words), dtype=np.uint32)
+            spelled = list(words)
+            planes = rank[flat].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() if len(words) else b""
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([(part << 32) | next(number)], pa.int64()),
+                    pa.array([(part << 16) | next(number)], pa.int64()),
                     pa.array([list(ids)], pa.list_(pa.int64())),
                     pa.array([press.compress(sizes.tobytes())], pa.binary()),
-                    pa.array([press.compress(flat.tobytes())], pa.binary()),
-                    pa.array([list(words)], pa.list_(pa.string())),
+                    pa.array([press.compress(planes)], pa.binary()),
+                    pa.array([[spelled[i] for i in by_count]], pa.list_(pa.string())),
                 ],
                 ["_block", "_ids", "_sizes", "_codes", "_words"],
             )
@@ -115,7 +122,7 @@ def word_blocks(docs: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_
 
 
 def _encode_runs(path: str):
-    """Sorted (_word, _block, _place) rows to one row a run of equal words, at most 4096 addresses each."""
+    """Sorted (_word, _address) rows to one row a run of equal words, at most 4096 addresses each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -125,7 +132,7 @@ def _encode_runs(path: str):
         last, last_ids, number = None, [], itertools.count()
         for batch in batches:
             words = batch.column(0).to_pylist()
-            at = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
+            at = batch.column(1).to_numpy()
             starts = [i for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
             new = [words[i] for i in starts if words[i] != last]
             ids = iter([e.ids for e in tok.encode_batch(new, add_special_tokens=False)])
@@ -154,7 +161,7 @@ def _pack_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         nonlocal count
         blobs = []
         for places, sizes, ids, texts in held.values():
-            arrays = [np.array(places, np.uint32).tobytes(), np.array(sizes, np.uint32).tobytes(), np.concatenate(ids).astype(np.uint32).tobytes()]
+            arrays = [np.array(places, np.uint32).tobytes(), np.array(sizes, np.uint32).tobytes(), b"".join(ids)]
             blobs.append(press.compress(np.array([len(places), sum(sizes)], np.uint32).tobytes() + b"".join(arrays) + "\n".join(texts).encode()))
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blobs, pa.binary())], ["_block", "_blob"])
@@ -163,10 +170,10 @@ def _pack_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def add(at: bytes, ids: list, pieces: list) -> None:
         nonlocal count
-        own, text = np.array(ids, np.uint32), " ".join(pieces)
-        for block, place in np.frombuffer(at, np.int64).reshape(-1, 2).tolist():
-            places, sizes, all_ids, texts = held.setdefault(block, ([], [], [], []))
-            places.append(place), sizes.append(len(own)), all_ids.append(own), texts.append(text)
+        own, text = np.array(ids, np.uint32).tobytes(), " ".join(pieces)
+        for address in np.frombuffer(at, np.int64).tolist():
+            places, sizes, all_ids, texts = held.setdefault(address >> PLACE_BITS, ([], [], [], []))
+            places.append(address & (1 << PLACE_BITS) - 1), sizes.append(len(ids)), all_ids.append(own), texts.append(text)
             count += 1
 
     run, at, ids, pieces = None, b"", [], []
@@ -194,7 +201,8 @@ def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(batch.num_rows):
             docs = batch.column(0)[row].as_py()
             sizes = np.frombuffer(unpack.decompress(batch.column(1)[row].as_py()), np.int64)
-            codes = np.frombuffer(unpack.decompress(batch.column(2)[row].as_py()), np.uint32).astype(np.int64)
+            planes = np.frombuffer(unpack.decompress(batch.column(2)[row].as_py()), np.uint8)
+            codes = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
             n_words = batch.column(3)[row].as_py()
             lengths, starts, texts, pool, base = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64), [None] * n_words, [], 0
             for blob in batch.column(4)[row].as_py() or ():
@@ -222,7 +230,7 @@ def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for column, value in zip(out, (doc, total, flat[index].astype("<u4").tobytes(), decoded), strict=True):
                     column.append(value)
                 held += len(decoded)
-                if held > 4_000_000:
+                if held > 2_000_000:
                     yield _encoded(out)
                     out, held = [[], [], [], []], 0
             if out[0]:
@@ -249,7 +257,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row of ``docs``: id, ``_n_tokens``, ``_ids`` (little-endian unsigned 32-bit integers), ``_decoded``."""
     spark, path = docs.sparkSession, path or vocabulary_path()
     blocks = word_blocks(docs, id_col, text_col, block_chars)
-    places = blocks.select(F.posexplode("_words").alias("_place", "_word"), "_block").select("_word", "_block", F.col("_place").cast("long").alias("_place"))
+    address = F.shiftleft("_block", PLACE_BITS).bitwiseOR(F.col("_place").cast("long")).alias("_address")
+    places = blocks.select(F.posexplode("_words").alias("_place", "_word"), "_block").select("_word", address)
     runs = places.repartition("_word").sortWithinPartitions("_word").mapInArrow(_encode_runs(path), "_run long, _at binary, _ids array<int>")
     each = runs.select("_run", "_at", F.posexplode_outer("_ids").alias("_pos", "_id"))
     pieces = each.join(F.broadcast(vocabulary(spark, path)), "_id", "left").select("_run", "_at", "_pos", "_id", "_piece")

@@ -7,7 +7,7 @@ n keys. A document word that is a key gives a candidate place; length and positi
 the words to the left and right of it are compared with the item's, and the windows inside the agreeing stretch occur.
 
 The key table is broadcast only if its measured size is at most ``max_broadcast`` bytes; beyond that the same rows are
-joined by a shuffle, each candidate carrying the few words around it.
+joined by a shuffle. A candidate carries the few words around it, never the document.
 
 Defined cases: null texts have no words; items without words or with a null id never occur; rows of one item_id are one
 item; repeated doc rows are separate rows; an empty benchmark leaves every document clean.
@@ -85,12 +85,13 @@ def contamination(
     )
     each = base.select("_row", *held, "_w", F.posexplode(F.concat(F.array(F.lit("")), F.col("_w"))).alias("_i", "_t"))
     n, each = F.size("_w"), each.withColumn("_token", lowered(F.col("_t")))
+    first = F.greatest(F.col("_i") - size + 1, F.lit(1))
+    # No row carries a whole document: what follows a match needs the words within a window's reach of it.
+    near = [F.col("_row"), *map(F.col, held), F.col("_token"), F.col("_i"), n.alias("_n"), (F.col("_i") - first).alias("_at"), F.slice("_w", first, F.lit(2 * size - 1)).alias("_near")]
     if bytes_ <= max_broadcast:
-        met = each.join(F.broadcast(keys), "_token").withColumn("_n", n).withColumn("_at", F.col("_i") - 1)
+        met = each.join(F.broadcast(keys), "_token").select(*near, "_item", "_iw", "_p", "_starts", "_len")
     else:
-        first = F.greatest(F.col("_i") - size + 1, F.lit(1))
-        near = each.select("_row", *held, "_token", "_i", n.alias("_n"), (F.col("_i") - first).alias("_at"), F.slice("_w", first, F.lit(2 * size - 1)).alias("_w"))
-        met = near.join(keys, "_token")
+        met = each.select(*near).join(keys, "_token")
     # Length and place: the shortest stretch that the key's windows need must fit into the document here.
     last = F.col("_starts")[F.size("_starts") - 1]
     room = (F.col("_i") - (F.col("_p") - last) >= 1) & (F.col("_i") + F.col("_starts")[0] + F.col("_len") - 1 - F.col("_p") <= F.col("_n"))
@@ -99,7 +100,7 @@ def contamination(
     def agreeing(sign: int) -> Column:
         same = F.transform(
             F.sequence(F.lit(1), F.lit(size - 1)),
-            lambda k: F.coalesce(lowered(F.get("_w", F.col("_at") + sign * k)) == F.get("_iw", F.col("_p") - 1 + sign * k), F.lit(False)),
+            lambda k: F.coalesce(lowered(F.get("_near", F.col("_at") + sign * k)) == F.get("_iw", F.col("_p") - 1 + sign * k), F.lit(False)),
         )
         stop = F.array_position(same, False)
         return F.when(stop == 0, size - 1).otherwise(stop - 1)
