@@ -4,9 +4,9 @@
    for each block its distinct words and, per document, the positions as codes into them (compressed). Texts go no
    further. The table is bucketed by block, so what comes back later meets it without moving it again.
 2. The (word, address) rows of all blocks are dealt by word and sorted, so that each distinct word is one run: it is
-   encoded once, its ids meet their pieces in a join with the vocabulary (a table of fixed size), and the run's answer
-   is addressed back to each block, packed.
-3. Each block joins its answers and puts ids and pieces back by position.
+   encoded once, and the run's ids are addressed back to each block that holds the word, packed.
+3. Each block meets its answers and puts ids back by position. Decoding joins ids to pieces through the vocabulary, a
+   table of fixed size that each task holds (a map-side join); ``decode`` is the same join for ids in any DataFrame.
 
 The splitting rule is the tokenizer's own: NFC, white space, lower case, then its pattern; special tokens in a text are
 words of their own. Defined cases: null text is empty text with no ids; null and repeated ids are kept row by row.
@@ -35,7 +35,7 @@ WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 IS_SPECIAL = regex.compile("(" + "|".join(map(regex.escape, SPECIAL)) + ")")
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 16_000_000
 PACK = 120_000
 PLACE_BITS = 24  # an address is a block number and a place among its words
 
@@ -75,7 +75,7 @@ def _blocks(limit: int):
             rank = np.empty(len(words), np.uint32)
             rank[by_count] = np.arange(len(words), dtype=np.uint32)
             spelled = list(words)
-            planes = rank[flat].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() if len(words) else b""
+            planes = _planes(rank[flat] if len(words) else flat)
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([(part << 16) | next(number)], pa.int64()),
@@ -122,119 +122,102 @@ def word_blocks(docs: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_
 
 
 def _encode_runs(path: str):
-    """Sorted (_word, _address) rows to one row a run of equal words, at most 4096 addresses each."""
+    """Sorted (_word, _address) rows, each run of equal words encoded once, to packed answers per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.no_truncation(), tok.no_padding()
-        last, last_ids, number = None, [], itertools.count()
+        press = zstandard.ZstdCompressor(level=3)
+        held: dict[int, tuple[list, list, list]] = {}
+        last, last_ids, count = None, b"", 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal count
+            blobs = []
+            for places, sizes, ids in held.values():
+                at, n = np.array(places, np.uint32), np.array(sizes, np.uint32)
+                parts = [np.array([len(at), n.sum()], np.uint32).tobytes(), _planes(at), _planes(n), _planes(np.frombuffer(b"".join(ids), np.uint32))]
+                blobs.append(press.compress(b"".join(parts)))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blobs, pa.binary())], ["_block", "_blob"])
+            held.clear()
+            count = 0
+
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            at = batch.column(1).to_numpy()
+            words, at = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             starts = [i for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
             new = [words[i] for i in starts if words[i] != last]
             ids = iter([e.ids for e in tok.encode_batch(new, add_special_tokens=False)])
-            keys, addresses, found = [], [], []
             for i, j in itertools.pairwise([*starts, len(words)]):
                 if words[i] != last:
-                    last, last_ids = words[i], next(ids)
-                for lo in range(i, j, 4096):
-                    keys.append(next(number))
-                    addresses.append(at[lo : min(j, lo + 4096)].tobytes())
-                    found.append(last_ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(addresses, pa.binary()), pa.array(found, pa.list_(pa.int32()))], ["_run", "_at", "_ids"]
-            )
+                    last, last_ids = words[i], np.array(next(ids), np.uint32).tobytes()
+                for address in at[i:j]:
+                    places, sizes, all_ids = held.setdefault(address >> PLACE_BITS, ([], [], []))
+                    places.append(address & (1 << PLACE_BITS) - 1), sizes.append(len(last_ids) // 4), all_ids.append(last_ids)
+            count += len(words)
+            if count >= PACK:
+                yield from flush()
+        yield from flush()
 
     return run
 
 
-def _pack_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (_run, _at, _pos, _id, _piece), a run's rows together, to packed answers per block."""
-    press = zstandard.ZstdCompressor(level=3)
-    held: dict[int, tuple[list, list, list, list]] = {}
-    count = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal count
-        blobs = []
-        for places, sizes, ids, texts in held.values():
-            arrays = [np.array(places, np.uint32).tobytes(), np.array(sizes, np.uint32).tobytes(), b"".join(ids)]
-            blobs.append(press.compress(np.array([len(places), sum(sizes)], np.uint32).tobytes() + b"".join(arrays) + "\n".join(texts).encode()))
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blobs, pa.binary())], ["_block", "_blob"])
-        held.clear()
-        count = 0
-
-    def add(at: bytes, ids: list, pieces: list) -> None:
-        nonlocal count
-        own, text = np.array(ids, np.uint32).tobytes(), " ".join(pieces)
-        for address in np.frombuffer(at, np.int64).tolist():
-            places, sizes, all_ids, texts = held.setdefault(address >> PLACE_BITS, ([], [], [], []))
-            places.append(address & (1 << PLACE_BITS) - 1), sizes.append(len(ids)), all_ids.append(own), texts.append(text)
-            count += 1
-
-    run, at, ids, pieces = None, b"", [], []
-    for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(5)]
-        for r, a, pos, i, piece in zip(*cols, strict=True):
-            if r != run:
-                if run is not None:
-                    add(at, ids, pieces)
-                run, at, ids, pieces = r, a, [], []
-            if pos is not None:  # null: a word without ids
-                if pos != len(ids) or piece is None:
-                    raise ValueError("the rows of a run are out of order or an id has no piece")
-                ids.append(i), pieces.append(piece)
-        if count >= PACK:
-            yield from flush()
-    if run is not None:
-        add(at, ids, pieces)
-    yield from flush()
-
-
-def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for row in range(batch.num_rows):
-            docs = batch.column(0)[row].as_py()
-            sizes = np.frombuffer(unpack.decompress(batch.column(1)[row].as_py()), np.int64)
-            planes = np.frombuffer(unpack.decompress(batch.column(2)[row].as_py()), np.uint8)
-            codes = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-            n_words = batch.column(3)[row].as_py()
-            lengths, starts, texts, pool, base = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64), [None] * n_words, [], 0
-            for blob in batch.column(4)[row].as_py() or ():
-                raw = unpack.decompress(blob)
-                n, m = np.frombuffer(raw, np.uint32, 2).tolist()
-                places, counts = np.frombuffer(raw, np.uint32, n, 8), np.frombuffer(raw, np.uint32, n, 8 + 4 * n).astype(np.int64)
-                pool.append(np.frombuffer(raw, np.uint32, m, 8 + 8 * n))
-                lengths[places] = counts
-                starts[places] = base + np.cumsum(counts) - counts
-                base += m
-                for place, text in zip(places.tolist(), raw[8 + 8 * n + 4 * m :].split(b"\n"), strict=True):
-                    texts[place] = text
-            flat = np.concatenate(pool) if pool else np.empty(0, np.uint32)
-            if None in texts:
-                raise ValueError("a word of the block has no answer")
-            ends = np.cumsum(sizes)
-            out: list[list] = [[], [], [], []]
-            held = 0
-            for doc, a, b in zip(docs, (ends - sizes).tolist(), ends.tolist(), strict=True):
-                own = codes[a:b]
-                each = lengths[own]
-                total = int(each.sum())
-                index = np.repeat(starts[own] - (np.cumsum(each) - each), each) + np.arange(total)
-                decoded = b" ".join([t for c in own.tolist() if (t := texts[c])])
-                for column, value in zip(out, (doc, total, flat[index].astype("<u4").tobytes(), decoded), strict=True):
-                    column.append(value)
-                held += len(decoded)
-                if held > 2_000_000:
+def _planes(x: np.ndarray) -> bytes:
+    """The four bytes of 32-bit numbers, each kind together: they compress better so."""
+    return np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel()
+
+
+def _restore(path: str):
+    """Blocks with their answers to documents: ids by position, and the pieces that the vocabulary has for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, piece = zstandard.ZstdDecompressor(), _pieces(path)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                docs, n_words = batch.column(0)[row].as_py(), batch.column(3)[row].as_py()
+                sizes = np.frombuffer(unpack.decompress(batch.column(1)[row].as_py()), np.int64)
+                planes = unpack.decompress(batch.column(2)[row].as_py())
+                codes = _numbers(planes, len(planes) // 4, 0)
+                lengths, starts, texts, pool, base = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64), [None] * n_words, [], 0
+                for blob in batch.column(4)[row].as_py() or ():
+                    raw = unpack.decompress(blob)
+                    n, m = np.frombuffer(raw, np.uint32, 2).tolist()
+                    places, counts, ids = _numbers(raw, n, 8), _numbers(raw, n, 8 + 4 * n).astype(np.int64), _numbers(raw, m, 8 + 8 * n)
+                    ends = np.cumsum(counts)
+                    lengths[places], starts[places] = counts, base + ends - counts
+                    pool.append(ids)
+                    base += m
+                    spelled = [piece[i] for i in ids.tolist()]
+                    for place, a, b in zip(places.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                        texts[place] = b" ".join(spelled[a:b])
+                if None in texts:
+                    raise ValueError("a word of the block has no answer")
+                flat = np.concatenate(pool) if pool else np.empty(0, np.uint32)
+                ends = np.cumsum(sizes)
+                out: list[list] = [[], [], [], []]
+                held = 0
+                for doc, a, b in zip(docs, (ends - sizes).tolist(), ends.tolist(), strict=True):
+                    own = codes[a:b]
+                    each = lengths[own]
+                    total = int(each.sum())
+                    index = np.repeat(starts[own] - (np.cumsum(each) - each), each) + np.arange(total)
+                    decoded = b" ".join([t for c in own.tolist() if (t := texts[c])])
+                    for column, value in zip(out, (doc, total, flat[index].astype("<u4").tobytes(), decoded), strict=True):
+                        column.append(value)
+                    held += len(decoded)
+                    if held > 2_000_000:
+                        yield _encoded(out)
+                        out, held = [[], [], [], []], 0
+                if out[0]:
                     yield _encoded(out)
-                    out, held = [[], [], [], []], 0
-            if out[0]:
-                yield _encoded(out)
+
+    return run
 
 
 def _encoded(out: list[list]) -> pa.RecordBatch:
@@ -244,13 +227,26 @@ def _encoded(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["_id", "_n_tokens", "_ids", "_decoded"])
 
 
-def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """``(_id int, _piece string)``: the vocabulary, whose size is fixed by its file."""
+def _pieces(path: str) -> list[bytes]:
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    rows = [(i, p) for p, i in tok.get_vocab(with_added_tokens=True).items()]
-    return spark.createDataFrame(rows, "_id int, _piece string")
+    pieces = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    return [p.encode() for p in sorted(pieces, key=pieces.__getitem__)]
+
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """``(_id int, _piece string)``: the id-to-piece table, whose size is fixed by its file."""
+    return spark.createDataFrame([(i, p.decode()) for i, p in enumerate(_pieces(path))], "_id int, _piece string")
+
+
+def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """``(id, _decoded)`` for rows with an ``array<int>`` of ids and an id of their own: the join with the vocabulary as
+    a DataFrame. Null and empty arrays give an empty text; an id outside the vocabulary gives no piece."""
+    each = encoded.select(F.col(id_col).alias("_row"), F.posexplode_outer(ids_col).alias("_pos", "_id"))
+    met = each.join(F.broadcast(vocabulary(encoded.sparkSession, path or vocabulary_path())), "_id", "left")
+    parts = F.sort_array(F.collect_list(F.when(F.col("_piece").isNotNull(), F.struct("_pos", "_piece"))))
+    out = met.groupBy("_row").agg(parts.alias("_parts"))
+    return out.select(F.col("_row").alias(id_col), F.array_join(F.col("_parts._piece"), " ").alias("_decoded"))
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -259,12 +255,10 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = word_blocks(docs, id_col, text_col, block_chars)
     address = F.shiftleft("_block", PLACE_BITS).bitwiseOR(F.col("_place").cast("long")).alias("_address")
     places = blocks.select(F.posexplode("_words").alias("_place", "_word"), "_block").select("_word", address)
-    runs = places.repartition("_word").sortWithinPartitions("_word").mapInArrow(_encode_runs(path), "_run long, _at binary, _ids array<int>")
-    each = runs.select("_run", "_at", F.posexplode_outer("_ids").alias("_pos", "_id"))
-    pieces = each.join(F.broadcast(vocabulary(spark, path)), "_id", "left").select("_run", "_at", "_pos", "_id", "_piece")
-    answers = pieces.mapInArrow(_pack_answers, "_block long, _blob binary").groupBy("_block").agg(F.collect_list("_blob").alias("_blobs"))
+    runs = places.repartition("_word").sortWithinPartitions("_word").mapInArrow(_encode_runs(path), "_block long, _blob binary")
+    answers = runs.groupBy("_block").agg(F.collect_list("_blob").alias("_blobs"))
     joined = blocks.withColumn("_n_words", F.size("_words")).join(answers.hint("shuffle_merge"), "_block", "left")
-    out = joined.select("_ids", "_sizes", "_codes", "_n_words", "_blobs").mapInArrow(_restore, "_id long, _n_tokens long, _ids binary, _decoded string")
+    out = joined.select("_ids", "_sizes", "_codes", "_n_words", "_blobs").mapInArrow(_restore(path), "_id long, _n_tokens long, _ids binary, _decoded string")
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -105,25 +105,20 @@ def contamination(
         stop = F.array_position(same, False)
         return F.when(stop == 0, size - 1).otherwise(stop - 1)
 
-    spans = F.filter("_starts", lambda s: (s >= F.col("_p") - F.col("_left")) & (s + F.col("_len") - 1 <= F.col("_p") + F.col("_right")))
-    if size > 1:
-        met = met.withColumn("_left", F.when(F.col("_p").isNotNull(), agreeing(-1))).withColumn("_right", F.when(F.col("_p").isNotNull(), agreeing(1)))
-    else:
-        met = met.withColumn("_left", F.lit(0)).withColumn("_right", F.lit(0))
-    met = met.withColumn("_in", spans).filter(F.col("_p").isNull() | (F.size("_in") > 0))
-    found = met.select(
-        "_row",
-        *held,
-        F.col("_n").cast("long").alias("_n_words"),
-        F.col("_item"),
-        F.when(
-            F.col("_p").isNotNull(),
-            F.struct(
-                (F.col("_i") - F.col("_p") + F.col("_in")[0]).alias("a"),
-                (F.col("_i") - F.col("_p") + F.col("_in")[F.size("_in") - 1] + F.col("_len") - 1).alias("b"),
-            ),
-        ).alias("_span"),
+    # Each step is a generator of at most one row, not a filter: a filter would move into the join and take it, and the
+    # explosion of the words below it, out of generated code, where every word would carry its document.
+    known = F.col("_p").isNotNull()
+    reach = F.struct(F.when(known, agreeing(-1)).alias("left"), F.when(known, agreeing(1)).alias("right")) if size > 1 else F.struct(F.lit(0).alias("left"), F.lit(0).alias("right"))
+    met = met.select("_row", *held, "_i", "_n", "_item", "_p", "_starts", "_len", F.explode(F.array(reach)).alias("_reach"))
+    inside = F.filter("_starts", lambda s: (s >= F.col("_p") - F.col("_reach.left")) & (s + F.col("_len") - 1 <= F.col("_p") + F.col("_reach.right")))
+    met = met.select("_row", *held, "_i", "_n", "_item", "_p", "_len", F.explode(F.array(inside)).alias("_in"))
+    span = F.struct(
+        (F.col("_i") - F.col("_p") + F.col("_in")[0]).alias("a"),
+        (F.col("_i") - F.col("_p") + F.col("_in")[F.size("_in") - 1] + F.col("_len") - 1).alias("b"),
     )
+    none = F.lit(None).cast("struct<a:int,b:int>")
+    spans = F.when(F.col("_p").isNull(), F.array(none)).when(F.size("_in") > 0, F.array(span)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    found = met.select("_row", *held, F.col("_n").cast("long").alias("_n_words"), F.col("_item"), F.explode(spans).alias("_span"))
     per_row = found.groupBy("_row", *held, "_n_words").agg(
         F.sort_array(F.collect_set("_span")).alias("_spans"), F.array_sort(F.collect_set(F.col("_item").cast("string"))).alias("_items")
     )
