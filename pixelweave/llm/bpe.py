@@ -35,7 +35,7 @@ WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 IS_SPECIAL = regex.compile("(" + "|".join(map(regex.escape, SPECIAL)) + ")")
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 12_000_000
 PACK = 120_000
 PLACE_BITS = 24  # an address is a block number and a place among its words
 
