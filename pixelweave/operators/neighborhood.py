@@ -57,17 +57,15 @@ def distance_to(px: DataFrame, is_target: Column, res: float) -> DataFrame:
 
 
 def slope(px: DataFrame, value: str, res: float) -> DataFrame:
-    """Horn gradient in degrees of pixels with all eight neighbours."""
-    w = Window.partitionBy("row").orderBy("col").rangeBetween(-1, 1)
-    line = px.select("row", "col", F.col(value).alias("v"))
-    at = lambda k: F.sum("v").over(Window.partitionBy("row").orderBy("col").rangeBetween(k, k))
-    line = line.select("row", "col", at(-1).alias("l"), F.col("v").alias("m"), at(1).alias("r"), F.count("v").over(w).alias("n")).filter("n = 3")
-    v = Window.partitionBy("col").orderBy("row")
-    row = lambda c, k: F.first(c).over(v.rangeBetween(k, k))
-    dx = (row("r", -1) + 2 * F.col("r") + row("r", 1)) - (row("l", -1) + 2 * F.col("l") + row("l", 1))
-    dy = (row("l", 1) + 2 * row("m", 1) + row("r", 1)) - (row("l", -1) + 2 * row("m", -1) + row("r", -1))
-    out = line.select("row", "col", F.degrees(F.atan(F.sqrt(F.pow(dx, F.lit(2)) + F.pow(dy, F.lit(2))) / (8 * res))).alias("slope"))
-    return out.filter("slope IS NOT NULL")
+    """Horn gradient in degrees of pixels with all eight neighbours: each pixel adds its weighted value to its nine targets."""
+    offsets = F.array(
+        *[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(c * (2 - abs(r))).alias("wx"), F.lit(r * (2 - abs(c))).alias("wy")) for r in (-1, 0, 1) for c in (-1, 0, 1)]
+    )
+    v = F.col(value).cast("double")
+    each = px.filter(v.isNotNull()).select("row", "col", v.alias("v"), F.explode(offsets).alias("o"))
+    each = each.select((F.col("row") - F.col("o.r")).alias("row"), (F.col("col") - F.col("o.c")).alias("col"), (F.col("o.wx") * F.col("v")).alias("x"), (F.col("o.wy") * F.col("v")).alias("y"))
+    sums = each.groupBy("row", "col").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.count("*").alias("n")).filter("n = 9")
+    return sums.select("row", "col", F.degrees(F.atan(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) / (8 * res))).alias("slope"))
 
 
 def cell_index(row: Column, col: Column, csize: int, n_cols: int) -> Column:

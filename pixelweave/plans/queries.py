@@ -207,9 +207,8 @@ query("mw_apply", "WITH mw AS (" + SQL["moving_window_5"] + "), " + (PER_CAT.rep
     lambda px: rounded(R.defrate_per_cat(local(px, 5).join(px.select("row", "col", "edge", "forest_t1", "loss"), ["row", "col"]).withColumn("risk", L.zero_beyond(PX("ldefrate"), PX("edge"), 3000.0)), YEARS, AREA)))
 query("dist_to_edge", W + ", z AS (SELECT row, col FROM l WHERE forest_t1 = 0 AND row < 100) SELECT a.row, a.col, round(min(sqrt(pow(a.row - z.row, 2) + pow(a.col - z.col, 2))) * 30e0, 6) AS dist FROM l a, z WHERE a.row < 100 AND a.forest_t1 IS NOT NULL GROUP BY a.row, a.col")(
     lambda px: N.distance_to(px.filter("row < 100"), PX("forest_t1") == 0, 30.0).join(px.filter("forest_t1 IS NOT NULL").select("row", "col"), ["row", "col"]).select("row", "col", F.round("dist", 6).alias("dist")))
-NB = " + ".join
-query("slope", W + """SELECT c.row, c.col, round(degrees(atan(sqrt(pow((ne.e + 2 * e.e + se.e) - (nw.e + 2 * w.e + sw.e), 2) + pow((sw.e + 2 * s.e + se.e) - (nw.e + 2 * n.e + ne.e), 2)) / 240e0)), 8) AS slope
-FROM (SELECT row, col FROM g) c """ + " ".join(f"JOIN (SELECT row, col, elevation AS e FROM g) {n} ON {n}.row = c.row + {r} AND {n}.col = c.col + {k}" for n, r, k in (("nw", -1, -1), ("n", -1, 0), ("ne", -1, 1), ("w", 0, -1), ("e", 0, 1), ("sw", 1, -1), ("s", 1, 0), ("se", 1, 1))))(
+query("slope", W + """, s AS (SELECT row - r AS row, col - c AS col, sum(c * (2 - abs(r)) * elevation) AS x, sum(r * (2 - abs(c)) * elevation) AS y FROM g, (VALUES (-1), (0), (1)) p(r), (VALUES (-1), (0), (1)) q(c) GROUP BY 1, 2 HAVING count(*) = 9)
+SELECT row, col, round(degrees(atan(sqrt(x * x + y * y) / 240e0)), 8) AS slope FROM s""")(
     lambda px: N.slope(px, "elevation", 30.0).withColumn("slope", F.round("slope", 8)))
 query("systematic_count", W + ", s AS (SELECT CAST(greatest(1, round(sqrt(count(*) / 500e0))) AS INT) AS k FROM g WHERE forest_t1 IS NOT NULL) SELECT row, col FROM g, s WHERE forest_t1 IS NOT NULL AND row % k = 0 AND col % k = 0")(
     lambda px: px.filter("forest_t1 IS NOT NULL").join(F.broadcast(px.filter("forest_t1 IS NOT NULL").agg(F.greatest(F.lit(1), F.round(F.sqrt(F.count("*") / 500.0)).cast("int")).alias("k")))).filter("row % k = 0 AND col % k = 0").select("row", "col"))
