@@ -1,0 +1,170 @@
+"""Small fixtures with nulls, empty texts, repeated rows and extra columns, against brute force."""
+
+import random
+import re
+
+import pytest
+
+from pixelweave.llm import bpe, decontaminate, embedding_dedup, html_text, line_dedup, pii, sharding, simhash, token_counts, toxicity
+
+WORDS = "the of and loser tree stone river cloud paper green".split()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rnd = random.Random(3)
+    rows = [(i, "\n".join(" ".join(rnd.choices(WORDS, k=12)) for _ in range(3)), "x") for i in range(30)]
+    rows += [(40, rows[0][1], "x"), (41, None, None), (42, "", "x"), (None, "a line of its own\nthe of", "x"), (43, rows[1][1] + "\n" + rows[2][1], "x"), (43, rows[1][1], "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, _text string")
+
+
+def test_bpe_round_trip(docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bpe.vocabulary_path())
+    got = sorted((r.doc_id or -1, bpe.ids_array(r._ids), r._decoded) for r in bpe.encode_decode(docs, block_chars=300).collect())
+    want = []
+    for r in docs.collect():
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id or -1, ids, tok.decode(ids, skip_special_tokens=False)))
+    assert got == sorted(want)
+
+
+def test_decode_by_join(spark):
+    df = spark.createDataFrame([(1, [320, 321]), (2, []), (3, None)], "doc_id long, ids array<int>")
+    assert {r.doc_id: r._decoded for r in bpe.decode(df).collect()} == {1: "a</w> b</w>", 2: "", 3: ""}
+
+
+def test_token_counts_after_edits():
+    count = token_counts.Counter(bpe.vocabulary_path())
+    rnd = random.Random(5)
+    for _ in range(60):
+        text = " ".join(rnd.choices([*WORDS, "it's", "É", "12,3"], k=rnd.randint(0, 200)))
+        tree = token_counts.SegmentTree(text, count, 40)
+        for _ in range(6):
+            pos, n, ins = rnd.randint(0, len(text) + 3), rnd.randint(0, 90), rnd.choice(["", " ", "x'", "́", " new words "])
+            tree.edit(pos, n, ins)
+            pos = min(pos, len(text))
+            text = text[:pos] + ins + text[pos + n :]
+            assert tree.text() == text and tree.total == count(text)
+
+
+def test_line_dedup(docs):
+    rows = docs.collect()
+    first: dict = {}
+    for r in rows:
+        for line in (r.text or "").split("\n"):
+            key = line.strip(" \t\n\x0b\x0c\r").lower()
+            own = -(2**63) if r.doc_id is None else r.doc_id
+            if len(key) >= 10:
+                first[key] = min(first.get(key, own), own)
+    want = []
+    for r in rows:
+        own = -(2**63) if r.doc_id is None else r.doc_id
+        want.append((own, "\n".join(x for x in (r.text or "").split("\n") if first.get(x.strip().lower(), own) == own)))
+    got = [(-(2**63) if r.doc_id is None else r.doc_id, r._kept) for r in line_dedup.dedup_lines(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("bound", [32 << 20, 0])
+def test_decontamination(spark, docs, bound):
+    rows = docs.collect()
+    items = [(1, rows[0].text.split("\n")[0] + " " + rows[0].text.split("\n")[1]), (2, "cloud paper"), (3, None), (None, "the of")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(docs, bench, max_broadcast=bound).collect()
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    want = []
+    for r in rows:
+        w, hit, found = words(r.text), set(), set()
+        for item, text in items[:2]:
+            iw = words(text)
+            size = min(13, len(iw))
+            for s in range(len(iw) - size + 1):
+                for i in range(len(w) - size + 1):
+                    if w[i : i + size] == iw[s : s + size]:
+                        hit |= set(range(i, i + size))
+                        found.add(str(item))
+        want.append((r.doc_id or -1, len(w), len(hit), sorted(found)))
+    assert sorted((r.doc_id or -1, r._n_words, r._n_hit, r._items) for r in got) == sorted(want)
+
+
+def test_shards_are_near_equal(docs):
+    out = sharding.shard_by_bytes(docs, parts=2).collect()
+    sizes = [sum(r._size for r in out if r._shard == s) for s in range(8)]
+    assert len(out) == docs.count() and max(sizes) - min(sizes) <= 2 * max(r._size for r in out)
+    for s in range(8):
+        slots = sorted(r._slot for r in out if r._shard == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_simhash_groups(spark, docs):
+    out = simhash.simhash_components(docs).collect()
+    fp = [r._fp & (2**64 - 1) for r in out]
+    label = list(range(len(out)))
+    for _ in out:
+        label = [min(label[j] for j in range(len(out)) if (fp[i] ^ fp[j]).bit_count() <= 2) for i in range(len(out))]
+    for i, r in enumerate(out):
+        ids = [x.doc_id for x, n in zip(out, label, strict=True) if n == label[i] and x.doc_id is not None]
+        assert r._component == (min(ids) if ids else None)
+    kept = simhash.keep_one(docs)
+    assert kept.count() == len(set(label)) and kept.columns == docs.columns
+
+
+def test_simhash_hot_keys_are_exact(spark):
+    rnd = random.Random(1)
+    base = rnd.getrandbits(62)
+    fps = sorted({base ^ (1 << rnd.randrange(60)) ^ (1 << rnd.randrange(60)) for _ in range(40)})
+    df = spark.createDataFrame([(x,) for x in fps], "_fp long")
+    want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
+    for hot in (4000, 2):
+        assert {(r._a, r._b) for r in simhash.links(df, hot).collect()} == want
+
+
+def test_pii_spans():
+    auto = pii.automaton()
+    text = "a@b.co, +1 (456) 555-2186; 4111 1111 1111 1111; 1.2.3.4; 300.1.1.1 password=ab12cd34"
+    kinds = [(k, text[a:b]) for k, a, b in pii.find_spans(text, auto)]
+    assert kinds == [("email", "a@b.co"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (456) 555-2186"), ("secret", "ab12cd34")]
+
+
+def test_pii_base_kinds_equal_the_patterns():
+    rnd, auto = random.Random(4), pii.automaton()
+    for _ in range(5000):
+        text = "".join(rnd.choice("11200295.. @@ab+-()x%") for _ in range(rnd.randint(1, 40)))
+        want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+            d = re.sub(r"\D", "", m[0])
+            if 13 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0:
+                want.append(("card", *m.span()))
+        want += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub(r"\D", "", m[0])) <= 15]
+        assert [s for s in pii.find_spans(text, auto) if s[0] in pii.BASE] == want
+
+
+def test_toxicity_learns_and_folds(spark):
+    rnd = random.Random(2)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        words = rnd.choices([f"w{rnd.randrange(500)}x" for _ in range(50)], k=30)
+        rows.append((i, " ".join([*words, "grobnik"] if bad else words)))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame([*rows, (900, "gr0bnіk w1x"), (901, "clean w2x"), (902, None)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r._score >= 0.3 for r in toxicity.scored(docs, model).collect()}
+    assert got[900] and not got[901] and not got[902] and all(got[i] == (i % 4 == 0) for i in range(400))
+
+
+def test_embedding_components(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r._n_links, r._component) for r in embedding_dedup.embedding_components(df).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 7: (3, 0), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (0, 6)}
+
+
+def test_html_template_removal(spark):
+    pages = [(i, f"http://h.example/{i}", f"<body><div><p>Shared words.</p></div><div><p>Own text {i} &amp; more<p>second {i}</div><script>x('</p>')</script></body>") for i in range(20)]
+    pages += [(50, "http://h.example/50", "<nav>Menu</nav><article><h1>T</h1>A <b>b</b>c</article><div class='ad'>Buy</div>"), (51, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    assert got[3] == "Own text 3 & more second 3" and got[50] == "T A bc" and got[51] == ""
