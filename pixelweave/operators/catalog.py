@@ -69,3 +69,36 @@ def files_with_token(catalog: DataFrame, token: str) -> DataFrame:
     if token.isdigit():
         return catalog.filter(path.contains(token))
     return catalog.filter(path.rlike(f"(?<![0-9a-z]){token.lower()}(?![0-9a-z])"))
+
+
+def periods(dates: DataFrame) -> DataFrame:
+    """The four periods of each row ``(name, y1, y2, y3)``; layer_year is that of the forest the period starts from."""
+    y = [F.col(f"y{i}") for i in (1, 2, 3)]
+
+    def one(period: str, trained_on: str, start: Column, end: Column, lost: list[int], layer: Column) -> Column:
+        parts = {"period": F.lit(period), "train_period": F.lit(trained_on), "initial_year": start, "final_year": end, "defor_values": F.array(*map(F.lit, lost)), "time_interval": end - start, "layer_year": layer}
+        return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+    rows = [
+        one("calibration", "calibration", y[0], y[1], [1], y[0]),
+        one("validation", "calibration", y[1], y[2], [1], y[1]),
+        one("historical", "historical", y[0], y[2], [1, 2], y[0]),
+        one("forecast", "historical", y[0], y[2], [1, 2], y[2]),
+    ]
+    return dates.select("name", F.explode(F.array(*rows)).alias("p")).select("name", "p.*")
+
+
+# Where a rate table may come from, best first, and the kinds of map each applies to (None: all).
+RATE_SOURCES = [("user", None), ("evaluation", ["import"]), ("persisted", ["mw", "jnr", "other"]), ("sibling", ["mw"]), ("computed", ["other"])]
+
+
+def rate_table_source(candidates: DataFrame) -> DataFrame:
+    """``(prediction, source, path)`` chosen from ``candidates (prediction, kind, source, path, made_at)``: by source, then
+    the newest, then the smallest path. Predictions without a fitting candidate have no row; NULL paths do not count."""
+    rank = None
+    for i, (source, kinds) in enumerate(RATE_SOURCES):
+        fits = (F.col("source") == source) & (F.col("kind").isin(kinds) if kinds else F.lit(True))
+        rank = F.when(fits, i) if rank is None else rank.when(fits, i)
+    t = candidates.filter(F.col("path").isNotNull()).withColumn("_rank", rank).filter("_rank IS NOT NULL")
+    best = F.min(F.struct("_rank", (-F.unix_micros(F.col("made_at").cast("timestamp"))).alias("_age"), "path", "source"))
+    return t.groupBy("prediction").agg(best.alias("b")).select("prediction", "b.source", "b.path")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.sources.shared import written
+
 
 def layer_summary(px: DataFrame, names: list[str]) -> DataFrame:
     """min, max, mean, population sd and count of each layer, in one pass."""
@@ -44,6 +46,33 @@ def split_rhat(trace: DataFrame) -> DataFrame:
     return out.select("param", F.when((F.col("w") > 0) & (F.col("n") > 1), r).alias("rhat"))
 
 
+def effective_sample_size(trace: DataFrame, block: int = 16) -> DataFrame:
+    """``(param, ess)`` of ``trace (iter, param, value)``: Geyer's rule, pairs of autocorrelations up to the first that is
+    not positive. Lags are tried ``block`` pairs at a time, and only for parameters whose pairs were all positive so far.
+    NULL for constant traces and those of fewer than four values; NULL values take no part.
+    """
+    w = Window.partitionBy("param")
+    t = trace.dropna(subset=["value"]).select("param", F.row_number().over(w.orderBy("iter")).alias("i"), (F.col("value") - F.avg("value").over(w)).alias("c"), "value")
+    t = written(t)
+    total = written(t.groupBy("param").agg(F.sum(F.col("c") * F.col("c")).alias("v"), F.count("*").alias("n"), ((F.count("*") >= 4) & (F.min("value") < F.max("value"))).alias("usable")))
+    live, pairs, first = t.join(total.filter("usable").select("param"), "param", "left_semi"), None, 0
+    while True:
+        lags = F.explode(F.sequence(F.lit(2 * first + 1), F.lit(2 * (first + block)))).alias("lag")
+        a = live.select("param", "i", F.col("c").alias("ahead"), lags).select("param", "lag", "ahead", (F.col("i") + F.col("lag")).alias("i"))
+        k = F.floor((F.col("lag") + 1) / 2).alias("k")
+        s = a.join(live.select("param", "i", "c"), ["param", "i"]).groupBy("param", k).agg(F.sum(F.col("ahead") * F.col("c")).alias("s"), F.max("lag").alias("last"))
+        s = written(s.join(total, "param").select("param", "k", (F.col("s") / F.col("v")).alias("pair"), ((F.col("s") > 0) & (F.col("last") == 2 * F.col("k"))).alias("good")))
+        pairs = s if pairs is None else pairs.union(s)
+        still = s.groupBy("param").agg(F.count_if("good").alias("g")).filter(F.col("g") == block)
+        if still.isEmpty():
+            break
+        live, first = live.join(still, "param", "left_semi"), first + block
+    stop = pairs.groupBy("param").agg(F.min(F.when(~F.col("good"), F.col("k"))).alias("stop"))
+    tail = pairs.join(stop, "param").filter(F.col("stop").isNull() | (F.col("k") < F.col("stop"))).groupBy("param").agg(F.sum("pair").alias("tail"))
+    ess = F.greatest(F.least(F.col("n") / (1 + 2 * F.coalesce("tail", F.lit(0.0))), F.col("n").cast("double")), F.lit(1.0))
+    return total.join(tail, "param", "left").select("param", F.when(F.col("usable"), ess).alias("ess"))
+
+
 def strongest_contrast(coefs: DataFrame) -> DataFrame:
     """Per variable the largest contrast, those whose interval excludes zero first."""
     resolved = ((F.col("ci_low") > 0) | (F.col("ci_high") < 0)).cast("int")

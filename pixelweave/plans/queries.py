@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions import scalars as S
 from pixelweave.operators import catalog as C
+from pixelweave.operators import geometry as GEO
 from pixelweave.operators import layers as L
+from pixelweave.operators import models as M
 from pixelweave.operators import neighborhood as N
 from pixelweave.operators import rates as R
 from pixelweave.operators import sampling as P
 from pixelweave.operators import stats as T
+from pixelweave.operators import tiles as TI
 
 WIDTH, AREA, YEARS = 150, 0.09, 5
 
@@ -284,3 +287,77 @@ query("override_union", "WITH " + K + " SELECT name, year, CASE WHEN count(*) FI
 query("unique_ids", "SELECT n_name, dense_rank() OVER (ORDER BY n_name) AS id FROM nation", lambda s, d: s.read.parquet(f"{d}/nation.parquet"))(lambda n: n.select("n_name", F.dense_rank().over(Window.orderBy("n_name")).alias("id")))
 query("period_reduce", "SELECT user_id, round(sum(value) * 1000, 6) AS total, round(avg(value) - 273.15e0, 6) AS mean, max(CAST(value AS DOUBLE)) AS high, min(CAST(value AS DOUBLE)) AS low, quantile_cont(CAST(value AS DOUBLE), 0.5) AS median FROM events GROUP BY user_id", lambda s, d: s.read.parquet(f"{d}/events.parquet"))(
     lambda e: e.groupBy("user_id").agg(F.round(F.sum("value") * 1000, 6).alias("total"), F.round(F.avg("value") - 273.15, 6).alias("mean"), F.max(PX("value").cast("double")).alias("high"), F.min(PX("value").cast("double")).alias("low"), F.percentile(PX("value").cast("double"), F.lit(0.5)).alias("median")))
+
+FEATURES = ["height", "pa", "away"]
+
+
+def scaled(px: DataFrame) -> DataFrame:
+    return px.withColumn("height", PX("elevation") / 100_000).withColumn("away", PX("edge") / 1_000)
+
+
+def forest(px: DataFrame):
+    """A forest of trees fitted to every second pixel of every second row."""
+    return M.forest_fit(P.systematic(scaled(px), 2, 2), "loss", FEATURES)
+
+
+def spatial(px: DataFrame):
+    t = scaled(px).withColumn("cell", N.cell_index(PX("row"), PX("col"), 25, WIDTH))
+    high = px.agg(F.max("row")).first()[0] // 25 + 1
+    return M.spatial_fit(t, "loss", FEATURES, N.cell_neighbors(t.select("cell").distinct(), high, 6))[1]
+
+
+query("glm_fit")(lambda px: rounded(M.glm_fit(scaled(px), "loss", FEATURES), 6))
+query("forest_importance")(lambda px: M.forest_importance(forest(px), px, FEATURES))
+query("forest_apply")(lambda px: M.forest_apply(forest(px), scaled(px), FEATURES).withColumn("code", S.risk_code(PX("p"))))
+query("forest_held_out_accuracy")(lambda px: M.accuracy_of(M.forest_apply(forest(px), scaled(px).filter("row % 2 = 1 AND loss IS NOT NULL"), FEATURES, ("loss",)), "loss", "p"))
+query("spatial_fit")(lambda px: spatial(px).withColumn("rho", F.round("rho", 6)))
+query("spread_effect", W + """, k AS (SELECT CAST(floor(row / 25) AS INT) AS row, CAST(floor(col / 25) AS INT) AS col, avg(forest_t1) - 0.8e0 AS rho FROM g GROUP BY 1, 2),
+t AS (SELECT row, col, floor((row + 0.5e0) / 25e0 - 0.5e0) AS r0, floor((col + 0.5e0) / 25e0 - 0.5e0) AS c0, (row + 0.5e0) / 25e0 - 0.5e0 AS y, (col + 0.5e0) / 25e0 - 0.5e0 AS x FROM g),
+n AS (SELECT t.row, t.col, r0 + a AS sr, c0 + b AS sc, (CASE WHEN a = 1 THEN y - r0 ELSE 1 - (y - r0) END) * (CASE WHEN b = 1 THEN x - c0 ELSE 1 - (x - c0) END) AS w FROM t, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b))
+SELECT n.row, n.col, round(sum(w * rho) / sum(w) FILTER (WHERE rho IS NOT NULL), 8) AS rho FROM n LEFT JOIN k ON k.row = n.sr AND k.col = n.sc GROUP BY n.row, n.col""")(
+    lambda px: M.spread_effect(px.groupBy(N.cell_index(PX("row"), PX("col"), 25, WIDTH).alias("cell")).agg((F.avg("forest_t1") - 0.8).alias("rho")), 6, 25, px).withColumn("rho", F.round("rho", 8)))
+query("effective_sample_size", "WITH " + E + """, i AS (SELECT param, row_number() OVER (PARTITION BY param ORDER BY iter) AS i, value - avg(value) OVER (PARTITION BY param) AS c FROM e),
+v AS (SELECT param, sum(c * c) AS v, count(*) AS n FROM i GROUP BY param), r AS (SELECT a.param, b.i - a.i AS t, sum(a.c * b.c) AS s FROM i a JOIN i b ON a.param = b.param AND b.i > a.i GROUP BY 1, 2),
+p AS (SELECT r.param, (t + 1) // 2 AS k, sum(s) / min(v) AS pair, count(*) AS m FROM r JOIN v ON r.param = v.param GROUP BY 1, 2), f AS (SELECT param, min(k) FILTER (WHERE pair <= 0 OR m < 2) AS stop FROM p GROUP BY param),
+s AS (SELECT p.param, sum(pair) AS tail FROM p JOIN f ON p.param = f.param WHERE stop IS NULL OR k < stop GROUP BY p.param)
+SELECT v.param, round(greatest(least(n / (1 + 2 * coalesce(tail, 0)), n), 1), 6) AS ess FROM v LEFT JOIN s ON v.param = s.param""", trace)(lambda t: rounded(T.effective_sample_size(t), 6))
+query("map_tiles", W + "SELECT CAST(floor(row / 50) AS BIGINT) AS tile_row, CAST(floor(col / 50) AS BIGINT) AS tile_col, count(*) AS n, sum(risk)::BIGINT AS total FROM g GROUP BY 1, 2")(
+    lambda px: TI.map_tiles(px.select("row", "col", "risk"), lambda t: (t.iloc[:1][["row", "col"]] // 50).set_axis(["tile_row", "tile_col"], axis=1).assign(n=len(t), total=t["risk"].sum()), "tile_row long, tile_col long, n long, total long", 50))
+query("predict_with", W + "SELECT row, col, round(1e0 / (1e0 + exp(3e0 - risk / 10e0)), 9) AS p FROM g")(
+    lambda px: TI.predict_with(px.select("row", "col", "risk"), lambda t: 1 / (1 + 2.718281828459045 ** (3 - t["risk"] / 10))).withColumn("p", F.round("p", 9)))
+
+
+def box(x0, y0, x1, y1):
+    """Rings of one rectangle, from columns."""
+    return F.array(F.array(*[F.array(x.cast("double"), y.cast("double")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])).alias("rings")
+
+
+def borders(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("r_regionkey") * 30
+    return spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("long").alias("feature_id"), box(x + 2.3, F.lit(-7.7), x + 17.6, F.lit(-1.4)))
+
+
+def parcels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c, s = spark.read.parquet(f"{d}/customer.parquet"), spark.read.parquet(f"{d}/supplier.parquet")
+    x, y, w = PX("c_custkey") * 7 % 1000, PX("c_custkey") * 13 % 997, PX("c_nationkey") % 5 + 1.5
+    u, v = PX("s_suppkey") * 31 % 1000 + 0.25, PX("s_suppkey") * 17 % 997 + 0.25
+    return c.select(PX("c_custkey").cast("long").alias("feature_id"), box(x, y, x + w, y + w)), s.select(PX("s_suppkey").cast("long").alias("feature_id"), box(u, v, u + 20, v + 30))
+
+
+query("crop_to_border", W + "SELECT row, col, risk FROM g WHERE row BETWEEN 1 AND 7 AND col % 30 BETWEEN 2 AND 17", lambda s, d: (pixels(s, d), borders(s, d)))(
+    lambda t: GEO.crop(t[0].select("row", "col", "risk"), t[1], 1_000_000, 0.0, 0.0, 1.0, WIDTH))
+query("features_in_area", """WITH f AS (SELECT CAST(c_custkey AS BIGINT) AS feature_id, c_custkey * 7 % 1000 AS x, c_custkey * 13 % 997 AS y, c_nationkey % 5 + 1.5e0 AS w FROM customer),
+a AS (SELECT s_suppkey * 31 % 1000 + 0.25e0 AS u, s_suppkey * 17 % 997 + 0.25e0 AS v FROM supplier)
+SELECT feature_id FROM f WHERE EXISTS (SELECT 1 FROM a WHERE x <= u + 20 AND u <= x + w AND y <= v + 30 AND v <= y + w)""", parcels)(lambda t: GEO.meeting(*t, 16.0).select("feature_id"))
+
+_dates = lambda c: C.years_per_name(c).filter(F.size("years") > 2).select("name", *[PX("years")[i].alias(f"y{i + 1}") for i in range(3)])
+query("periods", "WITH " + K + """, d AS (SELECT name, y[1] AS y1, y[2] AS y2, y[3] AS y3 FROM (SELECT name, list_sort(list(DISTINCT year)) AS y FROM k GROUP BY name) WHERE len(y) > 2)
+SELECT name, 'calibration' AS period, 'calibration' AS train_period, y1 AS initial_year, y2 AS final_year, [1] AS defor_values, y2 - y1 AS time_interval, y1 AS layer_year FROM d
+UNION ALL SELECT name, 'validation', 'calibration', y2, y3, [1], y3 - y2, y2 FROM d UNION ALL SELECT name, 'historical', 'historical', y1, y3, [1, 2], y3 - y1, y1 FROM d
+UNION ALL SELECT name, 'forecast', 'historical', y1, y3, [1, 2], y3 - y1, y3 FROM d""", catalog)(lambda c: C.periods(_dates(c)))
+query("rate_table_source", "WITH " + K + """, c AS (SELECT name AS prediction, ['import', 'mw', 'jnr', 'other'][length(name) % 4 + 1] AS kind, ['evaluation', 'sibling', 'persisted', 'computed', 'evaluation', 'user'][id % 6 + 1] AS source, path, year FROM k),
+r AS (SELECT *, CASE WHEN source = 'user' THEN 0 WHEN source = 'evaluation' AND kind = 'import' THEN 1 WHEN source = 'persisted' AND kind <> 'import' THEN 2 WHEN source = 'sibling' AND kind = 'mw' THEN 3 WHEN source = 'computed' AND kind = 'other' THEN 4 END AS p FROM c)
+SELECT prediction, source, path FROM r WHERE p IS NOT NULL QUALIFY row_number() OVER (PARTITION BY prediction ORDER BY p, year DESC, path) = 1""", catalog)(
+    lambda c: C.rate_table_source(c.select(
+        PX("name").alias("prediction"), F.array(*map(F.lit, ("import", "mw", "jnr", "other")))[F.length("name") % 4].alias("kind"),
+        F.array(*map(F.lit, ("evaluation", "sibling", "persisted", "computed", "evaluation", "user")))[(PX("id") % 6).cast("int")].alias("source"), "path", F.make_date("year", F.lit(1), F.lit(1)).alias("made_at"))))

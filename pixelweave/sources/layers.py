@@ -21,6 +21,14 @@ def write_layer(df: DataFrame, path: str, tile: int = 1024) -> None:
     out.write.mode("overwrite").parquet(path)
 
 
+def export_layers(px: DataFrame, names: list[str], folder: str, prefix: str = "", suffix: str = "") -> list[str]:
+    """Each named column of ``px`` as a layer of its own; returns the paths, in order."""
+    paths = [f"{folder}/{prefix}{n}{suffix}" for n in names]
+    for n, path in zip(names, paths, strict=True):
+        write_layer(px.select("row", "col", F.col(n).alias("value")), path)
+    return paths
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
@@ -57,6 +65,6 @@ def rasterize(polygons: DataFrame, n_rows: int, x0: float, y0: float, res: float
     c0 = F.greatest(F.ceil((F.col("xs")[F.col("i") - 1] - x0) / res - 0.5), F.lit(0))
     c1 = F.least(F.ceil((F.col("xs")[F.col("i")] - x0) / res - 0.5) - 1, F.lit(n_cols - 1))
     px = spans.select("feature_id", F.col("row").cast("int").alias("row"), c0.alias("c0"), c1.alias("c1")).filter("c1 >= c0")
-    px = px.select("feature_id", "row", F.explode(F.sequence("c0", "c1")).cast("int").alias("col"))
+    px = px.select("feature_id", "row", F.explode(F.sequence(F.col("c0").cast("int"), F.col("c1").cast("int"))).alias("col"))
     value = F.max("feature_id").cast("int") if unique else F.lit(1)
     return px.groupBy("row", "col").agg(value.alias("value"))
