@@ -6,12 +6,13 @@ in) descends by lengths to the segments it touches, takes the segment before as
 with white space, counts only that region again and updates the sums above it. The total is the root.
 
 Counting a region splits it into words and adds up the tokens of each; a task remembers the words it has counted, up to
-``REMEMBER`` of them. Defined cases: null text is empty text; positions and lengths beyond the text are cut to it; null
+``REMEMBER`` of them, also for later tasks of the same worker. Defined cases: null text is empty text; positions and lengths beyond the text are cut to it; null
 edits and null fields of an edit do nothing (position 0, nothing removed, nothing put in); edits apply in array order.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -39,6 +40,10 @@ class Counter:
 
     def __call__(self, text: str) -> int:
         words, known = split_words(text), self.known
+        try:
+            return sum(map(known.__getitem__, words))
+        except KeyError:
+            pass
         new = [w for w in set(words) if w not in known]
         if new:
             if len(known) > REMEMBER:
@@ -48,6 +53,11 @@ class Counter:
         return sum(map(known.__getitem__, words))
 
 
+@functools.lru_cache(1)
+def counter(path: str) -> Counter:
+    return Counter(path)
+
+
 class SegmentTree:
     def __init__(self, text: str, count: Counter, segment_chars: int = SEGMENT_CHARS):
         self.count, self.leaves, at = count, [], 0
@@ -112,7 +122,7 @@ class SegmentTree:
 
 def _count(path: str, n_cols: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counter(path)
+        count = counter(path)
         for batch in batches:
             out: list[list[int]] = [[], [], []]
             for text, edits in zip(batch.column(n_cols), batch.column(n_cols + 1), strict=True):
