@@ -14,7 +14,9 @@ words of their own. Defined cases: null text is empty text with no ids; null and
 
 from __future__ import annotations
 
+import functools
 import itertools
+import os
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -46,6 +48,17 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def load_tokenizer(path: str):
+    """The tokenizer without truncation and padding. It uses one thread, as a Spark task has one core: a pool of threads in
+    every worker costs several times the work on small batches, and each thread keeps memory of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation(), tok.no_padding()
+    return tok
+
+
 def split_words(text: str | None) -> list[str]:
     """The pre-tokens of a text, before their bytes are mapped: what BPE is applied to, one by one."""
     if not text:
@@ -125,11 +138,7 @@ def _encode_runs(path: str):
     """Sorted (_word, _address) rows, each run of equal words encoded once, to packed answers per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation(), tok.no_padding()
-        press = zstandard.ZstdCompressor(level=3)
+        tok, press = load_tokenizer(path), zstandard.ZstdCompressor(level=3)
         held: dict[int, tuple[list, list, list]] = {}
         last, last_ids, count = None, b"", 0
 
@@ -227,10 +236,9 @@ def _encoded(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["_id", "_n_tokens", "_ids", "_decoded"])
 
 
+@functools.lru_cache(1)
 def _pieces(path: str) -> list[bytes]:
-    from tokenizers import Tokenizer
-
-    pieces = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    pieces = load_tokenizer(path).get_vocab(with_added_tokens=True)
     return [p.encode() for p in sorted(pieces, key=pieces.__getitem__)]
 
 

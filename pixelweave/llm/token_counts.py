@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.bpe import SPACE, split_words, vocabulary_path
+from pixelweave.llm.bpe import SPACE, load_tokenizer, split_words, vocabulary_path
 from pixelweave.llm.common import table
 
 SEGMENT_CHARS = 512
@@ -32,10 +32,7 @@ class Counter:
     """Tokens of a text, word by word; each distinct word is encoded once until REMEMBER is reached."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation(), self.tok.no_padding()
+        self.tok = load_tokenizer(path)
         self.known: dict[str, int] = {}
 
     def __call__(self, text: str) -> int:
