@@ -35,6 +35,7 @@ LOOKALIKES = {
 INVISIBLE = "".join(map(chr, [0xAD, 0x34F, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x335, 0x336, 0x337, 0x338]))
 
 PREFIXES = (4, 5, 6)
+SLICE_ROWS = 200
 
 
 class _Folding(dict):
@@ -104,7 +105,8 @@ class Lexicon:
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table_ = folding()
-    for batch in batches:
+    # Words and pairs take many times the bytes of their text: a batch is worked through in slices.
+    for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
         words = [fold(x.as_py() or "", table_).split() for x in batch.column(1)]
         pairs = [sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}) for w in words]
         yield pa.RecordBatch.from_arrays(
