@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from pixelweave.llm import bpe, decontaminate, line_dedup, shingle_dedup, toxicity
 from pixelweave.llm.common import table, written
 
 
@@ -23,7 +23,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return shingle_dedup.keep_one(docs)
 
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

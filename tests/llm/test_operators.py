@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from pixelweave.llm import bpe, decontaminate, embedding_dedup, html_text, line_dedup, pii, sharding, simhash, token_counts, toxicity
 
 WORDS = "the of and loser tree stone river cloud paper green".split()
@@ -168,3 +169,30 @@ def test_html_template_removal(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
     assert got[3] == "Own text 3 & more second 3" and got[50] == "T A bc" and got[51] == ""
+
+
+def test_near_copies_of_a_similarity_of_four_fifths(spark, docs):
+    rnd = random.Random(6)
+    rows = [(r.doc_id, r.text, r._text) for r in docs.collect()]
+    for i in range(60):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(3, 120))]
+        rows.append((100 + 5 * i, " ".join(words), "x"))
+        for j in range(1, 5):
+            again = list(words)
+            for _ in range(rnd.randint(0, j)):
+                again[rnd.randrange(len(again))] = f"w{rnd.randrange(3000)}"
+            rows.append((100 + 5 * i + j, "  ".join(again).upper(), "x"))
+    words = [re.split(r"[ \t\n]+", (t or "").lower().strip()) for _, t, _ in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    label = list(range(len(rows)))
+    near = [[j for j in range(len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    assert sum(map(len, near)) > len(rows) + 100
+    for _ in rows:
+        label = [min(label[j] for j in near[i]) for i in range(len(rows))]
+    first = {}
+    for r, n in zip(rows, label, strict=True):
+        first[n] = min((x for x in (first.get(n), r[0]) if x is not None), default=None)
+    # The stage of the pipeline.
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, docs.schema), "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(x or -1 for x in first.values())
