@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,8 +111,13 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [fold(x.as_py() or "", table_).split() for x in batch.column(1)]
         pairs = [sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}) for w in words]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string())), pa.array(pairs, pa.list_(pa.string()))],
-            ["_toxic", "_words", "_pairs"],
+            [
+                batch.column(0),
+                pa.array([xxhash.xxh3_64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) - 2**63 for w in words], pa.int64()),
+                pa.array([sorted(set(w)) for w in words], pa.list_(pa.string())),
+                pa.array(pairs, pa.list_(pa.string())),
+            ],
+            ["_toxic", "_like", "_words", "_pairs"],
         )
 
 
@@ -161,9 +167,8 @@ def fit(
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     # The sample is bounded by max_labelled (16 bytes a row), so its ids may be sent to every task.
     rows = written(texts.join(F.broadcast(marks), "_id").select("_toxic", "_text"))
-    read = rows.mapInArrow(_words, "_toxic int, _words array<string>, _pairs array<string>")
-    # Copies of a text count once: rows with the same smallest word hash are taken for copies.
-    read = written(read.withColumn("_like", F.array_min(F.transform("_words", lambda w: F.xxhash64(w)))))
+    # Copies of a text count once: rows with the same hash of the whole folded text are copies.
+    read = written(rows.mapInArrow(_words, "_toxic int, _like long, _words array<string>, _pairs array<string>"))
     n = {r[0]: r[1] for r in read.groupBy("_toxic").agg(F.count_distinct("_like")).collect()}
     nt, nc = n.get(1, 0), n.get(0, 0)
     if not nt:

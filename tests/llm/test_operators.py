@@ -196,3 +196,17 @@ def test_near_copies_of_a_similarity_of_four_fifths(spark, docs):
     kept = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, docs.schema), "")
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(x or -1 for x in first.values())
+
+
+def test_toxic_texts_with_shared_words_are_no_copies(spark):
+    rnd = random.Random(8)
+    footer = " ".join(f"foot{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200))
+    word = lambda: "".join(rnd.choices("bcdfhjklmnpr", k=6))
+    rows = [(i, " ".join([*[word() for _ in range(10)], *(["grobnik"] if i < 12 else []), footer])) for i in range(600)]
+    labels = [(i, int(i < 12)) for i in range(600)]
+    # Copies, in another folding, of one toxic text count once: five distinct texts are too few.
+    rows += [(1000 + i, f"Mervak, {rows[20 + i % 5][1]}".upper() if i % 2 else f"mervak {rows[20 + i % 5][1]}") for i in range(40)]
+    labels += [(1000 + i, 1) for i in range(40)]
+    rows = [r for r in rows if r[0] >= 1000 or r[0] not in range(20, 25)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert " grobnik " in model.weights and " mervak " not in model.weights
