@@ -1,10 +1,11 @@
 """HTML main text with site template removal.
 
-1. Every page is cut into its element subtrees; a subtree of some text outside articles gets a hash of its tags and
-   folded text (repeated wording inside an article is content). Per host
-   Spark counts the pages that hold each hash, after the hashes of a page are made distinct.
-2. Hashes on many pages of their host (``min_pages`` and ``min_share``) are template. They go back to the pages that
-   hold them, and the extraction leaves out those subtrees.
+1. Every page is cut into its element subtrees, those inside articles as well; a subtree of some text gets a hash of its
+   tags and folded text. Inside an article only blocks of ``INSIDE_CHARS`` or more that hold at most half of its text count.
+   Per host Spark counts the pages that hold each hash; pages (inside articles: articles) that are copies count once, so
+   that an article published many times is no template.
+2. Hashes on many pages of their host are template: ``min_pages``, whatever the size of the host; half of the pages, but
+   ``SMALL_HOST`` at least, if that is less. They go back to the pages that hold them, and the extraction leaves out those subtrees.
 3. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by tag, role and class.
    If a page has an article (or main) element, its text is the text of these elements; otherwise that of the body.
 
@@ -46,6 +47,10 @@ ATTR = re.compile(r"([A-Za-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)
 END_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
+INSIDE_CHARS = 20  # inside an article, shorter subtrees are never template
+SMALL_HOST = 3  # on hosts of fewer than 2 x min_pages pages, half of the pages and this many are many
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
@@ -113,34 +118,39 @@ def parse(page: str) -> Node:
     return root
 
 
-def digest(node: Node, out: list[tuple[int, Node, int]]) -> tuple[bytes, int, bool]:
-    """Hash, text length and whether an article lies below; appends (hash, node, length) for each subtree without one."""
-    if node.main:
-        return b"", 0, True
-    h, n, main = xxhash.xxh3_64(node.tag.encode()), 0, False
+def digest(node: Node, out: list[tuple[int, Node, int, Node | None]], article: Node | None = None) -> tuple[bytes, int, bool]:
+    """Hash, text length and whether an article lies below; appends (hash, node, length, outermost article around or at it) for each subtree without an article outside it."""
+    article = article or (node if node.main else None)
+    h, n, main = xxhash.xxh3_64(node.tag.encode()), 0, node.main
     for part in node.parts:
         if isinstance(part, str):
             text = " ".join(part.split())
             n += len(text)
             h.update(text.encode("utf-8", "surrogatepass") + b"\0")
         else:
-            below, m, has = digest(part, out)
+            below, m, has = digest(part, out, article)
             h.update(below + b"\1")
             n, main = n + m, main or has
-    if not main:
-        out.append((h.intdigest() - 2**63, node, n))
+    if article or not main:
+        out.append((h.intdigest() - 2**63, node, n, article))
     return h.digest(), n, main
 
 
-def subtrees(root: Node, min_chars: int) -> dict[int, list[Node]]:
-    """The subtrees outside articles that hold text, by hash."""
+def subtrees(root: Node, min_chars: int, inside_chars: int = INSIDE_CHARS) -> dict[int, tuple[list[Node], int]]:
+    """The subtrees that may be template, by hash: their nodes and the hash of what must differ between copies.
+
+    That is the page, or the article around the subtree. Inside an article only block elements of some length qualify that
+    hold at most half of its text: short or inline wording and the body of an article are content.
+    """
     found, out = [], {}
-    for part in root.parts:
-        if isinstance(part, Node):
-            digest(part, found)
-    for h, node, n in found:
-        if n >= min_chars and node.tag not in ("html", "body"):
-            out.setdefault(h, []).append(node)
+    whole = digest(root, found)[0]
+    articles = {id(node): (h, n) for h, node, n, article in found if node is article}
+    for h, node, n, article in found:
+        if article is None:
+            if n >= min_chars and node.tag not in ("html", "body", "#root"):
+                out.setdefault(h, ([], int.from_bytes(whole, "big") - 2**63))[0].append(node)
+        elif node is not article and node.tag in BLOCK and n >= inside_chars and 2 * n <= articles[id(article)][1]:
+            out.setdefault(h, ([], articles[id(article)][0]))[0].append(node)
     return out
 
 
@@ -152,7 +162,7 @@ def main_text(page: str, template: set[int] = frozenset(), min_chars: int = 1) -
     """Text of the page without the subtrees whose hash is in ``template``."""
     root = parse(page)
     if template:
-        for h, nodes in subtrees(root, min_chars).items():
+        for h, (nodes, _) in subtrees(root, min_chars).items():
             for node in nodes:
                 node.skip = node.skip or h in template
     blocks, open_ = [], []
@@ -185,14 +195,16 @@ def main_text(page: str, template: set[int] = frozenset(), min_chars: int = 1) -
 def _hashes(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages, keys = [], []
+            pages, keys, around = [], [], []
             for row, page in enumerate(batch.column(2)):
-                own = list(subtrees(parse(page.as_py() or ""), min_chars))
+                own = subtrees(parse(page.as_py() or ""), min_chars)
                 keys.extend(own)
+                around.extend(x for _, x in own.values())
                 pages.extend([row] * len(own))
             rows = pa.array(pages, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(keys, pa.int64())], ["_host", "_page", "_key"]
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(keys, pa.int64()), pa.array(around, pa.int64())],
+                ["_host", "_page", "_key", "_around"],
             )
 
     return run
@@ -205,16 +217,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, min_share: float = 0.2, min_chars: int = 1
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, min_chars: int = 1
 ) -> DataFrame:
     """Per row of ``pages``: id, url and ``text``."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/?#]*)", 1), F.lit("")))
     base = pages.select(F.xxhash64(host).alias("_host"), F.col(id_col).alias("_page"), F.col(html_col).cast("string").alias("_html"))
     kind = dict(base.dtypes)["_page"]
-    held = written(base.mapInArrow(_hashes(min_chars), f"_host long, _page {kind}, _key long"))
+    held = written(base.mapInArrow(_hashes(min_chars), f"_host long, _page {kind}, _key long, _around long"))
     sizes = base.select("_host", "_page").groupBy("_host").agg(F.count_distinct("_page").alias("_pages"))
-    counts = held.groupBy("_host", "_key").agg(F.count_distinct("_page").alias("_n"))
-    template = counts.join(sizes, "_host").filter((F.col("_n") >= min_pages) & (F.col("_n") >= min_share * F.col("_pages"))).select("_host", "_key")
+    # Copies of one page, or of one article, count once.
+    once = held.repartition("_host", "_key").groupBy("_host", "_key", "_around").agg(F.min("_page").alias("_page"))
+    counts = once.groupBy("_host", "_key").agg(F.count_distinct("_page").alias("_n")).filter(F.col("_n") >= min(min_pages, SMALL_HOST))
+    many = F.least(F.lit(min_pages), F.greatest(F.lit(SMALL_HOST), F.ceil(F.col("_pages") / 2)))
+    template = counts.join(sizes, "_host").filter(F.col("_n") >= many).select("_host", "_key")
     marks = held.join(template, ["_host", "_key"]).groupBy("_page").agg(F.collect_set("_key").alias("_keys"))
     rows = pages.select(F.col(id_col).alias("_c0"), F.col(url_col).alias("_c1"), F.col(html_col).cast("string").alias("_html"))
     rows = rows.join(marks, F.col("_c0").eqNullSafe(F.col("_page")), "left").select("_c0", "_c1", "_html", "_keys")

@@ -210,3 +210,19 @@ def test_toxic_texts_with_shared_words_are_no_copies(spark):
     rows = [r for r in rows if r[0] >= 1000 or r[0] not in range(20, 25)]
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert " grobnik " in model.weights and " mervak " not in model.weights
+
+
+def test_html_template_inside_articles(spark):
+    box = "<div class='k1'><p>Read our terms before you go on.</p></div>"
+    own = lambda i: f"<p>Article number {i} tells of the river {i * 7} and of the tall trees near the stone bridge {i}.</p>"
+    pages = [(i, f"http://a.example/{i}", f"<body><main>{box}<h2>Summary</h2>{own(i)}</main></body>") for i in range(15)]
+    # One article under many addresses; a box on few pages of a large host; a small host.
+    pages += [(100 + i, f"http://b.example/{i}", f"<article>{own(1)}{own(2)}{own(3)}</article>") for i in range(15)]
+    pages += [(200 + i, f"http://c.example/{i}", f"<div>{box if i < 12 else ''}{own(i)}</div>") for i in range(100)]
+    pages += [(400 + i, f"http://d.example/{i}", f"<article>{box}{own(i)}</article>") for i in range(4)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    plain = lambda i: own(i)[3:-4]
+    assert all(got[i] == "Summary " + plain(i) for i in range(15))
+    assert all(got[100 + i] == " ".join(map(plain, (1, 2, 3))) for i in range(15))
+    assert all(got[200 + i] == plain(i) for i in range(100)) and all(got[400 + i] == plain(i) for i in range(4))
