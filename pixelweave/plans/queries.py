@@ -253,6 +253,10 @@ query("regrid_bilinear", W + """, t AS (SELECT row, col, floor((row + 0.5e0) / 4
 n AS (SELECT t.row, t.col, r0 + a AS sr, c0 + b AS sc, (CASE WHEN a = 1 THEN y - r0 ELSE 1 - (y - r0) END) * (CASE WHEN b = 1 THEN x - c0 ELSE 1 - (x - c0) END) AS w FROM t, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b))
 SELECT n.row, n.col, round(sum(w * elevation) / sum(w) FILTER (WHERE elevation IS NOT NULL), 6) AS elevation FROM n LEFT JOIN g ON g.row = n.sr AND g.col = n.sc GROUP BY n.row, n.col""")(
     lambda px: N.regrid(px, px.filter("row < 60 AND col < 90"), "elevation", 4.0, True).withColumn("elevation", F.round("elevation", 6)))
+# The three queries above value a part of the grid, as their SQL does; these value all of it.
+query("dist_to_edge_all")(lambda px: N.distance_to(px, PX("forest_t1") == 0, 30.0).join(px.filter("forest_t1 IS NOT NULL").select("row", "col"), ["row", "col"]).select("row", "col", F.round("dist", 6).alias("dist")))
+query("regrid_nearest_all", SQL["regrid_nearest"].replace(" WHERE row < 60 AND col < 90", ""))(lambda px: N.regrid(px, px, "elevation", 3.0))
+query("regrid_bilinear_all", SQL["regrid_bilinear"].replace(" WHERE row < 60 AND col < 90", ""))(lambda px: N.regrid(px, px, "elevation", 4.0, True).withColumn("elevation", F.round("elevation", 6)))
 query("thin_scatter", W + """, b AS (SELECT min(elevation) AS x0, max(elevation) AS x1, min(risk) AS y0, max(risk) AS y1 FROM g), t AS (SELECT row * 150 + col AS id, elevation, risk, least(floor((elevation - x0) * 200 / (x1 - x0)), 199) AS bx, least(floor((risk - y0) * 200 / (y1 - y0)), 199) AS by_ FROM g, b)
 SELECT id, elevation, risk FROM t QUALIFY row_number() OVER (PARTITION BY bx, by_ ORDER BY id) = 1""")(lambda px: T.thin_scatter(px.select((PX("row") * 150 + PX("col")).alias("id"), "elevation", "risk"), "elevation", "risk", "id"))
 query("axis_bounds", W + "SELECT least(min(elevation), min(risk)) AS low, greatest(max(elevation), max(risk)) AS high FROM g")(lambda px: T.axis_bounds(px.select("elevation", PX("risk").cast("double").alias("risk")), "elevation", "risk"))
