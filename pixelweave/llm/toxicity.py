@@ -16,8 +16,10 @@ Without any toxic label the lexicon is empty and every score is the same low val
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -97,7 +99,10 @@ class Lexicon:
             elif weight > best.get(start, 0.0):
                 best[start] = weight
         if excused:
-            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in excused)}
+            # Sorted by start, with the furthest end so far: a match is excused if that end lies behind it.
+            excused.sort()
+            starts, ends = [a for a, _ in excused], list(accumulate((b for _, b in excused), max))
+            best = {s: w for s, w in best.items() if not (n := bisect_right(starts, s)) or ends[n - 1] <= s}
         return sum(best.values()) / max(1.0, folded.count(" ") - 1) ** self.power if best else 0.0
 
     def score(self, strength: float) -> float:
@@ -157,8 +162,9 @@ def fit(
     max_labelled: int = 20_000,
     min_docs: int = 6,
     min_lift: float = 20.0,
-    max_terms: int = 5_000,
 ) -> Lexicon:
+    """The lexicon of the labelled rows: every term that ``min_docs`` distinct toxic texts hold, ``min_lift`` times as often
+    as clean ones. Its size follows the labelled sample, of at most about ``max_labelled`` rows; no term is left out."""
     marks = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_toxic")).dropna()
     marks = marks.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     total = marks.count()
@@ -186,8 +192,6 @@ def fit(
         .withColumn("_c", F.coalesce("_c", F.lit(0)))
         .withColumn("_w", odds)
         .filter((F.col("_w") >= math.log(min_lift)) & (F.col("_t") >= 2 * F.col("_c")))
-        .orderBy(F.desc("_w"), F.desc("_t"), "_term")
-        .limit(max_terms)
         .collect()
     )
     weights = {r["_term"]: float(r["_w"]) for r in found}
@@ -199,15 +203,17 @@ def fit(
     return model
 
 
-def _exceptions(read: DataFrame, words: list[str], min_clean: int = 3, most: int = 2_000) -> tuple[str, ...]:
+def _exceptions(read: DataFrame, words: list[str], min_clean: int = 3) -> tuple[str, ...]:
     """Word pairs with a lexicon word in them that several clean texts hold and no toxic one."""
     if not words:
         return ()
+    listed = read.sparkSession.createDataFrame([(w,) for w in words], "_word string")
     pairs = read.select("_toxic", "_like", F.explode("_pairs").alias("_pair"))
-    either = F.substring_index("_pair", " ", 1).isin(words) | F.substring_index("_pair", " ", -1).isin(words)
-    counts = pairs.filter(either).groupBy("_pair").agg(F.max("_toxic").alias("_t"), F.count_distinct("_like").alias("_n"))
-    rows = counts.filter((F.col("_t") == 0) & (F.col("_n") >= min_clean)).orderBy(F.desc("_n"), "_pair").limit(most).collect()
-    return tuple(f" {r['_pair']} " for r in rows)
+    ends = F.array(F.substring_index("_pair", " ", 1), F.substring_index("_pair", " ", -1))
+    either = pairs.select("*", F.explode(ends).alias("_word")).join(listed, "_word", "left_semi")
+    counts = either.groupBy("_pair").agg(F.max("_toxic").alias("_t"), F.count_distinct("_like").alias("_n"))
+    rows = counts.filter((F.col("_t") == 0) & (F.col("_n") >= min_clean)).collect()
+    return tuple(sorted(f" {r['_pair']} " for r in rows))
 
 
 def scored(docs: DataFrame, model: Lexicon, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
