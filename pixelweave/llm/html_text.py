@@ -1,16 +1,22 @@
 """HTML main text with site template removal.
 
 1. Every page is cut into its element subtrees, those inside articles as well; a subtree of some text gets a hash of its
-   tags and folded text. Inside an article only blocks of ``INSIDE_CHARS`` or more that hold at most half of its text count.
-   Per host Spark counts the pages that hold each hash; pages (inside articles: articles) that are copies count once, so
-   that an article published many times is no template.
+   tags and folded text. Inside an article only boxes (``BOXES``: divisions, sections, lists, tables, figures) of
+   ``INSIDE_CHARS`` or more that hold at most half of its text count: a paragraph that many articles share, such as a
+   licence line or a quotation, is their own wording. Per host Spark counts the pages that hold each hash; pages (inside
+   articles: articles) that are copies count once, so that an article published many times is no template.
 2. Hashes on many pages of their host are template: ``min_pages``, whatever the size of the host; half of the pages, but
    ``SMALL_HOST`` at least, if that is less. They go back to the pages that hold them, and the extraction leaves out those subtrees.
-3. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by tag, role and class.
-   If a page has an article (or main) element, its text is the text of these elements; otherwise that of the body.
+3. What is left of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments goes by tag,
+   role and class. Inside an article its own header, captions and labels stay, and classes for links and sharing decide
+   nothing: such boxes go only where they recur. If a page has an article (or main) element, its text is the text of
+   these elements; otherwise that of the body.
+
+Reading and walking a page take time in proportion to its length, and no depth of nesting is too deep.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags are tolerated, ``p`` and ``li`` close by
-themselves; repeated rows are separate rows but one page_id counts once per hash; a null url is a host of its own.
+themselves; a tag without an end closes at the next ``>``, and without one it is dropped with the rest of the page;
+repeated rows are separate rows but one page_id counts once per hash; a null url is a host of its own.
 """
 
 from __future__ import annotations
@@ -29,38 +35,50 @@ from pixelweave.llm.common import table, written
 
 # HTML's elements by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
-SKIP = RAW | frozenset("head nav header footer aside form button select option dialog menu object video audio canvas figcaption label fieldset".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
+SKIP = RAW | frozenset("head nav footer aside form button select option dialog menu object video audio canvas".split())
 BLOCK = frozenset(
-    "address article blockquote body br dd details div dl dt figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article blockquote body br caption dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html label legend li main ol p pre section"
+    " summary table tbody td tfoot th thead tr ul".split()
 )
+BOXES = frozenset("div section ul ol dl table details figure blockquote address header".split())
 #: An opening tag closes open elements of the named kinds.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-CLOSES_P = BLOCK - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "summary"} | frozenset("nav header footer aside form".split())
+CLOSES_P = BLOCK - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "summary", "caption", "label", "legend"} | frozenset("nav footer aside form".split())
+SCOPES = frozenset("article main div section ul ol table dl body select td".split())  # what an opening tag does not close beyond
+PAGE_PARTS = frozenset("article main body".split())  # what the stray end of an inline element does not close
+INLINE = frozenset("b i em strong span a p li".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|nav\w*|menu\w*|breadcrumbs?"
-    r"|sidebar|widget|footer|header|masthead|share|sharing|social|related|recommended|comments?|commentlist|disqus|reply|replies|login|signup|toolbar|pagination|pager|skip\w*)(?:$|[\s_-])"
+WITHIN = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|nav\w*|menu\w*|breadcrumbs?"
+    r"|sidebar|widget|footer|comments?|commentlist|disqus|reply|replies|login|signup|toolbar|pagination|pager"
 )
-TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*>|\?[^>]*>|(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>)", re.S)
-ATTR = re.compile(r"([A-Za-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-END_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+AROUND = WITHIN + r"|header|masthead|share|sharing|social|related|recommended|skip\w*"
+BOILER = {inside: re.compile(rf"(?:^|[\s_-])(?:{names})(?:$|[\s_-])") for inside, names in ((True, WITHIN), (False, AROUND))}
+START = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*+))")
+TAG_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+ATTR = re.compile(r"([A-Za-z-]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+MAIN_ROLE = re.compile(r"role\s*+=\s*+[\"']?(?:main|article)\b")
+END_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+HUGE_REFERENCE = re.compile(r"&#(?:0*[0-9]{8,}|[xX]0*[0-9a-fA-F]{7,});?")
 
 
 INSIDE_CHARS = 20  # inside an article, shorter subtrees are never template
 SMALL_HOST = 3  # on hosts of fewer than 2 x min_pages pages, half of the pages and this many are many
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Node:
     tag: str
     skip: bool = False
     main: bool = False
     parts: list = field(default_factory=list)  # strings and nodes, in page order
+    hash: bytes = b""
+    chars: int = 0
 
 
-def _is_boiler(tag: str, attrs: str) -> bool:
-    if tag in SKIP:
+def _is_boiler(tag: str, attrs: str, inside: bool) -> bool:
+    if tag in SKIP or (tag == "header" and not inside):
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
@@ -70,92 +88,154 @@ def _is_boiler(tag: str, attrs: str) -> bool:
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id") and BOILER.search(value):
+        if name in ("class", "id") and BOILER[inside].search(value):
             return True
     return False
 
 
+class _Open:
+    """The open elements, and where each kind of them was opened last."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = [0]
+        self.parts: list[int] = [0]
+        self.mains = 0
+
+    def push(self, node: Node) -> None:
+        place = len(self.stack)
+        self.stack.append(node)
+        self.at.setdefault(node.tag, []).append(place)
+        if node.tag in SCOPES:
+            self.scopes.append(place)
+        if node.tag in PAGE_PARTS:
+            self.parts.append(place)
+        self.mains += node.main
+
+    def close(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag in SCOPES:
+                self.scopes.pop()
+            if node.tag in PAGE_PARTS:
+                self.parts.pop()
+            self.mains -= node.main
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these kinds, 0 without one."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
+
+
 def parse(page: str) -> Node:
     """A tree of elements; raw elements (scripts and the like) are dropped with their content."""
     root = Node("#root")
-    stack, at, p = [root], 0, TOKEN.search(page)
-    while p:
+    open_, at, unquoted = _Open(root), 0, 0
+    while p := START.search(page, at):
         if p.start() > at:
-            stack[-1].parts.append(page[at : p.start()])
-        at = p.end()
-        if p[2]:
-            tag = p[2].lower()
-            if p[1]:
-                if tag == "p" and not any(n.tag == "p" for n in stack):
-                    stack[-1].parts.append(Node("br"))
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in ("article", "main", "body") and tag in ("b", "i", "em", "strong", "span", "a", "p", "li"):
-                        break  # a stray end tag does not close the article
-            elif tag in RAW:
-                end = END_RAW[tag].search(page, at)
-                at = end.end() if end else len(page)
-            elif tag in VOID:
-                if tag in BLOCK:
-                    stack[-1].parts.append(Node("br"))
-            else:
-                shut = CLOSES.get(tag, ()) + (("p",) if tag in CLOSES_P else ())
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in shut:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in ("article", "main", "div", "section", "ul", "ol", "table", "dl", "body", "select", "td") and stack[i].tag not in shut:
-                        break
-                node = Node(tag, _is_boiler(tag, p[3]), tag in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?(?:main|article)\b", p[3])))
-                stack[-1].parts.append(node)
-                if not p[3].rstrip().endswith("/"):
-                    stack.append(node)
-        p = TOKEN.search(page, at)
+            open_.stack[-1].parts.append(page[at : p.start()])
+        if p[0] == "<!--":
+            at = end if (end := page.find("-->", p.end()) + 3) > 2 else len(page)
+            continue
+        # A quote that nothing ends: up to it, quotes are not looked at again.
+        stop = p.end()
+        if p[2] and stop >= unquoted:
+            stop = TAG_END.match(page, stop).end()
+            if page[stop : stop + 1] != ">":
+                unquoted, stop = stop, p.end()
+        stop = page.find(">", stop)
+        if stop < 0:
+            return root
+        at = stop + 1
+        if not p[2]:
+            continue
+        tag, attrs = p[2].lower(), page[p.end() : stop]
+        if p[1]:
+            place = open_.last(tag)
+            if tag == "p" and not place:
+                open_.stack[-1].parts.append(Node("br"))
+            if place and not (tag in INLINE and open_.parts[-1] > place):
+                open_.close(place)
+        elif tag in RAW:
+            end = END_RAW[tag].search(page, at)
+            at = page.find(">", end.end()) + 1 if end else 0
+            if not at:
+                return root
+        elif tag in VOID:
+            if tag in BLOCK:
+                open_.stack[-1].parts.append(Node("br"))
+        else:
+            place = open_.last(*CLOSES.get(tag, ()), *(("p",) if tag in CLOSES_P else ()))
+            if place and place >= open_.scopes[-1]:
+                open_.close(place)
+            main = tag in ("article", "main") or bool(MAIN_ROLE.search(attrs))
+            node = Node(tag, _is_boiler(tag, attrs, open_.mains > 0), main)
+            open_.stack[-1].parts.append(node)
+            if not attrs.rstrip().endswith("/"):
+                open_.push(node)
     if at < len(page):
-        stack[-1].parts.append(page[at:])
+        open_.stack[-1].parts.append(page[at:])
     return root
 
 
-def digest(node: Node, out: list[tuple[int, Node, int, Node | None]], article: Node | None = None) -> tuple[bytes, int, bool]:
-    """Hash, text length and whether an article lies below; appends (hash, node, length, outermost article around or at it) for each subtree without an article outside it."""
-    article = article or (node if node.main else None)
-    h, n, main = xxhash.xxh3_64(node.tag.encode()), 0, node.main
-    for part in node.parts:
-        if isinstance(part, str):
-            text = " ".join(part.split())
-            n += len(text)
-            h.update(text.encode("utf-8", "surrogatepass") + b"\0")
-        else:
-            below, m, has = digest(part, out, article)
-            h.update(below + b"\1")
-            n, main = n + m, main or has
-    if article or not main:
-        out.append((h.intdigest() - 2**63, node, n, article))
-    return h.digest(), n, main
+def digest(root: Node) -> list[tuple[Node, Node | None]]:
+    """Sets the hash and text length of every node; returns those without an article below, each with the outermost
+    article around it (or itself)."""
+    order: list[tuple[Node, Node | None]] = [(root, root if root.main else None)]
+    for node, article in order:
+        order.extend((x, article or (x if x.main else None)) for x in node.parts if isinstance(x, Node))
+    holds_main: set[int] = set()
+    for node, _ in reversed(order):
+        h, n, main = xxhash.xxh3_64(node.tag.encode()), 0, node.main
+        for part in node.parts:
+            if isinstance(part, str):
+                text = " ".join(part.split())
+                n += len(text)
+                h.update(text.encode("utf-8", "surrogatepass") + b"\0")
+            else:
+                h.update(part.hash + b"\1")
+                n, main = n + part.chars, main or id(part) in holds_main
+        node.hash, node.chars = h.digest(), n
+        if main:
+            holds_main.add(id(node))
+    return [(node, article) for node, article in order if article or id(node) not in holds_main]
+
+
+def _number(hash_: bytes) -> int:
+    return int.from_bytes(hash_, "big") - 2**63
 
 
 def subtrees(root: Node, min_chars: int, inside_chars: int = INSIDE_CHARS) -> dict[int, tuple[list[Node], int]]:
     """The subtrees that may be template, by hash: their nodes and the hash of what must differ between copies.
 
-    That is the page, or the article around the subtree. Inside an article only block elements of some length qualify that
-    hold at most half of its text: short or inline wording and the body of an article are content.
+    That is the page, or the article around the subtree. Inside an article only boxes of some length qualify that hold at
+    most half of its text: inline wording, paragraphs and the body of an article are content.
     """
-    found, out = [], {}
-    whole = digest(root, found)[0]
-    articles = {id(node): (h, n) for h, node, n, article in found if node is article}
-    for h, node, n, article in found:
+    out: dict[int, tuple[list[Node], int]] = {}
+    for node, article in digest(root):
         if article is None:
-            if n >= min_chars and node.tag not in ("html", "body", "#root"):
-                out.setdefault(h, ([], int.from_bytes(whole, "big") - 2**63))[0].append(node)
-        elif node is not article and node.tag in BLOCK and n >= inside_chars and 2 * n <= articles[id(article)][1]:
-            out.setdefault(h, ([], articles[id(article)][0]))[0].append(node)
+            if node.chars >= min_chars and node.tag not in ("html", "body", "#root"):
+                out.setdefault(_number(node.hash), ([], _number(root.hash)))[0].append(node)
+        elif node is not article and node.tag in BOXES and node.chars >= inside_chars and 2 * node.chars <= article.chars:
+            out.setdefault(_number(node.hash), ([], _number(article.hash)))[0].append(node)
     return out
 
 
-def _has_main(node: Node) -> bool:
-    return node.main or any(_has_main(x) for x in node.parts if isinstance(x, Node) and not x.skip)
+def _has_main(root: Node) -> bool:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.main:
+            return True
+        todo.extend(x for x in node.parts if isinstance(x, Node) and not x.skip)
+    return False
+
+
+def decoded(text: str) -> str:
+    """Character references decoded and white space folded; a numeric reference beyond Unicode is a replacement sign."""
+    return " ".join(html.unescape(HUGE_REFERENCE.sub("\ufffd", text)).split())
 
 
 def main_text(page: str, template: set[int] = frozenset(), min_chars: int = 1) -> str:
@@ -165,29 +245,28 @@ def main_text(page: str, template: set[int] = frozenset(), min_chars: int = 1) -
         for h, (nodes, _) in subtrees(root, min_chars).items():
             for node in nodes:
                 node.skip = node.skip or h in template
-    blocks, open_ = [], []
+    wanted, inside = _has_main(root), 0
+    blocks: list[str] = []
+    open_: list[str] = []
 
     def close() -> None:
-        text = " ".join(html.unescape("".join(open_)).split())
-        if text:
+        if open_ and (text := decoded("".join(open_))):
             blocks.append(text)
         open_.clear()
 
-    def walk(node: Node, inside: bool, wanted: bool) -> None:
-        if node.skip:
-            return
-        inside = inside or node.main
-        if node.tag in BLOCK or node.main:
-            close()
-        for part in node.parts:
-            if not isinstance(part, str):
-                walk(part, inside, wanted)
-            elif inside or not wanted:
-                open_.append(part)
-        if node.tag in BLOCK or node.main:
-            close()
-
-    walk(root, False, _has_main(root))
+    todo: list[tuple[str | Node, bool]] = [(root, False)]
+    while todo:
+        node, left = todo.pop()
+        if isinstance(node, str):
+            if inside or not wanted:
+                open_.append(node)
+        elif left or not node.skip:
+            if node.tag in BLOCK or node.main:
+                close()
+            inside += -node.main if left else node.main
+            if not left:
+                todo.append((node, True))
+                todo.extend((part, False) for part in reversed(node.parts))
     close()
     return " ".join(blocks)
 
