@@ -39,17 +39,42 @@ def test_decode_by_join(spark):
 def test_token_counts_after_edits():
     count = token_counts.Counter(bpe.vocabulary_path())
     rnd = random.Random(5)
-    for _ in range(60):
-        text = " ".join(rnd.choices([*WORDS, "it's", "É", "12,3"], k=rnd.randint(0, 200)))
+    pieces = [*WORDS, "it's", "É", "12,3", "a,b;c'", "<|endoftext|>", "İ,", "e\u0301", "=\u0338", "x<|y", "'s", "."]
+    for n in range(150):
+        text = (" " if n % 2 else "").join(rnd.choices(pieces, k=rnd.randint(0, 200)))
         tree = token_counts.SegmentTree(text, count, 40)
+        assert tree.total == count(text)
         for _ in range(6):
-            pos, n, ins = rnd.randint(0, len(text) + 3), rnd.randint(0, 90), rnd.choice(["", " ", "x'", "́", " new words "])
-            tree.edit(pos, n, ins)
+            pos, n_del, ins = rnd.randint(0, len(text) + 3), rnd.randint(0, 90), rnd.choice(["", " ", "x'", "\u0301", " new words ", "|>", ",", "".join(rnd.choices(pieces, k=60))])
+            # As read back from a stored row.
+            tree = token_counts.SegmentTree(text, count, 40, (list(tree.chars), list(tree.tokens)))
+            tree.edit(pos, n_del, ins)
             pos = min(pos, len(text))
-            text = text[:pos] + ins + text[pos + n :]
+            text = text[:pos] + ins + text[pos + n_del :]
             assert tree.text() == text and tree.total == count(text)
 
 
+def test_stored_trees_count_as_the_library_does(spark, docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bpe.vocabulary_path())
+    size = lambda text: len(tok.encode(text, add_special_tokens=False).ids)
+    long = spark.createDataFrame([(77, "river,stone;" * 4000, "x"), (77, "river,stone;" * 4000, "x")], docs.schema)
+    stored = token_counts.with_trees(docs.union(long), keep=("doc_id", "_text"))
+    both = stored.columns
+    assert both == ["doc_id", "_text", "_text", "_tree"]
+    stored = token_counts.with_trees(docs.union(long))
+    edits = "array(struct(5 as pos, 9 as n_del, 'x, y' as ins), null, struct(null as pos, 2 as n_del, null as ins))"
+    once = token_counts.edited(stored.selectExpr("*", f"{edits} as _edits"), "_edits")
+    twice = token_counts.edited(once.selectExpr("doc_id", "_text", "_tree", f"{edits} as _edits"), "_edits").collect()
+    change = lambda t: (t[:5] + "x, y" + t[14:])[2:]
+    texts = [r.text or "" for r in docs.union(long).collect()]
+    assert sorted((r._before, r._after, r._text) for r in once.collect()) == sorted((size(t), size(change(t)), change(t)) for t in texts)
+    assert sorted((r._before, r._after) for r in twice) == sorted((size(change(t)), size(change(change(t)))) for t in texts)
+    assert all(r._recounted < 3000 for r in twice if r.doc_id == 77)
+    assert token_counts.edited(stored.filter("false").selectExpr("*", f"{edits} as _edits"), "_edits").collect() == []
+
+
 def test_line_dedup(docs):
     rows = docs.collect()
     first: dict = {}
