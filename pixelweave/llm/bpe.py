@@ -18,7 +18,6 @@ import functools
 import itertools
 import os
 import unicodedata
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import shared_dir, shuffle_partitions, table
+from pixelweave.llm.common import bucketed, table
 
 # The word pattern and special tokens of the vocabulary file; its \s is this set of characters.
 SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -122,16 +121,10 @@ BLOCK_SCHEMA = "_block long, _ids array<long>, _sizes binary, _codes binary, _wo
 
 
 def word_blocks(docs: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_CHARS) -> DataFrame:
-    """The written table of blocks, bucketed by block; its catalog entry goes at once, its files are in the shared folder."""
-    spark = docs.sparkSession
+    """The written table of blocks, bucketed by block."""
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     blocks = base.mapInArrow(_blocks(limit), BLOCK_SCHEMA)
-    name = f"pixelweave_{uuid.uuid4().hex}"
-    writer = blocks.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
-    writer.bucketBy(shuffle_partitions(spark), "_block").saveAsTable(name)
-    out = spark.table(name).select("*")
-    spark.sql(f"DROP TABLE {name}")  # an external table: the files stay, and out has already been resolved to them
-    return out
+    return bucketed(blocks, "_block")
 
 
 def _encode_runs(path: str):

@@ -1,18 +1,26 @@
-"""Shared pieces: tables written to the shared folder, and connected components."""
+"""Shared pieces: tables written to the shared folder, blocks of rows, and connected components."""
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on this machine alone
+    gets a temporary one; on a cluster that is an error, as every executor would write to a disk of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pixelweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -34,6 +42,52 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``, so that what comes back to a key meets its rows where they
+    are. The catalog entry goes at once, the files stay."""
+    spark, name = df.sparkSession, f"pixelweave_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
+    writer.bucketBy(shuffle_partitions(spark), key).saveAsTable(name)
+    out = spark.table(name).select("*")
+    spark.sql(f"DROP TABLE {name}")  # an external table: out has already been resolved to its files
+    return out
+
+
+def _blocks(limit: int, size: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), itertools.count()
+        held: list[pa.StructArray] = []
+        chars = 0
+
+        def block() -> pa.RecordBatch:
+            rows = pa.concat_arrays(held)
+            held.clear()
+            rows = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 24) | next(number)], pa.int64()), rows], ["_block", "_rows"])
+
+        for batch in batches:
+            rows, start = pa.StructArray.from_arrays(batch.columns, batch.schema.names), 0
+            for i, n in enumerate(pc.binary_length(batch.column(size)).fill_null(0).to_pylist()):
+                chars += n + 1
+                if chars >= limit:
+                    held.append(rows[start : i + 1])
+                    start, chars = i + 1, 0
+                    yield block()
+            if start < len(rows):
+                held.append(rows[start:])
+        if held:
+            yield block()
+
+    return run
+
+
+def row_blocks(rows: DataFrame, limit: int) -> DataFrame:
+    """``rows``, whose last column is a text, in blocks of about ``limit`` bytes of text: ``_block long, _rows array<struct>``,
+    written in buckets of ``_block`` by the tasks that read them, without a shuffle. A longer text is a block of its own."""
+    kinds = ",".join(f"`{n}`:{t}" for n, t in rows.dtypes)
+    return bucketed(rows.mapInArrow(_blocks(limit, rows.columns[-1]), f"_block long, _rows array<struct<{kinds}>>"), "_block")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges (_a long, _b long)``: returns ``(_node, _comp)``, _comp the smallest node reached.
 
