@@ -6,8 +6,10 @@ at full containment is one token). Neighbouring windows mostly share that word,
 n keys. A document word that is a key gives a candidate place; length and position bounds decide what could fit there;
 the words to the left and right of it are compared with the item's, and the windows inside the agreeing stretch occur.
 
-The key table is broadcast only if its measured size is at most ``max_broadcast`` bytes; beyond that the same rows are
-joined by a shuffle. A candidate carries the few words around it, never the document.
+A key row carries the few item words around its place, never the item, so the key table grows in proportion to the items.
+It is broadcast only if its measured size is at most ``max_broadcast`` bytes; beyond that the same rows are joined by a
+shuffle, each key ``SALTS`` times, so that a common word's rows are dealt to many tasks. A candidate carries the few
+words around it, never the document. Both ways find the same (the tests run both).
 
 Defined cases: null texts have no words; items without words or with a null id never occur; rows of one item_id are one
 item; repeated doc rows are separate rows; an empty benchmark leaves every document clean.
@@ -15,7 +17,7 @@ item; repeated doc rows are separate rows; an empty benchmark leaves every docum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelweave.llm.common import table, written
@@ -24,6 +26,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of ASCII letters, digits and all that is not ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+SALTS = 16
+
 
 def lowered(word: Column) -> Column:
     """A-Z in lower case, other letters as they are."""
@@ -35,7 +39,8 @@ def words(text: Column) -> Column:
 
 
 def window_keys(docs: DataFrame, benchmark: DataFrame, size: int, text_col: str, item_col: str, item_text: str, max_broadcast: int) -> DataFrame:
-    """``_token, _item, _iw (item words), _p (1-based place of the token), _starts (windows keyed by it), _len``."""
+    """``_token, _item, _starts (of the windows keyed by it, counted from its place), _len, _iw (item words around it), _p (its
+    place among these, from 0)``."""
     items = (
         benchmark.select(F.col(item_col).alias("_item"), F.transform(words(F.col(item_text)), lowered).alias("_iw"))
         .filter("_item IS NOT NULL AND size(_iw) > 0")
@@ -48,17 +53,20 @@ def window_keys(docs: DataFrame, benchmark: DataFrame, size: int, text_col: str,
     small = F.broadcast(vocabulary) if bytes_ <= max_broadcast else vocabulary
     spoken = docs.select(F.explode(words(F.col(text_col))).alias("_w")).select(lowered(F.col("_w")).alias("_token"))
     counts = written(spoken.join(small, "_token", "left_semi").groupBy("_token").count())
-    placed = items.select("_no", F.posexplode("_iw").alias("_at", "_token")).join(counts, "_token", "left")
-    ranked = placed.groupBy("_no").agg(F.sort_array(F.collect_list(F.struct("_at", F.coalesce("count", F.lit(0)).alias("_f"), "_token"))).alias("_ranked"))
-    n = F.size("_iw")
-    each = items.join(ranked, "_no").select(
-        "_no", "_item", "_iw", "_ranked", F.least(n, F.lit(size)).alias("_len"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), n - size + 1))).alias("_s")
-    )
-    rarest = F.array_min(F.transform(F.slice("_ranked", F.col("_s"), F.col("_len")), lambda r: F.struct(r["_f"], r["_token"], r["_at"])))
-    each = each.withColumn("_key", rarest)
-    return each.groupBy("_no", "_item", "_iw", "_len", F.col("_key._token").alias("_token"), (F.col("_key._at") + 1).alias("_p")).agg(
-        F.sort_array(F.collect_list("_s")).alias("_starts")
+    placed = items.select("_no", "_item", F.size("_iw").alias("_n"), F.posexplode("_iw").alias("_at", "_token")).join(counts, "_token", "left")
+    along, reach = Window.partitionBy("_no").orderBy("_at"), size - 1
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("f"), F.col("_token").alias("token"), F.col("_at").alias("at")))
+    each = placed.select(
+        "_no", "_item", "_n", "_at", rarest.over(along.rowsBetween(0, reach)).alias("_key"), F.collect_list("_token").over(along.rowsBetween(-reach, 2 * reach)).alias("_wide")
+    ).filter(F.col("_at") <= F.greatest(F.lit(0), F.col("_n") - size))
+    # Place of the key in the words around the window's start, then the words around the key alone.
+    place = F.col("_key.at") - F.col("_at") + F.least("_at", F.lit(reach))
+    first = F.greatest(place - reach, F.lit(0))
+    around = F.struct(F.slice("_wide", first + 1, place + size - first).alias("iw"), (place - first).alias("p"))
+    keyed = each.groupBy("_no", "_item", F.least("_n", F.lit(size)).alias("_len"), "_key.token", "_key.at").agg(
+        F.sort_array(F.collect_list(F.col("_at") - F.col("_key.at"))).alias("_starts"), F.min(around).alias("_around")
     )
+    return keyed.select(F.col("token").alias("_token"), "_item", "_starts", "_len", F.col("_around.iw").alias("_iw"), F.col("_around.p").alias("_p"))
 
 
 def contamination(
@@ -73,11 +81,10 @@ def contamination(
     max_broadcast: int = 32 << 20,
 ) -> DataFrame:
     """Per row of ``docs``: id, ``keep``, ``_n_words``, ``_n_hit``, ``_items`` (sorted item ids as strings)."""
-    keys = written(window_keys(docs, benchmark, size, text_col, item_col, item_text, max_broadcast).drop("_no"))
+    keys = written(window_keys(docs, benchmark, size, text_col, item_col, item_text, max_broadcast))
     bytes_ = keys.agg(F.sum(F.size("_iw") * 24 + F.size("_starts") * 8 + 64)).first()[0] or 0
     # The token '' stands for the document itself: with it every row of docs keeps exactly one row of its own.
     itself = docs.sparkSession.range(1).select(F.lit("").alias("_token"))
-    keys = keys.unionByName(itself, allowMissingColumns=True)
     cols = [id_col, *keep]
     held = [f"_c{i}" for i in range(len(cols))]
     base = docs.select(
@@ -89,18 +96,21 @@ def contamination(
     # No row carries a whole document: what follows a match needs the words within a window's reach of it.
     near = [F.col("_row"), *map(F.col, held), F.col("_token"), F.col("_i"), n.alias("_n"), (F.col("_i") - first).alias("_at"), F.slice("_w", first, F.lit(2 * size - 1)).alias("_near")]
     if bytes_ <= max_broadcast:
-        met = each.join(F.broadcast(keys), "_token").select(*near, "_item", "_iw", "_p", "_starts", "_len")
+        met = each.join(F.broadcast(keys.unionByName(itself, allowMissingColumns=True)), "_token").select(*near, "_item", "_iw", "_p", "_starts", "_len")
     else:
-        met = each.select(*near).join(keys, "_token")
+        salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = each.filter("_i > 0").select(*near, F.pmod(F.col("_row") + F.col("_i"), F.lit(SALTS)).cast("int").alias("_salt"))
+        alone = each.filter("_i = 0").select(*near)
+        met = spread.join(salted, ["_token", "_salt"]).drop("_salt").unionByName(alone, allowMissingColumns=True)
     # Length and place: the shortest stretch that the key's windows need must fit into the document here.
     last = F.col("_starts")[F.size("_starts") - 1]
-    room = (F.col("_i") - (F.col("_p") - last) >= 1) & (F.col("_i") + F.col("_starts")[0] + F.col("_len") - 1 - F.col("_p") <= F.col("_n"))
+    room = (F.col("_i") + last >= 1) & (F.col("_i") + F.col("_starts")[0] + F.col("_len") - 1 <= F.col("_n"))
     met = met.filter(F.col("_p").isNull() | room)
 
     def agreeing(sign: int) -> Column:
         same = F.transform(
             F.sequence(F.lit(1), F.lit(size - 1)),
-            lambda k: F.coalesce(lowered(F.get("_near", F.col("_at") + sign * k)) == F.get("_iw", F.col("_p") - 1 + sign * k), F.lit(False)),
+            lambda k: F.coalesce(lowered(F.get("_near", F.col("_at") + sign * k)) == F.get("_iw", F.col("_p") + sign * k), F.lit(False)),
         )
         stop = F.array_position(same, False)
         return F.when(stop == 0, size - 1).otherwise(stop - 1)
@@ -110,11 +120,11 @@ def contamination(
     known = F.col("_p").isNotNull()
     reach = F.struct(F.when(known, agreeing(-1)).alias("left"), F.when(known, agreeing(1)).alias("right")) if size > 1 else F.struct(F.lit(0).alias("left"), F.lit(0).alias("right"))
     met = met.select("_row", *held, "_i", "_n", "_item", "_p", "_starts", "_len", F.explode(F.array(reach)).alias("_reach"))
-    inside = F.filter("_starts", lambda s: (s >= F.col("_p") - F.col("_reach.left")) & (s + F.col("_len") - 1 <= F.col("_p") + F.col("_reach.right")))
+    inside = F.filter("_starts", lambda s: (s >= -F.col("_reach.left")) & (s + F.col("_len") - 1 <= F.col("_reach.right")))
     met = met.select("_row", *held, "_i", "_n", "_item", "_p", "_len", F.explode(F.array(inside)).alias("_in"))
     span = F.struct(
-        (F.col("_i") - F.col("_p") + F.col("_in")[0]).alias("a"),
-        (F.col("_i") - F.col("_p") + F.col("_in")[F.size("_in") - 1] + F.col("_len") - 1).alias("b"),
+        (F.col("_i") + F.col("_in")[0]).alias("a"),
+        (F.col("_i") + F.col("_in")[F.size("_in") - 1] + F.col("_len") - 1).alias("b"),
     )
     none = F.lit(None).cast("struct<a:int,b:int>")
     spans = F.when(F.col("_p").isNull(), F.array(none)).when(F.size("_in") > 0, F.array(span)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))

@@ -95,14 +95,14 @@ def test_line_dedup(docs):
 @pytest.mark.parametrize("bound", [32 << 20, 0])
 def test_decontamination(spark, docs, bound):
     rows = docs.collect()
-    items = [(1, rows[0].text.split("\n")[0] + " " + rows[0].text.split("\n")[1]), (2, "cloud paper"), (3, None), (None, "the of")]
+    items = [(1, rows[0].text.split("\n")[0] + " " + rows[0].text.split("\n")[1]), (2, "cloud paper"), (4, " ".join(rows[i].text for i in range(6))), (5, "the of the"), (3, None), (None, "the of")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contamination(docs, bench, max_broadcast=bound).collect()
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
     want = []
     for r in rows:
         w, hit, found = words(r.text), set(), set()
-        for item, text in items[:2]:
+        for item, text in items[:4]:
             iw = words(text)
             size = min(13, len(iw))
             for s in range(len(iw) - size + 1):
