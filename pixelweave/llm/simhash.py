@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import components, table, written
+from pixelweave.llm.common import components, shuffle_partitions, table, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the (23, 12) code
@@ -128,7 +128,8 @@ def _keys(ask: bool):
 
 def links(fps: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """``fps (_fp)`` distinct: pairs ``(_a, _b)`` of fingerprints that differ in one or two bits."""
-    fps = fps.select("_fp")
+    # A fingerprint gives 66 keys: the narrow rows are dealt out first, however few files they were written to.
+    fps = fps.select("_fp").repartition(shuffle_partitions(fps.sparkSession), "_fp")
     stored = fps.mapInArrow(_keys(False), "_key long, _fp long")
     asked = fps.mapInArrow(_keys(True), "_key long, _fp long")
     hot = written(stored.groupBy("_key").count().filter(F.col("count") > hot_key).select("_key"))
