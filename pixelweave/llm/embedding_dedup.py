@@ -5,8 +5,9 @@ hashed to its largest coordinate and that coordinate's sign. ``k`` such hashes m
 made per vector. A vector is stored under its own key in each table and asks under the ``probes`` best keys, those that
 take runner-up coordinates where they are nearly as large. Vectors that meet are compared in double precision.
 
-``k`` follows the number of vectors, so buckets of unrelated vectors keep about the same size at every scale. Equal
-vectors are one class. The bucket join is an equi-join that Spark may split where a bucket is crowded; it carries 128
+``k`` follows the number of vectors, so buckets of unrelated vectors keep about the same size at every scale, and the
+number of tables follows ``k``: as many as it takes to find ``recall`` of the pairs that lie exactly at the threshold, by the
+share that one table finds of simulated pairs (``tables_for``). Closer pairs are found more surely. Equal vectors are one class. The bucket join is an equi-join that Spark may split where a bucket is crowded; it carries 128
 sign bits of each vector and passes on only pairs that these leave possible (six standard deviations of the bit count at
 the threshold), so vectors are fetched for few pairs that are not links.
 
@@ -81,6 +82,20 @@ def bucket_keys(x: np.ndarray, tables: int, k: int, probes: int, seed: int = 7)
     return out
 
 
+def tables_for(d: int, k: int, probes: int, threshold: float, recall: float, pairs: int = 4000) -> int:
+    """Tables that find ``recall`` of pairs at the threshold, from the share a table finds of ``pairs`` simulated ones."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2, pairs, d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(axis=1)[:, None] * x
+    length = np.linalg.norm(y, axis=1)[:, None]
+    other = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * np.divide(y, length, out=np.zeros_like(y), where=length > 0)
+    a, b = bucket_keys(x, 2, k, probes), bucket_keys(other, 2, k, probes)
+    met = (a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)
+    missed = 1 - min(max(float(met.mean()), 1e-4), 0.9999)
+    return max(2, math.ceil(math.log(1 - recall) / math.log(missed)))
+
+
 def sign_sketch(x: np.ndarray, seed: int = 11) -> np.ndarray:
     """(n, 2) words of 64 signs of rotated coordinates: vectors at angle t differ in about t / pi of the bits."""
     n, d = x.shape
@@ -129,10 +144,21 @@ def _keys(tables: int, k: int, probes: int):
     return run
 
 
-def near_pairs(reps: DataFrame, threshold: float, tables: int = 12, probes: int = 5, per_bucket: int = 16) -> DataFrame:
+def _to_length_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for v in batch.column(1):
+            x = np.array(v.as_py())
+            x /= np.abs(x).max()  # so that squares of huge or tiny components stay in range
+            out.append(x / math.sqrt(float(x @ x)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["_rep", "_v"])
+
+
+def near_pairs(reps: DataFrame, threshold: float, recall: float = 0.99, probes: int = 5, per_bucket: int = 16) -> DataFrame:
     """``reps (_rep long, _v array<double> of length 1)`` distinct: ``(_a, _b)`` found with cosine >= threshold."""
     n, d = reps.agg(F.count("*"), F.max(F.size("_v"))).first()
     k = max(1, math.ceil(math.log(max(2, n / per_bucket)) / math.log(2 * padded_length(d or 1))))
+    tables = tables_for(d or 1, k, probes, threshold, recall)
     keys = written(reps.select("_rep", "_v").mapInArrow(_keys(tables, k, probes), "_key long, _len int, _rep long, _s1 long, _s2 long, _own boolean"))
     share = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
     limit = math.ceil(SKETCH_BITS * share + 6 * math.sqrt(SKETCH_BITS * share * (1 - share)))
@@ -146,7 +172,7 @@ def near_pairs(reps: DataFrame, threshold: float, tables: int = 12, probes: int
     return both.filter(cosine >= threshold).select("_a", "_b")
 
 
-def embedding_components(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
+def embedding_components(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, recall: float = 0.99) -> DataFrame:
     """Per row of ``rows``: the id, ``_n_links`` and ``_component``."""
     v = F.col(vec_col).cast("array<double>")
     valid = F.coalesce(
@@ -159,12 +185,8 @@ def embedding_components(rows: DataFrame, id_col: str = "vec_id", vec_col: str =
     # One class per distinct vector, numbered as the table of classes is written.
     classes = base.filter("_v IS NOT NULL").groupBy("_hash", "_v").agg(F.count("*").alias("_size"), F.min("_id").alias("_first"))
     classes = written(classes.withColumn("_rep", F.monotonically_increasing_id()))
-    # To length 1; the largest component goes out first, so that squares of huge or tiny components stay in range.
-    most = F.array_max(F.transform("_v", lambda x: F.abs(x)))
-    unit = classes.select("_rep", "_v", most.alias("_most")).select("_rep", F.expr("transform(_v, x -> x / _most)").alias("_v"))
-    unit = unit.withColumn("_norm", F.sqrt(F.expr("aggregate(_v, 0D, (acc, x) -> acc + x * x)")))
-    unit = written(unit.select("_rep", F.expr("transform(_v, x -> x / _norm)").alias("_v")))
-    pairs = written(near_pairs(unit, threshold))
+    unit = written(classes.select("_rep", "_v").mapInArrow(_to_length_one, "_rep long, _v array<double>"))
+    pairs = written(near_pairs(unit, threshold, recall))
     ends = pairs.union(pairs.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
     far = ends.join(classes.select(F.col("_rep").alias("_b"), "_size"), "_b").groupBy(F.col("_a").alias("_rep")).agg(F.sum("_size").alias("_far"))
     comp = components(pairs).withColumnRenamed("_node", "_rep")
