@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,25 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on this machine alone
-    gets a temporary one; on a cluster that is an error, as every executor would write to a disk of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="pixelweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return the table that reads it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from pixelweave.sources.shared import discard, shared_dir, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,12 +74,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round every node takes the smallest label among its neighbours and then its label's label (pointer jumping),
     so a path of length n takes about log n rounds. Nodes without an edge are not in the result. Repeated edges and
-    loops are harmless; an empty frame gives an empty result. Labels are written to the shared folder each round.
+    loops are harmless; an empty frame gives an empty result. Labels are written to the shared folder each round, and
+    those of the round before are deleted.
     """
     both = edges.select("_a", "_b").union(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
     both = written(both.distinct())
-    labels = written(both.groupBy(F.col("_a").alias("_node")).agg(F.least(F.min("_a"), F.min("_b")).alias("_comp")))
+    now = written(both.groupBy(F.col("_a").alias("_node")).agg(F.least(F.min("_a"), F.min("_b")).alias("_comp")))
     for _ in range(max_rounds):
+        labels = now.select("_node", "_comp")
         near = (
             both.join(labels.select(F.col("_node").alias("_b"), F.col("_comp").alias("_l")), "_b")
             .groupBy(F.col("_a").alias("_node"))
@@ -110,7 +93,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         step = written(step)
         jump = step.select(F.col("_node").alias("_comp"), F.col("_comp").alias("_to"))
         new = written(step.join(jump, "_comp", "left").select("_node", "_old", F.coalesce("_to", "_comp").alias("_comp")))
-        labels = new.select("_node", "_comp")
-        if new.filter(F.col("_old") != F.col("_comp")).isEmpty():
-            return labels
+        discard(step, now)
+        now = new
+        if now.filter(F.col("_old") != F.col("_comp")).isEmpty():
+            discard(both)
+            return now.select("_node", "_comp")
     raise RuntimeError(f"labels still changed after {max_rounds} rounds")

@@ -1,38 +1,45 @@
 """Near-dedup by word shingles: one row of each group of texts linked by a Jaccard similarity of ``similarity`` or more.
 
 1. Words are split at ASCII white space and lower-cased as in ``simhash``; texts of equal words are one class. A class has
-   the set of its hashed 5-word shingles (a shorter text is one shingle), ``BANDS`` x ``ROWS`` min-hashes of that set, a
-   key a band and one byte of each min-hash as a sketch.
-2. Classes that share a band key are compared by sketch and linked where the sketches leave the similarity possible
-   (``SLACK`` below it: over six standard deviations). Keys with equal members are looked at once.
-3. Groups of such links are read as texts, and links of exact Jaccard similarity split them into the final groups.
-
-A pair at exactly 0.8 shares no key with probability (1 - 0.8^6)^32 = 0.00006; nothing below ``similarity`` is linked.
-Linked members of a group leave the search at once, so a group of close copies costs its size, not its square.
-
-Defined cases: null and empty texts (no words) are copies of each other and of nothing else.
+   the set of its hashed 5-word shingles (a shorter text is one shingle), the SimHash of that set, ``BANDS`` x ``ROWS``
+   min-hashes of it, a key a band, and one bit of each min-hash as a sketch.
+2. Candidates. SimHash fingerprints within two bits, found by the Golay keys of ``simhash.links``, give the closest copies.
+   They don't reach down to 0.8 (a pair there differs in about 10 of 64 bits), so classes that share a band key are
+   candidates too: each with the first class of the key (the leader), if their sketches leave the similarity possible
+   (six standard deviations below it). Keys with equal members are looked at once.
+3. Candidates are verified on whole shingle sets. Members that are no link of their leader are then compared with all
+   members of their key. So a group of close copies costs its size, and no link of classes that share a key is lost.
+4. One row stays of each group of classes connected by verified links.
+
+A pair at exactly 0.8 shares no band key with probability (1 - 0.8^6)^32 = 0.00006; nothing below ``similarity`` is linked.
+
+Defined cases: null and empty texts (no words) are copies of each other and of nothing else; columns of any names stay
+as they are; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.llm import simhash
 from pixelweave.llm.common import components, written
 from pixelweave.llm.simhash import SPACE
 
-BANDS, ROWS, SLACK = 32, 6, 0.2
+BANDS, ROWS = 32, 6
+PER_SALT = 500  # pairs that share one copy of a leader's shingle set
 CHUNK = 1 << 12
 _DRAW = np.random.default_rng(11)
 FACTORS = _DRAW.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _DRAW.integers(0, 2**63, BANDS * ROWS, np.uint64)
 PLACES = _DRAW.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+SKETCH = ("_s0", "_s1", "_s2")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -67,105 +74,114 @@ def _class_of(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63
 
 
-def _marks(n_cols: int, size: int, sketch: bool):
+def _marks(n_cols: int, size: int):
+    """A row's class, fingerprint, band keys and sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            own, keys, sketches = [], [], []
+            own, prints, keys, bits = [], [], [], []
             for x in batch.column(n_cols):
                 words = words_of(x.as_py())
                 own.append(_class_of(words))
-                if sketch and words:
-                    least = min_hashes(shingle_set(words, size)).reshape(BANDS, ROWS)
-                    keys.append([digest(least[i].tobytes(), i) - 2**63 for i in range(BANDS)])
-                    sketches.append((least >> np.uint64(16)).astype(np.uint8).tobytes())
+                if words:
+                    shingles = shingle_set(words, size)
+                    least = min_hashes(shingles)
+                    prints.append(simhash.majority(shingles))
+                    keys.append([digest(band.tobytes(), i) - 2**63 for i, band in enumerate(least.reshape(BANDS, ROWS))])
+                    bits.append(np.packbits((least >> np.uint64(20)).astype(np.uint8) & 1).view(np.int64))
                 else:
-                    keys.append([])
-                    sketches.append(b"")
-            columns, names = [*batch.columns[:n_cols], pa.array(own, pa.int64())], [*batch.schema.names[:n_cols], "_fp"]
-            if sketch:
-                columns += [pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-                names += ["_bands", "_sketch"]
+                    prints.append(None), keys.append([]), bits.append(np.zeros(3, np.int64))
+            prints = pa.array([None if p is None else p - 2**64 if p >= 2**63 else p for p in prints], pa.int64())
+            sketch = np.array(bits, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:n_cols], pa.array(own, pa.int64()), prints, pa.array(keys, pa.list_(pa.int64())), *[pa.array(sketch[:, i].copy()) for i in range(3)]],
+                [*batch.schema.names[:n_cols], "_class", "_fp", "_bands", *SKETCH],
+            )
+
+    return run
+
+
+def _classes(n_cols: int, size: int | None):
+    """A row's class, and with ``size`` its shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(x.as_py()) for x in batch.column(n_cols)]
+            columns, names = [*batch.columns[:n_cols], pa.array(map(_class_of, words), pa.int64())], [*batch.schema.names[:n_cols], "_class"]
+            if size:
+                columns.append(pa.array([shingle_set(w, size).view(np.int64) for w in words], pa.list_(pa.int64())))
+                names.append("_set")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _marked(base: DataFrame, size: int = 5, sketch: bool = False) -> DataFrame:
-    """``base``, whose last column is the text, with ``_fp`` (the class) instead of it."""
+def _mapped(base: DataFrame, make, more: str) -> DataFrame:
     kinds = ", ".join(f"{n} {t}" for n, t in base.dtypes[:-1])
-    return base.mapInArrow(_marks(len(base.columns) - 1, size, sketch), f"{kinds}, _fp long" + (", _bands array<long>, _sketch binary" if sketch else ""))
-
-
-def linked(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links (a, b) that span the groups of 0..n-1; ``near(a, rest)`` says which of ``rest`` link with a."""
-    rest, out = np.arange(n), []
-    while len(rest) > 1:
-        todo, rest = [int(rest[0])], rest[1:]
-        while todo and len(rest):
-            a = todo.pop()
-            hit = near(a, rest)
-            found = rest[hit].tolist()
-            out += [(a, b) for b in found]
-            todo += found
-            rest = rest[~hit]
-    return out
+    return base.mapInArrow(make, f"{kinds}, _class long{more}")
 
 
-def _bucket_links(least: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["_fp"].to_numpy()
-        sketch = np.frombuffer(b"".join(pdf["_sketch"]), np.uint8).reshape(len(fp), -1)
-        pairs = linked(len(fp), lambda a, rest: (sketch[rest] == sketch[a]).mean(axis=1) >= least)
-        return pd.DataFrame({"_a": [fp[a] for a, _ in pairs], "_b": [fp[b] for _, b in pairs]}, dtype="int64")
+def _possible(a: str, b: str, similarity: float) -> Column:
+    """Whether the sketches of two sides leave the similarity possible: a bit differs with half of what it lacks to 1."""
+    n, p = BANDS * ROWS, (1 - similarity) / 2
+    differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{a}._s0").bitwiseXOR(F.col(f"{b}._s0"))))
+    return differ <= math.ceil(n * p + 6 * math.sqrt(n * p * (1 - p)))
 
-    return run
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of ``pairs (_a, _b, _salt, _salts)`` those with the similarity. The sets of classes in many pairs are copied, so that
+    no task gets all pairs of one class."""
+    copies = pairs.groupBy(F.col("_a").alias("_class")).agg(F.max("_salts").alias("_salts"))
+    a = sets.join(copies, "_class").select(F.col("_class").alias("_a"), F.col("_set").alias("_sa"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    b = sets.select(F.col("_class").alias("_b"), F.col("_set").alias("_sb"))
+    both = F.size(F.array_intersect("_sa", "_sb"))
+    met = pairs.select("_a", "_b", "_salt").join(a, ["_a", "_salt"]).join(b, "_b")
+    return met.filter(both >= F.lit(similarity) * (F.size("_sa") + F.size("_sb") - both) - 1e-9).select("_a", "_b")
 
-def _exact_groups(size: int, similarity: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["_fp"].to_numpy()
-        sets = [shingle_set(words_of(x), size) for x in pdf["_text"]]
-        length = np.array([len(s) for s in sets])
-
-        def near(a: int, rest: np.ndarray) -> np.ndarray:
-            # Lengths further apart than the similarity allows need no look at the shingles.
-            out = np.minimum(length[rest], length[a]) >= similarity * np.maximum(length[rest], length[a])
-            look = rest[out]
-            if len(look):
-                flat = np.concatenate([sets[i] for i in look])
-                at = np.minimum(np.searchsorted(sets[a], flat), length[a] - 1)
-                both = np.add.reduceat((sets[a][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(length[look])[:-1]]))
-                out[out] = both >= similarity * (length[look] + length[a] - both) - 1e-9
-            return out
-
-        comp = np.arange(len(fp))
-        for a, b in linked(len(fp), near):
-            comp[b] = comp[a]  # a spanning link is made from a member that already has its name
-        return pd.DataFrame({"_fp": fp, "_comp": fp[comp]})
 
-    return run
+def _salted(pairs: DataFrame, n: Column) -> DataFrame:
+    """Distinct ``(_a, _b)`` with a salt, of one for so many pairs ``n`` of the same ``_a``."""
+    salts = F.ceil(n / PER_SALT).cast("int")
+    return pairs.groupBy("_a", "_b").agg(F.max(salts).alias("_salts")).withColumn("_salt", F.pmod(F.xxhash64("_b"), F.col("_salts").cast("long")).cast("int"))
 
 
 def near_classes(marked: DataFrame, texts: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``marked (_id, _hash, _fp, _bands, _sketch)``, ``texts (_hash, _text)``: one row a class with ``_comp`` and ``_component`` (smallest id)."""
-    some = F.min(F.struct("_hash", "_bands", "_sketch")).alias("_s")
-    classes = written(marked.groupBy("_fp").agg(F.min("_id").alias("_first"), some).select("_fp", "_first", "_s.*"))
-    keys = classes.select("_fp", F.explode("_bands").alias("_key"))
-    member = F.xxhash64("_fp")
-    shared = keys.groupBy("_key").agg(F.count("*").alias("_n"), F.bit_xor(member).alias("_x"), F.min("_fp").alias("_m"), F.max("_fp").alias("_l"))
-    shared = written(shared.filter("_n > 1").groupBy("_n", "_x", "_m", "_l").agg(F.min("_key").alias("_key")).select("_key"))
-    buckets = classes.select("_fp", "_sketch", F.explode("_bands").alias("_key")).join(shared, "_key")
-    close = buckets.groupBy("_key").applyInPandas(_bucket_links(similarity - SLACK), "_a long, _b long")
-    family = components(close.distinct()).select(F.col("_node").alias("_fp"), F.col("_comp").alias("_family"))
-    family = written(family.join(classes.select("_fp", "_hash"), "_fp"))
-    read = texts.join(family, "_hash").select("_family", F.col("_fp").alias("_of"), "_text", F.col("_text").alias("_again"))
-    # Texts of one 64-bit hash but another class are left out by their class.
-    read = _marked(read).filter("_fp = _of").dropDuplicates(["_fp"]).select("_family", "_fp", "_text")
-    groups = written(read.groupBy("_family").applyInPandas(_exact_groups(size, similarity), "_fp long, _comp long"))
-    named = classes.join(groups, "_fp", "left").select("_fp", "_first", F.coalesce("_comp", "_fp").alias("_comp"))
+    """``marked (_id, _hash, _class, _fp, _bands, sketch)``, ``texts (_hash, _text)``: one row a class with ``_comp`` and ``_component`` (smallest id)."""
+    some = F.min(F.struct("_hash", "_fp", "_bands", *SKETCH)).alias("_s")
+    classes = written(marked.groupBy("_class").agg(F.min("_id").alias("_first"), some).select("_class", "_first", "_s.*"))
+    keys = classes.select("_class", F.explode("_bands").alias("_key"))
+    member = F.xxhash64("_class")
+    shared = keys.groupBy("_key").agg(F.count("*").alias("_n"), F.bit_xor(member).alias("_x"), F.min("_class").alias("_m"), F.max("_class").alias("_l"))
+    shared = written(shared.filter("_n > 1").groupBy("_n", "_x", "_m", "_l").agg(F.min("_key").alias("_key")).select("_key", "_n"))
+    rows = written(classes.select("_class", *SKETCH, F.explode("_bands").alias("_key")).join(shared, "_key"))
+    # The closest copies by their fingerprints: a class of each fingerprint, and the other classes of the same one.
+    prints = written(classes.filter("_fp IS NOT NULL").groupBy("_fp").agg(F.min("_class").alias("_lead"), F.count("*").alias("_n")))
+    lead = lambda fp, name: prints.select(F.col("_fp").alias(fp), F.col("_lead").alias(name))
+    apart = simhash.links(prints).withColumnRenamed("_a", "_fa").withColumnRenamed("_b", "_fb").join(lead("_fa", "_a"), "_fa").join(lead("_fb", "_b"), "_fb")
+    equal = classes.join(prints.filter("_n > 1"), "_fp").filter("_class <> _lead").select(F.col("_lead").alias("_a"), F.col("_class").alias("_b"), "_n")
+    golay = apart.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"), F.lit(1).cast("long").alias("_n")).union(equal)
+    # Every member of a key with its leader.
+    leaders = rows.groupBy("_key").agg(F.min(F.struct("_class", *SKETCH)).alias("_l")).select("_key", "_l.*")
+    met = rows.alias("b").join(leaders.alias("a"), "_key").filter("a._class <> b._class")
+    met = written(met.select("_key", "_n", F.col("a._class").alias("_a"), F.col("b._class").alias("_b"), *[F.col(f"b.{s}").alias(s) for s in SKETCH], _possible("a", "b", similarity).alias("_ok")))
+    first = written(_salted(met.filter("_ok").select("_a", "_b", "_n").union(golay), F.col("_n")))
+    # Whole shingle sets of the classes that may have a link, from one row of each (known by the hash of its text and id; a row of
+    # the same hash but another class falls out by its class).
+    wanted = rows.select("_class").union(golay.select("_a")).union(golay.select("_b")).distinct().join(classes.select("_class", "_hash"), "_class")
+    read = texts.join(wanted.select("_hash", F.col("_class").alias("_of")), "_hash").dropDuplicates(["_of"]).select("_of", "_text")
+    sets = written(_mapped(read, _classes(1, size), ", _set array<long>").filter("_class = _of").select("_class", "_set"))
+    close = written(_verified(first, sets, similarity))
+    # Members that are no link of their leader, with all other members of the key.
+    left = met.join(close, ["_a", "_b"], "left_anti").select("_key", F.col("_b").alias("_class"), *SKETCH)
+    again = left.alias("a").join(rows.alias("b"), "_key").filter((F.col("a._class") != F.col("b._class")) & _possible("a", "b", similarity))
+    again = again.select(F.least("a._class", "b._class").alias("_a"), F.greatest("a._class", "b._class").alias("_b"), F.col("b._n").alias("_n"))
+    again = written(_salted(again, F.col("_n")).join(first.select("_a", "_b"), ["_a", "_b"], "left_anti"))
+    links = close.union(_verified(again, sets, similarity))
+    comp = components(links).withColumnRenamed("_node", "_class")
+    named = written(classes.select("_class", "_first").join(comp, "_class", "left").select("_class", "_first", F.coalesce("_comp", "_class").alias("_comp")))
     smallest = named.groupBy("_comp").agg(F.min("_first").alias("_component"))
-    return named.join(smallest, "_comp").select("_fp", "_comp", "_component")
+    return named.join(smallest, "_comp").select("_class", "_comp", "_component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -176,16 +192,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     cols = docs.columns
     named = [f"_c{i}" for i in range(len(cols))]
     full = docs.select(*[F.col(c).alias(n) for c, n in zip(cols, named, strict=True)], F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    marked = written(_marked(full.select("_id", F.xxhash64("_text").alias("_hash"), "_text"), size, True))
+    sketch = "".join(f", {s} long" for s in SKETCH)
+    marked = full.select("_id", F.xxhash64("_text", "_id").alias("_hash"), "_text")
+    marked = written(_mapped(marked, _marks(2, size), f", _fp long, _bands array<long>{sketch}"))
     kept = written(
-        marked.join(near_classes(marked, full.select(F.xxhash64("_text").alias("_hash"), "_text"), size, similarity), "_fp")
+        marked.select("_id", "_class")
+        .join(near_classes(marked, full.select(F.xxhash64("_text", "_id").alias("_hash"), "_text"), size, similarity), "_class")
         .filter(F.col("_id").eqNullSafe(F.col("_component")))
-        .select(F.col("_id").alias("_kept"), F.col("_fp").alias("_own"), "_comp")
+        .select(F.col("_id").alias("_kept"), F.col("_class").alias("_own"), "_comp")
         .distinct()
     )
     if marked.groupBy("_id").count().filter("count > 1 OR _id IS NULL").isEmpty():
         out = full.join(kept, F.col("_id") == F.col("_kept"), "left_semi")
     else:
-        again = _marked(full.select("_id", *named, "_text"))
-        out = again.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_own"))).dropDuplicates(["_comp"])
+        again = _mapped(full.select("_id", *named, "_text"), _classes(len(named) + 1, None), "")
+        out = again.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_class") == F.col("_own"))).dropDuplicates(["_comp"])
     return out.select(*[F.col(n).alias(c) for n, c in zip(named, cols, strict=True)])

@@ -81,11 +81,16 @@ def fingerprint(text: str | None) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
         shingles = [joined[a:b] for a, b in zip(starts[:-2].tolist(), ends[2:].tolist(), strict=True)]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for i in range(0, len(shingles), CHUNK):
-        h = np.array([digest(s, 42) for s in shingles[i : i + CHUNK]], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * ones > len(shingles)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+    digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(n_cols: int):
@@ -169,29 +174,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marked.join(near_classes(marked, id_col), "_fp").select(id_col, "_fp", "_comp", "_component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of ``docs``, that of the smallest id; columns stay as they are.
-
-    Where an id is repeated or null, exactly one of the rows that qualify stays.
-    """
-    cols = docs.columns
-    named = [f"_c{i}" for i in range(len(cols))]
-    full = docs.select(*[F.col(c).alias(n) for c, n in zip(cols, named, strict=True)], F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    marked = written(with_fingerprint(full, "_text", ("_id",)))
-    kept = written(
-        marked.join(near_classes(marked, "_id"), "_fp")
-        .filter(F.col("_id").eqNullSafe(F.col("_component")))
-        .select(F.col("_id").alias("_kept"), F.col("_fp").alias("_own"), "_comp")
-        .distinct()
-    )
-    if marked.groupBy("_id").count().filter("count > 1 OR _id IS NULL").isEmpty():
-        out = full.join(kept, F.col("_id") == F.col("_kept"), "left_semi")
-    else:
-        again = with_fingerprint(full, "_text", ("_id", *named))
-        out = again.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_own"))).dropDuplicates(["_comp"])
-    return out.select(*[F.col(n).alias(c) for n, c in zip(named, cols, strict=True)])
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
