@@ -1,25 +1,41 @@
 """A training corpus from raw documents: reject toxic ones, drop repeated lines, keep one of each group of near copies,
-reject those with benchmark passages, encode what is left."""
+reject those with benchmark passages, encode what is left.
+
+Every stage takes the columns of ``documents`` and, but for the last, gives the same ones. Their names are free: a stage packs
+the rows, so that no column of the input meets one of its own. Defined cases: a null text is an empty text, and stays null
+where nothing is taken out of it but in the line stage, which gives the empty text; null and repeated ids are rows of their own;
+of rows with equal words one stays; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.llm import bpe, decontaminate, line_dedup, shingle_dedup, toxicity
 from pixelweave.llm.common import table, written
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """``_row`` (all columns but those named), ``_id`` and ``_text``."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs``, those in ``new`` from there and the others from ``_row``."""
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in docs.columns])
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    cols = tuple(docs.columns)
-    return toxicity.scored(docs, model, keep=cols).filter("_score < 0.3").select(*cols)
+    rows = toxicity.scored(packed(docs), model, text_col="_text", keep=("_row",))
+    return unpacked(rows.filter("_score < 0.3"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = line_dedup.dedup_lines(docs, keep=rest).withColumnRenamed("_kept", "text")
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    out = line_dedup.dedup_lines(packed(docs, "text", "n_chars"), id_col="_id", text_col="_text", keep=("_row",))
+    return unpacked(out, docs, text=F.col("_kept"), n_chars=F.char_length("_kept").cast("long"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +44,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # A row is known by its id and the hash of its text, so texts stay out of the search.
-    full = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
+    full = packed(docs).withColumn("_hash", F.xxhash64("_text"))
     found = decontaminate.contamination(full, table(spark, sf_dir, "benchmark"), id_col="_id", text_col="_text", keep=("_hash",))
     bad = found.filter(decontaminate.is_contaminated()).select(F.col("_id").alias("_bad"), F.col("_hash").alias("_bad_hash"))
     clean = full.join(bad, F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("_hash") == F.col("_bad_hash")), "left_anti")
-    return clean.select("_row.*")
+    return unpacked(clean, docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
