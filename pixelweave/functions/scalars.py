@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +22,13 @@ def annual_rate(events: Column, population: Column, years: float) -> Column:
 
 
 def logistic(eta: Column) -> Column:
-    return 1 / (1 + F.exp(-eta))
+    """Probability of a linear predictor; one that is not finite raises, NULL stays NULL."""
+    finite = ~F.isnan(eta) & (F.abs(eta) < float("inf"))
+    return F.when(eta.isNull() | finite, 1 / (1 + F.exp(-eta))).otherwise(F.raise_error(F.lit("the linear predictor is not finite")).cast("double"))
+
+
+def hectares(pixels: Column, pixel_area: float) -> Column:
+    return pixels * F.lit(pixel_area)
 
 
 def import_code(value: Column, scale: str) -> Column:
@@ -35,35 +39,33 @@ def import_code(value: Column, scale: str) -> Column:
     return F.when(code > 0, code)
 
 
-def years_in(name: Column) -> Column:
-    """Second minus first four-digit year in a name; NULL without two."""
-    found = F.regexp_extract_all(name, F.lit("([0-9]{4})"), F.lit(1))
-    return (F.try_element_at(found, F.lit(2)).cast("int") - F.try_element_at(found, F.lit(1)).cast("int")).cast("int")
-
-
-def safe_label(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9_-]+", "_"), "^_+|_+$", "")
-
-
-def run_label(key: Column, window: Column, name: Column) -> Column:
-    """Family, window and the safe form of the run's name, or of its key where nothing of the name is left."""
-    family = F.upper(F.split(key, "_")[0])
-    safe = safe_label(name)
-    return F.concat_ws("_", family, F.concat(F.lit("w"), window.cast("string")), F.when(F.length(safe) > 0, safe).otherwise(safe_label(key)))
-
-
 def utm_epsg(lon: Column, lat: Column) -> Column:
-    """EPSG code of the UTM (or polar UPS) zone, with the zones of south-west Norway and Svalbard."""
-    zone = (F.floor((lon + 180) / 6) + 1).cast("int")
-    svalbard = F.when(lon < 9, 31).when(lon < 21, 33).when(lon < 33, 35).otherwise(37)
-    zone = F.when(lat.between(55, 63.999999999) & lon.between(2, 5.999999999), 32).when((lat >= 72) & (lat < 84) & (lon >= 0) & (lon < 42), svalbard).otherwise(zone)
-    return F.when(lat >= 84, 32661).when(lat < -80, 32761).when(lat >= 0, 32600 + zone).otherwise(32700 + zone).cast("int")
+    """EPSG code of the UTM zone, or of the polar UPS grids (5041 north from 84 degrees, 5042 south from -80).
+
+    Zone 32 reaches west between 55 and 64 degrees north, 2 and 6 east (bounds excluded); above 71 degrees north the zones
+    of Svalbard widen into parts of zones 32, 34 and 36. At 180 degrees the zone is 61.
+    """
+    zone = F.floor((lon + 180) / 6).cast("int") + 1
+    arctic = lat > 71
+    zone = (
+        F.when((lat > 55) & (lat < 64) & (lon > 2) & (lon < 6), 32)
+        .when(arctic & (lon >= 6) & (lon < 9), 31)
+        .when(arctic & (((lon >= 9) & (lon < 12)) | ((lon >= 18) & (lon < 21))), 33)
+        .when(arctic & (((lon >= 21) & (lon < 24)) | ((lon >= 30) & (lon < 33))), 35)
+        .otherwise(zone)
+    )
+    return F.when(lat >= 84, 5041).when(lat <= -80, 5042).when(lat >= 0, 32600 + zone).otherwise(32700 + zone).cast("int")
 
 
 def geometric_edges(first: float, last: float, classes: int = 29) -> list[float]:
     """classes + 1 edges from first to last in equal ratios."""
-    ratio = (last / first) ** (1.0 / classes)
-    return [first, *[first * math.pow(ratio, i) for i in range(1, classes + 1)]]
+    return [first, *[last * (first / last) ** ((classes - i) / classes) for i in range(1, classes + 1)]]
+
+
+def edge_table(first: Column, last: Column, classes: int = 29) -> Column:
+    """``geometric_edges`` of columns: an array of (i, edge)."""
+    edge = lambda i: F.when(i == 0, first).otherwise(last * F.pow(first / last, (classes - i) / F.lit(float(classes))))
+    return F.transform(F.sequence(F.lit(0), F.lit(classes)), lambda i: F.struct(i.alias("i"), edge(i).alias("edge")))
 
 
 def odds_ratio(estimate: Column) -> Column:

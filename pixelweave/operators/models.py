@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pixelweave.functions.scalars import logistic
 from pixelweave.operators.neighborhood import regrid
 from pixelweave.operators.rates import with_totals
-from pixelweave.sources.shared import written
+from pixelweave.sources.shared import discard, written
 
 
 def training(df: DataFrame, target: str, features: list[str]) -> DataFrame:
@@ -80,6 +80,7 @@ def spatial_fit(
     links = written(neighbors.select(F.col("cell").cast("long").alias("cell"), F.col("neighbor").cast("long").alias("neighbor")).distinct())
     degree = links.groupBy("cell").agg(F.count("*").alias("degree"))
     rho = written(base.select("cell").union(links.select("cell")).distinct().join(degree, "cell", "left").fillna(0, ["degree"]).withColumn("rho", F.lit(0.0)))
+    held = rho
     beta = np.zeros(k)
     beta[0] = np.log(events / (n - events))
     x: list[Column] = [F.lit(1.0), *[F.col(f"_x{i}") for i in range(1, k)]]
@@ -90,13 +91,16 @@ def spatial_fit(
         return base.join(rho.select("cell", "rho"), "cell").withColumn("_p", p).withColumn("_w", F.col("_p") * (1 - F.col("_p")))
 
     for _ in range(max_iter):
-        sums = fitted().agg(*[F.sum(F.col("_w") * x[i] * x[j]) for i, j in pairs], *[F.sum((F.col("_y") - F.col("_p")) * c) for c in x]).first()
+        # One pass over the rows a round: sums per cell serve both steps, which start from the same fit.
+        parts = [*[F.sum(F.col("_w") * x[i] * x[j]).alias(f"_c{i}_{j}") for i, j in pairs], *[F.sum((F.col("_y") - F.col("_p")) * c).alias(f"_g{i}") for i, c in enumerate(x)]]
+        by_cell = written(fitted().groupBy("cell").agg(F.sum(F.col("_y") - F.col("_p")).alias("g"), F.sum("_w").alias("h"), *parts))
+        sums = by_cell.agg(*[F.sum(f"_c{i}_{j}") for i, j in pairs], *[F.sum(f"_g{i}") for i in range(k)]).first()
         curve = np.zeros((k, k))
         for (i, j), v in zip(pairs, sums[: len(pairs)], strict=True):
             curve[i, j] = curve[j, i] = v
         step = np.linalg.solve(curve + 1e-9 * np.eye(k), np.array(sums[len(pairs) :], float))
         beta += step
-        own = fitted().groupBy("cell").agg(F.sum(F.col("_y") - F.col("_p")).alias("g"), F.sum("_w").alias("h"))
+        own = by_cell.select("cell", "g", "h")
         near = links.join(rho.select(F.col("cell").alias("neighbor"), "rho"), "neighbor").groupBy("cell").agg(F.sum("rho").alias("near"))
         t = rho.join(own, "cell", "left").join(near, "cell", "left").fillna(0.0, ["g", "h", "near"])
         slope = F.col("g") - precision * (F.col("degree") * F.col("rho") - F.col("near"))
@@ -104,7 +108,8 @@ def spatial_fit(
         t = with_totals(t.withColumn("to", moved), _m=F.avg(F.when(F.col("degree") > 0, F.col("to"))))
         t = written(t.select("cell", "degree", F.col("rho").alias("was"), F.when(F.col("degree") > 0, F.col("to") - F.col("_m")).otherwise(0.0).alias("rho")))
         change = t.agg(F.max(F.abs(F.col("rho") - F.col("was")))).first()[0]
-        rho = t.select("cell", "degree", "rho")
+        discard(by_cell, held)
+        held, rho = t, t.select("cell", "degree", "rho")
         if max(change, float(np.abs(step).max())) < tol:
             break
     return dict(zip(["Intercept", *features], beta.tolist(), strict=True)), rho.select("cell", "rho")

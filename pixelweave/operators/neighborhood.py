@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,32 +11,91 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions.scalars import risk_code
 
+TILE = 512
+
+
+def halo_tiles(px: DataFrame, names: list[str], half: int, fn: Callable[[np.ndarray, dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str, tile: int = TILE) -> DataFrame:
+    """``fn`` over tile x tile squares of pixels and ``half`` pixels around each: ``row, col`` and what ``fn`` returns.
+
+    ``fn(present, layers)`` gets arrays of (tile + 2 half)² places, NaN where a layer is NULL or there is no pixel, and
+    returns arrays of that shape; values at the pixels of the square are kept. Only pixels near a border are copied: one
+    shuffle of little more than the table, whatever the size of the window.
+    """
+    at = lambda c: F.explode(F.sequence(F.floor((F.col(c) - half) / tile), F.floor((F.col(c) + half) / tile)))
+    base = px.select("row", "col", *[F.col(n).cast("double").alias(n) for n in names])
+    spread = base.select("*", at("row").alias("_tr")).select("*", at("col").alias("_tc"))
+    wide = tile + 2 * half
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(pdf["_tr"].iloc[0]) * tile, int(pdf["_tc"].iloc[0]) * tile
+        r, c = pdf["row"].to_numpy() - top + half, pdf["col"].to_numpy() - left + half
+        present = np.zeros((wide, wide), bool)
+        present[r, c] = True
+        layers = {}
+        for n in names:
+            layers[n] = np.full((wide, wide), np.nan)
+            layers[n][r, c] = pdf[n].to_numpy()
+        own = (r >= half) & (r < half + tile) & (c >= half) & (c < half + tile)
+        out = {k: v[r[own], c[own]] for k, v in fn(present, layers).items()}
+        return pd.DataFrame({"row": pdf["row"][own].to_numpy(), "col": pdf["col"][own].to_numpy(), **out})
+
+    return spread.groupBy("_tr", "_tc").applyInPandas(run, f"row int, col int, {schema}")
+
+
+def _box(a: np.ndarray, half: int) -> np.ndarray:
+    """Sums over the (2 half + 1)² box of each place; places beyond the array count as zero."""
+    size = 2 * half + 1
+    total = np.pad(a, ((half + 1, half), (half + 1, half))).cumsum(0).cumsum(1)
+    return total[size:, size:] - total[:-size, size:] - total[size:, :-size] + total[:-size, :-size]
+
 
 def box_sums(px: DataFrame, cols: list[str], half: int) -> DataFrame:
-    """Sums of ``cols`` over the (2 half + 1)² box of each pixel of ``px``: rows are pre-aggregated, then a range window."""
-    spread = px.select("col", *cols, F.explode(F.sequence(F.col("row") - half, F.col("row") + half)).alias("row"))
-    spread = spread.groupBy("row", "col").agg(*[F.sum(c).alias(c) for c in cols]).withColumn("_own", F.lit(0))
-    own = px.select("row", "col", *[F.lit(0).cast("long").alias(c) for c in cols], F.lit(1).alias("_own"))
-    w = Window.partitionBy("row").orderBy("col").rangeBetween(-half, half)
-    both = spread.select("row", "col", *cols, "_own").unionByName(own)
-    return both.select("row", "col", "_own", *[F.sum(c).over(w).alias(c) for c in cols]).filter("_own = 1").drop("_own")
+    """Sums of ``cols`` (long) over the (2 half + 1)² box of each pixel of ``px``; NULL and missing pixels count as zero."""
+
+    def sums(_: np.ndarray, layers: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return {c: _box(np.nan_to_num(layers[c]).astype(np.int64), half) for c in cols}
+
+    return halo_tiles(px, cols, half, sums, ", ".join(f"{c} long" for c in cols))
 
 
-def local_rate(px: DataFrame, forest: Column, loss: Column, size: int, years: float, zero_code: int = 1) -> DataFrame:
-    """Rate of the window around each population pixel, coded 2..65535; zero rates get ``zero_code``."""
+def local_rate(px: DataFrame, forest: Column, loss: Column, size: int, years: float, zero_code: int = 2) -> DataFrame:
+    """Rate of the window around each pixel: 2..65535 at population pixels (``zero_code`` where it is zero), 0 elsewhere."""
     if size % 2 == 0 or size < 1:
         raise ValueError("the window size must be odd")
     marked = px.select("row", "col", F.coalesce(forest, F.lit(False)).cast("long").alias("n"), F.coalesce(loss, F.lit(False)).cast("long").alias("d"))
-    sums = box_sums(marked, ["n", "d"], size // 2).join(marked.filter("n = 1").select("row", "col"), ["row", "col"])
-    theta = 1 - F.pow(1 - F.col("d") / F.col("n"), F.lit(1.0 / years))
-    return sums.select("row", "col", F.when(F.col("d") == 0, zero_code).otherwise(risk_code(theta, 2)).alias("ldefrate"))
+    half = size // 2
+
+    def sums(_: np.ndarray, layers: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        n, d = (np.nan_to_num(layers[k]).astype(np.int64) for k in ("n", "d"))
+        return {"own": n, "n": _box(n, half), "d": _box(d, half)}
+
+    t = halo_tiles(marked, ["n", "d"], half, sums, "own long, n long, d long")
+    theta = 1 - F.pow(1 - F.try_divide(F.col("d"), F.col("n")), F.lit(1.0 / years))
+    return t.select("row", "col", F.when(F.col("own") == 0, 0).when(F.col("d") == 0, zero_code).otherwise(risk_code(theta, 2)).alias("ldefrate"))
+
+
+def nearest_on_line(x: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """min over i of (at - x[i])² + h[i], for ascending ``x``: the lower envelope of the parabolas, in linear time."""
+    xs, hs = x.tolist(), h.tolist()
+    hull: list[int] = []
+    starts: list[float] = []
+    for q in range(len(xs)):
+        start = -np.inf
+        while hull:
+            p = hull[-1]
+            start = (hs[q] + xs[q] * xs[q] - hs[p] - xs[p] * xs[p]) / (2.0 * (xs[q] - xs[p]))
+            if start > starts[-1]:
+                break
+            hull.pop(), starts.pop()
+            start = -np.inf
+        hull.append(q), starts.append(start)
+    best = np.array(hull)[np.searchsorted(np.array(starts), at, side="right") - 1]
+    return (at - x[best]) ** 2 + h[best]
 
 
 def distance_to(px: DataFrame, is_target: Column, res: float) -> DataFrame:
-    """Exact Euclidean distance of each pixel to the nearest target: nearest per column, then the best over each row.
-
-    The second step sees one row of the grid at a time, whose length is the grid's width.
-    """
+    """Exact Euclidean distance of each pixel to the nearest target: nearest per column, then the lower envelope over each
+    row. NULL where there is no target at all. The second step sees one row of the grid at a time, in linear time."""
     w = Window.partitionBy("col").orderBy("row")
     t = F.when(F.coalesce(is_target, F.lit(False)), F.col("row"))
     up = F.last(t, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -43,35 +104,42 @@ def distance_to(px: DataFrame, is_target: Column, res: float) -> DataFrame:
     vertical = px.select("row", "col", gap.cast("double").alias("gap"))
 
     def envelope(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, g = pdf["col"].to_numpy(), pdf["gap"].to_numpy() ** 2
+        pdf = pdf.sort_values("col")
+        at, g = pdf["col"].to_numpy().astype(float), pdf["gap"].to_numpy() ** 2
         seen = ~np.isnan(g)
-        out = np.full(len(at), np.nan)
-        if seen.any():
-            x, h = at[seen].astype(float), g[seen]
-            for lo in range(0, len(at), 256):
-                out[lo : lo + 256] = ((at[lo : lo + 256, None] - x[None, :]) ** 2 + h[None, :]).min(axis=1)
-        return pd.DataFrame({"row": pdf["row"], "col": at, "dist": np.sqrt(out) * res})
+        best = nearest_on_line(at[seen], g[seen], at) if seen.any() else np.full(len(at), np.nan)
+        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "dist": np.sqrt(best) * res})
 
     out = vertical.groupBy("row").applyInPandas(envelope, "row int, col int, dist double")
     return out.select("row", "col", F.when(~F.isnan("dist"), F.col("dist")).alias("dist"))
 
 
 def slope(px: DataFrame, value: str, res: float) -> DataFrame:
-    """Horn gradient in degrees of pixels with all eight neighbours: each pixel adds its weighted value to its nine targets."""
-    offsets = F.array(
-        *[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(c * (2 - abs(r))).alias("wx"), F.lit(r * (2 - abs(c))).alias("wy")) for r in (-1, 0, 1) for c in (-1, 0, 1)]
-    )
-    v = F.col(value).cast("double")
-    each = px.filter(v.isNotNull()).select("row", "col", v.alias("v"), F.explode(offsets).alias("o"))
-    each = each.select((F.col("row") - F.col("o.r")).alias("row"), (F.col("col") - F.col("o.c")).alias("col"), (F.col("o.wx") * F.col("v")).alias("x"), (F.col("o.wy") * F.col("v")).alias("y"))
-    sums = each.groupBy("row", "col").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.count("*").alias("n")).filter("n = 9")
-    return sums.select("row", "col", F.degrees(F.atan(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) / (8 * res))).alias("slope"))
+    """Horn gradient in degrees of pixels with all eight neighbours."""
+
+    def horn(_: np.ndarray, layers: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        z = layers[value]
+        at = lambda r, c: np.roll(z, (-r, -c), (0, 1))
+        x = sum(c * (2 - abs(r)) * at(r, c) for r in (-1, 0, 1) for c in (-1, 1))
+        y = sum(r * (2 - abs(c)) * at(r, c) for r in (-1, 1) for c in (-1, 0, 1))
+        return {"slope": np.degrees(np.arctan(np.sqrt(x * x + y * y) / (8 * res))) + 0 * z}
+
+    out = halo_tiles(px, [value], 1, horn, "slope double")
+    return out.filter(F.col("slope").isNotNull() & ~F.isnan("slope"))
 
 
 def cell_index(row: Column, col: Column, csize: int, n_cols: int) -> Column:
     return F.floor(row / csize).cast("long") * (-(-n_cols // csize)) + F.floor(col / csize).cast("long")
 
 
+def cell_index_km(flat_id: Column, csize_km: float, res: float, n_cols: int) -> Column:
+    """Coarse cell of csize_km kilometres that holds the centre of the pixel ``flat_id`` (row * n_cols + col)."""
+    side = csize_km * 1000.0
+    wide = int(np.ceil(n_cols * res / side))
+    centre = lambda i: F.floor((i + 0.5) * res / side).cast("long")
+    return centre(F.floor(flat_id / n_cols)) * wide + centre(flat_id % n_cols)
+
+
 def cell_neighbors(cells: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
     """``cells (cell)`` of an n_rows x n_cols cell grid: queen neighbours inside the grid."""
     step = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
@@ -79,9 +147,13 @@ def cell_neighbors(cells: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
     return t.filter(F.col("r").between(0, n_rows - 1) & F.col("c").between(0, n_cols - 1)).select("cell", (F.col("r") * n_cols + F.col("c")).cast("long").alias("neighbor"))
 
 
-def regrid(px: DataFrame, target: DataFrame, value: str, factor: float, bilinear: bool = False) -> DataFrame:
-    """``target (row, col)`` pixels whose size is 1/factor of the source's, valued from ``px`` on the same origin."""
-    y, x = (F.col("row") + 0.5) / factor, (F.col("col") + 0.5) / factor
+def regrid(px: DataFrame, target: DataFrame, value: str, factor: float, bilinear: bool = False, shift: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """``target (row, col)`` pixels whose size is 1/factor of the source's, valued from ``px``.
+
+    ``shift`` is the place (row, col) of the target's corner on the source grid, in source pixels. Nearest takes the pixel
+    that holds the centre, NULL outside the source; bilinear weighs the four centres around it, without the NULL ones.
+    """
+    y, x = (F.col("row") + 0.5) / factor + shift[0], (F.col("col") + 0.5) / factor + shift[1]
     source = px.select(F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).cast("double").alias("v"))
     if not bilinear:
         return target.select("row", "col", F.floor(y).cast("int").alias("sr"), F.floor(x).cast("int").alias("sc")).join(source, ["sr", "sc"], "left").select("row", "col", F.col("v").alias(value))

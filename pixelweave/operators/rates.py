@@ -75,13 +75,22 @@ def distance_table(px: DataFrame, dist: str, loss: str, step: float, last: float
 
 
 def distance_threshold(table: DataFrame, percent: float = 99.5) -> DataFrame:
+    """One row: the first distance with more than ``percent`` of the events, and its percentage to two digits; NULL without one."""
     return table.filter(F.col("perc") > percent).agg(F.min("distance").alias("dist_thresh"), F.round(F.min_by("perc", "distance"), 2).alias("perc"))
 
 
-def cell_tally(px: DataFrame, rates: DataFrame, n_cols: int, csize: int, years: float, pixel_area: float, cat: str = "risk", forest: str = "forest_t1", loss: str = "loss", by: tuple[str, ...] = ()) -> DataFrame:
-    """Observed and predicted events per coarse cell; cells without forest are dropped."""
-    wide = -(-n_cols // csize)
-    cell = F.floor(F.col("row") / csize).cast("long") * wide + F.floor(F.col("col") / csize).cast("long")
+def require_threshold(table: DataFrame, percent: float = 99.5) -> tuple[float, float]:
+    """(distance, percentage) of ``distance_threshold``; ValueError if no distance reaches the percentage."""
+    r = distance_threshold(table, percent).first()
+    if r["dist_thresh"] is None:
+        raise ValueError(f"no distance in the table holds more than {percent} % of the events: take a larger last distance")
+    return r["dist_thresh"], r["perc"]
+
+
+def cell_tally(px: DataFrame, rates: DataFrame, n_cols: int, csize: int | Column, years: float, pixel_area: float, cat: str = "risk", forest: str = "forest_t1", loss: str = "loss", by: tuple[str, ...] = ()) -> DataFrame:
+    """Observed and predicted events per coarse cell; cells without forest are dropped. ``csize`` may be a column."""
+    size = csize if isinstance(csize, Column) else F.lit(csize)
+    cell = F.floor(F.col("row") / size).cast("long") * F.ceil(F.lit(n_cols) / size).cast("long") + F.floor(F.col("col") / size).cast("long")
     t = px.join(rates.select(F.col("cat").alias("_cat"), "defor_dens"), F.col(cat) == F.col("_cat"), "left")
     t = t.groupBy(*by, cell.alias("cell")).agg(
         F.count_if(population(F.col(forest), F.col(loss))).alias("nfor_obs"),
@@ -103,6 +112,25 @@ def accuracy(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def evaluated(px: DataFrame, maps: dict[str, Column], csizes: list[int], n_cols: int, years: float, pixel_area: float, forest: str = "forest_t1", loss: str = "loss") -> DataFrame:
+    """Accuracy of several maps (columns of categories) against one truth at several cell sizes: ``prediction, csize`` and
+    the indices. Each map has its own rate table; pixels are read twice, once for the tables and once for all cells."""
+    long = px.select(
+        "row", "col", F.col(forest).alias("_f"), F.col(loss).alias("_l"), F.explode(F.array(*[F.struct(F.lit(n).alias("prediction"), c.cast("long").alias("risk")) for n, c in maps.items()])).alias("_m")
+    ).select("row", "col", "_f", "_l", "_m.*")
+    pop, ev = population(F.col("_f"), F.col("_l")), event(F.col("_l"))
+    t = long.filter("risk > 0").groupBy("prediction", F.col("risk").alias("cat")).agg(F.count_if(pop).alias("nfor"), F.count_if(ev).alias("ndefor"))
+    t = t.withColumn("rate_mod", model_rate(F.col("cat")))
+    total = t.groupBy("prediction").agg(F.sum("ndefor").alias("_nd"), F.sum(F.col("nfor") * F.col("rate_mod")).alias("_exp"))
+    dens = F.col("rate_mod") * F.try_divide(F.col("_nd").cast("double"), F.col("_exp")) * pixel_area / years
+    rates = t.join(total, "prediction").select("prediction", F.col("cat").alias("risk"), dens.alias("defor_dens"))
+    each = long.join(rates, ["prediction", "risk"], "left").withColumn("csize", F.explode(F.array(*map(F.lit, csizes))))
+    cell = F.floor(F.col("row") / F.col("csize")).cast("long") * F.ceil(F.lit(n_cols) / F.col("csize")).cast("long") + F.floor(F.col("col") / F.col("csize")).cast("long")
+    tally = each.groupBy("prediction", "csize", cell.alias("cell")).agg(F.count_if(pop).alias("nfor_obs"), F.count_if(ev).alias("ndefor_obs"), (F.coalesce(F.sum("defor_dens"), F.lit(0.0)) * years).alias("ndefor_pred_ha"))
+    tally = tally.filter("nfor_obs > 0").select("*", (F.col("nfor_obs") * pixel_area).alias("nfor_obs_ha"), (F.col("ndefor_obs") * pixel_area).alias("ndefor_obs_ha"))
+    return accuracy(tally, ("prediction", "csize"))
+
+
 def allocation(counts: DataFrame, rates: DataFrame, juris_ha: float, years: int, pixel_area: float) -> DataFrame:
     """Two rows, annual and entire period: ``counts (cat, npix)`` of the project times the adjusted densities."""
     t = with_totals(rates, _exp=F.sum(F.col("nfor") * F.col("rate_mod")))
@@ -112,14 +140,33 @@ def allocation(counts: DataFrame, rates: DataFrame, juris_ha: float, years: int,
     return annual.select(F.explode(rows).alias("r")).select("r.*")
 
 
+REQUIRED = ("cat", "nfor", "rate_mod", "pixel_area")
+
+
 def rate_table_faults(rates: DataFrame) -> DataFrame:
-    """One row of violation counts of a rate table's contract."""
-    bad = lambda c: F.count_if(F.coalesce(c, F.lit(True)))
-    return rates.agg(
+    """One row of violation counts of a rate table's contract, in the order in which they are reported."""
+    missing = [c for c in REQUIRED if c not in rates.columns]
+    t = rates.select(*rates.columns, *[F.lit(None).cast("double").alias(c) for c in missing])
+    cat = F.col("cat").cast("double")
+    odd = lambda c: F.coalesce(F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")), F.lit(True))
+    three = REQUIRED[1:]
+    total = F.coalesce(F.sum(F.when(~odd("nfor") & ~odd("rate_mod"), F.col("nfor").cast("double") * F.col("rate_mod"))), F.lit(0.0))
+    return t.agg(
+        F.lit(len(missing)).alias("missing_columns"),
+        F.count_if(F.coalesce(cat != F.floor(cat), F.lit(True))).alias("not_whole"),
+        F.count_if(cat <= 0).alias("not_positive"),
         (F.count("cat") - F.count_distinct("cat")).alias("repeated"),
-        bad(~F.col("cat").between(1, 65535)).alias("out_of_range"),
-        bad(F.col("nfor") < 0).alias("negative_nfor"),
-        bad((F.col("rate_mod") < 0) | F.isnan("rate_mod")).alias("bad_rate"),
-        F.count_if(F.col("pixel_area") <= 0).alias("bad_area"),
-        (F.count("*") == 0).cast("int").alias("empty"),
+        sum((F.count_if(odd(c)) for c in three[1:]), F.count_if(odd(three[0]))).alias("not_finite"),
+        sum((F.count_if(F.col(c) < 0) for c in three[1:]), F.count_if(F.col(three[0]) < 0)).alias("negative"),
+        (F.count_distinct("pixel_area") != 1).cast("int").alias("areas_differ"),
+        F.coalesce((F.min("pixel_area") <= 0).cast("int"), F.lit(0)).alias("no_area"),
+        (total <= 0).cast("int").alias("no_risk"),
     )
+
+
+def require_rate_table(rates: DataFrame) -> None:
+    """ValueError that names the first fault of a rate table."""
+    r = rate_table_faults(rates).first()
+    for name, n in r.asDict().items():
+        if n:
+            raise ValueError(f"rate table: {name} ({n})")

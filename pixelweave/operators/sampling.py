@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.grid import GridSpec
+
 
 def ranked(px: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Row-major rank from 0 of each pixel (within ``by``): counts per line, their running total, then ranks in lines."""
@@ -52,12 +54,82 @@ def allocate_proportional(counts: DataFrame, n: int) -> DataFrame:
     return counts.join(F.broadcast(t)).withColumn("n_alloc", F.least(F.bround(F.lit(float(n)) * F.col("n") / F.col("_t"), 0).cast("long"), F.col("n"))).drop("_t")
 
 
-def adaptive_size(area_mha: Column) -> Column:
-    """1000 samples a million hectares, 10 000 to 50 000."""
-    return F.least(F.greatest(F.bround(area_mha * 1000, 0), F.lit(10_000.0)), F.lit(50_000.0)).cast("long")
+def adaptive_size(pixels: Column, pixel_area: float) -> Column:
+    """1000 samples a million hectares of ``pixels``, rounded half to even, 10 000 to 50 000."""
+    wanted = 1000 * (F.lit(pixel_area) * pixels) / 1e6
+    return F.when(wanted >= 50_000, 50_000).when(wanted <= 10_000, 10_000).otherwise(F.bround(wanted, 0)).cast("long")
+
+
+def allocate_each(counts: DataFrame, n: int, pixel_area: float | None = None) -> DataFrame:
+    """``n`` samples of every class, or with a pixel area the adaptive number for the area of all classes together; no
+    more than a class has."""
+    if pixel_area is None:
+        return counts.withColumn("n_alloc", F.least(F.lit(n).cast("long"), F.col("n")))
+    total = counts.agg(F.sum("n").alias("_t"))
+    return counts.join(F.broadcast(total)).withColumn("n_alloc", F.least(adaptive_size(F.col("_t"), pixel_area), F.col("n"))).drop("_t")  # one row
+
+
+ALLOCATIONS = {"equal": allocate_equal, "proportional": allocate_proportional}
+
+
+def points(px: DataFrame, value: str, grid: GridSpec, strategy: str, n: int | None = None, allocation: str = "equal", seed: int = 0, spacing: float | None = None, adapt: bool = False) -> DataFrame:
+    """``(draw, strata, row, col, x, y)``: pixels with a value, at their centres, by a strategy.
+
+    ``random`` and ``stratified`` number their points in the order of the draw (classes in descending order, events first);
+    all pixels are taken, in row order, if there are no more than ``n``. ``systematic`` takes every k-th row and column: by
+    ``spacing`` in metres, or so that about ``n`` are left. Only systematic sampling with a spacing may leave out ``n``.
+    """
+    if n is None and not (strategy == "systematic" and spacing is not None):
+        raise ValueError(f"the number of samples is needed for {strategy} sampling")
+    valid = px.filter(F.col(value).isNotNull()).select("row", "col", F.col(value).cast("int").alias("strata"))
+    if strategy == "random":
+        out = random_points(valid, n, seed)
+    elif strategy == "stratified":
+        counts = valid.groupBy("strata").agg(F.count("*").alias("n"))
+        area = grid.pixel_area_ha() if adapt else None
+        alloc = allocate_each(counts, n, area) if allocation == "each" else ALLOCATIONS[allocation](counts, n)
+        out = stratified_points(valid, "strata", {r["strata"]: r["n_alloc"] for r in alloc.collect()}, seed)
+    elif strategy == "systematic":
+        if spacing is not None:
+            if spacing <= 0:
+                raise ValueError("the spacing must be positive")
+            steps = [max(1, round(spacing / abs(r))) for r in (grid.res_y, grid.res_x)]
+        else:
+            have = valid.count()
+            steps = [1, 1] if n >= have else [max(1, round((have / n) ** 0.5))] * 2
+        out = systematic(valid, *steps).withColumn("draw", F.lit(None).cast("long"))
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    x, y = grid.centre(F.col("row"), F.col("col"))
+    return out.select("draw", "strata", "row", "col", x.alias("x"), y.alias("y"))
+
+
+def in_draw_order(drawn: DataFrame) -> DataFrame:
+    """Events first, each class in the order it was drawn; pixels that were not drawn in row order."""
+    return drawn.orderBy(F.desc("strata"), F.asc_nulls_last("draw"), "row", "col")
+
+
+def sampled_classes(drawn: DataFrame) -> DataFrame:
+    return drawn.groupBy("strata").agg(F.count("*").alias("n"))
 
 
 def extract(points: DataFrame, layers: DataFrame, names: list[str], width: int) -> DataFrame:
     """``points (row, col)`` with the layers' values where all are known, cell_id and trial."""
     t = points.select("row", "col").join(layers.select("row", "col", *names), ["row", "col"]).dropna(subset=names)
     return t.select(*names, (F.col("row").cast("long") * width + F.col("col")).alias("cell_id"), F.lit(1).alias("trial"))
+
+
+def extract_at(points: DataFrame, target: GridSpec, layers: list[tuple[DataFrame, GridSpec, list[str]]]) -> DataFrame:
+    """``points (x, y)`` with the values of layers on grids of their own: for each grid the pixel that holds the point.
+
+    A point outside a grid, or without a value in any layer, is left out. ``cell_id`` is the pixel on the target grid.
+    """
+    row, col = target.pixel(F.col("x"), F.col("y"))
+    t = points.select("x", "y", row.alias("_row"), col.alias("_col")).filter("_row IS NOT NULL AND _col IS NOT NULL")
+    every: list[str] = []
+    for i, (px, grid, names) in enumerate(layers):
+        r, c = grid.pixel(F.col("x"), F.col("y"))
+        own = px.select(F.col("row").alias(f"_r{i}"), F.col("col").alias(f"_c{i}"), *names)
+        t = t.withColumn(f"_r{i}", r).withColumn(f"_c{i}", c).join(own, [f"_r{i}", f"_c{i}"])
+        every += names
+    return t.dropna(subset=every).select(*every, target.flat_id(F.col("_row"), F.col("_col")).alias("cell_id"), F.lit(1).alias("trial"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.operators.ranks import positions, quantiles
 from pixelweave.sources.shared import written
 
 
@@ -29,17 +30,16 @@ def deviance(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def trace_summary(trace: DataFrame) -> DataFrame:
-    return trace.groupBy("param").agg(
-        F.avg("value").alias("estimate"), F.stddev_samp("value").alias("std"),
-        F.percentile("value", F.lit(0.025)).alias("ci_low"), F.percentile("value", F.lit(0.975)).alias("ci_high"),
-    )
+    """Mean, deviation and 95 % interval of each parameter of ``trace (iter, param, value)``."""
+    ends = quantiles(trace, "value", [0.025, 0.975], ["param"]).toDF("param", "ci_low", "ci_high")
+    return trace.groupBy("param").agg(F.avg("value").alias("estimate"), F.stddev_samp("value").alias("std")).join(ends, "param", "left")
 
 
 def split_rhat(trace: DataFrame) -> DataFrame:
     """Split R-hat of ``trace (iter, param, value)``; NULL for constant or short traces."""
-    w = Window.partitionBy("param")
-    t = trace.withColumn("i", F.row_number().over(w.orderBy("iter"))).withColumn("h", F.floor(F.count("*").over(w) / 2))
-    t = t.filter(F.col("i") <= 2 * F.col("h")).withColumn("half", (F.col("i") > F.col("h")).cast("int"))
+    n = trace.groupBy("param").agg(F.floor(F.count("*") / 2).alias("h"))
+    t = positions(trace.select("iter", "param", "value"), ["param"], "iter").join(n, "param")
+    t = t.filter(F.col("_at") < 2 * F.col("h")).withColumn("half", (F.col("_at") >= F.col("h")).cast("int"))
     halves = t.groupBy("param", "half").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
     out = halves.groupBy("param").agg(F.avg("v").alias("w"), F.var_samp("m").alias("b"), F.min("n").alias("n"))
     r = F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b")) / F.col("w"))
@@ -51,8 +51,9 @@ def effective_sample_size(trace: DataFrame, block: int = 16) -> DataFrame:
     not positive. Lags are tried ``block`` pairs at a time, and only for parameters whose pairs were all positive so far.
     NULL for constant traces and those of fewer than four values; NULL values take no part.
     """
-    w = Window.partitionBy("param")
-    t = trace.dropna(subset=["value"]).select("param", F.row_number().over(w.orderBy("iter")).alias("i"), (F.col("value") - F.avg("value").over(w)).alias("c"), "value")
+    known = trace.select("iter", "param", "value").dropna(subset=["value"])
+    mean = known.groupBy("param").agg(F.avg("value").alias("_m"))
+    t = positions(known, ["param"], "iter").join(mean, "param").select("param", F.col("_at").alias("i"), (F.col("value") - F.col("_m")).alias("c"), "value")
     t = written(t)
     total = written(t.groupBy("param").agg(F.sum(F.col("c") * F.col("c")).alias("v"), F.count("*").alias("n"), ((F.count("*") >= 4) & (F.min("value") < F.max("value"))).alias("usable")))
     live, pairs, first = t.join(total.filter("usable").select("param"), "param", "left_semi"), None, 0
@@ -84,21 +85,13 @@ def importance_top(parts: DataFrame, n: int = 15) -> DataFrame:
     return parts.groupBy("variable").agg(F.sum("value").alias("importance")).orderBy(F.desc("importance"), "variable").limit(n)
 
 
-def thin_scatter(points: DataFrame, x: str, y: str, order: str, bins: int = 200) -> DataFrame:
-    """The first point of each of bins x bins squares."""
-    b = points.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
-    at = lambda v, lo, hi: F.least(F.floor(F.try_divide((F.col(v) - F.col(lo)) * bins, F.col(hi) - F.col(lo))), F.lit(bins - 1))
-    t = points.join(F.broadcast(b)).withColumn("bx", at(x, "x0", "x1")).withColumn("by", at(y, "y0", "y1"))
-    return t.groupBy("bx", "by").agg(F.min_by(F.struct(order, x, y), order).alias("p")).select("p.*")
-
-
-def stretch(df: DataFrame, value: str) -> DataFrame:
-    return df.agg(F.percentile(value, F.lit(0.02)).alias("low"), F.percentile(value, F.lit(0.98)).alias("high"))
-
-
-def axis_bounds(points: DataFrame, x: str, y: str) -> DataFrame:
-    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    return points.filter(known(x) & known(y)).agg(F.least(F.min(x), F.min(y)).alias("low"), F.greatest(F.max(x), F.max(y)).alias("high"))
+def thin_scatter(points: DataFrame, x: str, y: str, order: str, bins: int = 200, most: int = 10_000) -> DataFrame:
+    """All points if there are no more than ``most``; else the first point of each of bins x bins squares."""
+    b = points.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), (F.count("*") > most).alias("many"))
+    at = lambda v, lo, hi: F.least(F.floor(F.coalesce(F.try_divide((F.col(v) - F.col(lo)) * bins, F.col(hi) - F.col(lo)), F.lit(0.0))), F.lit(bins - 1))
+    t = points.join(F.broadcast(b)).withColumn("bx", at(x, "x0", "x1")).withColumn("by", at(y, "y0", "y1"))  # one row
+    alone = F.when(F.col("many"), F.lit(None)).otherwise(F.col(order))
+    return t.groupBy("bx", "by", alone.alias("alone")).agg(F.min_by(F.struct(order, x, y), order).alias("p")).select("p.*")
 
 
 def pivot_metric(t: DataFrame, row: str, col: str, metric: str, values: list[int]) -> DataFrame:

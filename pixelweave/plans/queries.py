@@ -1,15 +1,14 @@
-"""Queries over the driver's tables, each with the SQL that gives the same rows.
-
-The pixel stack numbers orders row by row on a grid 150 wide; its layers come from the order and its customer.
-"""
+"""Queries of single operators over the driver's tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.functions import names as NA
 from pixelweave.functions import scalars as S
 from pixelweave.operators import catalog as C
+from pixelweave.operators import derived as D
 from pixelweave.operators import geometry as GEO
 from pixelweave.operators import layers as L
 from pixelweave.operators import models as M
@@ -17,60 +16,11 @@ from pixelweave.operators import neighborhood as N
 from pixelweave.operators import rates as R
 from pixelweave.operators import sampling as P
 from pixelweave.operators import stats as T
+from pixelweave.operators import summaries as U
 from pixelweave.operators import tiles as TI
+from pixelweave.plans.tables import AREA, COUNTS, PER_CAT, PX, RATE_COLS, SQL, WIDTH, YEARS, E, K, Q, W, borders, catalog, grid, parcels, pixels, query, rounded, trace
 
-WIDTH, AREA, YEARS = 150, 0.09, 5
-
-G = """g AS (
-SELECT CAST(floor(o.o_orderkey / 150) AS INT) AS row, CAST(o.o_orderkey % 150 AS INT) AS col,
-  CASE WHEN o.o_custkey % 20 = 0 THEN NULL WHEN o.o_custkey % 10 < 8 THEN 1 ELSE 0 END AS forest_t1,
-  CASE WHEN o.o_custkey % 20 = 7 THEN NULL WHEN o.o_custkey % 10 >= 8 THEN 0
-       WHEN o.o_orderstatus = 'F' AND o.o_totalprice < 150000 THEN 0 ELSE 1 END AS forest_t2,
-  CASE WHEN o.o_custkey % 20 = 7 THEN NULL WHEN o.o_custkey % 10 >= 8 THEN 0
-       WHEN o.o_orderstatus IN ('F','P') AND o.o_totalprice < 200000 THEN 0 ELSE 1 END AS forest_t3,
-  c.c_nationkey + 1 AS subj, CASE WHEN c.c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS pa,
-  CAST(o.o_totalprice AS DOUBLE) AS elevation, CAST(floor(o.o_totalprice) AS INT) % 50 + 1 AS risk
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
-l AS (SELECT *, CASE WHEN forest_t1 = 1 AND forest_t2 = 0 THEN 1 WHEN forest_t1 = 1 AND forest_t2 = 1 THEN 0 END AS loss,
-  CASE WHEN coalesce(forest_t1, 0) = 1 AND coalesce(forest_t2, 0) = 0 AND coalesce(forest_t3, 0) = 0 THEN 1
-       WHEN coalesce(forest_t1, 0) = 1 AND coalesce(forest_t2, 0) = 1 AND coalesce(forest_t3, 0) = 0 THEN 2
-       WHEN coalesce(forest_t3, 0) = 1 THEN 3 ELSE 0 END AS fcc,
-  CAST((row * 37 + col * 11) % 700 * 10 AS DOUBLE) AS edge FROM g)"""
-COUNTS = """t AS (SELECT CAST({cat} AS BIGINT) AS cat, CAST(count(*) FILTER (WHERE {pop}) AS BIGINT) AS nfor,
-  CAST(count(*) FILTER (WHERE {ev}) AS BIGINT) AS ndefor FROM {src} WHERE {cat} > 0 GROUP BY 1)"""
-RATE_COLS = """SELECT cat, nfor, ndefor, 5e0 AS time_interval, round(rate_obs, 10) AS rate_obs, round(rate_mod, 10) AS rate_mod,
-  round(rate_mod * k, 10) AS rate_abs, 0.09e0 AS pixel_area, round({dens} * 0.09e0 / 5e0, 10) AS defor_dens FROM u"""
-PER_CAT = (
-    "WITH " + G + ", " + COUNTS.format(cat="risk", pop="forest_t1 = 1 OR loss = 1", ev="loss = 1", src="l") + """,
-s AS (SELECT *, CASE WHEN nfor > 0 THEN 1e0 - pow(1e0 - CAST(ndefor AS DOUBLE) / nfor, 1e0 / 5e0) END AS rate_obs,
-  CASE WHEN cat = 1 THEN 0e0 ELSE ((cat - 2) * 999999e0 / 65533e0 + 1e0) * 1e-6 END AS rate_mod FROM t),
-u AS (SELECT *, (SELECT sum(ndefor) / sum(nfor * rate_mod) FROM s) AS k FROM s)"""
-)
-
-
-def pixels(spark: SparkSession, d: str) -> DataFrame:
-    """The pixel stack with its loss layer, three-date stack and edge distance."""
-    o = spark.read.parquet(f"{d}/orders.parquet")
-    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
-    k, price, status = F.col("o_custkey"), F.col("o_totalprice"), F.col("o_orderstatus")
-    later = lambda lost: F.when(k % 20 == 7, None).when(k % 10 >= 8, 0).when(lost, 0).otherwise(1)
-    g = o.join(c, o.o_custkey == c.c_custkey).select(
-        F.floor(F.col("o_orderkey") / WIDTH).cast("int").alias("row"),
-        (F.col("o_orderkey") % WIDTH).cast("int").alias("col"),
-        F.when(k % 20 == 0, None).when(k % 10 < 8, 1).otherwise(0).alias("forest_t1"),
-        later((status == "F") & (price < 150000)).alias("forest_t2"),
-        later(status.isin("F", "P") & (price < 200000)).alias("forest_t3"),
-        (F.col("c_nationkey") + 1).alias("subj"),
-        (F.col("c_mktsegment") == "BUILDING").cast("int").alias("pa"),
-        price.cast("double").alias("elevation"),
-        (F.floor(price).cast("int") % 50 + 1).alias("risk"),
-    )
-    t1, t2, t3 = (F.col(f"forest_t{i}") for i in (1, 2, 3))
-    return g.select("*", L.change(t1, t2, "loss").alias("loss"), L.three_dates(t1, t2, t3).alias("fcc"), (((F.col("row") * 37 + F.col("col") * 11) % 700) * 10).cast("double").alias("edge"))
-
-
-def rounded(df: DataFrame, digits: int = 10) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in ("time_interval", "pixel_area") else F.col(c) for c, t in df.dtypes])
+__all__ = ["Q", "SQL"]
 
 
 def per_cat(px: DataFrame) -> DataFrame:
@@ -89,61 +39,6 @@ def coarse(px: DataFrame, csize: int = 25) -> DataFrame:
     return R.cell_tally(px, per_cat(px), WIDTH, csize, YEARS, AREA)
 
 
-def all_indices(px: DataFrame) -> DataFrame:
-    """Two maps against one truth at three cell sizes, in one pass over long-form maps."""
-    maps = F.array(F.struct(F.lit("a").alias("prediction"), F.col("risk").alias("r")), F.struct(F.lit("b").alias("prediction"), (51 - F.col("risk")).alias("r")))
-    long = px.select("row", "col", "forest_t1", "loss", F.explode(maps).alias("m"), ).select("row", "col", "forest_t1", "loss", "m.prediction", F.col("m.r").alias("risk"))
-    rates = per_cat(px).select("cat", "defor_dens")
-    out = None
-    for cs in (10, 25, 50):
-        one = R.accuracy(R.cell_tally(long, rates, WIDTH, cs, YEARS, AREA, by=("prediction",)), ("prediction",)).withColumn("csize", F.lit(cs))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def catalog(spark: SparkSession, d: str) -> DataFrame:
-    """A layer catalog: one layer per supplier, named after its nation."""
-    s, n = spark.read.parquet(f"{d}/supplier.parquet"), spark.read.parquet(f"{d}/nation.parquet")
-    t = s.join(n, s.s_nationkey == n.n_nationkey)
-    name, year = F.lower(F.regexp_replace("n_name", " ", "_")), (2000 + F.col("s_suppkey") % 25).cast("int")
-    return t.select(
-        F.col("s_suppkey").alias("id"), name.alias("name"), year.alias("year"),
-        F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("raw"), F.lit("mask"))).when(F.col("s_suppkey") % 3 == 1, F.array(F.lit("raw"))).otherwise(F.array(F.lit("dist"))).alias("tags"),
-        F.concat(F.lit("/data/"), name, F.lit("_"), year.cast("string"), F.lit(".tif")).alias("path"),
-    )
-
-
-K = """k AS (SELECT s_suppkey AS id, lower(replace(n_name, ' ', '_')) AS name, CAST(2000 + s_suppkey % 25 AS INT) AS year, s_suppkey % 3 AS m,
-  '/data/' || lower(replace(n_name, ' ', '_')) || '_' || CAST(2000 + s_suppkey % 25 AS VARCHAR) || '.tif' AS path
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
-
-
-def trace(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet")
-    return e.select(F.col("event_id").alias("iter"), F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string")).alias("param"), F.col("value").cast("double").alias("value"))
-
-
-E = "e AS (SELECT event_id AS iter, 'p' || CAST(user_id % 7 AS VARCHAR) AS param, CAST(value AS DOUBLE) AS value FROM events)"
-
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, source=pixels):
-    """Register a function of the source table."""
-
-    def add(f):
-        Q[name] = lambda spark, d: f(source(spark, d))
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-W = "WITH " + G + " "
-PX = F.col
-
 query("loss_layer", W + "SELECT row, col, loss FROM l")(lambda px: px.select("row", "col", "loss"))
 query("gain_layer", W + "SELECT row, col, CASE WHEN forest_t1 = 0 AND forest_t2 = 1 THEN 1 WHEN forest_t1 = 0 AND forest_t2 = 0 THEN 0 END AS gain FROM g")(
     lambda px: px.select("row", "col", L.change(PX("forest_t1"), PX("forest_t2"), "gain").alias("gain")))
@@ -158,14 +53,14 @@ query("remap_binary", W + "SELECT row, col, CASE WHEN subj IN (1, 2, 3) THEN 1 W
 query("unmask", W + "SELECT row, col, coalesce(forest_t1, 0) AS value FROM g")(lambda px: px.select("row", "col", L.unmasked(PX("forest_t1")).alias("value")))
 query("mask_pixels", W + "SELECT row, col, risk FROM g WHERE NOT (forest_t2 IS NULL OR forest_t2 IN (0))")(lambda px: px.filter(~L.suppressed(PX("forest_t2"), [0])).select("row", "col", "risk"))
 query("valid_count", W + "SELECT count(*) AS n FROM g WHERE forest_t1 IS NOT NULL AND coalesce(pa <> 0, false)")(lambda px: px.filter(L.valid(PX("forest_t1"), PX("pa"))).agg(F.count("*").alias("n")))
-query("class_counts", W + "SELECT subj, count(*) AS n FROM g GROUP BY subj")(lambda px: px.groupBy("subj").agg(F.count("*").alias("n")))
-query("fixed_category_counts", W + "SELECT c.cat, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(range(1, 101)) AS BIGINT) AS cat) c LEFT JOIN (SELECT risk, count(*) AS n FROM g GROUP BY risk) r ON c.cat = r.risk")(
-    lambda px: px.sparkSession.range(1, 101).select(F.col("id").alias("cat")).join(px.groupBy(F.col("risk").cast("long").alias("cat")).agg(F.count("*").alias("n")), "cat", "left").fillna(0))
-query("levels", W + "SELECT list_sort(list(DISTINCT subj)) AS levels FROM g WHERE subj IS NOT NULL")(lambda px: px.agg(F.sort_array(F.collect_set("subj")).alias("levels")))
+query("class_counts", W + "SELECT subj, count(*) AS n FROM g GROUP BY subj")(lambda px: U.class_counts(px, "subj"))
+query("fixed_category_counts", W + """SELECT c.cat, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(range(1, 101)) AS BIGINT) AS cat) c
+LEFT JOIN (SELECT risk, count(*) AS n FROM g GROUP BY risk) r ON c.cat = r.risk""")(lambda px: U.listed_counts(px, "risk", px.sparkSession.range(1, 101).toDF("cat")))
+query("levels", W + "SELECT list_sort(list(DISTINCT subj)) AS levels FROM g WHERE subj IS NOT NULL")(lambda px: U.levels(px, "subj"))
 query("layer_summary", W + " ".join([" UNION ALL ".join(f"SELECT '{c}' AS layer, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, count({c}) AS count FROM g" for c in ("forest_t1", "elevation", "risk"))]))(
     lambda px: T.layer_summary(px, ["forest_t1", "elevation", "risk"]).withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6)))
 query("binary_guard", W + "SELECT min(loss) AS least, max(loss) AS most, NOT coalesce(min(loss) < 0 OR max(loss) > 1 OR max(loss) = 0, true) AS valid FROM l")(
-    lambda px: px.agg(F.min("loss").alias("least"), F.max("loss").alias("most"), (~F.coalesce((F.min("loss") < 0) | (F.max("loss") > 1) | (F.max("loss") == 0), F.lit(True))).alias("valid")))
+    lambda px: U.binary_check(px, "loss"))
 CODE = "CAST(floor((greatest({p}, 1e-6) * 1e6 - 1e0) * {span}e0 / 999999e0 + {low}e0) AS INT)"
 query("rescale_risk", W + f"SELECT row, col, {CODE.format(p='risk / 64e0', span=65534, low=1)} AS code FROM g")(lambda px: px.select("row", "col", S.risk_code(PX("risk") / F.lit(64.0)).alias("code")))
 query("import_contract", W + f"SELECT row, col, {CODE.format(p='least(greatest(risk / 32e0 - 0.25e0, 0e0), 1e0)', span=65534, low=1)} AS code FROM g")(
@@ -180,7 +75,6 @@ u AS (SELECT *, (SELECT sum(ndefor) / sum(nfor * rate_mod) FROM s) AS k FROM s)
 query("vulnerability", W + f"SELECT row, col, CAST({VULN} AS INT) AS vuln FROM l")(lambda px: vulnerable(px).select("row", "col", "vuln"))
 query("defrate_per_class", W + f", v AS (SELECT *, {VULN} AS vuln FROM l), " + COUNTS.format(cat="vuln", pop="forest_t1 = 1 OR loss = 1", ev="loss = 1", src="v") + ", " + PER_CLASS + RATE_COLS.format(dens="rate_mod * k"))(
     lambda px: rounded(R.defrate_per_class(vulnerable(px), YEARS, AREA, "vuln")))
-query("jnr_apply", SQL["defrate_per_class"])(lambda px: rounded(R.defrate_per_class(vulnerable(px), YEARS, AREA, "vuln")))
 query("defrate_fcc_period", W + ", " + COUNTS.format(cat="subj", pop="fcc > 1", ev="fcc = 2", src="l") + ", " + PER_CLASS + RATE_COLS.format(dens="rate_mod * k"))(
     lambda px: rounded(R.defrate_per_class(R.period_layers(px, "fcc", "validation"), YEARS, AREA, "subj", "_forest", "_loss")))
 CELLS = PER_CAT + """, r AS (SELECT cat, rate_mod * k * 0.09e0 / 5e0 AS dens FROM u), c AS (
@@ -191,36 +85,48 @@ query("cell_tally", CELLS.format(by="", cs=25, src="l") + "SELECT cell, nfor_obs
 IDX = """SELECT {by} round(sqrt(avg(e * e)), 8) AS "RMSE", round(sqrt(sum(w * e * e) / sum(w)), 8) AS "wRMSE", round(quantile_cont(abs(e), 0.5), 8) AS "MedAE",
   round(pow(corr(p, o), 2), 8) AS "R2", count(*) AS ncell{cs} FROM (SELECT {by} ndefor_pred_ha AS p, ndefor_obs * 0.09e0 AS o, nfor_obs * 0.09e0 AS w, ndefor_pred_ha - ndefor_obs * 0.09e0 AS e FROM c) {group}"""
 query("accuracy_indices", CELLS.format(by="", cs=25, src="l") + IDX.format(by="", cs="", group=""))(lambda px: rounded(R.accuracy(coarse(px)), 8))
-MAPS = ", ll AS (SELECT row, col, forest_t1, loss, 'a' AS prediction, risk FROM l UNION ALL SELECT row, col, forest_t1, loss, 'b', 51 - risk FROM l)"
-query("indices_all", " UNION ALL ".join(
-    "SELECT * FROM (" + CELLS.format(by="prediction,", cs=cs, src="ll").replace(", r AS (", MAPS + ", r AS (", 1) + IDX.format(by="prediction,", cs=f", {cs} AS csize", group="GROUP BY prediction") + ")" for cs in (10, 25, 50)))(
-    lambda px: rounded(all_indices(px), 8))
+INDICES_ALL = W + """, m AS (SELECT row, col, forest_t1, loss, 'a' AS prediction, risk FROM l UNION ALL SELECT row, col, forest_t1, loss, 'b', 51 - risk FROM l),
+t AS (SELECT prediction, risk, CAST(count(*) FILTER (WHERE forest_t1 = 1 OR loss = 1) AS BIGINT) AS nfor, CAST(count(*) FILTER (WHERE loss = 1) AS BIGINT) AS ndefor,
+  CASE WHEN risk = 1 THEN 0e0 ELSE ((risk - 2) * 999999e0 / 65533e0 + 1e0) * 1e-6 END AS rate FROM m GROUP BY ALL),
+x AS (SELECT prediction, sum(ndefor) / sum(nfor * rate) AS k FROM t GROUP BY prediction),
+r AS (SELECT t.prediction, risk, rate * k * 0.09e0 / 5e0 AS dens FROM t JOIN x ON t.prediction = x.prediction),
+c AS (SELECT m.prediction, z.csize, CAST(floor(row / z.csize) AS BIGINT) * CAST(ceil(150e0 / z.csize) AS BIGINT) + CAST(floor(col / z.csize) AS BIGINT) AS cell,
+  count(*) FILTER (WHERE forest_t1 = 1 OR loss = 1) AS nfor, count(*) FILTER (WHERE loss = 1) AS ndefor, coalesce(sum(dens), 0e0) * 5 AS p
+  FROM m CROSS JOIN (VALUES (10), (25), (50)) z(csize) LEFT JOIN r ON m.prediction = r.prediction AND m.risk = r.risk GROUP BY 1, 2, 3 HAVING nfor > 0),
+e AS (SELECT *, ndefor * 0.09e0 AS o, nfor * 0.09e0 AS w, p - ndefor * 0.09e0 AS e FROM c)
+SELECT prediction, csize, round(sqrt(avg(e * e)), 8) AS "RMSE", round(sqrt(sum(w * e * e) / sum(w)), 8) AS "wRMSE", round(quantile_cont(abs(e), 0.5), 8) AS "MedAE",
+  round(pow(corr(p, o), 2), 8) AS "R2", count(*) AS ncell FROM e GROUP BY prediction, csize"""
+query("indices_all", INDICES_ALL)(lambda px: rounded(R.evaluated(px, {"a": PX("risk"), "b": 51 - PX("risk")}, [10, 25, 50], WIDTH, YEARS, AREA), 8))
 query("tab_distance", W + """, b AS (SELECT unnest(range(1, 167)) AS bin), h AS (SELECT CASE WHEN edge > 0 AND edge <= 4980 THEN ceil(edge / 30e0) END AS bin FROM l WHERE loss = 1),
 n AS (SELECT b.bin, count(h.bin) AS npix FROM b LEFT JOIN h ON b.bin = h.bin GROUP BY b.bin)
 SELECT bin * 30e0 AS distance, npix, round(npix * 0.09e0, 8) AS area, round(sum(npix) OVER (ORDER BY bin) * 0.09e0, 8) AS cum,
   round(100e0 * sum(npix) OVER (ORDER BY bin) / (SELECT count(*) FROM h), 8) AS perc FROM n""")(lambda px: rounded(R.distance_table(px, "edge", "loss", 30.0, 5000.0, AREA), 8))
 query("dist_threshold", "WITH tab AS (" + SQL["tab_distance"] + ") SELECT min(distance) AS dist_thresh, round(arg_min(perc, distance), 2) AS perc FROM tab WHERE perc > 60")(
     lambda px: R.distance_threshold(R.distance_table(px, "edge", "loss", 30.0, 5000.0, AREA), 60.0))
+WINDOW = W + """, m AS (SELECT row, col, CASE WHEN forest_t1 = 1 OR loss = 1 THEN 1 ELSE 0 END AS n, CASE WHEN loss = 1 THEN 1 ELSE 0 END AS d FROM l),
+w AS (SELECT a.row, a.col, a.n AS own, sum(b.n) AS n, sum(b.d) AS d FROM m a JOIN m b ON b.row BETWEEN a.row - {h} AND a.row + {h} AND b.col BETWEEN a.col - {h} AND a.col + {h} GROUP BY a.row, a.col, a.n)
+SELECT row, col, CASE WHEN own = 0 THEN 0 ELSE {code} END AS ldefrate FROM w"""
 for _size in (5, 11, 21):
-    _h = _size // 2
-    query(f"moving_window_{_size}", W + f""", m AS (SELECT row, col, CASE WHEN forest_t1 = 1 OR loss = 1 THEN 1 ELSE 0 END AS n, CASE WHEN loss = 1 THEN 1 ELSE 0 END AS d FROM l),
-w AS (SELECT a.row, a.col, sum(b.n) AS n, sum(b.d) AS d FROM m a JOIN m b ON b.row BETWEEN a.row - {_h} AND a.row + {_h} AND b.col BETWEEN a.col - {_h} AND a.col + {_h} WHERE a.n = 1 GROUP BY a.row, a.col)
-SELECT row, col, CASE WHEN d = 0 THEN 1 ELSE {CODE.format(p='1e0 - pow(1e0 - CAST(d AS DOUBLE) / n, 1e0 / 5e0)', span=65533, low=2)} END AS ldefrate FROM w""")(lambda px, s=_size: local(px, s))
-query("mw_apply", "WITH mw AS (" + SQL["moving_window_5"] + "), " + (PER_CAT.replace("FROM l WHERE risk > 0", "FROM x WHERE risk > 0")[5:]).replace(", t AS (", ", x AS (SELECT l.row, l.col, forest_t1, loss, CASE WHEN edge > 3000 THEN 1 ELSE ldefrate END AS risk FROM l JOIN mw ON l.row = mw.row AND l.col = mw.col), t AS (", 1) + RATE_COLS.format(dens="rate_mod * k"))(
-    lambda px: rounded(R.defrate_per_cat(local(px, 5).join(px.select("row", "col", "edge", "forest_t1", "loss"), ["row", "col"]).withColumn("risk", L.zero_beyond(PX("ldefrate"), PX("edge"), 3000.0)), YEARS, AREA)))
-query("dist_to_edge", W + ", z AS (SELECT row, col FROM l WHERE forest_t1 = 0 AND row < 100) SELECT a.row, a.col, round(min(sqrt(pow(a.row - z.row, 2) + pow(a.col - z.col, 2))) * 30e0, 6) AS dist FROM l a, z WHERE a.row < 100 AND a.forest_t1 IS NOT NULL GROUP BY a.row, a.col")(
-    lambda px: N.distance_to(px.filter("row < 100"), PX("forest_t1") == 0, 30.0).join(px.filter("forest_t1 IS NOT NULL").select("row", "col"), ["row", "col"]).select("row", "col", F.round("dist", 6).alias("dist")))
+    query(f"moving_window_{_size}", WINDOW.format(h=_size // 2, code=CODE.format(p="1e0 - pow(1e0 - CAST(d AS DOUBLE) / n, 1e0 / 5e0)", span=65533, low=2)))(lambda px, s=_size: local(px, s))
+query("dist_to_edge", W + """, z AS (SELECT row, col FROM l WHERE forest_t1 = 0)
+SELECT a.row, a.col, round(min(sqrt(pow(a.row - z.row, 2) + pow(a.col - z.col, 2))) * 30e0, 6) AS dist FROM l a, z WHERE a.forest_t1 IS NOT NULL GROUP BY a.row, a.col""")(
+    lambda px: D.distance_layer(px, "forest_t1", "edge", 30.0).select("row", "col", F.round("forest_t1_edge", 6).alias("dist")))
 query("slope", W + """, s AS (SELECT row - r AS row, col - c AS col, sum(c * (2 - abs(r)) * elevation) AS x, sum(r * (2 - abs(c)) * elevation) AS y FROM g, (VALUES (-1), (0), (1)) p(r), (VALUES (-1), (0), (1)) q(c) GROUP BY 1, 2 HAVING count(*) = 9)
 SELECT row, col, round(degrees(atan(sqrt(x * x + y * y) / 240e0)), 8) AS slope FROM s""")(
     lambda px: N.slope(px, "elevation", 30.0).withColumn("slope", F.round("slope", 8)))
-query("systematic_count", W + ", s AS (SELECT CAST(greatest(1, round(sqrt(count(*) / 500e0))) AS INT) AS k FROM g WHERE forest_t1 IS NOT NULL) SELECT row, col FROM g, s WHERE forest_t1 IS NOT NULL AND row % k = 0 AND col % k = 0")(
-    lambda px: px.filter("forest_t1 IS NOT NULL").join(F.broadcast(px.filter("forest_t1 IS NOT NULL").agg(F.greatest(F.lit(1), F.round(F.sqrt(F.count("*") / 500.0)).cast("int")).alias("k")))).filter("row % k = 0 AND col % k = 0").select("row", "col"))
+query("systematic_count", W + """, s AS (SELECT CAST(greatest(1, round_even(sqrt(count(*) / 500e0), 0)) AS INT) AS k FROM g WHERE forest_t1 IS NOT NULL)
+SELECT row, col FROM g, s WHERE forest_t1 IS NOT NULL AND row % k = 0 AND col % k = 0""", lambda s, d: (pixels(s, d), grid(s, d)))(
+    lambda t: P.points(t[0], "forest_t1", t[1], "systematic", n=500).select("row", "col"))
 query("systematic_spacing", W + "SELECT row, col FROM g WHERE forest_t1 IS NOT NULL AND row % 7 = 0 AND col % 7 = 0")(lambda px: P.systematic(px.filter("forest_t1 IS NOT NULL"), 7, 7).select("row", "col"))
 _counts = lambda px: px.groupBy("subj").agg(F.count("*").alias("n"))
 query("alloc_equal", W + ", k AS (SELECT subj, count(*) AS n FROM g GROUP BY subj) SELECT subj, n, CAST(least(floor(1000 / (SELECT count(*) FROM k)), n) AS BIGINT) AS n_alloc FROM k")(lambda px: P.allocate_equal(_counts(px), 1000))
 query("alloc_proportional", W + ", k AS (SELECT subj, count(*) AS n FROM g GROUP BY subj) SELECT subj, n, CAST(least(round_even(1000e0 * n / (SELECT sum(n) FROM k), 0), n) AS BIGINT) AS n_alloc FROM k")(lambda px: P.allocate_proportional(_counts(px), 1000))
-query("alloc_adaptive", W + "SELECT subj, CAST(least(greatest(round_even(count(*) * 0.09e0 * 1000, 0), 10000), 50000) AS BIGINT) AS n_alloc FROM g GROUP BY subj")(
-    lambda px: px.groupBy("subj").agg(P.adaptive_size(F.count("*") * 0.09).alias("n_alloc")))
+ADAPT = "CAST(CASE WHEN {a} >= 50000 THEN 50000 WHEN {a} <= 10000 THEN 10000 ELSE round_even({a}, 0) END AS BIGINT)"
+query("alloc_adaptive", W + ", k AS (SELECT pa, count(*) AS n FROM g GROUP BY pa) SELECT pa, n, least(n, " + ADAPT.format(a="1000 * (700e0 * (SELECT sum(n) FROM k)) / 1e6") + ") AS n_alloc FROM k")(
+    lambda px: P.allocate_each(px.groupBy("pa").agg(F.count("*").alias("n")), 100, 700.0))
+query("adaptive_sizes", W + ", k AS (SELECT risk, CAST(risk * 333 AS BIGINT) AS n FROM g GROUP BY risk) SELECT risk, " + ADAPT.format(a="1000 * (3500e0 * n) / 1e6") + " AS size FROM k")(
+    lambda px: px.select("risk", P.adaptive_size(PX("risk") * 333, 3500.0).alias("size")).distinct())
+query("alloc_each", W + ", k AS (SELECT subj, count(*) AS n FROM g GROUP BY subj) SELECT subj, n, least(n, 590) AS n_alloc FROM k")(lambda px: P.allocate_each(_counts(px), 590))
 query("random_points")(lambda px: P.random_points(px.filter("loss IS NOT NULL").select("row", "col", "loss"), 500, 1))
 query("stratified_points")(lambda px: P.stratified_points(px.filter("loss IS NOT NULL").select("row", "col", "loss"), "loss", {0: 300, 1: 200}, 1))
 query("valid_rank", W + "SELECT row, col, row_number() OVER (ORDER BY row, col) - 1 AS rank FROM g WHERE forest_t1 IS NOT NULL")(lambda px: P.ranked(px.filter("forest_t1 IS NOT NULL").select("row", "col")))
@@ -230,46 +136,41 @@ query("cell_index", W + "SELECT row, col, CAST(floor(row / 20) AS BIGINT) * 8 +
 query("cell_neighbors", W + ", k AS (SELECT DISTINCT CAST(floor(row / 50) AS BIGINT) * 3 + CAST(floor(col / 50) AS BIGINT) AS cell FROM g), n AS (SELECT max(cell) // 3 + 1 AS nr FROM k) SELECT k.cell, (k.cell // 3 + a.x) * 3 + k.cell % 3 + b.y AS neighbor FROM k, n, (VALUES (-1), (0), (1)) a(x), (VALUES (-1), (0), (1)) b(y) WHERE (x <> 0 OR y <> 0) AND k.cell // 3 + x BETWEEN 0 AND nr - 1 AND k.cell % 3 + y BETWEEN 0 AND 2")(
     lambda px: N.cell_neighbors(px.select(N.cell_index(PX("row"), PX("col"), 50, WIDTH).alias("cell")).distinct(), px.agg(F.max("row")).first()[0] // 50 + 1, 3))
 PROJ = "(SELECT CAST(risk AS BIGINT) AS cat, count(*) AS npix FROM g WHERE pa = 1 AND risk <> 0 GROUP BY risk)"
-_project = lambda px: px.filter("pa = 1 AND risk <> 0").groupBy(F.col("risk").cast("long").alias("cat")).agg(F.count("*").alias("npix"))
-query("project_counts", W + "SELECT * FROM " + PROJ)(_project)
+_project = lambda px: U.project_counts(px, "risk", PX("pa"))
+query("project_counts", W + "SELECT * FROM " + PROJ)(lambda px: U.project_counts(px, "risk", PX("pa")))
 query("allocation_totals", PER_CAT + ", d AS (SELECT cat, rate_mod * (1000e0 / (0.09e0 * (SELECT sum(nfor * rate_mod) FROM s))) * 0.09e0 / 4 AS dens FROM s), a AS (SELECT sum(npix * coalesce(dens, 0)) AS ha FROM " + PROJ + " p LEFT JOIN d ON p.cat = d.cat) SELECT 'annual' AS period, 1 AS length, round(ha, 8) AS deforestation FROM a UNION ALL SELECT 'entire', 4, round(ha * 4, 8) FROM a")(
     lambda px: rounded(R.allocation(_project(px), per_cat(px), 1000.0, 4, AREA), 8))
 query("density_map", PER_CAT + "SELECT row, col, round(coalesce(rate_mod * k * 0.09e0 / 5e0, 0e0), 10) AS dens FROM l LEFT JOIN u ON l.risk = u.cat WHERE pa = 1")(
-    lambda px: px.filter("pa = 1").join(per_cat(px).select(F.col("cat").alias("risk"), "defor_dens"), "risk", "left").select("row", "col", F.round(F.coalesce("defor_dens", F.lit(0.0)), 10).alias("dens")))
+    lambda px: rounded(U.densities(px.filter("pa = 1"), per_cat(px))))
 query("uncovered_classes", W + "SELECT DISTINCT risk FROM g WHERE risk NOT IN (SELECT DISTINCT risk FROM g WHERE forest_t1 = 1 AND risk % 7 <> 0)")(
-    lambda px: px.select("risk").distinct().join(px.filter("forest_t1 = 1 AND risk % 7 <> 0").select("risk").distinct(), "risk", "left_anti"))
-query("rate_table_faults", PER_CAT + "SELECT count(cat) - count(DISTINCT cat) AS repeated, count(*) FILTER (WHERE cat NOT BETWEEN 1 AND 65535) AS out_of_range, count(*) FILTER (WHERE nfor < 0) AS negative_nfor, count(*) FILTER (WHERE rate_mod < 0 OR isnan(rate_mod)) AS bad_rate, 0::BIGINT AS bad_area, CAST(count(*) = 0 AS INT) AS empty FROM u")(lambda px: R.rate_table_faults(per_cat(px)))
-query("glm_apply", W + f", p AS (SELECT row, col, 1e0 / (1e0 + exp(-(-1e0 + 0.5e0 * ((elevation - (SELECT avg(elevation) FROM g)) / (SELECT stddev_pop(elevation) FROM g)) + CASE WHEN pa = 1 THEN 0.8e0 ELSE 0e0 END))) AS p FROM g) SELECT row, col, round(p, 9) AS p FROM p")(
-    lambda px: R.with_totals(px.select("row", "col", "elevation", "pa"), _m=F.avg("elevation"), _s=F.stddev_pop("elevation")).select(
-        "row", "col", F.round(T.glm_probability({"alt": ((PX("elevation") - PX("_m")) / PX("_s"), 0.5), "pa": (F.when(PX("pa") == 1, 1.0).otherwise(0.0), 0.8)}, -1.0), 9).alias("p")))
-query("icar_apply", W + ", r AS (SELECT CAST(floor(row / 25) AS BIGINT) * 6 + CAST(floor(col / 25) AS BIGINT) AS cell, avg(forest_t1) - 0.8e0 AS rho FROM g GROUP BY 1) SELECT row, col, round(1e0 / (1e0 + exp(-(-1e0 + CASE WHEN pa = 1 THEN 0.8e0 ELSE 0e0 END + rho))), 9) AS p FROM g JOIN r ON r.cell = CAST(floor(row / 25) AS BIGINT) * 6 + CAST(floor(col / 25) AS BIGINT)")(
-    lambda px: (lambda t: t.join(t.groupBy("cell").agg((F.avg("forest_t1") - 0.8).alias("rho")), "cell"))(px.withColumn("cell", N.cell_index(PX("row"), PX("col"), 25, WIDTH))).select(
-        "row", "col", F.round(S.logistic(F.lit(-1.0) + F.when(PX("pa") == 1, 0.8).otherwise(0.0) + PX("rho")), 9).alias("p")))
+    lambda px: U.uncovered(px, px.filter("forest_t1 = 1 AND risk % 7 <> 0"), "risk"))
+query("rate_table_faults", PER_CAT + """, b AS (SELECT cat - CASE WHEN cat % 10 = 9 THEN 1 ELSE 0 END + CASE WHEN cat % 10 = 5 THEN 0.5e0 ELSE 0e0 END AS cat, nfor - CASE WHEN cat % 17 = 3 THEN 100000 ELSE 0 END AS nfor,
+  CASE WHEN cat % 13 = 2 THEN NULL ELSE rate_mod END AS rate_mod, CASE WHEN cat % 11 = 4 THEN -0.09e0 ELSE 0.09e0 END AS pixel_area FROM u)
+SELECT 0 AS missing_columns, count(*) FILTER (WHERE cat <> floor(cat)) AS not_whole, count(*) FILTER (WHERE cat <= 0) AS not_positive, count(cat) - count(DISTINCT cat) AS repeated,
+  count(*) FILTER (WHERE rate_mod IS NULL) AS not_finite, count(*) FILTER (WHERE nfor < 0) + count(*) FILTER (WHERE rate_mod < 0) + count(*) FILTER (WHERE pixel_area < 0) AS negative,
+  CAST(count(DISTINCT pixel_area) <> 1 AS INT) AS areas_differ, CAST(min(pixel_area) <= 0 AS INT) AS no_area, CAST(coalesce(sum(nfor * rate_mod), 0) <= 0 AS INT) AS no_risk FROM b""")(
+    lambda px: R.rate_table_faults(per_cat(px).select(
+        (PX("cat") - F.when(PX("cat") % 10 == 9, 1).otherwise(0) + F.when(PX("cat") % 10 == 5, 0.5).otherwise(0.0)).alias("cat"), (PX("nfor") - F.when(PX("cat") % 17 == 3, 100000).otherwise(0)).alias("nfor"),
+        F.when(PX("cat") % 13 != 2, PX("rate_mod")).alias("rate_mod"), F.when(PX("cat") % 11 == 4, -0.09).otherwise(0.09).alias("pixel_area"))))
 query("deviance", W + ", t AS (SELECT loss AS y, (risk + 1) / 60e0 AS p FROM l WHERE loss IS NOT NULL) SELECT round(-2 * sum(y * ln(p) + (1 - y) * ln(1 - p)), 6) AS deviance, round(-2 * count(y) * (avg(y) * ln(avg(y)) + (1 - avg(y)) * ln(1 - avg(y))), 6) AS null_deviance FROM t")(
     lambda px: rounded(T.deviance(px.filter("loss IS NOT NULL").select(F.col("loss").alias("y"), ((PX("risk") + 1) / F.lit(60.0)).alias("p")), "y", "p"), 6))
-query("regrid_nearest", W + "SELECT t.row, t.col, g.elevation FROM (SELECT row, col FROM g WHERE row < 60 AND col < 90) t LEFT JOIN g ON g.row = floor((t.row + 0.5e0) / 3e0) AND g.col = floor((t.col + 0.5e0) / 3e0)")(
-    lambda px: N.regrid(px, px.filter("row < 60 AND col < 90"), "elevation", 3.0))
-query("regrid_bilinear", W + """, t AS (SELECT row, col, floor((row + 0.5e0) / 4e0 - 0.5e0) AS r0, floor((col + 0.5e0) / 4e0 - 0.5e0) AS c0, (row + 0.5e0) / 4e0 - 0.5e0 AS y, (col + 0.5e0) / 4e0 - 0.5e0 AS x FROM g WHERE row < 60 AND col < 90),
+query("regrid_nearest", W + "SELECT t.row, t.col, g.elevation FROM g t LEFT JOIN g ON g.row = floor((t.row + 0.5e0) / 3e0) AND g.col = floor((t.col + 0.5e0) / 3e0)")(lambda px: N.regrid(px, px, "elevation", 3.0))
+query("regrid_bilinear", W + """, t AS (SELECT row, col, floor((row + 0.5e0) / 4e0 - 0.5e0) AS r0, floor((col + 0.5e0) / 4e0 - 0.5e0) AS c0, (row + 0.5e0) / 4e0 - 0.5e0 AS y, (col + 0.5e0) / 4e0 - 0.5e0 AS x FROM g),
 n AS (SELECT t.row, t.col, r0 + a AS sr, c0 + b AS sc, (CASE WHEN a = 1 THEN y - r0 ELSE 1 - (y - r0) END) * (CASE WHEN b = 1 THEN x - c0 ELSE 1 - (x - c0) END) AS w FROM t, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b))
-SELECT n.row, n.col, round(sum(w * elevation) / sum(w) FILTER (WHERE elevation IS NOT NULL), 6) AS elevation FROM n LEFT JOIN g ON g.row = n.sr AND g.col = n.sc GROUP BY n.row, n.col""")(
-    lambda px: N.regrid(px, px.filter("row < 60 AND col < 90"), "elevation", 4.0, True).withColumn("elevation", F.round("elevation", 6)))
-# The three queries above value a part of the grid, as their SQL does; these value all of it.
-query("dist_to_edge_all")(lambda px: N.distance_to(px, PX("forest_t1") == 0, 30.0).join(px.filter("forest_t1 IS NOT NULL").select("row", "col"), ["row", "col"]).select("row", "col", F.round("dist", 6).alias("dist")))
-query("regrid_nearest_all", SQL["regrid_nearest"].replace(" WHERE row < 60 AND col < 90", ""))(lambda px: N.regrid(px, px, "elevation", 3.0))
-query("regrid_bilinear_all", SQL["regrid_bilinear"].replace(" WHERE row < 60 AND col < 90", ""))(lambda px: N.regrid(px, px, "elevation", 4.0, True).withColumn("elevation", F.round("elevation", 6)))
-query("thin_scatter", W + """, b AS (SELECT min(elevation) AS x0, max(elevation) AS x1, min(risk) AS y0, max(risk) AS y1 FROM g), t AS (SELECT row * 150 + col AS id, elevation, risk, least(floor((elevation - x0) * 200 / (x1 - x0)), 199) AS bx, least(floor((risk - y0) * 200 / (y1 - y0)), 199) AS by_ FROM g, b)
-SELECT id, elevation, risk FROM t QUALIFY row_number() OVER (PARTITION BY bx, by_ ORDER BY id) = 1""")(lambda px: T.thin_scatter(px.select((PX("row") * 150 + PX("col")).alias("id"), "elevation", "risk"), "elevation", "risk", "id"))
-query("axis_bounds", W + "SELECT least(min(elevation), min(risk)) AS low, greatest(max(elevation), max(risk)) AS high FROM g")(lambda px: T.axis_bounds(px.select("elevation", PX("risk").cast("double").alias("risk")), "elevation", "risk"))
+SELECT n.row, n.col, round(sum(w * elevation) / sum(w) FILTER (WHERE elevation IS NOT NULL), 8) AS elevation FROM n LEFT JOIN g ON g.row = n.sr AND g.col = n.sc GROUP BY n.row, n.col""")(
+    lambda px: N.regrid(px, px, "elevation", 4.0, True).withColumn("elevation", F.round("elevation", 8)))
+query("thin_scatter", W + """, b AS (SELECT min(elevation) AS x0, max(elevation) AS x1, min(risk) AS y0, max(risk) AS y1, count(*) > 10000 AS many FROM g),
+t AS (SELECT row * 150 + col AS id, elevation, risk, many, least(floor((elevation - x0) * 200 / (x1 - x0)), 199) AS bx, least(floor((risk - y0) * 200 / (y1 - y0)), 199) AS by_ FROM g, b)
+SELECT id, elevation, risk FROM t QUALIFY NOT many OR row_number() OVER (PARTITION BY bx, by_ ORDER BY id) = 1""")(lambda px: T.thin_scatter(px.select((PX("row") * 150 + PX("col")).alias("id"), "elevation", "risk"), "elevation", "risk", "id"))
+query("axis_bounds", W + "SELECT least(min(elevation), min(risk)) AS low, greatest(max(elevation), max(risk)) AS high FROM g")(lambda px: U.axis_bounds(px, "elevation", "risk"))
 query("pivot_metrics", W + 'SELECT subj, round(max(e) FILTER (WHERE pa = 0), 6) AS "0", round(max(e) FILTER (WHERE pa = 1), 6) AS "1" FROM (SELECT subj, pa, avg(elevation) AS e FROM g GROUP BY subj, pa) GROUP BY subj')(
     lambda px: T.pivot_metric(px.groupBy("subj", "pa").agg(F.round(F.avg("elevation"), 6).alias("e")), "subj", "pa", "e", [0, 1]))
 query("labels", W + "SELECT DISTINCT 'MW_w5_val_' || CAST(subj AS VARCHAR) AS label FROM g")(
-    lambda px: px.select("subj").distinct().select(S.run_label(F.lit("mw_calib_a"), F.lit(5), F.concat(F.lit("val "), PX("subj").cast("string"), F.lit("!"))).alias("label")))
-query("name_interval", W + "SELECT DISTINCT subj, subj AS years FROM g")(lambda px: px.select("subj").distinct().select("subj", S.years_in(F.concat(F.lit("forest_loss_2000_"), (PX("subj") + 2000).cast("string"))).cast("long").alias("years")))
-
+    lambda px: px.select("subj").distinct().select(NA.run_label(F.lit("mw_calib_a"), F.lit(5), F.concat(F.lit("val "), PX("subj").cast("string"), F.lit("!"))).alias("label")))
 query("trace_summary", "WITH " + E + " SELECT param, round(avg(value), 8) AS estimate, round(stddev_samp(value), 8) AS std, round(quantile_cont(value, 0.025), 8) AS ci_low, round(quantile_cont(value, 0.975), 8) AS ci_high FROM e GROUP BY param", trace)(lambda t: rounded(T.trace_summary(t), 8))
 query("split_rhat", "WITH " + E + """, i AS (SELECT *, row_number() OVER (PARTITION BY param ORDER BY iter) AS i, count(*) OVER (PARTITION BY param) // 2 AS h FROM e), h AS (SELECT param, i > h AS half, avg(value) AS m, var_samp(value) AS v, count(*) AS n FROM i WHERE i <= 2 * h GROUP BY 1, 2),
 p AS (SELECT param, avg(v) AS w, var_samp(m) AS b, min(n) AS n FROM h GROUP BY param) SELECT param, round(CASE WHEN w > 0 AND n > 1 THEN sqrt(((n - 1e0) / n * w + b) / w) END, 8) AS rhat FROM p""", trace)(lambda t: rounded(T.split_rhat(t), 8))
-query("stretch", "SELECT quantile_cont(CAST(value AS DOUBLE), 0.02) AS low, quantile_cont(CAST(value AS DOUBLE), 0.98) AS high FROM events", trace)(lambda t: T.stretch(t, "value"))
+query("stretch", "SELECT round(quantile_cont(CAST(value AS DOUBLE), 0.02), 8) AS low, round(quantile_cont(CAST(value AS DOUBLE), 0.98), 8) AS high FROM events", trace)(lambda t: rounded(U.stretch(t, "value"), 8))
 query("importance_top", "WITH " + E + " SELECT variable, round(importance, 6) AS importance FROM (SELECT 'v' || CAST(iter % 40 AS VARCHAR) AS variable, sum(value) AS importance FROM e GROUP BY 1) ORDER BY importance DESC, variable LIMIT 15", trace)(
     lambda t: rounded(T.importance_top(t.select(F.concat(F.lit("v"), (PX("iter") % 40).cast("string")).alias("variable"), "value")), 6))
 _coefs = lambda t: t.select(PX("param").alias("variable"), PX("iter").alias("level"), (PX("value") - 50).alias("estimate"), (PX("value") - 80).alias("ci_low"), (PX("value") - 20).alias("ci_high"))
@@ -277,18 +178,19 @@ query("strongest_contrast", "WITH " + E + " SELECT variable, level, estimate, ci
 
 query("catalog_tags", "WITH " + K + " SELECT id, name FROM k WHERE m = 0", catalog)(lambda c: C.with_tags(c, ["raw", "mask"], True).select("id", "name"))
 query("catalog_any_tag", "WITH " + K + " SELECT id, name FROM k WHERE m IN (0, 2)", catalog)(lambda c: C.with_tags(c, ["mask", "dist"]).select("id", "name"))
-query("catalog_filter", "WITH " + K + " SELECT id FROM k WHERE name IN ('france', 'peru') AND year > 2010", catalog)(lambda c: C.select_layers(c, name=["france", "peru"], year=lambda y: y > 2010).select("id"))
+query("catalog_filter", "WITH " + K + " SELECT id FROM k WHERE name IN ('nation_12', 'nation_16', 'nation_18') AND year > 2001", catalog)(
+    lambda c: C.select_layers(c, name=["nation_12", "nation_16", "nation_18"], year=lambda y: y > 2001).select("id"))
 query("catalog_years", "WITH " + K + " SELECT name, list_sort(list(DISTINCT year)) AS years, count(DISTINCT year) > 1 AS temporal FROM k GROUP BY name", catalog)(C.years_per_name)
-query("catalog_common_years", "WITH " + K + " SELECT year FROM k GROUP BY year HAVING count(DISTINCT name) = (SELECT count(DISTINCT name) FROM k)", catalog)(C.common_years)
-query("catalog_lookup", "WITH " + K + " SELECT id, year FROM k WHERE name = 'peru' AND year = 2003", catalog)(lambda c: C.lookup(c, "peru", 2003).select("id", "year"))
-query("layer_files", "WITH " + K + " SELECT id, path FROM k WHERE path LIKE '%united%' AND path LIKE '%20%' AND path NOT LIKE '%states%'", catalog)(lambda c: C.files_with(c, ["united", "20"], ["states"]).select("id", "path"))
-query("layer_files_strict", "WITH " + K + " SELECT id, path FROM k WHERE regexp_matches(path, '(^|[^0-9a-z])united([^0-9a-z]|$)')", catalog)(lambda c: C.files_with_token(c, "united").select("id", "path"))
-query("pending_layers", "WITH " + K + " SELECT name, year, CASE WHEN m = 1 THEN 'current' ELSE 'pending' END AS status FROM (SELECT name, year, min(m) AS m FROM k GROUP BY name, year)", catalog)(
-    lambda c: (lambda raw: C.status(raw, raw.select("name", "year", F.when(PX("m") == 1, "g").otherwise("other").alias("grid_signature"), F.lit(2).alias("modified_at")), "g"))(
-        c.groupBy("name", "year").agg(F.min(PX("id") % 3).alias("m")).withColumn("modified_at", F.lit(1))))
+query("catalog_common_years", "WITH " + K + """, t AS (SELECT id % 3 AS name, year FROM k WHERE id <= 60)
+SELECT year FROM t GROUP BY year HAVING count(DISTINCT name) = (SELECT count(DISTINCT name) FROM t)""", catalog)(lambda c: C.common_years(c.filter("id <= 60").withColumn("name", PX("id") % 3)))
+query("catalog_lookup", "WITH " + K + " SELECT id, year FROM k WHERE name = 'nation_16' AND year = 2008", catalog)(lambda c: C.lookup(c, "nation_16", 2008).select("id", "year"))
+query("layer_files", "WITH " + K + " SELECT id, path FROM k WHERE path LIKE '%nation_1%' AND path LIKE '%20%' AND path NOT LIKE '%nation_11%'", catalog)(
+    lambda c: C.files_with(c, ["Nation_1", "20"], ["nation_11"]).select("id", "path"))
+query("layer_files_strict", "WITH " + K + """ SELECT id, path FROM k WHERE (regexp_matches(path, '(^|[^0-9a-z])nation_1([^0-9a-z]|$)') OR path LIKE '%12%')
+AND NOT regexp_matches(path, '(^|[^0-9a-z])tif\\.x([^0-9a-z]|$)')""", catalog)(lambda c: C.files_with_tokens(c, ["nation_1", "12"], ["tif.x"]).select("id", "path"))
 query("override_union", "WITH " + K + " SELECT name, year, CASE WHEN count(*) FILTER (WHERE m = 0) > 0 THEN 'processed' ELSE 'raw' END AS source FROM k GROUP BY name, year", catalog)(
     lambda c: C.processed_first(c.select("name", "year", F.lit("raw").alias("source")).distinct(), c.filter("id % 3 = 0").select("name", "year", F.lit("processed").alias("source")).distinct()))
-query("unique_ids", "SELECT n_name, dense_rank() OVER (ORDER BY n_name) AS id FROM nation", lambda s, d: s.read.parquet(f"{d}/nation.parquet"))(lambda n: n.select("n_name", F.dense_rank().over(Window.orderBy("n_name")).alias("id")))
+query("unique_ids", "SELECT n_name, dense_rank() OVER (ORDER BY n_name) AS id FROM nation", lambda s, d: s.read.parquet(f"{d}/nation.parquet"))(lambda n: D.numbered(n, "n_name"))
 query("period_reduce", "SELECT user_id, round(sum(value) * 1000, 6) AS total, round(avg(value) - 273.15e0, 6) AS mean, max(CAST(value AS DOUBLE)) AS high, min(CAST(value AS DOUBLE)) AS low, quantile_cont(CAST(value AS DOUBLE), 0.5) AS median FROM events GROUP BY user_id", lambda s, d: s.read.parquet(f"{d}/events.parquet"))(
     lambda e: e.groupBy("user_id").agg(F.round(F.sum("value") * 1000, 6).alias("total"), F.round(F.avg("value") - 273.15, 6).alias("mean"), F.max(PX("value").cast("double")).alias("high"), F.min(PX("value").cast("double")).alias("low"), F.percentile(PX("value").cast("double"), F.lit(0.5)).alias("median")))
 
@@ -299,9 +201,19 @@ def scaled(px: DataFrame) -> DataFrame:
     return px.withColumn("height", PX("elevation") / 100_000).withColumn("away", PX("edge") / 1_000)
 
 
+FIT_ROWS = 50_000  # the forest is fitted on at most about so many pixels, and at most half of them
+
+
+def split_rows(px: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fitting pixels, chosen by a hash of their place, and all the others."""
+    known = px.filter("loss IS NOT NULL")
+    share = min(0.5, FIT_ROWS / max(1, known.count()))
+    chosen = F.pmod(F.xxhash64("row", "col"), F.lit(1_000_000)) < int(share * 1_000_000)
+    return known.filter(chosen), known.filter(~chosen)
+
+
 def forest(px: DataFrame):
-    """A forest of trees fitted to every second pixel of every second row."""
-    return M.forest_fit(P.systematic(scaled(px), 2, 2), "loss", FEATURES)
+    return M.forest_fit(split_rows(scaled(px))[0], "loss", FEATURES)
 
 
 def spatial(px: DataFrame):
@@ -313,7 +225,7 @@ def spatial(px: DataFrame):
 query("glm_fit")(lambda px: rounded(M.glm_fit(scaled(px), "loss", FEATURES), 6))
 query("forest_importance")(lambda px: M.forest_importance(forest(px), px, FEATURES))
 query("forest_apply")(lambda px: M.forest_apply(forest(px), scaled(px), FEATURES).withColumn("code", S.risk_code(PX("p"))))
-query("forest_held_out_accuracy")(lambda px: M.accuracy_of(M.forest_apply(forest(px), scaled(px).filter("row % 2 = 1 AND loss IS NOT NULL"), FEATURES, ("loss",)), "loss", "p"))
+query("forest_held_out_accuracy")(lambda px: M.accuracy_of(M.forest_apply(forest(px), split_rows(scaled(px))[1], FEATURES, ("loss",)), "loss", "p"))
 query("spatial_fit")(lambda px: spatial(px).withColumn("rho", F.round("rho", 6)))
 query("spread_effect", W + """, k AS (SELECT CAST(floor(row / 25) AS INT) AS row, CAST(floor(col / 25) AS INT) AS col, avg(forest_t1) - 0.8e0 AS rho FROM g GROUP BY 1, 2),
 t AS (SELECT row, col, floor((row + 0.5e0) / 25e0 - 0.5e0) AS r0, floor((col + 0.5e0) / 25e0 - 0.5e0) AS c0, (row + 0.5e0) / 25e0 - 0.5e0 AS y, (col + 0.5e0) / 25e0 - 0.5e0 AS x FROM g),
@@ -331,23 +243,6 @@ query("predict_with", W + "SELECT row, col, round(1e0 / (1e0 + exp(3e0 - risk /
     lambda px: TI.predict_with(px.select("row", "col", "risk"), lambda t: 1 / (1 + 2.718281828459045 ** (3 - t["risk"] / 10))).withColumn("p", F.round("p", 9)))
 
 
-def box(x0, y0, x1, y1):
-    """Rings of one rectangle, from columns."""
-    return F.array(F.array(*[F.array(x.cast("double"), y.cast("double")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])).alias("rings")
-
-
-def borders(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("r_regionkey") * 30
-    return spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("long").alias("feature_id"), box(x + 2.3, F.lit(-7.7), x + 17.6, F.lit(-1.4)))
-
-
-def parcels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c, s = spark.read.parquet(f"{d}/customer.parquet"), spark.read.parquet(f"{d}/supplier.parquet")
-    x, y, w = PX("c_custkey") * 7 % 1000, PX("c_custkey") * 13 % 997, PX("c_nationkey") % 5 + 1.5
-    u, v = PX("s_suppkey") * 31 % 1000 + 0.25, PX("s_suppkey") * 17 % 997 + 0.25
-    return c.select(PX("c_custkey").cast("long").alias("feature_id"), box(x, y, x + w, y + w)), s.select(PX("s_suppkey").cast("long").alias("feature_id"), box(u, v, u + 20, v + 30))
-
-
 query("crop_to_border", W + "SELECT row, col, risk FROM g WHERE row BETWEEN 1 AND 7 AND col % 30 BETWEEN 2 AND 17", lambda s, d: (pixels(s, d), borders(s, d)))(
     lambda t: GEO.crop(t[0].select("row", "col", "risk"), t[1], 1_000_000, 0.0, 0.0, 1.0, WIDTH))
 query("features_in_area", """WITH f AS (SELECT CAST(c_custkey AS BIGINT) AS feature_id, c_custkey * 7 % 1000 AS x, c_custkey * 13 % 997 AS y, c_nationkey % 5 + 1.5e0 AS w FROM customer),
