@@ -207,10 +207,11 @@ def _exceptions(read: DataFrame, words: list[str], min_clean: int = 3) -> tuple[
     """Word pairs with a lexicon word in them that several clean texts hold and no toxic one."""
     if not words:
         return ()
+    # The lexicon goes to every task anyway, as part of the model.
     listed = read.sparkSession.createDataFrame([(w,) for w in words], "_word string")
     pairs = read.select("_toxic", "_like", F.explode("_pairs").alias("_pair"))
     ends = F.array(F.substring_index("_pair", " ", 1), F.substring_index("_pair", " ", -1))
-    either = pairs.select("*", F.explode(ends).alias("_word")).join(listed, "_word", "left_semi")
+    either = pairs.select("*", F.explode(ends).alias("_word")).join(F.broadcast(listed), "_word", "left_semi")
     counts = either.groupBy("_pair").agg(F.max("_toxic").alias("_t"), F.count_distinct("_like").alias("_n"))
     rows = counts.filter((F.col("_t") == 0) & (F.col("_n") >= min_clean)).collect()
     return tuple(sorted(f" {r['_pair']} " for r in rows))
