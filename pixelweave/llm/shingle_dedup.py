@@ -7,14 +7,17 @@
    They don't reach down to 0.8 (a pair there differs in about 10 of 64 bits), so classes that share a band key are
    candidates too: each with the first class of the key (the leader), if their sketches leave the similarity possible
    (six standard deviations below it). Keys with equal members are looked at once.
-3. Candidates are verified on whole shingle sets. Members that are no link of their leader are then compared with all
-   members of their key. So a group of close copies costs its size, and no link of classes that share a key is lost.
+3. Candidates are verified on whole shingle sets; verified links make first groups. Of each key, members outside its largest
+   group are then compared with all members in other groups. So a group of close copies costs about its size, and no link
+   between groups is lost of classes that share a key.
 4. One row stays of each group of classes connected by verified links.
 
+Texts are written once in blocks and stay there: shingle sets are made, and rows kept, where the blocks are.
+
 A pair at exactly 0.8 shares no band key with probability (1 - 0.8^6)^32 = 0.00006; nothing below ``similarity`` is linked.
 
 Defined cases: null and empty texts (no words) are copies of each other and of nothing else; columns of any names stay
-as they are; an empty table stays empty.
+as they are; an empty table stays empty. Of a group the row of the smallest id stays, null ids last; of equal ids one row.
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.llm import simhash
-from pixelweave.llm.common import components, written
+from pixelweave.llm.common import components, row_blocks, written
 from pixelweave.llm.simhash import SPACE
 
 BANDS, ROWS = 32, 6
+BLOCK_CHARS = 4_000_000
 PER_SALT = 500  # pairs that share one copy of a leader's shingle set
 CHUNK = 1 << 12
 _DRAW = np.random.default_rng(11)
@@ -74,14 +78,14 @@ def _class_of(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63
 
 
-def _marks(n_cols: int, size: int):
-    """A row's class, fingerprint, band keys and sketch."""
+def _marks(size: int):
+    """The address, id, class, fingerprint, band keys and sketch of each row of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for block, rows in ((b, r) for batch in batches for b, r in zip(*batch.columns, strict=True)):
             own, prints, keys, bits = [], [], [], []
-            for x in batch.column(n_cols):
+            for x in rows.values.field("_text"):
                 words = words_of(x.as_py())
                 own.append(_class_of(words))
                 if words:
@@ -93,33 +97,39 @@ def _marks(n_cols: int, size: int):
                 else:
                     prints.append(None), keys.append([]), bits.append(np.zeros(3, np.int64))
             prints = pa.array([None if p is None else p - 2**64 if p >= 2**63 else p for p in prints], pa.int64())
-            sketch = np.array(bits, np.int64).reshape(-1, 3)
+            sketch, n = np.array(bits, np.int64).reshape(-1, 3), len(own)
+            address = [pa.array(np.full(n, block.as_py(), np.int64)), pa.array(np.arange(n, dtype=np.int32)), rows.values.field("_id")]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n_cols], pa.array(own, pa.int64()), prints, pa.array(keys, pa.list_(pa.int64())), *[pa.array(sketch[:, i].copy()) for i in range(3)]],
-                [*batch.schema.names[:n_cols], "_class", "_fp", "_bands", *SKETCH],
+                [*address, pa.array(own, pa.int64()), prints, pa.array(keys, pa.list_(pa.int64())), *[pa.array(sketch[:, i].copy()) for i in range(3)]],
+                ["_block", "_at", "_id", "_class", "_fp", "_bands", *SKETCH],
             )
 
     return run
 
 
-def _classes(n_cols: int, size: int | None):
-    """A row's class, and with ``size`` its shingle set."""
+def _sets(size: int):
+    """The shingle sets of the wanted rows (_at, _class) of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [words_of(x.as_py()) for x in batch.column(n_cols)]
-            columns, names = [*batch.columns[:n_cols], pa.array(map(_class_of, words), pa.int64())], [*batch.schema.names[:n_cols], "_class"]
-            if size:
-                columns.append(pa.array([shingle_set(w, size).view(np.int64) for w in words], pa.list_(pa.int64())))
-                names.append("_set")
-            yield pa.RecordBatch.from_arrays(columns, names)
+        for rows, wanted in ((r, w) for batch in batches for r, w in zip(*batch.columns, strict=True)):
+            texts, wanted = rows.values.field("_text"), wanted.as_py() or ()
+            for i in range(0, len(wanted), 500):
+                part = wanted[i : i + 500]
+                sets = [shingle_set(words_of(texts[w["_at"]].as_py()), size).view(np.int64) for w in part]
+                yield pa.RecordBatch.from_arrays([pa.array([w["_class"] for w in part], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["_class", "_set"])
 
     return run
 
 
-def _mapped(base: DataFrame, make, more: str) -> DataFrame:
-    kinds = ", ".join(f"{n} {t}" for n, t in base.dtypes[:-1])
-    return base.mapInArrow(make, f"{kinds}, _class long{more}")
+def _taken(names: list[str]):
+    """The rows of a block at the places (_keep)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, keep in ((r, k) for batch in batches for r, k in zip(*batch.columns, strict=True)):
+            some = rows.values.take(pa.array(sorted(keep.as_py() or ()), pa.int32()))
+            yield pa.RecordBatch.from_arrays([some.field(n) for n in names], names)
+
+    return run
 
 
 def _possible(a: str, b: str, similarity: float) -> Column:
@@ -146,10 +156,24 @@ def _salted(pairs: DataFrame, n: Column) -> DataFrame:
     return pairs.groupBy("_a", "_b").agg(F.max(salts).alias("_salts")).withColumn("_salt", F.pmod(F.xxhash64("_b"), F.col("_salts").cast("long")).cast("int"))
 
 
-def near_classes(marked: DataFrame, texts: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``marked (_id, _hash, _class, _fp, _bands, sketch)``, ``texts (_hash, _text)``: one row a class with ``_comp`` and ``_component`` (smallest id)."""
-    some = F.min(F.struct("_hash", "_fp", "_bands", *SKETCH)).alias("_s")
-    classes = written(marked.groupBy("_class").agg(F.min("_id").alias("_first"), some).select("_class", "_first", "_s.*"))
+def _across(rows: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """``(_a, _b, _n)`` of ``rows (_key, _n, _class, sketch)``: members of a key that are not in its largest group, with its
+    members in other groups."""
+    grouped = rows.join(groups, "_class", "left").withColumn("_group", F.coalesce("_comp", "_class")).drop("_comp")
+    sizes = grouped.groupBy("_key", "_group").agg(F.count("*").alias("_size"))
+    largest = sizes.groupBy("_key").agg(F.max(F.struct("_size", "_group"))["_group"].alias("_main"), F.count("*").alias("_groups")).filter("_groups > 1")
+    grouped = written(grouped.join(largest.select("_key", "_main"), "_key"))
+    a, b = grouped.filter("_group <> _main").alias("a"), grouped.alias("b")
+    met = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._group") != F.col("b._group")) & _possible("a", "b", similarity))
+    return met.select(F.least("a._class", "b._class").alias("_a"), F.greatest("a._class", "b._class").alias("_b"), F.col("b._n").alias("_n"))
+
+
+def near_classes(marked: DataFrame, blocks: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``marked (_block, _at, _id, _class, _fp, _bands, sketch)``: one row a class with ``_comp``, the smallest class reachable,
+    and ``_first (id, block, place)`` of its row with the smallest id."""
+    address = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_block", "_at")).alias("_first")
+    same = [F.first(c).alias(c) for c in ("_fp", "_bands", *SKETCH)]  # rows of a class have the same words
+    classes = written(marked.groupBy("_class").agg(address, *same))
     keys = classes.select("_class", F.explode("_bands").alias("_key"))
     member = F.xxhash64("_class")
     shared = keys.groupBy("_key").agg(F.count("*").alias("_n"), F.bit_xor(member).alias("_x"), F.min("_class").alias("_m"), F.max("_class").alias("_l"))
@@ -163,48 +187,32 @@ def near_classes(marked: DataFrame, texts: DataFrame, size: int = 5, similarity:
     golay = apart.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"), F.lit(1).cast("long").alias("_n")).union(equal)
     # Every member of a key with its leader.
     leaders = rows.groupBy("_key").agg(F.min(F.struct("_class", *SKETCH)).alias("_l")).select("_key", "_l.*")
-    met = rows.alias("b").join(leaders.alias("a"), "_key").filter("a._class <> b._class")
-    met = written(met.select("_key", "_n", F.col("a._class").alias("_a"), F.col("b._class").alias("_b"), *[F.col(f"b.{s}").alias(s) for s in SKETCH], _possible("a", "b", similarity).alias("_ok")))
-    first = written(_salted(met.filter("_ok").select("_a", "_b", "_n").union(golay), F.col("_n")))
-    # Whole shingle sets of the classes that may have a link, from one row of each (known by the hash of its text and id; a row of
-    # the same hash but another class falls out by its class).
-    wanted = rows.select("_class").union(golay.select("_a")).union(golay.select("_b")).distinct().join(classes.select("_class", "_hash"), "_class")
-    read = texts.join(wanted.select("_hash", F.col("_class").alias("_of")), "_hash").dropDuplicates(["_of"]).select("_of", "_text")
-    sets = written(_mapped(read, _classes(1, size), ", _set array<long>").filter("_class = _of").select("_class", "_set"))
+    met = rows.alias("b").join(leaders.alias("a"), "_key").filter((F.col("a._class") != F.col("b._class")) & _possible("a", "b", similarity))
+    met = met.select(F.col("a._class").alias("_a"), F.col("b._class").alias("_b"), "_n")
+    first = written(_salted(met.union(golay), F.col("_n")))
+    # Whole shingle sets of the classes that may have a link, each from one row.
+    wanted = rows.select("_class").union(first.select("_a")).union(first.select("_b")).distinct().join(classes.select("_class", "_first"), "_class")
+    wanted = wanted.groupBy("_first._block").agg(F.collect_list(F.struct("_first._at", "_class")).alias("_wanted"))
+    sets = written(blocks.join(wanted.hint("shuffle_merge"), "_block").select("_rows", "_wanted").mapInArrow(_sets(size), "_class long, _set array<long>"))
     close = written(_verified(first, sets, similarity))
-    # Members that are no link of their leader, with all other members of the key.
-    left = met.join(close, ["_a", "_b"], "left_anti").select("_key", F.col("_b").alias("_class"), *SKETCH)
-    again = left.alias("a").join(rows.alias("b"), "_key").filter((F.col("a._class") != F.col("b._class")) & _possible("a", "b", similarity))
-    again = again.select(F.least("a._class", "b._class").alias("_a"), F.greatest("a._class", "b._class").alias("_b"), F.col("b._n").alias("_n"))
-    again = written(_salted(again, F.col("_n")).join(first.select("_a", "_b"), ["_a", "_b"], "left_anti"))
-    links = close.union(_verified(again, sets, similarity))
-    comp = components(links).withColumnRenamed("_node", "_class")
-    named = written(classes.select("_class", "_first").join(comp, "_class", "left").select("_class", "_first", F.coalesce("_comp", "_class").alias("_comp")))
-    smallest = named.groupBy("_comp").agg(F.min("_first").alias("_component"))
-    return named.join(smallest, "_comp").select("_class", "_comp", "_component")
+    groups = components(close).withColumnRenamed("_node", "_class")
+    again = written(_salted(_across(rows, groups, similarity), F.col("_n")))
+    # Groups and the links between them.
+    more = _verified(again, sets, similarity)
+    comp = components(close.union(more)).withColumnRenamed("_node", "_class")
+    return classes.select("_class", "_first").join(comp, "_class", "left").select("_class", "_first", F.coalesce("_comp", "_class").alias("_comp"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of ``docs``, that of the smallest id; columns stay as they are.
-
-    Where an id is repeated or null, exactly one of the rows that qualify stays.
-    """
+    """One row of each group of ``docs``, that of the smallest id; columns stay as they are."""
     cols = docs.columns
-    named = [f"_c{i}" for i in range(len(cols))]
-    full = docs.select(*[F.col(c).alias(n) for c, n in zip(cols, named, strict=True)], F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    names = [f"_c{i}" for i in range(len(cols))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names, strict=True)], F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    blocks = row_blocks(rows, BLOCK_CHARS)
     sketch = "".join(f", {s} long" for s in SKETCH)
-    marked = full.select("_id", F.xxhash64("_text", "_id").alias("_hash"), "_text")
-    marked = written(_mapped(marked, _marks(2, size), f", _fp long, _bands array<long>{sketch}"))
-    kept = written(
-        marked.select("_id", "_class")
-        .join(near_classes(marked, full.select(F.xxhash64("_text", "_id").alias("_hash"), "_text"), size, similarity), "_class")
-        .filter(F.col("_id").eqNullSafe(F.col("_component")))
-        .select(F.col("_id").alias("_kept"), F.col("_class").alias("_own"), "_comp")
-        .distinct()
-    )
-    if marked.groupBy("_id").count().filter("count > 1 OR _id IS NULL").isEmpty():
-        out = full.join(kept, F.col("_id") == F.col("_kept"), "left_semi")
-    else:
-        again = _mapped(full.select("_id", *named, "_text"), _classes(len(named) + 1, None), "")
-        out = again.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_class") == F.col("_own"))).dropDuplicates(["_comp"])
-    return out.select(*[F.col(n).alias(c) for n, c in zip(named, cols, strict=True)])
+    marked = written(blocks.mapInArrow(_marks(size), f"_block long, _at int, _id long, _class long, _fp long, _bands array<long>{sketch}"))
+    first = near_classes(marked, blocks, size, similarity).groupBy("_comp").agg(F.min("_first").alias("_first"))
+    kept = first.groupBy("_first._block").agg(F.collect_list("_first._at").alias("_keep"))
+    kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes[: len(cols)])
+    out = blocks.join(kept.hint("shuffle_merge"), "_block").select("_rows", "_keep").mapInArrow(_taken(names), kinds)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, cols, strict=True)])
