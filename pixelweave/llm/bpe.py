@@ -5,8 +5,9 @@
    further. The table is bucketed by block, so what comes back later meets it without moving it again.
 2. The (word, address) rows of all blocks are dealt by word and sorted, so that each distinct word is one run: it is
    encoded once, and the run's ids are addressed back to each block that holds the word, packed.
-3. Each block meets its answers and puts ids back by position. Decoding joins ids to pieces through the vocabulary, a
-   table of fixed size that each task holds (a map-side join); ``decode`` is the same join for ids in any DataFrame.
+3. Each block meets its answers and puts ids back by position. Decoding joins the ids of its words to pieces: the vocabulary,
+   an id-to-piece table of a size fixed by its file, comes to the blocks by a broadcast join. ``decode`` is the same join
+   for ids in any DataFrame, a row an id.
 
 The splitting rule is the tokenizer's own: NFC, white space, lower case, then its pattern; special tokens in a text are
 words of their own. Defined cases: null text is empty text with no ids; null and repeated ids are kept row by row.
@@ -175,51 +176,50 @@ def _numbers(raw: bytes, n: int, at: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel()
 
 
-def _restore(path: str):
-    """Blocks with their answers to documents: ids by position, and the pieces that the vocabulary has for them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, piece = zstandard.ZstdDecompressor(), _pieces(path)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                docs, n_words = batch.column(0)[row].as_py(), batch.column(3)[row].as_py()
-                sizes = np.frombuffer(unpack.decompress(batch.column(1)[row].as_py()), np.int64)
-                planes = unpack.decompress(batch.column(2)[row].as_py())
-                codes = _numbers(planes, len(planes) // 4, 0)
-                lengths, starts, texts, pool, base = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64), [None] * n_words, [], 0
-                for blob in batch.column(4)[row].as_py() or ():
-                    raw = unpack.decompress(blob)
-                    n, m = np.frombuffer(raw, np.uint32, 2).tolist()
-                    places, counts, ids = _numbers(raw, n, 8), _numbers(raw, n, 8 + 4 * n).astype(np.int64), _numbers(raw, m, 8 + 8 * n)
-                    ends = np.cumsum(counts)
-                    lengths[places], starts[places] = counts, base + ends - counts
-                    pool.append(ids)
-                    base += m
-                    spelled = [piece[i] for i in ids.tolist()]
-                    for place, a, b in zip(places.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
-                        texts[place] = b" ".join(spelled[a:b])
-                if None in texts:
-                    raise ValueError("a word of the block has no answer")
-                flat = np.concatenate(pool) if pool else np.empty(0, np.uint32)
-                ends = np.cumsum(sizes)
-                out: list[list] = [[], [], [], []]
-                held = 0
-                for doc, a, b in zip(docs, (ends - sizes).tolist(), ends.tolist(), strict=True):
-                    own = codes[a:b]
-                    each = lengths[own]
-                    total = int(each.sum())
-                    index = np.repeat(starts[own] - (np.cumsum(each) - each), each) + np.arange(total)
-                    decoded = b" ".join([t for c in own.tolist() if (t := texts[c])])
-                    for column, value in zip(out, (doc, total, flat[index].astype("<u4").tobytes(), decoded), strict=True):
-                        column.append(value)
-                    held += len(decoded)
-                    if held > 2_000_000:
-                        yield _encoded(out)
-                        out, held = [[], [], [], []], 0
-                if out[0]:
+def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with their answers and the vocabulary to documents: ids by position, and the pieces joined to them."""
+    unpack, piece = zstandard.ZstdDecompressor(), None
+    for batch in batches:
+        for row in range(batch.num_rows):
+            if piece is None:  # the same table beside every block
+                pairs = batch.column(5)[row].values
+                piece = dict(zip(pairs.field("_id").to_pylist(), (p.encode() for p in pairs.field("_piece").to_pylist()), strict=True))
+            docs, n_words = batch.column(0)[row].as_py(), batch.column(3)[row].as_py()
+            sizes = np.frombuffer(unpack.decompress(batch.column(1)[row].as_py()), np.int64)
+            planes = unpack.decompress(batch.column(2)[row].as_py())
+            codes = _numbers(planes, len(planes) // 4, 0)
+            lengths, starts, texts, pool, base = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64), [None] * n_words, [], 0
+            for blob in batch.column(4)[row].as_py() or ():
+                raw = unpack.decompress(blob)
+                n, m = np.frombuffer(raw, np.uint32, 2).tolist()
+                places, counts, ids = _numbers(raw, n, 8), _numbers(raw, n, 8 + 4 * n).astype(np.int64), _numbers(raw, m, 8 + 8 * n)
+                ends = np.cumsum(counts)
+                lengths[places], starts[places] = counts, base + ends - counts
+                pool.append(ids)
+                base += m
+                spelled = [piece[i] for i in ids.tolist()]
+                for place, a, b in zip(places.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                    texts[place] = b" ".join(spelled[a:b])
+            if None in texts:
+                raise ValueError("a word of the block has no answer")
+            flat = np.concatenate(pool) if pool else np.empty(0, np.uint32)
+            ends = np.cumsum(sizes)
+            out: list[list] = [[], [], [], []]
+            held = 0
+            for doc, a, b in zip(docs, (ends - sizes).tolist(), ends.tolist(), strict=True):
+                own = codes[a:b]
+                each = lengths[own]
+                total = int(each.sum())
+                index = np.repeat(starts[own] - (np.cumsum(each) - each), each) + np.arange(total)
+                decoded = b" ".join([t for c in own.tolist() if (t := texts[c])])
+                for column, value in zip(out, (doc, total, flat[index].astype("<u4").tobytes(), decoded), strict=True):
+                    column.append(value)
+                held += len(decoded)
+                if held > 2_000_000:
                     yield _encoded(out)
-
-    return run
+                    out, held = [[], [], [], []], 0
+            if out[0]:
+                yield _encoded(out)
 
 
 def _encoded(out: list[list]) -> pa.RecordBatch:
@@ -259,7 +259,9 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     runs = places.repartition("_word").sortWithinPartitions("_word").mapInArrow(_encode_runs(path), "_block long, _blob binary")
     answers = runs.groupBy("_block").agg(F.collect_list("_blob").alias("_blobs"))
     joined = blocks.withColumn("_n_words", F.size("_words")).join(answers.hint("shuffle_merge"), "_block", "left")
-    out = joined.select("_ids", "_sizes", "_codes", "_n_words", "_blobs").mapInArrow(_restore(path), "_id long, _n_tokens long, _ids binary, _decoded string")
+    pieces = vocabulary(spark, path).agg(F.collect_list(F.struct("_id", "_piece")).alias("_pieces"))
+    joined = joined.select("_ids", "_sizes", "_codes", "_n_words", "_blobs").crossJoin(F.broadcast(pieces))  # one row of fixed size
+    out = joined.mapInArrow(_restore, "_id long, _n_tokens long, _ids binary, _decoded string")
     return out.withColumnRenamed("_id", id_col)
 
 
