@@ -7,6 +7,8 @@ target, until the bytes below its edge are within ``tolerance`` of the target. I
 group of copies), the search goes on inside it by doc_id, then by row number. Only bin sums reach the driver; their
 number depends on the number of splitters, not on the rows. With all splitters known, rows are exchanged once.
 
+``write_shards`` exchanges whole rows by the splitters and writes them; ``shard_by_bytes`` says where each row goes.
+
 The law is ``bytes``: shard sizes differ by at most the tolerance or one row. Defined cases: a null text has size 1 and
 crc32 0; null doc_ids sort first; repeated rows are separate rows; an empty table gives an empty result.
 """
@@ -22,21 +24,23 @@ BINS = 512
 KEYS = ("_h", "_d", "_r")
 
 
-def sort_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One narrow row a document: id, size, crc32 and the three key columns, none of them negative."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """Size, crc32 and the three key columns of a row, none of the keys negative."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     low = F.lit(-(2**62))
-    return written(
-        docs.select(
-            F.col(id_col).alias("_id"),
-            (F.octet_length(text) + 1).cast("long").alias("_size"),
-            F.crc32(text.cast("binary")).alias("_crc"),
-            F.shiftrightunsigned(F.xxhash64(text), 2).alias("_h"),
-            # Order of doc_id as an offset from the smallest quarter of the range; ids beyond it share the end.
-            (F.greatest(F.least(F.coalesce(F.col(id_col).cast("long"), low), F.lit(2**62 - 1)), low) - low).alias("_d"),
-            F.monotonically_increasing_id().alias("_r"),
-        )
-    )
+    return [
+        (F.octet_length(text) + 1).cast("long").alias("_size"),
+        F.crc32(text.cast("binary")).alias("_crc"),
+        F.shiftrightunsigned(F.xxhash64(text), 2).alias("_h"),
+        # Order of doc_id as an offset from the smallest quarter of the range; ids beyond it share the end.
+        (F.greatest(F.least(F.coalesce(F.col(f"`{id_col}`").cast("long"), low), F.lit(2**62 - 1)), low) - low).alias("_d"),
+        F.monotonically_increasing_id().alias("_r"),
+    ]
+
+
+def sort_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One narrow row a document: id, size, crc32 and keys."""
+    return written(docs.select(F.col(f"`{id_col}`").alias("_id"), *keyed(docs, id_col, text_col)))
 
 
 def find_splitters(rows: DataFrame, targets: list[int], tolerance: int) -> list[tuple[int, ...]]:
@@ -91,28 +95,51 @@ def _above(splitter: tuple[int, ...]) -> Column:
     return out
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", parts: int = 8, tolerance: float = 1e-4) -> DataFrame:
-    """Per row of ``docs``: id, ``_size``, ``_crc``, ``_shard``, ``_slot`` (gapless from 0 in key order).
-
-    ``parts`` ranges make up each shard, so that ordering a shard is the work of several tasks.
-    """
-    rows = sort_keys(docs, id_col, text_col)
+def _dealt(rows: DataFrame, shards: int, parts: int, tolerance: float) -> tuple[Column, Column]:
+    """The range and the shard of a row of ``rows``, by splitters found in them."""
     total = rows.agg(F.sum("_size")).first()[0] or 0
     ranges = shards * parts
     targets = [total * i // ranges for i in range(1, ranges)]
     found = find_splitters(rows, targets, int(total / shards * tolerance)) if total else []
-    splitters, edges = sorted(set(found)), [found[i * parts - 1] for i in range(1, shards) if found]
     number, shard = F.lit(0), F.lit(0)
-    for s in splitters:
+    for s in sorted(set(found)):
         number = number + _above(s).cast("int")
-    for s in edges:
-        shard = shard + _above(s).cast("int")
-    dealt = written(rows.select("_id", "_size", "_crc", *KEYS, number.alias("_range"), shard.alias("_shard")))
-    counts = dealt.groupBy("_shard", "_range").count()
+    for i in range(1, shards):
+        if found:
+            shard = shard + _above(found[i * parts - 1]).cast("int")
+    return number.alias("_range"), shard.alias("_shard")
+
+
+def _slots(dealt: DataFrame, counts: DataFrame) -> DataFrame:
+    """``dealt`` with ``_slot``; ``counts (_shard, _range, count)`` has at most shards x parts rows."""
     before = counts.select("_shard", "_range", (F.sum("count").over(Window.partitionBy("_shard").orderBy("_range")) - F.col("count")).alias("_before"))
-    slot = F.row_number().over(Window.partitionBy("_shard", "_range").orderBy(*KEYS)) - 1
-    out = dealt.withColumn("_at", slot).join(F.broadcast(before), ["_shard", "_range"])  # at most shards * parts rows
-    return out.select(F.col("_id").alias(id_col), "_size", "_crc", "_shard", (F.col("_at") + F.col("_before")).cast("long").alias("_slot"))
+    at = F.row_number().over(Window.partitionBy("_shard", "_range").orderBy(*KEYS)) - 1
+    out = dealt.withColumn("_in", at).join(F.broadcast(before), ["_shard", "_range"])
+    return out.withColumn("_slot", (F.col("_in") + F.col("_before")).cast("long"))
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", parts: int = 8, tolerance: float = 1e-4) -> DataFrame:
+    """Per row of ``docs``: id, ``_size``, ``_crc``, ``_shard``, ``_slot`` (gapless from 0 in key order).
+
+    ``parts`` ranges make up each shard, so that ordering a shard is the work of several tasks.
+    """
+    rows = sort_keys(docs, id_col, text_col)
+    dealt = written(rows.select("_id", "_size", "_crc", *KEYS, *_dealt(rows, shards, parts, tolerance)))
+    out = _slots(dealt, dealt.groupBy("_shard", "_range").count())
+    return out.select(F.col("_id").alias(id_col), "_size", "_crc", "_shard", "_slot")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", parts: int = 8, tolerance: float = 1e-4) -> DataFrame:
+    """Whole rows of ``docs`` exchanged once, by splitters found on their narrow keys, and written to ``path`` as
+    ``_shard=0, 1, ...``, each in ``parts`` ranges that are sorted by ``_slot``. Returns the table: ``_row`` (the columns of
+    ``docs``), ``_size``, ``_slot``, ``_shard``."""
+    rows = sort_keys(docs, id_col, text_col)
+    to = _dealt(rows, shards, parts, tolerance)
+    counts = written(rows.select(*to).groupBy("_shard", "_range").count())
+    full = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *keyed(docs, id_col, text_col)).select("_row", "_size", *KEYS, *to)
+    out = _slots(full, counts).select("_row", "_size", "_slot", "_shard")
+    out.write.partitionBy("_shard").parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
