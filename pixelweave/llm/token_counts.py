@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pixelweave.llm.bpe import SPACE, load_tokenizer, split_words, vocabulary_path
 from pixelweave.llm.common import table, written
 
-SEGMENT_CHARS = 512  # a segment ends at the first cut after so many characters
+SEGMENT_CHARS = 160  # a segment ends at the first cut after so many characters
 REMEMBER = 400_000
 BLANK = re.compile(f"[{SPACE}]")
 #: Where a text may be cut: before white space, or between an ASCII letter or digit and punctuation. No word of the tokenizer
