@@ -7,9 +7,14 @@ take runner-up coordinates where they are nearly as large. Vectors that meet are
 
 ``k`` follows the number of vectors, so buckets of unrelated vectors keep about the same size at every scale, and the
 number of tables follows ``k``: as many as it takes to find ``recall`` of the pairs that lie exactly at the threshold, by the
-share that one table finds of simulated pairs (``tables_for``). Closer pairs are found more surely. Equal vectors are one class. The bucket join is an equi-join that Spark may split where a bucket is crowded; it carries 128
-sign bits of each vector and passes on only pairs that these leave possible (six standard deviations of the bit count at
-the threshold), so vectors are fetched for few pairs that are not links.
+share that one table finds of simulated pairs (``tables_for``). Closer pairs are found more surely. Equal vectors are one class.
+
+Near copies are condensed before pairs are made. In each bucket a vector looks at the bucket's first vector only; those
+within just under half of the threshold's angle of a leader make up its ball (one of its own for every other vector). Any
+two in a ball are links, so they are counted and not compared. Balls that meet in a bucket are compared by their leaders:
+by the triangle inequality all pairs of them are links, or none is, or members are compared. The bucket join is an
+equi-join of balls that carries 128 sign bits of the leaders and passes on only pairs that these leave possible (six
+standard deviations of the bit count), so vectors are fetched for few pairs that are not links.
 
 Defined cases: null, zero-length, all-zero vectors and vectors with a null or non-finite component link with nothing
 (n_links 0, own component). Vectors of different lengths never link. Repeated vec_id rows are separate rows of one class.
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.llm.common import components, table, written
@@ -154,25 +159,82 @@ def _to_length_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["_rep", "_v"])
 
 
-def near_pairs(reps: DataFrame, threshold: float, recall: float = 0.99, probes: int = 5, per_bucket: int = 16) -> DataFrame:
-    """``reps (_rep long, _v array<double> of length 1)`` distinct: ``(_a, _b)`` found with cosine >= threshold."""
-    n, d = reps.agg(F.count("*"), F.max(F.size("_v"))).first()
+def _differ(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}._s1").bitwiseXOR(F.col(f"{b}._s1"))) + F.bit_count(F.col(f"{a}._s2").bitwiseXOR(F.col(f"{b}._s2")))
+
+
+def _with_cosine(pairs: DataFrame, unit: DataFrame) -> DataFrame:
+    """``pairs (_a, _b, ...)`` of vectors with their cosine."""
+    both = pairs.join(unit.select(F.col("_rep").alias("_a"), F.col("_v").alias("_va")), "_a").join(unit.select(F.col("_rep").alias("_b"), F.col("_v").alias("_vb")), "_b")
+    cosine = F.aggregate(F.zip_with("_va", "_vb", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return both.withColumn("_cos", cosine).drop("_va", "_vb")
+
+
+def _angle(cosine: Column) -> Column:
+    return F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)))
+
+
+def balls(own: DataFrame, unit: DataFrame, radius: float) -> DataFrame:
+    """``own (_key, _len, _rep, _s1, _s2)``: ``(_rep, _ball, _off)``, each vector's ball (its leader) and angle to it."""
+    first = own.groupBy("_key", "_len").agg(F.min(F.struct("_rep", "_s1", "_s2")).alias("_l")).select("_key", "_len", F.col("_l._rep").alias("_lead"), F.col("_l._s1").alias("_s1"), F.col("_l._s2").alias("_s2"))
+    share = radius / math.pi
+    limit = round(SKETCH_BITS * share + math.sqrt(SKETCH_BITS * share * (1 - share)))
+    met = own.alias("a").join(first.alias("b"), (F.col("a._key") == F.col("b._key")) & (F.col("a._len") == F.col("b._len")) & (F.col("a._rep") > F.col("b._lead")) & (_differ("a", "b") <= limit))
+    met = written(met.select("a._rep", "b._lead").distinct())
+    # A leader follows no other: leaders that do are no leaders, and whoever has no leader left stands alone.
+    led = met.join(met.select(F.col("_rep").alias("_lead")).distinct(), "_lead", "left_anti").groupBy("_rep").agg(F.min("_lead").alias("_lead"))
+    near = _with_cosine(led.select(F.col("_rep").alias("_a"), F.col("_lead").alias("_b")), unit).select(F.col("_a").alias("_rep"), F.col("_b").alias("_ball"), _angle(F.col("_cos")).alias("_off"))
+    near = near.filter(F.col("_off") <= radius)
+    every = unit.select("_rep").join(near, "_rep", "left")
+    return every.select("_rep", F.coalesce("_ball", "_rep").alias("_ball"), F.coalesce("_off", F.lit(0.0)).alias("_off"))
+
+
+def near_links(classes: DataFrame, unit: DataFrame, threshold: float, recall: float = 0.999, probes: int = 5, per_bucket: int = 16) -> tuple[DataFrame, DataFrame]:
+    """``classes (_rep, _size)``, ``unit (_rep, _v array<double> of length 1)``, distinct: ``(_rep, _far)``, the vectors that a
+    class links with outside itself, and edges ``(_a, _b)`` that connect what links connect."""
+    n, d = unit.agg(F.count("*"), F.max(F.size("_v"))).first()
     k = max(1, math.ceil(math.log(max(2, n / per_bucket)) / math.log(2 * padded_length(d or 1))))
     tables = tables_for(d or 1, k, probes, threshold, recall)
-    keys = written(reps.select("_rep", "_v").mapInArrow(_keys(tables, k, probes), "_key long, _len int, _rep long, _s1 long, _s2 long, _own boolean"))
-    share = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    limit = math.ceil(SKETCH_BITS * share + 6 * math.sqrt(SKETCH_BITS * share * (1 - share)))
-    # Only the vector's number and its 128 sign bits travel with the keys; pairs whose signs differ too much end here.
-    a, b = keys.filter("_own").alias("a"), keys.alias("b")
-    differ = F.bit_count(F.col("a._s1").bitwiseXOR(F.col("b._s1"))) + F.bit_count(F.col("a._s2").bitwiseXOR(F.col("b._s2")))
-    met = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._len") == F.col("b._len")) & (F.col("a._rep") != F.col("b._rep")) & (differ <= limit))
-    pairs = met.select(F.least("a._rep", "b._rep").alias("_a"), F.greatest("a._rep", "b._rep").alias("_b")).distinct()
-    both = pairs.join(reps.toDF("_a", "_va"), "_a").join(reps.toDF("_b", "_vb"), "_b")
-    cosine = F.aggregate(F.zip_with("_va", "_vb", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    return both.filter(cosine >= threshold).select("_a", "_b")
+    keys = written(unit.select("_rep", "_v").mapInArrow(_keys(tables, k, probes), "_key long, _len int, _rep long, _s1 long, _s2 long, _own boolean"))
+    reach, slack = math.acos(max(-1.0, min(1.0, threshold))), 1e-6
+    member = written(balls(keys.filter("_own"), unit, max(0.0, reach / 2 - 10 * slack)).join(classes.select("_rep", "_size"), "_rep"))
+    ball = member.groupBy("_ball").agg(F.max("_off").alias("_radius"), F.sum("_size").alias("_weight"), (F.count("*") == 1).alias("_single"))
+    lead = keys.filter("_own").select(F.col("_rep").alias("_ball"), "_s1", "_s2").dropDuplicates(["_ball"])
+    ball = written(ball.join(lead, "_ball"))
+    held = keys.select("_key", "_len", "_rep", "_own").join(member.select("_rep", "_ball"), "_rep").groupBy("_key", "_len", "_ball").agg(F.max("_own").alias("_own"))
+    held = written(held.join(ball, "_ball"))
+    share = F.least((F.lit(reach) + F.col("a._radius") + F.col("b._radius")) / math.pi, F.lit(1.0))
+    limit = F.ceil(SKETCH_BITS * share + 6 * F.sqrt(SKETCH_BITS * share * (1 - share)))
+    a, b = held.filter("_own").alias("a"), held.alias("b")
+    met = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._len") == F.col("b._len")) & (F.col("a._ball") != F.col("b._ball")) & (_differ("a", "b") <= limit))
+    pairs = met.select(F.least("a._ball", "b._ball").alias("_a"), F.greatest("a._ball", "b._ball").alias("_b")).distinct()
+    side = lambda x: ball.select(F.col("_ball").alias(f"_{x}"), F.col("_radius").alias(f"_r{x}"), F.col("_weight").alias(f"_w{x}"), F.col("_single").alias(f"_o{x}"))
+    pairs = _with_cosine(pairs, unit).join(side("a"), "_a").join(side("b"), "_b")
+    wide, angle = F.col("_ra") + F.col("_rb"), _angle(F.col("_cos"))
+    verdict = F.when(F.col("_oa") & F.col("_ob"), F.when(F.col("_cos") >= threshold, "all").otherwise("none"))
+    verdict = verdict.when(angle + wide <= reach - slack, "all").when(angle - wide > reach + slack, "none").otherwise("some")
+    pairs = written(pairs.withColumn("_verdict", verdict).filter("_verdict <> 'none'").select("_a", "_b", "_wa", "_wb", "_oa", "_ra", "_rb", "_verdict"))
+    # Members of one ball against the other's leader; those that this leaves open against its members.
+    some = pairs.filter("_verdict = 'some'")
+    one = some.select(F.when(F.col("_oa"), F.col("_b")).otherwise(F.col("_a")).alias("_ball"), F.when(F.col("_oa"), F.col("_a")).otherwise(F.col("_b")).alias("_other"), F.when(F.col("_oa"), F.col("_wa")).otherwise(F.col("_wb")).alias("_w"), F.when(F.col("_oa"), F.col("_ra")).otherwise(F.col("_rb")).alias("_r"))
+    each = one.join(member.select("_ball", "_rep", "_size"), "_ball").select(F.col("_rep").alias("_a"), F.col("_other").alias("_b"), "_size", "_w", "_r")
+    each = _with_cosine(each, unit)
+    part = F.when(F.col("_r") == 0, F.when(F.col("_cos") >= threshold, "all").otherwise("none"))
+    part = part.when(_angle(F.col("_cos")) + F.col("_r") <= reach - slack, "all").when(_angle(F.col("_cos")) - F.col("_r") > reach + slack, "none").otherwise("some")
+    each = written(each.withColumn("_verdict", part).filter("_verdict <> 'none'").drop("_cos"))
+    last = each.filter("_verdict = 'some'").select("_a", F.col("_b").alias("_ball"), F.col("_size").alias("_sa")).join(member.select("_ball", F.col("_rep").alias("_b"), F.col("_size").alias("_sb")), "_ball")
+    last = written(_with_cosine(last.select("_a", "_b", "_sa", "_sb"), unit).filter(F.col("_cos") >= threshold).select("_a", "_b", "_sa", "_sb"))
+    whole, sure = pairs.filter("_verdict = 'all'"), each.filter("_verdict = 'all'")
+    # What all members of a ball link with, and what single members do.
+    shared = whole.select(F.col("_a").alias("_ball"), F.col("_wb").alias("_n")).union(whole.select("_b", "_wa")).union(sure.select("_b", "_size")).groupBy("_ball").agg(F.sum("_n").alias("_shared"))
+    alone = sure.select(F.col("_a").alias("_rep"), F.col("_w").alias("_n")).union(last.select("_a", "_sb")).union(last.select("_b", "_sa")).groupBy("_rep").agg(F.sum("_n").alias("_alone"))
+    t = member.join(ball.select("_ball", "_weight"), "_ball").join(shared, "_ball", "left").join(alone, "_rep", "left")
+    far = t.select("_rep", (F.col("_weight") - F.col("_size") + F.coalesce("_shared", F.lit(0)) + F.coalesce("_alone", F.lit(0))).alias("_far"))
+    edges = whole.select("_a", "_b").union(sure.select("_a", "_b")).union(last.select("_a", "_b")).union(member.filter("_rep <> _ball").select("_rep", "_ball"))
+    return far, edges
 
 
-def embedding_components(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, recall: float = 0.99) -> DataFrame:
+def embedding_components(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, recall: float = 0.999) -> DataFrame:
     """Per row of ``rows``: the id, ``_n_links`` and ``_component``."""
     v = F.col(vec_col).cast("array<double>")
     valid = F.coalesce(
@@ -186,10 +248,8 @@ def embedding_components(rows: DataFrame, id_col: str = "vec_id", vec_col: str =
     classes = base.filter("_v IS NOT NULL").groupBy("_hash", "_v").agg(F.count("*").alias("_size"), F.min("_id").alias("_first"))
     classes = written(classes.withColumn("_rep", F.monotonically_increasing_id()))
     unit = written(classes.select("_rep", "_v").mapInArrow(_to_length_one, "_rep long, _v array<double>"))
-    pairs = written(near_pairs(unit, threshold, recall))
-    ends = pairs.union(pairs.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-    far = ends.join(classes.select(F.col("_rep").alias("_b"), "_size"), "_b").groupBy(F.col("_a").alias("_rep")).agg(F.sum("_size").alias("_far"))
-    comp = components(pairs).withColumnRenamed("_node", "_rep")
+    far, edges = near_links(classes, unit, threshold, recall)
+    comp = components(edges).withColumnRenamed("_node", "_rep")
     named = classes.select("_rep", "_size", "_first").join(comp, "_rep", "left").join(far, "_rep", "left")
     named = written(named.select("_rep", "_first", (F.col("_size") - 1 + F.coalesce("_far", F.lit(0))).alias("_n_links"), F.coalesce("_comp", "_rep").alias("_comp")))
     smallest = named.groupBy("_comp").agg(F.min("_first").alias("_component"))

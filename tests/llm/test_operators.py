@@ -186,6 +186,41 @@ def test_embedding_components(spark):
     assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 7: (3, 0), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (0, 6)}
 
 
+def test_embedding_links_of_clouds_equal_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.normal(size=(6, 32)))
+    cloud = [unit(c + s * rng.normal(size=(n, 32)) / np.sqrt(32)) for c, n, s in zip(centre, (120, 60, 40, 30, 30, 30), (0.15, 0.3, 0.45, 0.6, 0.1, 0.1), strict=True)]
+    x = np.concatenate([*cloud, unit(rng.normal(size=(100, 32)))]) * rng.uniform(0.1, 9, size=(410, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[i].tolist()) for i in range(3)] + [(2000, [1.0, 2.0]), (2001, [2.0, 4.1]), (3, x[3].tolist()), (None, x[5].tolist())]
+    got = embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    near = [[j for j, (_, b) in enumerate(rows) if j != i and len(a) == len(b) and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9] for i, (_, a) in enumerate(rows)]
+    label = list(range(len(rows)))
+    for _ in rows:
+        label = [min([label[i], *(label[j] for j in near[i])]) for i in range(len(rows))]
+    names = {n: min(r[0] for r, m in zip(rows, label, strict=True) if m == n and r[0] is not None) for n in set(label)}
+    want = sorted((r[0] is None, r[0] or 0, len(n), names[c]) for r, n, c in zip(rows, near, label, strict=True))
+    assert sum(map(len, near)) > 10_000
+    assert sorted((r.vec_id is None, r.vec_id or 0, r._n_links, r._component) for r in got) == want
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5])
+def test_embedding_recall_at_the_threshold(k):
+    import numpy as np
+
+    rng = np.random.default_rng(50 + k)
+    x, y = rng.normal(size=(2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(axis=1)[:, None] * x
+    other = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1)[:, None]
+    tables = embedding_dedup.tables_for(64, k, 5, 0.9, 0.95)
+    a, b = (embedding_dedup.bucket_keys(z, tables, k, 5) for z in (x, other))
+    met = (a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)
+    assert met.any(axis=1).mean() >= 0.92
+
+
 def test_html_template_removal(spark):
     pages = [(i, f"http://h.example/{i}", f"<body><div><p>Shared words.</p></div><div><p>Own text {i} &amp; more<p>second {i}</div><script>x('</p>')</script></body>") for i in range(20)]
     pages += [(50, "http://h.example/50", "<nav>Menu</nav><article><h1>T</h1>A <b>b</b>c</article><div class='ad'>Buy</div>"), (51, None, None)]
