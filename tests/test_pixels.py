@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from pixelweave.functions import names as NA
 from pixelweave.functions import scalars as S
 from pixelweave.operators import layers as L
 from pixelweave.operators import rates as R
@@ -18,8 +19,8 @@ def test_risk_codes_and_names(spark):
     df = spark.createDataFrame([(0.2,), (0.8,), (0.0,)], "p double")
     assert [r.c for r in df.select(S.risk_code(F.col("p")).alias("c")).collect()] == [13107, 52428, 1]
     names = spark.createDataFrame([("forest_loss_2015_2020",), ("forest",)], "n string")
-    assert [r.y for r in names.select(S.years_in(F.col("n")).alias("y")).collect()] == [5, None]
-    label = lambda n: S.run_label(F.lit("mw_calib_a"), F.lit(5), F.lit(n))
+    assert [r.y for r in names.select(NA.years_in(F.col("n")).alias("y")).collect()] == [5, None]
+    label = lambda n: NA.run_label(F.lit("mw_calib_a"), F.lit(5), F.lit(n))
     row = spark.range(1).select(label("val 2020!").alias("a"), label("!!!").alias("b")).first()
     assert (row.a, row.b) == ("MW_w5_val_2020", "MW_w5_mw_calib_a")
 
@@ -29,7 +30,7 @@ def test_sample_allocation(spark):
     assert {r.c: r.n_alloc for r in equal} == {0: 500, 1: 300}
     prop = P.allocate_proportional(spark.createDataFrame([(0, 9000), (1, 1000)], "c int, n long"), 1000).collect()
     assert {r.c: r.n_alloc for r in prop} == {0: 900, 1: 100}
-    sizes = spark.createDataFrame([(0.5,), (30.0,), (100.0,)], "a double").select(P.adaptive_size(F.col("a")).alias("s")).collect()
+    sizes = spark.createDataFrame([(500_000,), (30_000_000,), (100_000_000,)], "a long").select(P.adaptive_size(F.col("a"), 1.0).alias("s")).collect()
     assert [r.s for r in sizes] == [10_000, 30_000, 50_000]
 
 
