@@ -9,8 +9,9 @@ account number and validates it. The four base kinds follow fixed rules, each le
 * card: digits with single spaces or hyphens between, kept with 13 to 19 digits that pass the Luhn sum
 * phone: ``+`` and digits with spaces, dots, brackets or hyphens between, kept with 9 to 15 digits
 
-Further kinds that the method adds: ``url_login`` (credentials before the host of a URL), ``access_key`` (a cloud key id)
-and ``secret`` (a value after a password or token cue). Null text is empty text; offsets are code points, end exclusive.
+Further kinds that the method adds: ``url_login`` (credentials before the host of a URL), ``access_key`` (a cloud key id),
+``secret`` (a value after a password or token cue) and ``iban`` (an account number after its cue, with a valid check number).
+Cues count in any case. Null text is empty text; offsets are code points, end exclusive; repeated rows and null ids stay.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from pixelweave.llm.common import table
 
 # Kinds in the order of their spans, cues that introduce a secret, the prefixes of key ids.
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("url_login", "access_key", "secret")
+ADDED = ("url_login", "access_key", "secret", "iban")
 CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey")
-KEY_IDS = ("AKIA", "ASIA")
+KEY_IDS = ("akia", "asia")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = frozenset("0123456789")
@@ -40,6 +41,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"://[^\s/@:]+:[^\s/@]+@")
 KEY_ID = re.compile(r"[A-Z0-9]{20}(?![A-Za-z0-9])")
 SECRET = re.compile(r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{8,})")
+IBAN = re.compile(r"[\s:#=-]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+LOWER = {c: c + 32 for c in range(65, 91)}
 DOTTED = re.compile(r"[0-9]\.[0-9]")
 
 
@@ -49,8 +52,8 @@ def automaton() -> ahocorasick.Automaton:
         for word in words:
             out.add_word(word, (kind, len(word)))
     for cue in CUES:
-        for word in {cue, cue.upper(), cue.capitalize()}:
-            out.add_word(word, ("cue", len(word)))
+        out.add_word(cue, ("cue", len(cue)))
+    out.add_word("iban", ("iban", 4))
     out.make_automaton()
     return out
 
@@ -63,11 +66,21 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def lowered(text: str) -> str:
+    """A-Z in lower case; every character keeps its place."""
+    return text.lower() if text.isascii() else text.translate(LOWER)
+
+
+def account(number: str) -> bool:
+    """Whether the check number of an IBAN (without spaces) is right."""
+    return int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
+
+
 def find_spans(text: str, auto: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """All (kind, start, end), in order of kind and start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE + ADDED}
     free = dict.fromkeys(BASE + ADDED, 0)  # the first position not yet used by a kind
-    for end, (anchor, length) in auto.iter(text):
+    for end, (anchor, length) in auto.iter(lowered(text)):
         at = end - length + 1
         if anchor == "@":
             start, low = at, free["email"]
@@ -101,6 +114,10 @@ def find_spans(text: str, auto: ahocorasick.Automaton) -> list[tuple[str, int, i
         elif anchor == "key":
             if (at == 0 or not text[at - 1].isalnum()) and (m := KEY_ID.match(text, at)):
                 found["access_key"].append((at, m.end()))
+        elif anchor == "iban":
+            if at >= free["iban"] and (m := IBAN.match(text, end + 1)) and account(m[1].replace(" ", "")):
+                found["iban"].append(m.span(1))
+                free["iban"] = m.end()
         elif at >= free["secret"] and (m := SECRET.match(text, end + 1)) and any(c in DIGITS for c in m[1]):
             free["secret"] = m.end()
             found["secret"].append(m.span(1))
