@@ -42,6 +42,11 @@ def common_years(catalog: DataFrame) -> DataFrame:
     return per.join(F.broadcast(n)).filter("_k = _n").select("year")
 
 
+def all_years(catalog: DataFrame) -> DataFrame:
+    """Years that any layer has."""
+    return catalog.select("year").filter("year IS NOT NULL").distinct()
+
+
 def output_key(name: Column, year: Column) -> Column:
     """The key that a layer's harmonised output is registered under."""
     return F.when(F.coalesce(year, F.lit(0)) != 0, F.concat(name, F.lit("_"), year.cast("string"))).otherwise(name)

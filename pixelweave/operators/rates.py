@@ -112,6 +112,14 @@ def accuracy(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def forecast_rates(rates: DataFrame, juris_ha: float, years: int) -> DataFrame:
+    """The rate table with the rates and densities that an allocation of ``juris_ha`` hectares over ``years`` gives its
+    categories."""
+    t = with_totals(rates, _exp=F.sum(F.col("nfor") * F.col("rate_mod")))
+    rate = F.col("rate_mod") * F.lit(juris_ha) / (F.col("pixel_area") * F.col("_exp"))
+    return t.select("cat", "nfor", "rate_mod", "pixel_area", rate.alias("rate_abs"), (rate * F.col("pixel_area") / years).alias("defor_dens"))
+
+
 def evaluated(px: DataFrame, maps: dict[str, Column], csizes: list[int], n_cols: int, years: float, pixel_area: float, forest: str = "forest_t1", loss: str = "loss") -> DataFrame:
     """Accuracy of several maps (columns of categories) against one truth at several cell sizes: ``prediction, csize`` and
     the indices. Each map has its own rate table; pixels are read twice, once for the tables and once for all cells."""

@@ -1,4 +1,4 @@
-"""A user's own function over tiles of pixels, and over batches of rows."""
+"""A user's own function over tiles of pixels, over batches of rows, and over batches of a model's design."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.operators.design import ModelSpec
+
 
 def map_tiles(px: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, tile: int = 256) -> DataFrame:
     """``fn`` of each tile x tile square of pixels, a frame of at most tile² rows with the columns of ``px``."""
@@ -25,3 +27,11 @@ def predict_with(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], keep: t
             yield pdf[list(keep)].assign(p=fn(pdf).to_numpy(dtype=float))
 
     return df.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", p double")
+
+
+def predict_design(df: DataFrame, spec: ModelSpec, fn: Callable[[pd.DataFrame], pd.Series], keep: tuple[str, ...] = ("row", "col")) -> DataFrame:
+    """The ``keep`` columns and ``p``: ``fn`` of batches of the design's columns, named by their terms, of complete rows."""
+    terms = spec.terms()
+    cols = [f"_x{i}" for i in range(len(terms))]
+    rows = spec.complete(df).select(*keep, *[c.alias(n) for c, n in zip(spec.columns(), cols, strict=True)])
+    return predict_with(rows, lambda pdf: fn(pdf[cols].set_axis(terms, axis=1)), keep)

@@ -26,6 +26,7 @@ from pixelweave.operators import rates as R
 from pixelweave.operators import sampling as P
 from pixelweave.operators import stats as T
 from pixelweave.operators import summaries as U
+from pixelweave.operators import tiles as TI
 from pixelweave.operators import workflows as WF
 from pixelweave.plans.queries import CODE, WINDOW
 from pixelweave.plans.tables import AREA, COUNTS, E, K, PER_CAT, PX, RATE_COLS, SQL, W, WIDTH, YEARS, borders, box, catalog, grid, pixels, query, rounded, trace
@@ -173,6 +174,22 @@ query("unseen_levels", W + "SELECT 'subj' AS variable, CAST(subj AS DOUBLE) AS v
 )
 
 
+
+
+def formula(px: DataFrame) -> DataFrame:
+    """The formula of roles, with the levels that the layers hold."""
+    found = {c: tuple(U.levels(px, c).first()["levels"]) for c in ("pa", "subj")}
+    spec = DE.from_roles("loss", {"elevation": "continuous", "pa": "categorical", "subj": "categorical"}, found)
+    return px.sparkSession.createDataFrame([(spec.formula(), spec.formula(False))], "formula string, shown string")
+
+
+query("model_formula", W + """SELECT 'I(loss) + trial ~ scale(elevation) + C(pa, levels=[' || (SELECT string_agg(CAST(pa AS VARCHAR), ', ' ORDER BY pa) FROM (SELECT DISTINCT pa FROM g)) || ']) + C(subj, levels=[' ||
+(SELECT string_agg(CAST(subj AS VARCHAR), ', ' ORDER BY subj) FROM (SELECT DISTINCT subj FROM g)) || '])' AS formula, 'I(loss) + trial ~ scale(elevation) + C(pa) + C(subj)' AS shown""")(formula)
+query("predict_design", W + ", " + ETA.replace("-1e0 + CASE", "CASE").replace(" - 0.25e0 * (edge - m2) / s2", "") + " SELECT row, col, round(eta, 9) AS p FROM eta")(
+    lambda px: rounded(TI.predict_design(px, SPEC.frozen(px), lambda x: sum(x[t] * b for t, b in COEFS.items() if t in x and t != "scale(edge)")), 9)
+)
+
+
 def fitted(px: DataFrame) -> tuple[DE.ModelSpec, dict[str, float]]:
     return DE.fitted(px, SPEC)
 
@@ -251,6 +268,9 @@ query("ordered_indices", SQL["indices_all"].replace("SELECT prediction, csize",
 query("shown_metrics", "SELECT prediction, csize, \"R2\", ncell FROM (" + SQL["indices_all"] + ")")(
     lambda px: rounded(U.shown_metrics(R.evaluated(px, {"a": PX("risk"), "b": 51 - PX("risk")}, [10, 25, 50], WIDTH, YEARS, AREA), ["R2"]), 8)
 )
+query("rounded_indices", "SELECT prediction, csize, round_even(\"RMSE\", 2) AS \"RMSE\", round_even(\"wRMSE\", 2) AS \"wRMSE\", round_even(\"MedAE\", 2) AS \"MedAE\", round_even(\"R2\", 2) AS \"R2\", ncell FROM (" + SQL["indices_all"] + ")")(
+    lambda px: U.rounded_indices(R.evaluated(px, {"a": PX("risk"), "b": 51 - PX("risk")}, [10, 25, 50], WIDTH, YEARS, AREA))
+)
 query("distance_recovered", "WITH tab AS (" + SQL["tab_distance"] + ") SELECT round(100e0 * arg_max(cum, distance) / arg_max(perc, distance), 4) AS total_ha, round(max(perc) FILTER (WHERE distance = 3000), 2) AS perc FROM tab")(
     lambda px: U.recovered_totals(rounded(R.distance_table(px, "edge", "loss", RES, 5000.0, AREA), 8), 3000.0).withColumn("total_ha", F.round("total_ha", 4))
 )
@@ -351,6 +371,12 @@ query("training_csv", SQL["extract_points"].replace("SELECT elevation", "SELECT
 )
 
 
+query("forecast_rates_csv", PER_CAT + """, x AS (SELECT sum(nfor * rate_mod) AS e FROM s)
+SELECT cat, nfor, round(rate_mod, 10) AS rate_mod, 0.09e0 AS pixel_area, round(rate_mod * 1000e0 / (0.09e0 * e), 10) AS rate_abs, round(rate_mod * 1000e0 / e / 4, 10) AS defor_dens FROM s, x""")(
+    lambda px: rounded(through_csv(R.forecast_rates(R.defrate_per_cat(px, YEARS, AREA), 1000.0, 4), "forecast_rates"))
+)
+
+
 def exported(px: DataFrame) -> DataFrame:
     paths = IO.export_layers(px, ["loss", "pa"], folder(px, "layers"), "x_", "_30m")
     return px.sparkSession.read.schema("row int, col int, value int").parquet(paths[0]).withColumn("layer", F.lit("loss")).union(IO.read_layer(px.sparkSession, paths[1], "int").withColumn("layer", F.lit("pa")))
@@ -418,6 +444,21 @@ def dataset(c: DataFrame) -> DataFrame:
 
 query("dataset_layers", "WITH " + K + """ SELECT 'target' AS role, 0 AS position, 'v0' AS name, max(year) AS year, '/v/0' || CAST(max(year) AS VARCHAR) AS path FROM k WHERE id % 3 = 0
 UNION ALL SELECT 'feature', 1, 'v1', min(year), '/v/1' || CAST(min(year) AS VARCHAR) FROM k WHERE id % 3 = 1 UNION ALL SELECT 'feature', 2, 'v2', NULL, '/v/2'""", catalog)(dataset)
+query("catalog_all_years", "WITH " + K + " SELECT DISTINCT year FROM k WHERE id % 4 > 0", catalog)(lambda c: C.all_years(c.withColumn("year", F.when(PX("id") % 4 > 0, PX("year")))))
+
+
+def harmonise_run(px: DataFrame) -> DataFrame:
+    """Two layers of a coarser grid are put on the stack's; a third is current."""
+    spark, at = px.sparkSession, folder(px, "harmonised")
+    raw = spark.createDataFrame([(n, None, "raster", k, None, True, 5) for n, k in (("elevation", "continuous"), ("risk", "categorical"), ("pa", "continuous"))], "name string, year int, data_type string, raster_type string, method string, active boolean, modified_at int")
+    out = spark.createDataFrame([("pa", None, "continuous", None, "g", "/pa", 9), ("risk", None, "categorical", None, "g", "/risk", 9)], "name string, year int, raster_type string, levels array<double>, grid_signature string, path string, modified_at int")
+    run = lambda key: (N.regrid(px, px, key, 4.0, bilinear=key == "elevation").withColumnRenamed(key, "value"), f"{at}/{key}")
+    done = WF.harmonise(raw, out, "g", run, lambda path, layer: IO.write_layer(layer, path))
+    parts = [IO.read_layer(spark, f"{at}/{key}").withColumn("layer", F.lit(key)) for key in done]
+    return rounded(parts[0].unionByName(parts[1]), 8)
+
+
+query("harmonise_layers", "SELECT row, col, elevation AS value, 'elevation' AS layer FROM (" + SQL["regrid_bilinear"] + ") UNION ALL SELECT * FROM (" + W + "SELECT t.row, t.col, CAST(g.risk AS DOUBLE) AS value, 'risk' AS layer FROM g t LEFT JOIN g ON g.row = floor((t.row + 0.5e0) / 4e0) AND g.col = floor((t.col + 0.5e0) / 4e0))")(harmonise_run)
 query("prediction_groups", "WITH " + K + """ SELECT row_key, list_sort(list(sk)) AS storage_keys FROM (SELECT CASE WHEN id % 3 = 0 THEN name ELSE 'm' || CAST(id % 4 AS VARCHAR) || '__' || name END AS row_key,
 'm' || CAST(id % 4 AS VARCHAR) || '__' || name || CASE WHEN id % 2 = 0 THEN '_y' || CAST(year AS VARCHAR) ELSE '' END || CASE WHEN id % 5 = 0 THEN '_w' || CAST(id AS VARCHAR) ELSE '' END AS sk FROM k) GROUP BY row_key""", catalog)(
     lambda c: C.grouped_predictions(c.select(F.when(PX("id") % 3 == 0, PX("name")).alias("name"), F.concat(F.lit("m"), (PX("id") % 4).cast("string")).alias("model"), PX("name").alias("dataset"), F.when(PX("id") % 2 == 0, PX("year")).alias("year"), F.when(PX("id") % 5 == 0, PX("id")).alias("window")))
