@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import table, written
+from pixelweave.llm.common import row_blocks, table, written
 
 # HTML's elements by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,6 +64,7 @@ HUGE_REFERENCE = re.compile(r"&#(?:0*[0-9]{8,}|[xX]0*[0-9a-fA-F]{7,});?")
 
 
 INSIDE_CHARS = 20  # inside an article, shorter subtrees are never template
+BLOCK_CHARS = 4_000_000
 SMALL_HOST = 3  # on hosts of fewer than 2 x min_pages pages, half of the pages and this many are many
 
 
@@ -272,48 +273,54 @@ def main_text(page: str, template: set[int] = frozenset(), min_chars: int = 1) -
 
 
 def _hashes(min_chars: int):
+    """The subtree hashes of the pages of a block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pages, keys, around = [], [], []
-            for row, page in enumerate(batch.column(2)):
+        for block, pages in ((b, r.values) for batch in batches for b, r in zip(*batch.columns, strict=True)):
+            at, keys, around = [], [], []
+            for row, page in enumerate(pages.field("_html")):
                 own = subtrees(parse(page.as_py() or ""), min_chars)
                 keys.extend(own)
                 around.extend(x for _, x in own.values())
-                pages.extend([row] * len(own))
-            rows = pa.array(pages, pa.int64())
+                at.extend([row] * len(own))
+            rows = pa.array(at, pa.int32())
+            blocks = pa.array([block.as_py()] * len(at), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(keys, pa.int64()), pa.array(around, pa.int64())],
-                ["_host", "_page", "_key", "_around"],
+                [pages.field("_host").take(rows), pages.field("_c0").take(rows), blocks, rows, pa.array(keys, pa.int64()), pa.array(around, pa.int64())],
+                ["_host", "_page", "_block", "_at", "_key", "_around"],
             )
 
     return run
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(p.as_py() or "", set(k.as_py() or ())) for p, k in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], ["_c0", "_c1", "_out"])
+    for pages, marks in ((r.values, m) for batch in batches for r, m in zip(*batch.columns, strict=True)):
+        template: dict[int, set[int]] = {}
+        for m in marks.as_py() or ():
+            template.setdefault(m["_at"], set()).add(m["_key"])
+        texts = [main_text(p.as_py() or "", template.get(i, frozenset())) for i, p in enumerate(pages.field("_html"))]
+        yield pa.RecordBatch.from_arrays([pages.field("_c0"), pages.field("_c1"), pa.array(texts, pa.string())], ["_c0", "_c1", "_out"])
 
 
 def extract_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, min_chars: int = 1
 ) -> DataFrame:
-    """Per row of ``pages``: id, url and ``text``."""
+    """Per row of ``pages``: id, url and ``text``. Pages are written once in blocks and stay there; what is template comes to
+    the blocks."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/?#]*)", 1), F.lit("")))
-    base = pages.select(F.xxhash64(host).alias("_host"), F.col(id_col).alias("_page"), F.col(html_col).cast("string").alias("_html"))
-    kind = dict(base.dtypes)["_page"]
-    held = written(base.mapInArrow(_hashes(min_chars), f"_host long, _page {kind}, _key long, _around long"))
-    sizes = base.select("_host", "_page").groupBy("_host").agg(F.count_distinct("_page").alias("_pages"))
+    base = pages.select(F.col(id_col).alias("_c0"), F.col(url_col).alias("_c1"), F.xxhash64(host).alias("_host"), F.col(html_col).cast("string").alias("_html"))
+    (_, id_kind), (_, url_kind) = base.dtypes[:2]
+    blocks = row_blocks(base, BLOCK_CHARS)
+    held = written(blocks.mapInArrow(_hashes(min_chars), f"_host long, _page {id_kind}, _block long, _at int, _key long, _around long"))
+    sizes = base.select("_host", F.col("_c0").alias("_page")).groupBy("_host").agg(F.count_distinct("_page").alias("_pages"))
     # Copies of one page, or of one article, count once.
-    once = held.repartition("_host", "_key").groupBy("_host", "_key", "_around").agg(F.min("_page").alias("_page"))
+    once = held.groupBy("_host", "_key", "_around").agg(F.min("_page").alias("_page"))
     counts = once.groupBy("_host", "_key").agg(F.count_distinct("_page").alias("_n")).filter(F.col("_n") >= min(min_pages, SMALL_HOST))
     many = F.least(F.lit(min_pages), F.greatest(F.lit(SMALL_HOST), F.ceil(F.col("_pages") / 2)))
     template = counts.join(sizes, "_host").filter(F.col("_n") >= many).select("_host", "_key")
-    marks = held.join(template, ["_host", "_key"]).groupBy("_page").agg(F.collect_set("_key").alias("_keys"))
-    rows = pages.select(F.col(id_col).alias("_c0"), F.col(url_col).alias("_c1"), F.col(html_col).cast("string").alias("_html"))
-    rows = rows.join(marks, F.col("_c0").eqNullSafe(F.col("_page")), "left").select("_c0", "_c1", "_html", "_keys")
-    kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:2])
-    out = rows.mapInArrow(_texts, f"{kinds}, _out string")
+    marks = held.join(template, ["_host", "_key"]).groupBy("_block").agg(F.collect_list(F.struct("_at", "_key")).alias("_marks"))
+    met = blocks.join(marks.hint("shuffle_merge"), "_block", "left").select("_rows", "_marks")
+    out = met.mapInArrow(_texts, f"_c0 {id_kind}, _c1 {url_kind}, _out string")
     return out.select(F.col("_c0").alias(id_col), F.col("_c1").alias(url_col), F.col("_out").alias("text"))
 
 
