@@ -68,13 +68,20 @@ def harmonisation(raw: DataFrame, processed: DataFrame, signature: str | None) -
     """
     key = output_key(F.col("name"), F.col("year"))
     out = processed.withColumn("_key", key).select(
-        "_key", F.col("raster_type").alias("_type"), F.col("levels").alias("_levels"), F.col("grid_signature").alias("_sig"), F.col("path").alias("_path"), F.col("modified_at").alias("_at")
+        "_key",
+        F.col("raster_type").alias("_type"),
+        F.col("levels").alias("_levels"),
+        F.col("grid_signature").alias("_sig"),
+        F.col("path").alias("_path"),
+        F.col("modified_at").alias("_at")
     )
     t = raw.filter((F.col("data_type") != "vector") | F.coalesce("active", F.lit(False))).withColumn("_key", key).join(out, "_key", "left")
     sharing = t.filter("_path IS NOT NULL").groupBy("_path").agg((F.count("*") > 1).alias("_shared"))
     t = t.join(sharing, "_path", "left")
     typed = F.col("_type").eqNullSafe(expected_type(F.col("data_type"), F.col("raster_type"), F.col("method")))
-    stale = ~typed | ((F.col("_type") == "categorical") & F.col("_levels").isNull()) | (F.col("_at") < F.col("modified_at")) | F.coalesce("_shared", F.lit(False))
+    stale = ~typed |(
+        (F.col("_type") == "categorical") & F.col("_levels").isNull()
+    ) | (F.col("_at") < F.col("modified_at")) | F.coalesce("_shared", F.lit(False))
     ours = F.lit(signature).cast("string")
     state = (
         F.when(F.col("_path").isNull(), "pending")
@@ -243,7 +250,15 @@ def periods(dates: DataFrame) -> DataFrame:
     y = [F.col(f"y{i}") for i in (1, 2, 3)]
 
     def one(period: str, trained_on: str, start: Column, end: Column, lost: list[int], layer: Column) -> Column:
-        parts = {"period": F.lit(period), "train_period": F.lit(trained_on), "initial_year": start, "final_year": end, "defor_values": F.array(*map(F.lit, lost)), "time_interval": end - start, "layer_year": layer}
+        parts ={
+            "period": F.lit(period),
+            "train_period": F.lit(trained_on),
+            "initial_year": start,
+            "final_year": end,
+            "defor_values": F.array(*map(F.lit, lost)),
+            "time_interval": end - start,
+            "layer_year": layer
+        }
         return F.struct(*[c.alias(n) for n, c in parts.items()])
 
     rows = [

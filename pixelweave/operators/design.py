@@ -66,7 +66,17 @@ class ModelSpec:
 
     def unseen(self, df: DataFrame, most: int = 10) -> DataFrame:
         """``(variable, value)``: up to ``most`` values a variable that are no level of it, NULL not among them."""
-        each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"), F.col(c).isin(*v).alias("known")) for c, v in self.categorical.items()]))
+        each = F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(c).alias("variable"),
+                        F.col(c).cast("double").alias("value"),
+                        F.col(c).isin(*v).alias("known")
+                    ) for c, v in self.categorical.items()
+                ]
+            )
+        )
         odd = df.select(each.alias("e")).select("e.*").filter("value IS NOT NULL AND NOT known").groupBy("variable", "value").agg(F.lit(1).alias("_n"))
         kept = odd.groupBy("variable").agg(F.slice(F.sort_array(F.collect_set("value")), 1, most).alias("values"))
         return kept.select("variable", F.explode("values").alias("value"))

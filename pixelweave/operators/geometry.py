@@ -23,7 +23,10 @@ def edges(polygons: DataFrame) -> DataFrame:
 def touched(polygons: DataFrame, n_rows: int, x0: float, y0: float, res: float, n_cols: int) -> DataFrame:
     """``(row, col)`` of all pixels with their centre in a polygon or met by an edge of one."""
     band = lambda y: F.floor((y0 - y) / res)
-    e = edges(polygons).withColumn("r0", F.greatest(band(F.greatest("ay", "by")), F.lit(0))).withColumn("r1", F.least(band(F.least("ay", "by")), F.lit(n_rows - 1)))
+    e = edges(polygons).withColumn("r0", F.greatest(band(F.greatest("ay", "by")), F.lit(0))).withColumn(
+        "r1",
+        F.least(band(F.least("ay", "by")), F.lit(n_rows - 1))
+    )
     e = e.filter("r1 >= r0").withColumn("row", F.explode(F.sequence("r0", "r1")))
     # The part of the edge between the row's two lines.
     at = lambda y: F.col("ax") + F.try_divide(F.least(F.greatest(y, F.least("ay", "by")), F.greatest("ay", "by")) - F.col("ay"), F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
@@ -46,7 +49,14 @@ def _side(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column
 def _contained(points: DataFrame, polygons: DataFrame, step: float) -> DataFrame:
     """Pairs (_p, _q): the point of feature _p lies in polygon _q. Edges meet points of their own band of y."""
     band = lambda y: F.floor(y / step)
-    e = edges(polygons).filter("ay <> by").select(F.col("feature_id").alias("_q"), "ax", "ay", "bx", "by", F.explode(F.sequence(band(F.least("ay", "by")), band(F.greatest("ay", "by")))).alias("_band"))
+    e = edges(polygons).filter("ay <> by").select(
+        F.col("feature_id").alias("_q"),
+        "ax",
+        "ay",
+        "bx",
+        "by",
+        F.explode(F.sequence(band(F.least("ay", "by")), band(F.greatest("ay", "by")))).alias("_band")
+    )
     met = points.withColumn("_band", band(F.col("y"))).join(e, "_band")
     met = met.filter((F.col("y") >= F.least("ay", "by")) & (F.col("y") < F.greatest("ay", "by")))
     cross = F.col("ax") + (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
@@ -67,7 +77,9 @@ def meeting(features: DataFrame, areas: DataFrame, step: float) -> DataFrame:
 
     met = placed(features, "_p", "f").join(placed(areas, "_q", "g"), ["_sx", "_sy"])
     fa, fb, ga, gb = ([F.col(f"{s}{end}x"), F.col(f"{s}{end}y")] for s in "fg" for end in "ab")
-    boxes = [F.least(f"fa{k}", f"fb{k}") <= F.greatest(f"ga{k}", f"gb{k}") for k in "xy"] + [F.least(f"ga{k}", f"gb{k}") <= F.greatest(f"fa{k}", f"fb{k}") for k in "xy"]
+    boxes = [F.least(f"fa{k}", f"fb{k}") <= F.greatest(f"ga{k}", f"gb{k}") for k in "xy"] +[
+        F.least(f"ga{k}", f"gb{k}") <= F.greatest(f"fa{k}", f"fb{k}") for k in "xy"
+    ]
     apart = (_side(*fa, *fb, *ga) * _side(*fa, *fb, *gb) > 0) | (_side(*ga, *gb, *fa) * _side(*ga, *gb, *fb) > 0)
     crossing = met.filter(boxes[0] & boxes[1] & boxes[2] & boxes[3] & ~apart).select("_p", "_q")
     corner = lambda polygons: polygons.select(F.col("feature_id").alias("_p"), F.explode("rings").alias("r")).filter(F.size("r") > 1).select("_p", F.col("r")[0][0].alias("x"), F.col("r")[0][1].alias("y"))

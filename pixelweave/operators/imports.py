@@ -24,7 +24,15 @@ def inspect(px: DataFrame, value: str, grid: GridSpec | None) -> dict[str, objec
     if grid is None:
         raise ValueError(f"layer {value!r} has no grid, so it cannot be placed")
     n, least, most = px.agg(F.count(value), F.min(value), F.max(value)).first()
-    return {"type": kind, "grid": grid.signature(), "resolution": (abs(grid.res_x), abs(grid.res_y)), "shape": (grid.n_rows, grid.n_cols), "count": n, "least": least, "most": most}
+    return{
+        "type": kind,
+        "grid": grid.signature(),
+        "resolution": (abs(grid.res_x), abs(grid.res_y)),
+        "shape": (grid.n_rows, grid.n_cols),
+        "count": n,
+        "least": least,
+        "most": most
+    }
 
 
 def scale_faults(px: DataFrame, value: str, scale: str) -> DataFrame:
@@ -46,7 +54,15 @@ def require_scale(px: DataFrame, value: str, scale: str) -> None:
         raise ValueError(f"the map does not fit the scale {scale!r}: {r['fault']} (values from {r['least']} to {r['most']})")
 
 
-def imported(px: DataFrame, value: str, scale: str, target: DataFrame, factor: float = 1.0, shift: tuple[float, float] = (0.0, 0.0), checked: bool = True) -> DataFrame:
+def imported(
+    px: DataFrame,
+    value: str,
+    scale: str,
+    target: DataFrame,
+    factor: float = 1.0,
+    shift: tuple[float, float] = (0.0, 0.0),
+    checked: bool = True
+) -> DataFrame:
     """``(row, col, risk)``: an outside map on the pixels of ``target (row, col)``, nearest value, coded 1..65535.
 
     ``factor`` and ``shift`` place the target on the map as in ``regrid``. Pixels outside the map, without a value or not

@@ -40,7 +40,15 @@ def glm_fit(df: DataFrame, target: str, features: list[str], max_iter: int = 100
     return df.sparkSession.createDataFrame(rows, "term string, estimate double")
 
 
-def forest_fit(df: DataFrame, target: str, features: list[str], trees: int = 100, depth: int = 15, min_leaf: int = 2, seed: int = 1) -> RandomForestClassificationModel:
+def forest_fit(
+    df: DataFrame,
+    target: str,
+    features: list[str],
+    trees: int = 100,
+    depth: int = 15,
+    min_leaf: int = 2,
+    seed: int = 1
+) -> RandomForestClassificationModel:
     t = written(training(df, target, features))
     _class_totals(t)
     return RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed).fit(t)
@@ -74,7 +82,11 @@ def spatial_fit(
     Cells without a neighbour have rho 0. It is a point estimate, not draws from a posterior.
     """
     k = len(features) + 1
-    base = df.select(F.col("cell").cast("long").alias("cell"), F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f"_x{i + 1}") for i, f in enumerate(features)])
+    base = df.select(
+        F.col("cell").cast("long").alias("cell"),
+        F.col(target).cast("double").alias("_y"),
+        *[F.col(f).cast("double").alias(f"_x{i + 1}") for i, f in enumerate(features)]
+    )
     base = written(base.dropna())
     n, events = _class_totals(base)
     links = written(neighbors.select(F.col("cell").cast("long").alias("cell"), F.col("neighbor").cast("long").alias("neighbor")).distinct())
@@ -92,7 +104,10 @@ def spatial_fit(
 
     for _ in range(max_iter):
         # One pass over the rows a round: sums per cell serve both steps, which start from the same fit.
-        parts = [*[F.sum(F.col("_w") * x[i] * x[j]).alias(f"_c{i}_{j}") for i, j in pairs], *[F.sum((F.col("_y") - F.col("_p")) * c).alias(f"_g{i}") for i, c in enumerate(x)]]
+        parts =[
+            *[F.sum(F.col("_w") * x[i] * x[j]).alias(f"_c{i}_{j}") for i, j in pairs],
+            *[F.sum((F.col("_y") - F.col("_p")) * c).alias(f"_g{i}") for i, c in enumerate(x)]
+        ]
         by_cell = written(fitted().groupBy("cell").agg(F.sum(F.col("_y") - F.col("_p")).alias("g"), F.sum("_w").alias("h"), *parts))
         sums = by_cell.agg(*[F.sum(f"_c{i}_{j}") for i, j in pairs], *[F.sum(f"_g{i}") for i in range(k)]).first()
         curve = np.zeros((k, k))

@@ -14,7 +14,14 @@ from pixelweave.functions.scalars import risk_code
 TILE = 512
 
 
-def halo_tiles(px: DataFrame, names: list[str], half: int, fn: Callable[[np.ndarray, dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str, tile: int = TILE) -> DataFrame:
+def halo_tiles(
+    px: DataFrame,
+    names: list[str],
+    half: int,
+    fn: Callable[[np.ndarray, dict[str, np.ndarray]], dict[str, np.ndarray]],
+    schema: str,
+    tile: int = TILE
+) -> DataFrame:
     """``fn`` over tile x tile squares of pixels and ``half`` pixels around each: ``row, col`` and what ``fn`` returns.
 
     ``fn(present, layers)`` gets arrays of (tile + 2 half)² places, NaN where a layer is NULL or there is no pixel, and
@@ -143,8 +150,15 @@ def cell_index_km(flat_id: Column, csize_km: float, res: float, n_cols: int) ->
 def cell_neighbors(cells: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
     """``cells (cell)`` of an n_rows x n_cols cell grid: queen neighbours inside the grid."""
     step = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
-    t = cells.select("cell", F.explode(step).alias("s")).select("cell", (F.floor(F.col("cell") / n_cols) + F.col("s.dr")).alias("r"), (F.col("cell") % n_cols + F.col("s.dc")).alias("c"))
-    return t.filter(F.col("r").between(0, n_rows - 1) & F.col("c").between(0, n_cols - 1)).select("cell", (F.col("r") * n_cols + F.col("c")).cast("long").alias("neighbor"))
+    t = cells.select("cell", F.explode(step).alias("s")).select(
+        "cell",
+        (F.floor(F.col("cell") / n_cols) + F.col("s.dr")).alias("r"),
+        (F.col("cell") % n_cols + F.col("s.dc")).alias("c")
+    )
+    return t.filter(F.col("r").between(0, n_rows - 1) & F.col("c").between(0, n_cols - 1)).select(
+        "cell",
+        (F.col("r") * n_cols + F.col("c")).cast("long").alias("neighbor")
+    )
 
 
 def regrid(px: DataFrame, target: DataFrame, value: str, factor: float, bilinear: bool = False, shift: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
@@ -156,10 +170,23 @@ def regrid(px: DataFrame, target: DataFrame, value: str, factor: float, bilinear
     y, x = (F.col("row") + 0.5) / factor + shift[0], (F.col("col") + 0.5) / factor + shift[1]
     source = px.select(F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).cast("double").alias("v"))
     if not bilinear:
-        return target.select("row", "col", F.floor(y).cast("int").alias("sr"), F.floor(x).cast("int").alias("sc")).join(source, ["sr", "sc"], "left").select("row", "col", F.col("v").alias(value))
+        return target.select(
+            "row",
+            "col",
+            F.floor(y).cast("int").alias("sr"),
+            F.floor(x).cast("int").alias("sc")
+        ).join(source, ["sr", "sc"], "left").select("row", "col", F.col("v").alias(value))
     r0, c0 = F.floor(y - 0.5), F.floor(x - 0.5)
     fr, fc = (y - 0.5) - r0, (x - 0.5) - c0
-    four = F.array(*[F.struct((r0 + a).cast("int").alias("sr"), (c0 + b).cast("int").alias("sc"), ((fr if a else 1 - fr) * (fc if b else 1 - fc)).alias("w")) for a in (0, 1) for b in (0, 1)])
+    four = F.array(
+        *[
+            F.struct(
+                (r0 + a).cast("int").alias("sr"),
+                (c0 + b).cast("int").alias("sc"),
+                ((fr if a else 1 - fr) * (fc if b else 1 - fc)).alias("w")
+            ) for a in (0, 1) for b in (0, 1)
+        ]
+    )
     t = target.select("row", "col", F.explode(four).alias("n")).select("row", "col", "n.*").join(source, ["sr", "sc"], "left")
     known = F.when(F.col("v").isNotNull(), F.col("w"))
     return t.groupBy("row", "col").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum(known)).alias(value))

@@ -24,13 +24,23 @@ def _placed(t: DataFrame, by: Sequence[str], order: str, size: Column) -> DataFr
     """``t`` with ``_before``: the sum of ``size`` over the rows of the same ``by`` that come earlier by ``order``."""
     totals = t.groupBy(*by, "_range").agg(F.sum(size).alias("_size"))
     run = Window.partitionBy(*by).orderBy("_range")  # a row a range
-    starts = totals.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_range").alias("_r"), (F.sum("_size").over(run) - F.col("_size")).alias("_start"))
+    starts = totals.select(
+        *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
+        F.col("_range").alias("_r"),
+        (F.sum("_size").over(run) - F.col("_size")).alias("_start")
+    )
     same = F.col("_range") == F.col("_r")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
     inside = Window.partitionBy(*by, "_range").orderBy(order)
     earlier = F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return t.withColumn("_in", earlier).join(starts, same).withColumn("_before", (F.col("_start") + F.col("_in")).cast("long")).drop("_in", "_start", "_r", "_range", *[f"_by{i}" for i in range(len(by))])
+    return t.withColumn("_in", earlier).join(starts, same).withColumn("_before", (F.col("_start") + F.col("_in")).cast("long")).drop(
+        "_in",
+        "_start",
+        "_r",
+        "_range",
+        *[f"_by{i}" for i in range(len(by))]
+    )
 
 
 def positions(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:

@@ -24,7 +24,16 @@ def category_counts(px: DataFrame, cat: str = "risk", forest: str = "forest_t1",
     )
 
 
-def defrate_per_cat(px: DataFrame, years: float, pixel_area: float, cat: str = "risk", forest: str = "forest_t1", loss: str = "loss", dense: int | None = None, density_from: str = "rate_abs") -> DataFrame:
+def defrate_per_cat(
+    px: DataFrame,
+    years: float,
+    pixel_area: float,
+    cat: str = "risk",
+    forest: str = "forest_t1",
+    loss: str = "loss",
+    dense: int | None = None,
+    density_from: str = "rate_abs"
+) -> DataFrame:
     """Observed, modelled and adjusted rate of each category; ``dense`` adds the categories without pixels."""
     t = category_counts(px, cat, forest, loss)
     if dense:
@@ -35,7 +44,15 @@ def defrate_per_cat(px: DataFrame, years: float, pixel_area: float, cat: str = "
     return _rate_columns(t, years, pixel_area, density_from)
 
 
-def defrate_per_class(px: DataFrame, years: float, pixel_area: float, cat: str, forest: str = "forest_t1", loss: str = "loss", model: DataFrame | None = None) -> DataFrame:
+def defrate_per_class(
+    px: DataFrame,
+    years: float,
+    pixel_area: float,
+    cat: str,
+    forest: str = "forest_t1",
+    loss: str = "loss",
+    model: DataFrame | None = None
+) -> DataFrame:
     """As per category, of vulnerability classes with forest; rates come from the table ``model (cat, rate_mod)`` if given."""
     t = category_counts(px, cat, forest, loss).filter("nfor > 0").withColumn("rate_obs", annual_rate(F.col("ndefor"), F.col("nfor"), years))
     if model is None:
@@ -70,7 +87,12 @@ def distance_table(px: DataFrame, dist: str, loss: str, step: float, last: float
     total = hits.agg(F.count("*").alias("total"))
     t = px.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin")).join(counts, "bin", "left").fillna(0, ["npix"])
     run = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # a row a bin, whatever the number of pixels
-    t = t.select((F.col("bin") * step).alias("distance"), "npix", (F.col("npix") * pixel_area).alias("area"), (F.sum("npix").over(run) * pixel_area).alias("cum"))
+    t = t.select(
+        (F.col("bin") * step).alias("distance"),
+        "npix",
+        (F.col("npix") * pixel_area).alias("area"),
+        (F.sum("npix").over(run) * pixel_area).alias("cum")
+    )
     return t.join(F.broadcast(total)).select("distance", "npix", "area", "cum", F.try_divide(100.0 * F.col("cum"), F.col("total") * pixel_area).alias("perc"))
 
 
@@ -87,7 +109,18 @@ def require_threshold(table: DataFrame, percent: float = 99.5) -> tuple[float, f
     return r["dist_thresh"], r["perc"]
 
 
-def cell_tally(px: DataFrame, rates: DataFrame, n_cols: int, csize: int | Column, years: float, pixel_area: float, cat: str = "risk", forest: str = "forest_t1", loss: str = "loss", by: tuple[str, ...] = ()) -> DataFrame:
+def cell_tally(
+    px: DataFrame,
+    rates: DataFrame,
+    n_cols: int,
+    csize: int | Column,
+    years: float,
+    pixel_area: float,
+    cat: str = "risk",
+    forest: str = "forest_t1",
+    loss: str = "loss",
+    by: tuple[str, ...] = ()
+) -> DataFrame:
     """Observed and predicted events per coarse cell; cells without forest are dropped. ``csize`` may be a column."""
     size = csize if isinstance(csize, Column) else F.lit(csize)
     cell = F.floor(F.col("row") / size).cast("long") * F.ceil(F.lit(n_cols) / size).cast("long") + F.floor(F.col("col") / size).cast("long")
@@ -97,7 +130,15 @@ def cell_tally(px: DataFrame, rates: DataFrame, n_cols: int, csize: int | Column
         F.count_if(event(F.col(loss))).alias("ndefor_obs"),
         (F.coalesce(F.sum("defor_dens"), F.lit(0.0)) * years).alias("ndefor_pred_ha"),
     )
-    return t.filter("nfor_obs > 0").select(*by, "cell", "nfor_obs", "ndefor_obs", (F.col("nfor_obs") * pixel_area).alias("nfor_obs_ha"), (F.col("ndefor_obs") * pixel_area).alias("ndefor_obs_ha"), "ndefor_pred_ha")
+    return t.filter("nfor_obs > 0").select(
+        *by,
+        "cell",
+        "nfor_obs",
+        "ndefor_obs",
+        (F.col("nfor_obs") * pixel_area).alias("nfor_obs_ha"),
+        (F.col("ndefor_obs") * pixel_area).alias("ndefor_obs_ha"),
+        "ndefor_pred_ha"
+    )
 
 
 def accuracy(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -120,11 +161,24 @@ def forecast_rates(rates: DataFrame, juris_ha: float, years: int) -> DataFrame:
     return t.select("cat", "nfor", "rate_mod", "pixel_area", rate.alias("rate_abs"), (rate * F.col("pixel_area") / years).alias("defor_dens"))
 
 
-def evaluated(px: DataFrame, maps: dict[str, Column], csizes: list[int], n_cols: int, years: float, pixel_area: float, forest: str = "forest_t1", loss: str = "loss") -> DataFrame:
+def evaluated(
+    px: DataFrame,
+    maps: dict[str, Column],
+    csizes: list[int],
+    n_cols: int,
+    years: float,
+    pixel_area: float,
+    forest: str = "forest_t1",
+    loss: str = "loss"
+) -> DataFrame:
     """Accuracy of several maps (columns of categories) against one truth at several cell sizes: ``prediction, csize`` and
     the indices. Each map has its own rate table; pixels are read twice, once for the tables and once for all cells."""
     long = px.select(
-        "row", "col", F.col(forest).alias("_f"), F.col(loss).alias("_l"), F.explode(F.array(*[F.struct(F.lit(n).alias("prediction"), c.cast("long").alias("risk")) for n, c in maps.items()])).alias("_m")
+        "row",
+        "col",
+        F.col(forest).alias("_f"),
+        F.col(loss).alias("_l"),
+        F.explode(F.array(*[F.struct(F.lit(n).alias("prediction"), c.cast("long").alias("risk")) for n, c in maps.items()])).alias("_m")
     ).select("row", "col", "_f", "_l", "_m.*")
     pop, ev = population(F.col("_f"), F.col("_l")), event(F.col("_l"))
     t = long.filter("risk > 0").groupBy("prediction", F.col("risk").alias("cat")).agg(F.count_if(pop).alias("nfor"), F.count_if(ev).alias("ndefor"))
@@ -133,9 +187,21 @@ def evaluated(px: DataFrame, maps: dict[str, Column], csizes: list[int], n_cols:
     dens = F.col("rate_mod") * F.try_divide(F.col("_nd").cast("double"), F.col("_exp")) * pixel_area / years
     rates = t.join(total, "prediction").select("prediction", F.col("cat").alias("risk"), dens.alias("defor_dens"))
     each = long.join(rates, ["prediction", "risk"], "left").withColumn("csize", F.explode(F.array(*map(F.lit, csizes))))
-    cell = F.floor(F.col("row") / F.col("csize")).cast("long") * F.ceil(F.lit(n_cols) / F.col("csize")).cast("long") + F.floor(F.col("col") / F.col("csize")).cast("long")
-    tally = each.groupBy("prediction", "csize", cell.alias("cell")).agg(F.count_if(pop).alias("nfor_obs"), F.count_if(ev).alias("ndefor_obs"), (F.coalesce(F.sum("defor_dens"), F.lit(0.0)) * years).alias("ndefor_pred_ha"))
-    tally = tally.filter("nfor_obs > 0").select("*", (F.col("nfor_obs") * pixel_area).alias("nfor_obs_ha"), (F.col("ndefor_obs") * pixel_area).alias("ndefor_obs_ha"))
+    cell = F.floor(F.col("row") / F.col("csize")).cast("long") * F.ceil(F.lit(n_cols) / F.col("csize")).cast("long") + F.floor(
+        F.col("col") / F.col("csize")
+    ).cast(
+        "long"
+    )
+    tally = each.groupBy("prediction", "csize", cell.alias("cell")).agg(
+        F.count_if(pop).alias("nfor_obs"),
+        F.count_if(ev).alias("ndefor_obs"),
+        (F.coalesce(F.sum("defor_dens"), F.lit(0.0)) * years).alias("ndefor_pred_ha")
+    )
+    tally = tally.filter("nfor_obs > 0").select(
+        "*",
+        (F.col("nfor_obs") * pixel_area).alias("nfor_obs_ha"),
+        (F.col("ndefor_obs") * pixel_area).alias("ndefor_obs_ha")
+    )
     return accuracy(tally, ("prediction", "csize"))
 
 
@@ -144,7 +210,10 @@ def allocation(counts: DataFrame, rates: DataFrame, juris_ha: float, years: int,
     t = with_totals(rates, _exp=F.sum(F.col("nfor") * F.col("rate_mod")))
     dens = t.select("cat", (F.col("rate_mod") * (F.lit(juris_ha) / (F.lit(pixel_area) * F.col("_exp"))) * pixel_area / years).alias("dens"))
     annual = counts.join(dens, "cat", "left").agg(F.sum(F.col("npix") * F.coalesce("dens", F.lit(0.0))).alias("ha"))
-    rows = F.array(F.struct(F.lit("annual").alias("period"), F.lit(1).alias("length"), F.col("ha").alias("deforestation")), F.struct(F.lit("entire").alias("period"), F.lit(years).alias("length"), (F.col("ha") * years).alias("deforestation")))
+    rows = F.array(
+        F.struct(F.lit("annual").alias("period"), F.lit(1).alias("length"), F.col("ha").alias("deforestation")),
+        F.struct(F.lit("entire").alias("period"), F.lit(years).alias("length"), (F.col("ha") * years).alias("deforestation"))
+    )
     return annual.select(F.explode(rows).alias("r")).select("r.*")
 
 

@@ -51,7 +51,10 @@ def allocate_equal(counts: DataFrame, n: int) -> DataFrame:
 
 def allocate_proportional(counts: DataFrame, n: int) -> DataFrame:
     t = counts.agg(F.sum("n").alias("_t"))
-    return counts.join(F.broadcast(t)).withColumn("n_alloc", F.least(F.bround(F.lit(float(n)) * F.col("n") / F.col("_t"), 0).cast("long"), F.col("n"))).drop("_t")
+    return counts.join(F.broadcast(t)).withColumn(
+        "n_alloc",
+        F.least(F.bround(F.lit(float(n)) * F.col("n") / F.col("_t"), 0).cast("long"), F.col("n"))
+    ).drop("_t")
 
 
 def adaptive_size(pixels: Column, pixel_area: float) -> Column:
@@ -72,7 +75,17 @@ def allocate_each(counts: DataFrame, n: int, pixel_area: float | None = None) ->
 ALLOCATIONS = {"equal": allocate_equal, "proportional": allocate_proportional}
 
 
-def points(px: DataFrame, value: str, grid: GridSpec, strategy: str, n: int | None = None, allocation: str = "equal", seed: int = 0, spacing: float | None = None, adapt: bool = False) -> DataFrame:
+def points(
+    px: DataFrame,
+    value: str,
+    grid: GridSpec,
+    strategy: str,
+    n: int | None = None,
+    allocation: str = "equal",
+    seed: int = 0,
+    spacing: float | None = None,
+    adapt: bool = False
+) -> DataFrame:
     """``(draw, strata, row, col, x, y)``: pixels with a value, at their centres, by a strategy.
 
     ``random`` and ``stratified`` number their points in the order of the draw (classes in descending order, events first);

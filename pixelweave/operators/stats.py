@@ -14,7 +14,16 @@ def layer_summary(px: DataFrame, names: list[str]) -> DataFrame:
     aggs = []
     for c in names:
         v = F.col(c).cast("double")
-        aggs.append(F.struct(F.lit(c).alias("layer"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.count(v).alias("count")))
+        aggs.append(
+            F.struct(
+                F.lit(c).alias("layer"),
+                F.min(v).alias("min"),
+                F.max(v).alias("max"),
+                F.avg(v).alias("mean"),
+                F.stddev_pop(v).alias("std"),
+                F.count(v).alias("count")
+            )
+        )
     return px.agg(F.array(*aggs).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
@@ -55,14 +64,30 @@ def effective_sample_size(trace: DataFrame, block: int = 16) -> DataFrame:
     mean = known.groupBy("param").agg(F.avg("value").alias("_m"))
     t = positions(known, ["param"], "iter").join(mean, "param").select("param", F.col("_at").alias("i"), (F.col("value") - F.col("_m")).alias("c"), "value")
     t = written(t)
-    total = written(t.groupBy("param").agg(F.sum(F.col("c") * F.col("c")).alias("v"), F.count("*").alias("n"), ((F.count("*") >= 4) & (F.min("value") < F.max("value"))).alias("usable")))
+    total = written(
+        t.groupBy("param").agg(
+            F.sum(F.col("c") * F.col("c")).alias("v"),
+            F.count("*").alias("n"),
+            ((F.count("*") >= 4) & (F.min("value") < F.max("value"))).alias("usable")
+        )
+    )
     live, pairs, first = t.join(total.filter("usable").select("param"), "param", "left_semi"), None, 0
     while True:
         lags = F.explode(F.sequence(F.lit(2 * first + 1), F.lit(2 * (first + block)))).alias("lag")
         a = live.select("param", "i", F.col("c").alias("ahead"), lags).select("param", "lag", "ahead", (F.col("i") + F.col("lag")).alias("i"))
         k = F.floor((F.col("lag") + 1) / 2).alias("k")
-        s = a.join(live.select("param", "i", "c"), ["param", "i"]).groupBy("param", k).agg(F.sum(F.col("ahead") * F.col("c")).alias("s"), F.max("lag").alias("last"))
-        s = written(s.join(total, "param").select("param", "k", (F.col("s") / F.col("v")).alias("pair"), ((F.col("s") > 0) & (F.col("last") == 2 * F.col("k"))).alias("good")))
+        s = a.join(live.select("param", "i", "c"), ["param", "i"]).groupBy("param", k).agg(
+            F.sum(F.col("ahead") * F.col("c")).alias("s"),
+            F.max("lag").alias("last")
+        )
+        s = written(
+            s.join(total, "param").select(
+                "param",
+                "k",
+                (F.col("s") / F.col("v")).alias("pair"),
+                ((F.col("s") > 0) & (F.col("last") == 2 * F.col("k"))).alias("good")
+            )
+        )
         pairs = s if pairs is None else pairs.union(s)
         still = s.groupBy("param").agg(F.count_if("good").alias("g")).filter(F.col("g") == block)
         if still.isEmpty():

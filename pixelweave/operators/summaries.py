@@ -81,7 +81,10 @@ def vector_classes(features: DataFrame, name: str, most: int = MAX_CLASSES) -> D
     from pyspark.sql import Window
 
     at = F.row_number().over(Window.orderBy("feature_id"))  # at most ``most`` rows
-    return features.select("feature_id", name).withColumn("value", at).select("value", F.coalesce(F.col(name).cast("string"), F.col("value").cast("string")).alias("name"))
+    return features.select("feature_id", name).withColumn("value", at).select(
+        "value",
+        F.coalesce(F.col(name).cast("string"), F.col("value").cast("string")).alias("name")
+    )
 
 
 def project_counts(px: DataFrame, cat: str, mask: Column) -> DataFrame:

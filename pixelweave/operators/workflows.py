@@ -43,7 +43,16 @@ def _threshold(px: DataFrame, dist: str, loss: str, percent: float, last: float,
     return R.require_threshold(R.distance_table(px, dist, loss, STEP, last, pixel_area), percent)
 
 
-def window_fit(px: DataFrame, dist: str, loss: str, years: float, pixel_area: float, windows: Sequence[int] = (5, 11, 21), percent: float = 99.5, last: float = 5000.0) -> WindowModel:
+def window_fit(
+    px: DataFrame,
+    dist: str,
+    loss: str,
+    years: float,
+    pixel_area: float,
+    windows: Sequence[int] = (5, 11, 21),
+    percent: float = 99.5,
+    last: float = 5000.0
+) -> WindowModel:
     """ValueError if the loss layer is no 0/1 layer with a 1, or no distance reaches ``percent``."""
     if not windows or any(w % 2 == 0 or w < 1 for w in windows):
         raise ValueError("windows must be odd sizes")
@@ -57,7 +66,17 @@ def local_rates(px: DataFrame, model: WindowModel, window: int, forest: str, los
     return N.local_rate(px, L.population(F.col(forest), F.col(loss)), L.event(F.col(loss)), window, model.years)
 
 
-def window_apply(local: DataFrame, px: DataFrame, model: WindowModel, dist: str, forest: str, loss: str, years: float, pixel_area: float, zero_cat: int = 1) -> tuple[DataFrame, DataFrame]:
+def window_apply(
+    local: DataFrame,
+    px: DataFrame,
+    model: WindowModel,
+    dist: str,
+    forest: str,
+    loss: str,
+    years: float,
+    pixel_area: float,
+    zero_cat: int = 1
+) -> tuple[DataFrame, DataFrame]:
     """The risk map ``(row, col, risk)`` of a period, and its rate table. Pixels without a local rate (0) are nodata."""
     t = local.filter("ldefrate > 0").join(px.select("row", "col", dist, forest, loss), ["row", "col"])
     t = t.withColumn("risk", L.zero_beyond(F.col("ldefrate"), F.col(dist), model.dist_thresh, zero_cat))
@@ -69,7 +88,17 @@ def class_fit(px: DataFrame, dist: str, loss: str, res: float, pixel_area: float
     return ClassModel(reach, perc, tuple(geometric_edges(res, reach, classes)))
 
 
-def class_apply(px: DataFrame, model: ClassModel, dist: str, forest: str, loss: str, subj: str, years: float, pixel_area: float, rates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def class_apply(
+    px: DataFrame,
+    model: ClassModel,
+    dist: str,
+    forest: str,
+    loss: str,
+    subj: str,
+    years: float,
+    pixel_area: float,
+    rates: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The class map ``(row, col, vuln)`` of a period, and its rate table. ``rates``, the table of the period that the model
     was fitted on, gives the relative rates (NULL for a class that it lacks); without it they are the period's own."""
     S.require_binary(px, loss)
@@ -77,7 +106,16 @@ def class_apply(px: DataFrame, model: ClassModel, dist: str, forest: str, loss:
     return t.select("row", "col", "vuln"), R.defrate_per_class(t, years, pixel_area, "vuln", forest, loss, rates)
 
 
-def allocate(px: DataFrame, rates: DataFrame, borders: DataFrame, juris_ha: float, years: int, grid, cat: str = "risk", mask: Column | None = None) -> DataFrame:
+def allocate(
+    px: DataFrame,
+    rates: DataFrame,
+    borders: DataFrame,
+    juris_ha: float,
+    years: int,
+    grid,
+    cat: str = "risk",
+    mask: Column | None = None
+) -> DataFrame:
     """Annual and entire hectares of a project: the rate table and the borders are checked, the map is cut to the borders
     (every touched pixel), its pixels are counted per category and take the adjusted densities. ``grid`` places the map;
     ``borders (feature_id, kind, rings)``. ValueError if the table is at fault, belongs to other pixels, or knows none of
@@ -89,7 +127,10 @@ def allocate(px: DataFrame, rates: DataFrame, borders: DataFrame, juris_ha: floa
         raise ValueError(f"the table has pixels of {area} ha, the map of {grid.pixel_area_ha()} ha")
     inside = crop(px, borders, grid.n_rows, grid.x0, grid.y0, grid.res_x, grid.n_cols)
     counts = S.project_counts(inside, cat, mask if mask is not None else F.lit(1))
-    share = counts.join(rates.select("cat", F.lit(1).alias("_known")), "cat", "left").agg(F.sum("npix"), F.sum(F.when(F.col("_known").isNull(), F.col("npix")).otherwise(0))).first()
+    share = counts.join(rates.select("cat", F.lit(1).alias("_known")), "cat", "left").agg(
+        F.sum("npix"),
+        F.sum(F.when(F.col("_known").isNull(), F.col("npix")).otherwise(0))
+    ).first()
     if not share[0]:
         raise ValueError("no pixel of the map lies in the borders")
     if share[1] > 0.999 * share[0]:
@@ -104,7 +145,14 @@ def density_map(px: DataFrame, rates: DataFrame, juris_ha: float, years: int, ca
     return S.densities(px, t.select("cat", dens.alias("defor_dens")), cat)
 
 
-def harmonise(raw: DataFrame, processed: DataFrame, signature: str, run: Callable[[str], tuple[DataFrame, str]], sink: Callable[[str, DataFrame], None], order: Sequence[str] = ()) -> list[str]:
+def harmonise(
+    raw: DataFrame,
+    processed: DataFrame,
+    signature: str,
+    run: Callable[[str], tuple[DataFrame, str]],
+    sink: Callable[[str, DataFrame], None],
+    order: Sequence[str] = ()
+) -> list[str]:
     """Redo every layer that is not current: ``run(key)`` gives its pixels and path, ``sink`` writes them. Returns the keys
     done, in name order or ``order``. The catalog has a row a layer, so its keys may be listed."""
     status = C.harmonisation(raw, processed, signature)

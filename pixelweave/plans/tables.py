@@ -59,7 +59,12 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
         (F.floor(price).cast("int") % 50 + 1).alias("risk"),
     )
     t1, t2, t3 = (F.col(f"forest_t{i}") for i in (1, 2, 3))
-    return g.select("*", L.change(t1, t2, "loss").alias("loss"), L.three_dates(t1, t2, t3).alias("fcc"), (((F.col("row") * 37 + F.col("col") * 11) % 700) * 10).cast("double").alias("edge"))
+    return g.select(
+        "*",
+        L.change(t1, t2, "loss").alias("loss"),
+        L.three_dates(t1, t2, t3).alias("fcc"),
+        (((F.col("row") * 37 + F.col("col") * 11) % 700) * 10).cast("double").alias("edge")
+    )
 
 
 def rounded(df: DataFrame, digits: int = 10) -> DataFrame:
@@ -91,7 +96,11 @@ K = """k AS (SELECT s_suppkey AS id, lower(replace(n_name, ' ', '_')) AS name, C
 
 def trace(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
-    return e.select(F.col("event_id").alias("iter"), F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string")).alias("param"), F.col("value").cast("double").alias("value"))
+    return e.select(
+        F.col("event_id").alias("iter"),
+        F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string")).alias("param"),
+        F.col("value").cast("double").alias("value")
+    )
 
 
 E = "e AS (SELECT event_id AS iter, 'p' || CAST(user_id % 7 AS VARCHAR) AS param, CAST(value AS DOUBLE) AS value FROM events)"
@@ -123,11 +132,17 @@ def box(x0, y0, x1, y1):
 
 def borders(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("r_regionkey") * 30
-    return spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("long").alias("feature_id"), box(x + 2.3, F.lit(-7.7), x + 17.6, F.lit(-1.4)))
+    return spark.read.parquet(f"{d}/region.parquet").select(
+        F.col("r_regionkey").cast("long").alias("feature_id"),
+        box(x + 2.3, F.lit(-7.7), x + 17.6, F.lit(-1.4))
+    )
 
 
 def parcels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c, s = spark.read.parquet(f"{d}/customer.parquet"), spark.read.parquet(f"{d}/supplier.parquet")
     x, y, w = PX("c_custkey") * 7 % 1000, PX("c_custkey") * 13 % 997, PX("c_nationkey") % 5 + 1.5
     u, v = PX("s_suppkey") * 31 % 1000 + 0.25, PX("s_suppkey") * 17 % 997 + 0.25
-    return c.select(PX("c_custkey").cast("long").alias("feature_id"), box(x, y, x + w, y + w)), s.select(PX("s_suppkey").cast("long").alias("feature_id"), box(u, v, u + 20, v + 30))
+    return c.select(PX("c_custkey").cast("long").alias("feature_id"), box(x, y, x + w, y + w)), s.select(
+        PX("s_suppkey").cast("long").alias("feature_id"),
+        box(u, v, u + 20, v + 30)
+    )

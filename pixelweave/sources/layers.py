@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The tables that are exchanged as CSV, with their columns in order. Training tables have their own columns.
-TABLES = {
+TABLES ={
     "rates": "cat long, nfor long, ndefor long, time_interval double, rate_obs double, rate_mod double, rate_abs double, pixel_area double, defor_dens double",
     "forecast_rates": "cat long, nfor long, rate_mod double, pixel_area double, rate_abs double, defor_dens double",
     "distances": "distance double, npix long, area double, cum double, perc double",
