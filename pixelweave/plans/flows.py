@@ -334,7 +334,7 @@ query(
 )
 query(
     "import_probability",
-    W + PLACED.format(v=CODE.format(p="s.risk / 64e0", span=65534, low=1)).replace("FROM g t LEFT", "FROM g t LEFT").replace(
+    W + PLACED.format(v=CODE.format(p="s.risk / 64e0", span=65534, low=1)).replace(
         "greatest(s.risk / 64e0, 1e-6)",
         "CASE WHEN s.risk IS NOT NULL THEN greatest(s.risk / 64e0, 1e-6) END"
     )
@@ -537,15 +537,21 @@ query(
 )
 query(
     "settlement_mask",
-    W + "SELECT row, col, CAST(coalesce(forest_t1 * 20 >= 15 AND risk * 3 >= 90, false) AS INT) AS value FROM g WHERE 2015 = 2015"
+    W + "SELECT row, col, CAST(coalesce(forest_t1 * 20 >= 15 AND risk * 3 >= 90, false) AS INT) AS value FROM g"
 )(
     lambda px: D.settled_at(
         px.select(
             "row",
             "col",
             F.explode(F.array(F.lit(2010), F.lit(2015), F.lit(2020))).alias("epoch"),
-            (PX("forest_t1") * 20).alias("population"),
-            (PX("risk") * 3).alias("built")
+            "forest_t1",
+            "risk"
+        ).select(
+            "row",
+            "col",
+            "epoch",
+            (PX("forest_t1") * (2035 - PX("epoch"))).alias("population"),
+            (PX("risk") * (PX("epoch") - 2012)).alias("built")
         ),
         2016
     )
