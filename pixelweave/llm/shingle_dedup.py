@@ -7,9 +7,10 @@
    They don't reach down to 0.8 (a pair there differs in about 10 of 64 bits), so classes that share a band key are
    candidates too: each with the first class of the key (the leader), if their sketches leave the similarity possible
    (six standard deviations below it). Keys with equal members are looked at once.
-3. Candidates are verified on whole shingle sets; verified links make first groups. Of each key, members outside its largest
-   group are then compared with all members in other groups. So a group of close copies costs about its size, and no link
-   between groups is lost of classes that share a key.
+3. Candidates are verified on whole shingle sets; verified links make first groups. Of each key that holds several groups,
+   members of different groups are then compared, in tasks of two chunks of members each, which give only links that join
+   groups. So a group of close copies costs about its size, a crowd of texts that are no links makes no rows of pairs, and no
+   link between groups is lost of classes that share a key.
 4. One row stays of each group of classes connected by verified links.
 
 Texts are written once in blocks and stay there: shingle sets are made, and rows kept, where the blocks are.
@@ -37,6 +38,7 @@ from pixelweave.llm.simhash import SPACE
 
 BANDS, ROWS = 32, 6
 BLOCK_CHARS = 4_000_000
+CHUNK_ROWS, CHUNK_SHINGLES = 500, 2_000_000
 PER_SALT = 500  # pairs that share one copy of a leader's shingle set
 CHUNK = 1 << 12
 _DRAW = np.random.default_rng(11)
@@ -132,11 +134,15 @@ def _taken(names: list[str]):
     return run
 
 
+def _sketch_limit(similarity: float) -> int:
+    n, p = BANDS * ROWS, (1 - similarity) / 2
+    return math.ceil(n * p + 6 * math.sqrt(n * p * (1 - p)))
+
+
 def _possible(a: str, b: str, similarity: float) -> Column:
     """Whether the sketches of two sides leave the similarity possible: a bit differs with half of what it lacks to 1."""
-    n, p = BANDS * ROWS, (1 - similarity) / 2
     differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{a}._s0").bitwiseXOR(F.col(f"{b}._s0"))))
-    return differ <= math.ceil(n * p + 6 * math.sqrt(n * p * (1 - p)))
+    return differ <= _sketch_limit(similarity)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -156,16 +162,51 @@ def _salted(pairs: DataFrame, n: Column) -> DataFrame:
     return pairs.groupBy("_a", "_b").agg(F.max(salts).alias("_salts")).withColumn("_salt", F.pmod(F.xxhash64("_b"), F.col("_salts").cast("long")).cast("int"))
 
 
-def _across(rows: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """``(_a, _b, _n)`` of ``rows (_key, _n, _class, sketch)``: members of a key that are not in its largest group, with its
-    members in other groups."""
+def _bridges(limit: int, similarity: float):
+    """Links between groups of two chunks of members, as few as join what the links join."""
+
+    def run(key, t):
+        i, j = key[-2].as_py(), key[-1].as_py()
+        cls, chunk, group = (t.column(c).to_numpy() for c in ("_class", "_c", "_group"))
+        group = group.copy()
+        sketch = np.stack([t.column(s).to_numpy() for s in SKETCH], axis=1).view(np.uint64)
+        flat = t.column("_set").combine_chunks()
+        values, starts = flat.values.to_numpy().view(np.uint64), flat.offsets.to_numpy()
+        length, places = np.diff(starts), np.arange(len(cls))
+        pairs: list[tuple[int, int]] = []
+        for a in places[chunk == i].tolist():
+            rest = places[(chunk == j) & (group != group[a]) & (places > a if i == j else True)]
+            rest = rest[np.bitwise_count(sketch[rest] ^ sketch[a]).sum(axis=1) <= limit]
+            # Lengths further apart than the similarity allows need no look at the shingles.
+            rest = rest[np.minimum(length[rest], length[a]) >= similarity * np.maximum(length[rest], length[a])]
+            if len(rest):
+                own = values[starts[a] : starts[a + 1]]
+                other = np.concatenate([values[starts[b] : starts[b + 1]] for b in rest])
+                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                both = np.add.reduceat((own[at] == other).astype(np.int64), np.concatenate([[0], np.cumsum(length[rest])[:-1]]))
+                for b in rest[both >= similarity * (length[rest] + length[a] - both) - 1e-9].tolist():
+                    if group[b] != group[a]:
+                        pairs.append((a, b))
+                        group[group == group[b]] = group[a]
+        return pa.table({"_a": pa.array([cls[a] for a, _ in pairs], pa.int64()), "_b": pa.array([cls[b] for _, b in pairs], pa.int64())})
+
+    return run
+
+
+def _across(rows: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(_a, _b)``: links that join groups of members of one key, of ``rows (_key, _n, _class, sketch)``.
+
+    A key's members are dealt into chunks of at most about ``CHUNK_ROWS`` members and ``CHUNK_SHINGLES`` shingles, and each
+    pair of chunks is a task of its own.
+    """
     grouped = rows.join(groups, "_class", "left").withColumn("_group", F.coalesce("_comp", "_class")).drop("_comp")
-    sizes = grouped.groupBy("_key", "_group").agg(F.count("*").alias("_size"))
-    largest = sizes.groupBy("_key").agg(F.max(F.struct("_size", "_group"))["_group"].alias("_main"), F.count("*").alias("_groups")).filter("_groups > 1")
-    grouped = written(grouped.join(largest.select("_key", "_main"), "_key"))
-    a, b = grouped.filter("_group <> _main").alias("a"), grouped.alias("b")
-    met = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._group") != F.col("b._group")) & _possible("a", "b", similarity))
-    return met.select(F.least("a._class", "b._class").alias("_a"), F.greatest("a._class", "b._class").alias("_b"), F.col("b._n").alias("_n"))
+    several = grouped.groupBy("_key").agg((F.min("_group") < F.max("_group")).alias("_several")).filter("_several").select("_key")
+    grouped = written(grouped.join(several, "_key").join(sets, "_class"))
+    load = grouped.groupBy("_key").agg(F.ceil(F.greatest(F.count("*") / CHUNK_ROWS, F.sum(F.size("_set")) / CHUNK_SHINGLES)).cast("int").alias("_chunks"))
+    dealt = grouped.join(load, "_key").withColumn("_c", F.pmod(F.xxhash64("_class"), F.col("_chunks").cast("long")).cast("int"))
+    each = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    each = each.select("_key", F.least("_c", "_other").alias("_i"), F.greatest("_c", "_other").alias("_j"), "_class", "_c", "_group", *SKETCH, "_set")
+    return each.groupBy("_key", "_i", "_j").applyInArrow(_bridges(_sketch_limit(similarity), similarity), "_a long, _b long")
 
 
 def near_classes(marked: DataFrame, blocks: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -196,9 +237,7 @@ def near_classes(marked: DataFrame, blocks: DataFrame, size: int = 5, similarity
     sets = written(blocks.join(wanted.hint("shuffle_merge"), "_block").select("_rows", "_wanted").mapInArrow(_sets(size), "_class long, _set array<long>"))
     close = written(_verified(first, sets, similarity))
     groups = components(close).withColumnRenamed("_node", "_class")
-    again = written(_salted(_across(rows, groups, similarity), F.col("_n")))
-    # Groups and the links between them.
-    more = _verified(again, sets, similarity)
+    more = _across(rows, groups, sets, similarity)
     comp = components(close.union(more)).withColumnRenamed("_node", "_class")
     return classes.select("_class", "_first").join(comp, "_class", "left").select("_class", "_first", F.coalesce("_comp", "_class").alias("_comp"))
 

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from pixelweave.llm import bpe, decontaminate, embedding_dedup, html_text, line_dedup, pii, sharding, simhash, token_counts, toxicity
+from pixelweave.llm import bpe, decontaminate, embedding_dedup, html_text, line_dedup, pii, sharding, shingle_dedup, simhash, token_counts, toxicity
 
 WORDS = "the of and loser tree stone river cloud paper green".split()
 
@@ -231,7 +231,9 @@ def test_html_template_removal(spark):
     assert got[3] == "Own text 3 & more second 3" and got[50] == "T A bc" and got[51] == ""
 
 
-def test_near_copies_of_a_similarity_of_four_fifths(spark, docs):
+@pytest.mark.parametrize("chunk", [500, 7])
+def test_near_copies_of_a_similarity_of_four_fifths(spark, docs, chunk, monkeypatch):
+    monkeypatch.setattr(shingle_dedup, "CHUNK_ROWS", chunk)
     rnd = random.Random(6)
     rows = [(r.doc_id, r.text, r._text) for r in docs.collect()]
     for i in range(60):
@@ -242,6 +244,13 @@ def test_near_copies_of_a_similarity_of_four_fifths(spark, docs):
             for _ in range(rnd.randint(0, j)):
                 again[rnd.randrange(len(again))] = f"w{rnd.randrange(3000)}"
             rows.append((100 + 5 * i + j, "  ".join(again).upper(), "x"))
+    # A crowd of texts about one: many pairs just below and above the similarity.
+    base = [f"c{k}" for k in range(90)]
+    for i in range(60):
+        again = list(base)
+        for _ in range(rnd.randint(1, 4)):
+            again[rnd.randrange(90)] = f"d{rnd.randrange(3000)}"
+        rows.append((2000 + i, " ".join(again), "x"))
     words = [re.split(r"[ \t\n]+", (t or "").lower().strip()) for _, t, _ in rows]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
     label = list(range(len(rows)))
