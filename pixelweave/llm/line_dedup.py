@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import row_blocks, shuffle_partitions, table, written
+from pixelweave.llm.common import discard, row_blocks, shuffle_partitions, table, written
 
 STRIP = " \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
@@ -186,7 +186,9 @@ def drop_sets(hashes: DataFrame, per_group: int | None = None) -> DataFrame:
         .cogroup(copies.groupBy("_s", "_g"))
         .applyInArrow(_probe, "_block long, _at int, _key binary")
     )
-    return found.groupBy("_block").agg(F.collect_list(F.struct("_at", "_key")).alias("_drops"))
+    out = written(found.groupBy("_block").agg(F.collect_list(F.struct("_at", "_key")).alias("_drops")))
+    discard(index, load)
+    return out
 
 
 def _apply(min_chars: int, names: list[str]):
@@ -218,7 +220,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(*cols, F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     blocks = row_blocks(rows, BLOCK_CHARS)
     hashes = written(blocks.mapInArrow(_hash_lines(min_chars), "_h long, _f long, _doc long, _block long, _at int"))
-    met = blocks.join(drop_sets(hashes).hint("shuffle_merge"), "_block", "left").select("_rows", "_drops")
+    drops = drop_sets(hashes)
+    discard(hashes)
+    met = blocks.join(drops.hint("shuffle_merge"), "_block", "left").select("_rows", "_drops")
     kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes[: len(names)])
     out = met.mapInArrow(_apply(min_chars, names), f"{kinds}, _kept string, _n_lines long, _n_dropped long")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, (id_col, *keep), strict=True)], "_kept", "_n_lines", "_n_dropped")

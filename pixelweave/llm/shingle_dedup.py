@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.llm import simhash
-from pixelweave.llm.common import components, row_blocks, written
+from pixelweave.llm.common import components, discard, row_blocks, written
 from pixelweave.llm.simhash import SPACE
 
 BANDS, ROWS = 32, 6
@@ -193,7 +193,7 @@ def _bridges(limit: int, similarity: float):
     return run
 
 
-def _across(rows: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _across(rows: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float, hold=written) -> DataFrame:
     """``(_a, _b)``: links that join groups of members of one key, of ``rows (_key, _n, _class, sketch)``.
 
     A key's members are dealt into chunks of at most about ``CHUNK_ROWS`` members and ``CHUNK_SHINGLES`` shingles, and each
@@ -201,7 +201,7 @@ def _across(rows: DataFrame, groups: DataFrame, sets: DataFrame, similarity: flo
     """
     grouped = rows.join(groups, "_class", "left").withColumn("_group", F.coalesce("_comp", "_class")).drop("_comp")
     several = grouped.groupBy("_key").agg((F.min("_group") < F.max("_group")).alias("_several")).filter("_several").select("_key")
-    grouped = written(grouped.join(several, "_key").join(sets, "_class"))
+    grouped = hold(grouped.join(several, "_key").join(sets, "_class"))
     load = grouped.groupBy("_key").agg(F.ceil(F.greatest(F.count("*") / CHUNK_ROWS, F.sum(F.size("_set")) / CHUNK_SHINGLES)).cast("int").alias("_chunks"))
     dealt = grouped.join(load, "_key").withColumn("_c", F.pmod(F.xxhash64("_class"), F.col("_chunks").cast("long")).cast("int"))
     each = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
@@ -212,16 +212,22 @@ def _across(rows: DataFrame, groups: DataFrame, sets: DataFrame, similarity: flo
 def near_classes(marked: DataFrame, blocks: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``marked (_block, _at, _id, _class, _fp, _bands, sketch)``: one row a class with ``_comp``, the smallest class reachable,
     and ``_first (id, block, place)`` of its row with the smallest id."""
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(written(df))
+        return held[-1]
+
     address = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_block", "_at")).alias("_first")
     same = [F.first(c).alias(c) for c in ("_fp", "_bands", *SKETCH)]  # rows of a class have the same words
-    classes = written(marked.groupBy("_class").agg(address, *same))
+    classes = hold(marked.groupBy("_class").agg(address, *same))
     keys = classes.select("_class", F.explode("_bands").alias("_key"))
     member = F.xxhash64("_class")
     shared = keys.groupBy("_key").agg(F.count("*").alias("_n"), F.bit_xor(member).alias("_x"), F.min("_class").alias("_m"), F.max("_class").alias("_l"))
-    shared = written(shared.filter("_n > 1").groupBy("_n", "_x", "_m", "_l").agg(F.min("_key").alias("_key")).select("_key", "_n"))
-    rows = written(classes.select("_class", *SKETCH, F.explode("_bands").alias("_key")).join(shared, "_key"))
+    shared = hold(shared.filter("_n > 1").groupBy("_n", "_x", "_m", "_l").agg(F.min("_key").alias("_key")).select("_key", "_n"))
+    rows = hold(classes.select("_class", *SKETCH, F.explode("_bands").alias("_key")).join(shared, "_key"))
     # The closest copies by their fingerprints: a class of each fingerprint, and the other classes of the same one.
-    prints = written(classes.filter("_fp IS NOT NULL").groupBy("_fp").agg(F.min("_class").alias("_lead"), F.count("*").alias("_n")))
+    prints = hold(classes.filter("_fp IS NOT NULL").groupBy("_fp").agg(F.min("_class").alias("_lead"), F.count("*").alias("_n")))
     lead = lambda fp, name: prints.select(F.col("_fp").alias(fp), F.col("_lead").alias(name))
     apart = simhash.links(prints).withColumnRenamed("_a", "_fa").withColumnRenamed("_b", "_fb").join(lead("_fa", "_a"), "_fa").join(lead("_fb", "_b"), "_fb")
     equal = classes.join(prints.filter("_n > 1"), "_fp").filter("_class <> _lead").select(F.col("_lead").alias("_a"), F.col("_class").alias("_b"), "_n")
@@ -230,16 +236,18 @@ def near_classes(marked: DataFrame, blocks: DataFrame, size: int = 5, similarity
     leaders = rows.groupBy("_key").agg(F.min(F.struct("_class", *SKETCH)).alias("_l")).select("_key", "_l.*")
     met = rows.alias("b").join(leaders.alias("a"), "_key").filter((F.col("a._class") != F.col("b._class")) & _possible("a", "b", similarity))
     met = met.select(F.col("a._class").alias("_a"), F.col("b._class").alias("_b"), "_n")
-    first = written(_salted(met.union(golay), F.col("_n")))
+    first = hold(_salted(met.union(golay), F.col("_n")))
     # Whole shingle sets of the classes that may have a link, each from one row.
     wanted = rows.select("_class").union(first.select("_a")).union(first.select("_b")).distinct().join(classes.select("_class", "_first"), "_class")
     wanted = wanted.groupBy("_first._block").agg(F.collect_list(F.struct("_first._at", "_class")).alias("_wanted"))
-    sets = written(blocks.join(wanted.hint("shuffle_merge"), "_block").select("_rows", "_wanted").mapInArrow(_sets(size), "_class long, _set array<long>"))
-    close = written(_verified(first, sets, similarity))
+    sets = hold(blocks.join(wanted.hint("shuffle_merge"), "_block").select("_rows", "_wanted").mapInArrow(_sets(size), "_class long, _set array<long>"))
+    close = hold(_verified(first, sets, similarity))
     groups = components(close).withColumnRenamed("_node", "_class")
-    more = _across(rows, groups, sets, similarity)
+    more = _across(rows, groups, sets, similarity, hold)
     comp = components(close.union(more)).withColumnRenamed("_node", "_class")
-    return classes.select("_class", "_first").join(comp, "_class", "left").select("_class", "_first", F.coalesce("_comp", "_class").alias("_comp"))
+    out = written(classes.select("_class", "_first").join(comp, "_class", "left").select("_class", "_first", F.coalesce("_comp", "_class").alias("_comp")))
+    discard(*held)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -250,7 +258,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     blocks = row_blocks(rows, BLOCK_CHARS)
     sketch = "".join(f", {s} long" for s in SKETCH)
     marked = written(blocks.mapInArrow(_marks(size), f"_block long, _at int, _id long, _class long, _fp long, _bands array<long>{sketch}"))
-    first = near_classes(marked, blocks, size, similarity).groupBy("_comp").agg(F.min("_first").alias("_first"))
+    found = near_classes(marked, blocks, size, similarity)
+    discard(marked)
+    first = found.groupBy("_comp").agg(F.min("_first").alias("_first"))
     kept = first.groupBy("_first._block").agg(F.collect_list("_first._at").alias("_keep"))
     kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes[: len(cols)])
     out = blocks.join(kept.hint("shuffle_merge"), "_block").select("_rows", "_keep").mapInArrow(_taken(names), kinds)
