@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.operators.neighborhood import distance_to
+from pixelweave.operators.distance import distance_to
 from pixelweave.sources.layers import rasterize
 
 # The years of settlement data, thresholds of a settlement, and the states of a protected area that count.
@@ -49,8 +49,8 @@ def protected(px: DataFrame, polygons: DataFrame, n_rows: int, x0: float, y0: fl
 def distance_layer(px: DataFrame, layer: str, kind: str, res: float) -> DataFrame:
     """``edge``: distance to the nearest 0 of a 0/1 layer; ``dist``: to the nearest 1. NULL where the layer is."""
     target = {"edge": 0, "dist": 1}[kind]
-    known = px.filter(F.col(layer).isNotNull()).select("row", "col")
-    return distance_to(px, F.col(layer) == target, res).join(known, ["row", "col"]).select("row", "col", F.col("dist").alias(f"{layer}_{kind}"))
+    out = distance_to(px, F.col(layer) == target, res, F.col(layer).isNotNull())
+    return out.select("row", "col", F.col("dist").alias(f"{layer}_{kind}"))
 
 
 def year_of_climate(months: DataFrame, value: str, by: tuple[str, ...] = ("row", "col")) -> DataFrame:

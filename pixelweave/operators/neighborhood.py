@@ -1,4 +1,4 @@
-"""Moving windows, distances, slopes and coarse cells."""
+"""Moving windows, slopes and coarse cells."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.functions.scalars import risk_code
@@ -81,46 +81,6 @@ def local_rate(px: DataFrame, forest: Column, loss: Column, size: int, years: fl
     return t.select("row", "col", F.when(F.col("own") == 0, 0).when(F.col("d") == 0, zero_code).otherwise(risk_code(theta, 2)).alias("ldefrate"))
 
 
-def nearest_on_line(x: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """min over i of (at - x[i])² + h[i], for ascending ``x``: the lower envelope of the parabolas, in linear time."""
-    xs, hs = x.tolist(), h.tolist()
-    hull: list[int] = []
-    starts: list[float] = []
-    for q in range(len(xs)):
-        start = -np.inf
-        while hull:
-            p = hull[-1]
-            start = (hs[q] + xs[q] * xs[q] - hs[p] - xs[p] * xs[p]) / (2.0 * (xs[q] - xs[p]))
-            if start > starts[-1]:
-                break
-            hull.pop(), starts.pop()
-            start = -np.inf
-        hull.append(q), starts.append(start)
-    best = np.array(hull)[np.searchsorted(np.array(starts), at, side="right") - 1]
-    return (at - x[best]) ** 2 + h[best]
-
-
-def distance_to(px: DataFrame, is_target: Column, res: float) -> DataFrame:
-    """Exact Euclidean distance of each pixel to the nearest target: nearest per column, then the lower envelope over each
-    row. NULL where there is no target at all. The second step sees one row of the grid at a time, in linear time."""
-    w = Window.partitionBy("col").orderBy("row")
-    t = F.when(F.coalesce(is_target, F.lit(False)), F.col("row"))
-    up = F.last(t, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(t, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    gap = F.least(F.col("row") - up, down - F.col("row"))
-    vertical = px.select("row", "col", gap.cast("double").alias("gap"))
-
-    def envelope(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("col")
-        at, g = pdf["col"].to_numpy().astype(float), pdf["gap"].to_numpy() ** 2
-        seen = ~np.isnan(g)
-        best = nearest_on_line(at[seen], g[seen], at) if seen.any() else np.full(len(at), np.nan)
-        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "dist": np.sqrt(best) * res})
-
-    out = vertical.groupBy("row").applyInPandas(envelope, "row int, col int, dist double")
-    return out.select("row", "col", F.when(~F.isnan("dist"), F.col("dist")).alias("dist"))
-
-
 def slope(px: DataFrame, value: str, res: float) -> DataFrame:
     """Horn gradient in degrees of pixels with all eight neighbours."""
 

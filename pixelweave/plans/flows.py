@@ -583,7 +583,7 @@ query(
 query(
     "distance_layer",
     W + """, z AS (SELECT row, col FROM g WHERE forest_t2 = 1) SELECT a.row, a.col, round(min(sqrt(pow(a.row - z.row, 2) + pow(a.col - z.col, 2))) * 30e0, 6) AS forest_t2_dist
-FROM g a, z WHERE a.forest_t2 IS NOT NULL AND abs(a.row - z.row) <= 12 AND abs(a.col - z.col) <= 12 GROUP BY a.row, a.col"""
+FROM g a, z WHERE a.forest_t2 IS NOT NULL GROUP BY a.row, a.col"""
 )(
     lambda px: rounded(D.distance_layer(px, "forest_t2", "dist", RES), 6)
 )

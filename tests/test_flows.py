@@ -43,14 +43,6 @@ def test_windows_slopes_and_distances_on_sparse_tables(px, tile, monkeypatch):
     assert N.slope(px, "z", 10.0).count() == sum(not np.isnan(z[a - 1 : a + 2, b - 1 : b + 2]).any() for a in range(1, 69) for b in range(1, 89))
 
 
-def test_nearest_on_line_is_the_lower_envelope():
-    rng = np.random.default_rng(3)
-    for _ in range(200):
-        x = np.sort(rng.choice(60, rng.integers(1, 30), replace=False)).astype(float)
-        h, at = rng.integers(0, 400, len(x)).astype(float), np.arange(60.0)
-        assert np.array_equal(N.nearest_on_line(x, h, at), ((at[:, None] - x) ** 2 + h).min(axis=1))
-
-
 def test_local_rates_are_coded_from_two(spark):
     t = spark.createDataFrame([(0, 0, 1, 0), (0, 1, 1, 1), (5, 5, 1, 0), (9, 9, 0, 0)], "row int, col int, f int, l int")
     got = {(r.row, r.col): r.ldefrate for r in N.local_rate(t, F.col("f") == 1, F.col("l") == 1, 3, 5.0).collect()}
