@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions.scalars import import_code
 from pixelweave.grid import GridSpec
-from pixelweave.operators.neighborhood import regrid
+from pixelweave.operators.resample import regrid
 from pixelweave.operators.summaries import value_range
 
 SCALES = ("probability", "risk")

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.functions.scalars import logistic
-from pixelweave.operators.neighborhood import regrid
 from pixelweave.operators.rates import with_totals
+from pixelweave.operators.resample import regrid
 from pixelweave.sources.shared import discard, written
 
 

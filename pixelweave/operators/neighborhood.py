@@ -95,8 +95,12 @@ def slope(px: DataFrame, value: str, res: float) -> DataFrame:
     return out.filter(F.col("slope").isNotNull() & ~F.isnan("slope"))
 
 
+def cells_across(csize: int, n_cols: int) -> int:
+    return -(-n_cols // csize)
+
+
 def cell_index(row: Column, col: Column, csize: int, n_cols: int) -> Column:
-    return F.floor(row / csize).cast("long") * (-(-n_cols // csize)) + F.floor(col / csize).cast("long")
+    return F.floor(row / csize).cast("long") * cells_across(csize, n_cols) + F.floor(col / csize).cast("long")
 
 
 def cell_index_km(flat_id: Column, csize_km: float, res: float, n_cols: int) -> Column:
@@ -119,34 +123,3 @@ def cell_neighbors(cells: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
         "cell",
         (F.col("r") * n_cols + F.col("c")).cast("long").alias("neighbor")
     )
-
-
-def regrid(px: DataFrame, target: DataFrame, value: str, factor: float, bilinear: bool = False, shift: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """``target (row, col)`` pixels whose size is 1/factor of the source's, valued from ``px``.
-
-    ``shift`` is the place (row, col) of the target's corner on the source grid, in source pixels. Nearest takes the pixel
-    that holds the centre, NULL outside the source; bilinear weighs the four centres around it, without the NULL ones.
-    """
-    y, x = (F.col("row") + 0.5) / factor + shift[0], (F.col("col") + 0.5) / factor + shift[1]
-    source = px.select(F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).cast("double").alias("v"))
-    if not bilinear:
-        return target.select(
-            "row",
-            "col",
-            F.floor(y).cast("int").alias("sr"),
-            F.floor(x).cast("int").alias("sc")
-        ).join(source, ["sr", "sc"], "left").select("row", "col", F.col("v").alias(value))
-    r0, c0 = F.floor(y - 0.5), F.floor(x - 0.5)
-    fr, fc = (y - 0.5) - r0, (x - 0.5) - c0
-    four = F.array(
-        *[
-            F.struct(
-                (r0 + a).cast("int").alias("sr"),
-                (c0 + b).cast("int").alias("sc"),
-                ((fr if a else 1 - fr) * (fc if b else 1 - fc)).alias("w")
-            ) for a in (0, 1) for b in (0, 1)
-        ]
-    )
-    t = target.select("row", "col", F.explode(four).alias("n")).select("row", "col", "n.*").join(source, ["sr", "sc"], "left")
-    known = F.when(F.col("v").isNotNull(), F.col("w"))
-    return t.groupBy("row", "col").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum(known)).alias(value))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions.scalars import annual_rate, model_rate
 from pixelweave.operators.layers import event, population
+from pixelweave.operators.ranks import quantiles
+from pixelweave.sources.shared import small, written
 
 
 def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
@@ -121,36 +123,43 @@ def cell_tally(
     loss: str = "loss",
     by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Observed and predicted events per coarse cell; cells without forest are dropped. ``csize`` may be a column."""
+    """Observed and predicted events per coarse cell; cells without forest are dropped. ``csize`` may be a column.
+
+    Pixels become one row a (cell, category) before they meet the rates, so a hot category is not one task."""
     size = csize if isinstance(csize, Column) else F.lit(csize)
     cell = F.floor(F.col("row") / size).cast("long") * F.ceil(F.lit(n_cols) / size).cast("long") + F.floor(F.col("col") / size).cast("long")
-    t = px.join(rates.select(F.col("cat").alias("_cat"), "defor_dens"), F.col(cat) == F.col("_cat"), "left")
-    t = t.groupBy(*by, cell.alias("cell")).agg(
-        F.count_if(population(F.col(forest), F.col(loss))).alias("nfor_obs"),
-        F.count_if(event(F.col(loss))).alias("ndefor_obs"),
-        (F.coalesce(F.sum("defor_dens"), F.lit(0.0)) * years).alias("ndefor_pred_ha"),
+    t = px.groupBy(*by, cell.alias("cell"), F.col(cat).cast("long").alias("_of")).agg(
+        F.count_if(population(F.col(forest), F.col(loss))).alias("_nfor"),
+        F.count_if(event(F.col(loss))).alias("_ndefor"),
+        F.count("*").alias("_n"),
     )
-    return t.filter("nfor_obs > 0").select(
-        *by,
-        "cell",
-        "nfor_obs",
-        "ndefor_obs",
-        (F.col("nfor_obs") * pixel_area).alias("nfor_obs_ha"),
-        (F.col("ndefor_obs") * pixel_area).alias("ndefor_obs_ha"),
-        "ndefor_pred_ha"
+    t = t.join(small(rates.select(F.col("cat").cast("long").alias("_of"), "defor_dens")), "_of", "left").groupBy(*by, "cell").agg(
+        F.sum("_nfor").alias("nfor_obs"),
+        F.sum("_ndefor").alias("ndefor_obs"),
+        (F.coalesce(F.sum(F.col("_n") * F.col("defor_dens")), F.lit(0.0)) * years).alias("ndefor_pred_ha"),
     )
+    return with_hectares(t, pixel_area).select(*by, "cell", "nfor_obs", "ndefor_obs", "nfor_obs_ha", "ndefor_obs_ha", "ndefor_pred_ha")
+
+
+def with_hectares(cells: DataFrame, pixel_area: float | Column) -> DataFrame:
+    area = pixel_area if isinstance(pixel_area, Column) else F.lit(pixel_area)
+    observed = {f"{n}_ha": F.col(n) * area for n in ("nfor_obs", "ndefor_obs")}
+    return cells.filter("nfor_obs > 0").withColumns(observed)
 
 
 def accuracy(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    e = F.col("ndefor_pred_ha") - F.col("ndefor_obs_ha")
-    w = F.col("nfor_obs_ha")
-    return cells.groupBy(*by).agg(
+    """Errors over the cells of each ``by``. The median is dealt out by ranges, so the cells of a map need not fit a task."""
+    w, e = F.col("nfor_obs_ha"), F.col("_e")
+    cells = written(cells.select(*by, "nfor_obs_ha", "ndefor_obs_ha", "ndefor_pred_ha", (F.col("ndefor_pred_ha") - F.col("ndefor_obs_ha")).alias("_e")))
+    out = cells.groupBy(*by).agg(
         F.sqrt(F.avg(e * e)).alias("RMSE"),
         F.sqrt(F.sum(w * e * e) / F.sum(w)).alias("wRMSE"),
-        F.percentile(F.abs(e), F.lit(0.5)).alias("MedAE"),
         F.pow(F.corr("ndefor_pred_ha", "ndefor_obs_ha"), F.lit(2)).alias("R2"),
         F.count("*").alias("ncell"),
     )
+    middle = quantiles(cells.withColumn("_e", F.abs("_e")), "_e", [0.5], by).withColumnRenamed("_q0", "MedAE")
+    out = out.join(middle, list(by), "left") if by else out.join(F.broadcast(middle))  # without by one row each
+    return out.select(*by, "RMSE", "wRMSE", "MedAE", "R2", "ncell")
 
 
 def forecast_rates(rates: DataFrame, juris_ha: float, years: int) -> DataFrame:
@@ -161,50 +170,6 @@ def forecast_rates(rates: DataFrame, juris_ha: float, years: int) -> DataFrame:
     return t.select("cat", "nfor", "rate_mod", "pixel_area", rate.alias("rate_abs"), (rate * F.col("pixel_area") / years).alias("defor_dens"))
 
 
-def evaluated(
-    px: DataFrame,
-    maps: dict[str, Column],
-    csizes: list[int],
-    n_cols: int,
-    years: float,
-    pixel_area: float,
-    forest: str = "forest_t1",
-    loss: str = "loss"
-) -> DataFrame:
-    """Accuracy of several maps (columns of categories) against one truth at several cell sizes: ``prediction, csize`` and
-    the indices. Each map has its own rate table; pixels are read twice, once for the tables and once for all cells."""
-    long = px.select(
-        "row",
-        "col",
-        F.col(forest).alias("_f"),
-        F.col(loss).alias("_l"),
-        F.explode(F.array(*[F.struct(F.lit(n).alias("prediction"), c.cast("long").alias("risk")) for n, c in maps.items()])).alias("_m")
-    ).select("row", "col", "_f", "_l", "_m.*")
-    pop, ev = population(F.col("_f"), F.col("_l")), event(F.col("_l"))
-    t = long.filter("risk > 0").groupBy("prediction", F.col("risk").alias("cat")).agg(F.count_if(pop).alias("nfor"), F.count_if(ev).alias("ndefor"))
-    t = t.withColumn("rate_mod", model_rate(F.col("cat")))
-    total = t.groupBy("prediction").agg(F.sum("ndefor").alias("_nd"), F.sum(F.col("nfor") * F.col("rate_mod")).alias("_exp"))
-    dens = F.col("rate_mod") * F.try_divide(F.col("_nd").cast("double"), F.col("_exp")) * pixel_area / years
-    rates = t.join(total, "prediction").select("prediction", F.col("cat").alias("risk"), dens.alias("defor_dens"))
-    each = long.join(rates, ["prediction", "risk"], "left").withColumn("csize", F.explode(F.array(*map(F.lit, csizes))))
-    cell = F.floor(F.col("row") / F.col("csize")).cast("long") * F.ceil(F.lit(n_cols) / F.col("csize")).cast("long") + F.floor(
-        F.col("col") / F.col("csize")
-    ).cast(
-        "long"
-    )
-    tally = each.groupBy("prediction", "csize", cell.alias("cell")).agg(
-        F.count_if(pop).alias("nfor_obs"),
-        F.count_if(ev).alias("ndefor_obs"),
-        (F.coalesce(F.sum("defor_dens"), F.lit(0.0)) * years).alias("ndefor_pred_ha")
-    )
-    tally = tally.filter("nfor_obs > 0").select(
-        "*",
-        (F.col("nfor_obs") * pixel_area).alias("nfor_obs_ha"),
-        (F.col("ndefor_obs") * pixel_area).alias("ndefor_obs_ha")
-    )
-    return accuracy(tally, ("prediction", "csize"))
-
-
 def allocation(counts: DataFrame, rates: DataFrame, juris_ha: float, years: int, pixel_area: float) -> DataFrame:
     """Two rows, annual and entire period: ``counts (cat, npix)`` of the project times the adjusted densities."""
     t = with_totals(rates, _exp=F.sum(F.col("nfor") * F.col("rate_mod")))

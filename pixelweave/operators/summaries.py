@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.operators.ranks import quantiles
+from pixelweave.sources.shared import small
 
 MAX_CLASSES = 50
 POLYGONS = ("Polygon", "MultiPolygon")
@@ -98,8 +99,8 @@ def uncovered(have: DataFrame, known: DataFrame, on: str) -> DataFrame:
 
 
 def densities(px: DataFrame, rates: DataFrame, cat: str = "risk") -> DataFrame:
-    """``(row, col, dens)``: the density of each pixel's category, 0 where the rate table lacks it."""
-    return px.join(rates.select(F.col("cat").alias(cat), "defor_dens"), cat, "left").select("row", "col", F.coalesce("defor_dens", F.lit(0.0)).alias("dens"))
+    """``(row, col, dens)``: the density of each pixel's category, 0 where the rate table lacks it. Pixels are not shuffled."""
+    return px.join(small(rates.select(F.col("cat").alias(cat), "defor_dens")), cat, "left").select("row", "col", F.coalesce("defor_dens", F.lit(0.0)).alias("dens"))
 
 
 def split_by_target(points: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +18,14 @@ from pixelweave.grid import GridSpec, stack
 from pixelweave.operators import catalog as C
 from pixelweave.operators import derived as D
 from pixelweave.operators import design as DE
+from pixelweave.operators import evaluation as EV
 from pixelweave.operators import geometry as GEO
 from pixelweave.operators import imports as I
 from pixelweave.operators import layers as L
 from pixelweave.operators import models as M
 from pixelweave.operators import neighborhood as N
 from pixelweave.operators import rates as R
+from pixelweave.operators import resample as RS
 from pixelweave.operators import sampling as P
 from pixelweave.operators import stats as T
 from pixelweave.operators import summaries as U
@@ -193,7 +196,7 @@ f AS (SELECT n.row, n.col, sum(w * rho) / sum(w) FILTER (WHERE rho IS NOT NULL)
 
 
 def with_effect(px: DataFrame, rho: DataFrame) -> DataFrame:
-    return px.join(M.spread_effect(rho, 6, 25, px), ["row", "col"])
+    return px.join(M.spread_effect(rho, N.cells_across(25, WIDTH), 25, px), ["row", "col"])
 
 
 query(
@@ -275,7 +278,7 @@ def spatial_run(px: DataFrame) -> DataFrame:
     rows = cells.select("cell", PX("loss").alias("_y"), *[c.alias(f"_x{i}") for i, c in enumerate(spec.columns())])
     high = px.agg(F.max("row")).first()[0] // 25 + 1
     names = [c for c in t.columns if c != "_y"]
-    beta, rho = M.spatial_fit(rows, "_y", names, N.cell_neighbors(rows.select("cell").distinct(), high, 6))
+    beta, rho = M.spatial_fit(rows, "_y", names, N.cell_neighbors(rows.select("cell").distinct(), high, N.cells_across(25, WIDTH)))
     coefs = {"Intercept": beta["Intercept"]} | {term: beta[n] for term, n in zip(terms, names, strict=True)}
     return DE.applied(with_effect(px, rho), spec, coefs, "rho")
 
@@ -401,7 +404,7 @@ query(
 )(
     lambda px: rounded(
         U.ordered_indices(
-            R.evaluated(px, {"a": PX("risk"), "b": 51 - PX("risk")}, [10, 25, 50], WIDTH, YEARS, AREA).select(
+            EV.evaluated(px, {"a": PX("risk"), "b": 51 - PX("risk")}, [10, 25, 50], WIDTH, YEARS, AREA).select(
                 PX("prediction").alias("model"),
                 F.lit("p").alias("period"),
                 "csize",
@@ -416,7 +419,7 @@ query(
     )
 )
 query("shown_metrics", "SELECT prediction, csize, \"R2\", ncell FROM (" + SQL["indices_all"] + ")")(
-    lambda px: rounded(U.shown_metrics(R.evaluated(px, {"a": PX("risk"), "b": 51 - PX("risk")}, [10, 25, 50], WIDTH, YEARS, AREA), ["R2"]), 8)
+    lambda px: rounded(U.shown_metrics(EV.evaluated(px, {"a": PX("risk"), "b": 51 - PX("risk")}, [10, 25, 50], WIDTH, YEARS, AREA), ["R2"]), 8)
 )
 query(
     "rounded_indices",
@@ -424,7 +427,7 @@ query(
         "indices_all"
     ] + ")"
 )(
-    lambda px: U.rounded_indices(R.evaluated(px, {"a": PX("risk"), "b": 51 - PX("risk")}, [10, 25, 50], WIDTH, YEARS, AREA))
+    lambda px: U.rounded_indices(EV.evaluated(px, {"a": PX("risk"), "b": 51 - PX("risk")}, [10, 25, 50], WIDTH, YEARS, AREA))
 )
 query(
     "distance_recovered",
@@ -461,15 +464,11 @@ query("finite_pairs", "WITH " + E + " SELECT count(*) AS n, round(sum(value), 6)
 query(
     "common_axis",
     "WITH " + E + """, t AS (SELECT param, min(v) AS lo, max(v) AS hi FROM (SELECT param, CASE WHEN param = 'p1' THEN 3e0 WHEN param = 'p2' THEN 0e0 ELSE value END AS v FROM e) GROUP BY param)
-SELECT param, CASE WHEN lo = hi AND lo = 0 THEN 0e0 WHEN lo = hi THEN lo - abs(lo) ELSE lo END AS low, CASE WHEN lo = hi AND lo = 0 THEN 1e0 WHEN lo = hi THEN hi + abs(hi) ELSE hi END AS high FROM t WHERE param IN ('p0', 'p1', 'p2')""",
+SELECT param, CASE WHEN lo = hi AND lo = 0 THEN 0e0 WHEN lo = hi THEN lo - abs(lo) ELSE lo END AS low, CASE WHEN lo = hi AND lo = 0 THEN 1e0 WHEN lo = hi THEN hi + abs(hi) ELSE hi END AS high FROM t""",
     trace
 )(
     lambda t: (
-        lambda v: U.axis_bounds(v("p0"), "v", "w").withColumn("param", F.lit("p0")).union(
-            U.axis_bounds(v("p1"), "v", "w").withColumn("param", F.lit("p1"))
-        ).union(
-            U.axis_bounds(v("p2"), "v", "w").withColumn("param", F.lit("p2"))
-        )
+        lambda v: reduce(DataFrame.union, [U.axis_bounds(v(f"p{i}"), "v", "w").withColumn("param", F.lit(f"p{i}")) for i in range(7)])
     )(
         lambda p: t.filter(PX("param") == p).select(
             F.when(PX("param") == "p1", 3.0).when(PX("param") == "p2", 0.0).otherwise(PX("value")).alias("v"),
@@ -653,7 +652,7 @@ query(
 )(
     lambda px: rounded(
         through_csv(
-            R.evaluated(px, {"a": PX("risk"), "b": 51 - PX("risk")}, [10, 25, 50], WIDTH, YEARS, AREA).select(
+            EV.evaluated(px, {"a": PX("risk"), "b": 51 - PX("risk")}, [10, 25, 50], WIDTH, YEARS, AREA).select(
                 "*",
                 F.lit("GLM").alias("model"),
                 F.lit("p").alias("period"),
@@ -686,9 +685,8 @@ SELECT cat, nfor, round(rate_mod, 10) AS rate_mod, 0.09e0 AS pixel_area, round(r
 
 def exported(px: DataFrame) -> DataFrame:
     paths = IO.export_layers(px, ["loss", "pa"], folder(px, "layers"), "x_", "_30m")
-    return px.sparkSession.read.schema("row int, col int, value int").parquet(paths[0]).withColumn("layer", F.lit("loss")).union(
-        IO.read_layer(px.sparkSession, paths[1], "int").withColumn("layer", F.lit("pa"))
-    )
+    parts = [IO.read_layer(px.sparkSession, path, "int").withColumn("layer", F.lit(n)) for path, n in zip(paths, ("loss", "pa"), strict=True)]
+    return parts[0].union(parts[1])
 
 
 query("exported_layers", W + "SELECT row, col, loss AS value, 'loss' AS layer FROM l UNION ALL SELECT row, col, pa, 'pa' FROM l")(exported)
@@ -843,7 +841,7 @@ def harmonise_run(px: DataFrame) -> DataFrame:
         [("pa", None, "continuous", None, "g", "/pa", 9), ("risk", None, "categorical", None, "g", "/risk", 9)],
         "name string, year int, raster_type string, levels array<double>, grid_signature string, path string, modified_at int"
     )
-    run = lambda key: (N.regrid(px, px, key, 4.0, bilinear=key == "elevation").withColumnRenamed(key, "value"), f"{at}/{key}")
+    run = lambda key: (RS.regrid(px, px, key, 4.0, bilinear=key == "elevation").withColumnRenamed(key, "value"), f"{at}/{key}")
     done = WF.harmonise(raw, out, "g", run, lambda path, layer: IO.write_layer(layer, path))
     parts = [IO.read_layer(spark, f"{at}/{key}").withColumn("layer", F.lit(key)) for key in done]
     return rounded(parts[0].unionByName(parts[1]), 8)

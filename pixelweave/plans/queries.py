@@ -9,11 +9,13 @@ from pixelweave.functions import names as NA
 from pixelweave.functions import scalars as S
 from pixelweave.operators import catalog as C
 from pixelweave.operators import derived as D
+from pixelweave.operators import evaluation as EV
 from pixelweave.operators import geometry as GEO
 from pixelweave.operators import layers as L
 from pixelweave.operators import models as M
 from pixelweave.operators import neighborhood as N
 from pixelweave.operators import rates as R
+from pixelweave.operators import resample as RS
 from pixelweave.operators import sampling as P
 from pixelweave.operators import stats as T
 from pixelweave.operators import summaries as U
@@ -150,7 +152,7 @@ c AS (SELECT m.prediction, z.csize, CAST(floor(row / z.csize) AS BIGINT) * CAST(
 e AS (SELECT *, ndefor * 0.09e0 AS o, nfor * 0.09e0 AS w, p - ndefor * 0.09e0 AS e FROM c)
 SELECT prediction, csize, round(sqrt(avg(e * e)), 8) AS "RMSE", round(sqrt(sum(w * e * e) / sum(w)), 8) AS "wRMSE", round(quantile_cont(abs(e), 0.5), 8) AS "MedAE",
   round(pow(corr(p, o), 2), 8) AS "R2", count(*) AS ncell FROM e GROUP BY prediction, csize"""
-query("indices_all", INDICES_ALL)(lambda px: rounded(R.evaluated(px, {"a": PX("risk"), "b": 51 - PX("risk")}, [10, 25, 50], WIDTH, YEARS, AREA), 8))
+query("indices_all", INDICES_ALL)(lambda px: rounded(EV.evaluated(px, {"a": PX("risk"), "b": 51 - PX("risk")}, [10, 25, 50], WIDTH, YEARS, AREA), 8))
 query(
     "tab_distance",
     W + """, b AS (SELECT unnest(range(1, 167)) AS bin), h AS (SELECT CASE WHEN edge > 0 AND edge <= 4980 THEN ceil(edge / 30e0) END AS bin FROM l WHERE loss = 1),
@@ -246,7 +248,7 @@ query(
     lambda px: N.cell_neighbors(
         px.select(N.cell_index(PX("row"), PX("col"), 50, WIDTH).alias("cell")).distinct(),
         px.agg(F.max("row")).first()[0] // 50 + 1,
-        3
+        N.cells_across(50, WIDTH)
     )
 )
 PROJ = "(SELECT CAST(risk AS BIGINT) AS cat, count(*) AS npix FROM g WHERE pa = 1 AND risk <> 0 GROUP BY risk)"
@@ -296,7 +298,7 @@ query(
     "regrid_nearest",
     W + "SELECT t.row, t.col, g.elevation FROM g t LEFT JOIN g ON g.row = floor((t.row + 0.5e0) / 3e0) AND g.col = floor((t.col + 0.5e0) / 3e0)"
 )(
-    lambda px: N.regrid(px, px, "elevation", 3.0)
+    lambda px: RS.regrid(px, px, "elevation", 3.0)
 )
 query(
     "regrid_bilinear",
@@ -304,7 +306,7 @@ query(
 n AS (SELECT t.row, t.col, r0 + a AS sr, c0 + b AS sc, (CASE WHEN a = 1 THEN y - r0 ELSE 1 - (y - r0) END) * (CASE WHEN b = 1 THEN x - c0 ELSE 1 - (x - c0) END) AS w FROM t, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b))
 SELECT n.row, n.col, round(sum(w * elevation) / sum(w) FILTER (WHERE elevation IS NOT NULL), 8) AS elevation FROM n LEFT JOIN g ON g.row = n.sr AND g.col = n.sc GROUP BY n.row, n.col"""
 )(
-    lambda px: N.regrid(px, px, "elevation", 4.0, True).withColumn("elevation", F.round("elevation", 8))
+    lambda px: RS.regrid(px, px, "elevation", 4.0, True).withColumn("elevation", F.round("elevation", 8))
 )
 query("thin_scatter", W + """, b AS (SELECT min(elevation) AS x0, max(elevation) AS x1, min(risk) AS y0, max(risk) AS y1, count(*) > 10000 AS many FROM g),
 t AS (SELECT row * 150 + col AS id, elevation, risk, many, least(floor((elevation - x0) * 200 / (x1 - x0)), 199) AS bx, least(floor((risk - y0) * 200 / (y1 - y0)), 199) AS by_ FROM g, b)
@@ -368,8 +370,8 @@ query(
     "WITH " + K + " SELECT name, list_sort(list(DISTINCT year)) AS years, count(DISTINCT year) > 1 AS temporal FROM k GROUP BY name",
     catalog
 )(C.years_per_name)
-query("catalog_common_years", "WITH " + K + """, t AS (SELECT id % 3 AS name, year FROM k WHERE id <= 60)
-SELECT year FROM t GROUP BY year HAVING count(DISTINCT name) = (SELECT count(DISTINCT name) FROM t)""", catalog)(lambda c: C.common_years(c.filter("id <= 60").withColumn("name", PX("id") % 3)))
+query("catalog_common_years", "WITH " + K + """, t AS (SELECT id % 3 AS name, year FROM k)
+SELECT year FROM t GROUP BY year HAVING count(DISTINCT name) = (SELECT count(DISTINCT name) FROM t)""", catalog)(lambda c: C.common_years(c.withColumn("name", PX("id") % 3)))
 query("catalog_lookup", "WITH " + K + " SELECT id, year FROM k WHERE name = 'nation_16' AND year = 2008", catalog)(
     lambda c: C.lookup(c, "nation_16", 2008).select("id", "year")
 )
@@ -420,7 +422,7 @@ def split_rows(px: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fitting pixels, chosen by a hash of their place, and all the others."""
     known = px.filter("loss IS NOT NULL")
     share = min(0.5, FIT_ROWS / max(1, known.count()))
-    chosen = F.pmod(F.xxhash64("row", "col"), F.lit(1_000_000)) < int(share * 1_000_000)
+    chosen = F.pmod(F.xxhash64("row", "col"), F.lit(2**53)) < int(share * 2**53)
     return known.filter(chosen), known.filter(~chosen)
 
 
@@ -431,7 +433,7 @@ def forest(px: DataFrame):
 def spatial(px: DataFrame):
     t = scaled(px).withColumn("cell", N.cell_index(PX("row"), PX("col"), 25, WIDTH))
     high = px.agg(F.max("row")).first()[0] // 25 + 1
-    return M.spatial_fit(t, "loss", FEATURES, N.cell_neighbors(t.select("cell").distinct(), high, 6))[1]
+    return M.spatial_fit(t, "loss", FEATURES, N.cell_neighbors(t.select("cell").distinct(), high, N.cells_across(25, WIDTH)))[1]
 
 
 query("glm_fit")(lambda px: rounded(M.glm_fit(scaled(px), "loss", FEATURES), 6))
@@ -448,7 +450,7 @@ SELECT n.row, n.col, round(sum(w * rho) / sum(w) FILTER (WHERE rho IS NOT NULL),
 )(
     lambda px: M.spread_effect(
         px.groupBy(N.cell_index(PX("row"), PX("col"), 25, WIDTH).alias("cell")).agg((F.avg("forest_t1") - 0.8).alias("rho")),
-        6,
+        N.cells_across(25, WIDTH),
         25,
         px
     ).withColumn("rho", F.round("rho", 8))

@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelweave.sources.versions import newest, write_version
+
 # The tables that are exchanged as CSV, with their columns in order. Training tables have their own columns.
-TABLES ={
+TABLES = {
     "rates": "cat long, nfor long, ndefor long, time_interval double, rate_obs double, rate_mod double, rate_abs double, pixel_area double, defor_dens double",
     "forecast_rates": "cat long, nfor long, rate_mod double, pixel_area double, rate_abs double, defor_dens double",
     "distances": "distance double, npix long, area double, cum double, perc double",
@@ -21,7 +23,7 @@ GEOJSON = "type string, features array<struct<type:string,properties:map<string,
 
 
 def read_layer(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
-    return spark.read.schema(f"row int, col int, value {kind}").parquet(path)
+    return spark.read.schema(f"row int, col int, value {kind}").parquet(newest(spark, path))
 
 
 def replaced(spark: SparkSession, path: str, write) -> None:
@@ -42,10 +44,11 @@ def replaced(spark: SparkSession, path: str, write) -> None:
 
 
 def write_layer(df: DataFrame, path: str, tile: int = 1024) -> None:
-    """Sorted by tile, so that row ranges prune row groups; a job that fails leaves the layer that was there."""
+    """Sorted by tile, so that row ranges prune row groups; all or nothing: a write that fails at any point, renames included,
+    leaves the layer that was there, as a version of its own that ``read_layer`` finds."""
     tiles = [F.floor(F.col("row") / tile).alias("_tr"), F.floor(F.col("col") / tile).alias("_tc")]
     out = df.select("*", *tiles).repartitionByRange("_tr", "_tc").sortWithinPartitions("_tr", "_tc", "row", "col").drop("_tr", "_tc")
-    replaced(df.sparkSession, path, lambda part: out.write.parquet(part))
+    write_version(df.sparkSession, path, lambda folder: out.write.parquet(folder))
 
 
 def export_layers(px: DataFrame, names: list[str], folder: str, prefix: str = "", suffix: str = "") -> list[str]:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +36,13 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` written and counted; marked for broadcast if it has at most ``most`` rows, else left to a shuffled join. For
+    tables that are small by contract (a rate table has at most 65,535 rows) but whose size Spark estimates from pixels."""
+    t = written(df)
+    return F.broadcast(t) if t.limit(most + 1).count() <= most else t
