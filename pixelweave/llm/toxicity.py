@@ -169,7 +169,7 @@ def fit(
     marks = marks.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     total = marks.count()
     if total > max_labelled:
-        marks = marks.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / total))
+        marks = marks.filter(F.pmod(F.xxhash64("_id"), F.lit(2**53)) < int(2**53 * max_labelled / total))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     # The sample is bounded by max_labelled (16 bytes a row), so its ids may be sent to every task.
     rows = written(texts.join(F.broadcast(marks), "_id").select("_toxic", "_text"))
