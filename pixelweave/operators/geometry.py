@@ -63,17 +63,35 @@ def _contained(points: DataFrame, polygons: DataFrame, step: float) -> DataFrame
     return met.filter(cross > F.col("x")).groupBy("_p", "_q").agg(F.count("*").alias("_n")).filter("_n % 2 = 1").select("_p", "_q")
 
 
+SLACK = 1e-9  # of a square's side: what rounding may move a crossing by
+
+
+def squares(polygons: DataFrame, step: float) -> DataFrame:
+    """The edges with the squares of side ``step`` that they cross, ``_sx, _sy``: an edge walks through the columns of squares
+    that it spans and takes in each the squares between its heights at the column's two sides. Rows grow with an edge's
+    length over ``step``. Squares within a rounding error of the edge count as crossed."""
+    low, high = F.floor(F.least("ax", "bx") / step - SLACK), F.floor(F.greatest("ax", "bx") / step + SLACK)
+    e = edges(polygons).select("*", F.explode(F.sequence(low, high)).alias("_sx"))
+    left, right = F.col("_sx") * step, (F.col("_sx") + 1) * step
+    clamped = lambda x: F.least(F.greatest(x, F.least("ax", "bx")), F.greatest("ax", "bx"))
+    height = lambda x: F.col("ay") + F.try_divide(clamped(x) - F.col("ax"), F.col("bx") - F.col("ax")) * (F.col("by") - F.col("ay"))
+    # An upright edge has no height at a place: it takes all squares between its ends.
+    p, q = F.coalesce(height(left), F.col("ay")), F.coalesce(height(right), F.col("by"))
+    slack = SLACK * step * (1 + F.try_divide(F.abs(F.col("by") - F.col("ay")), F.abs(F.col("bx") - F.col("ax"))))
+    slack = F.least(F.coalesce(slack, F.lit(SLACK * step)), F.lit(step / 2))
+    first, last = F.floor((F.least(p, q) - slack) / step), F.floor((F.greatest(p, q) + slack) / step)
+    return e.select("*", F.explode(F.sequence(first, last)).alias("_sy"))
+
+
 def meeting(features: DataFrame, areas: DataFrame, step: float) -> DataFrame:
     """``features`` that meet any of ``areas``: their edges cross or touch, or one holds the other.
 
-    ``step`` is the side of the squares by which edges are matched: about the length of a usual edge.
+    ``step`` is the side of the squares by which edges are matched: about the length of a usual edge. A longer edge is a row
+    for each square that it crosses.
     """
-    square = lambda v: F.floor(v / step)
-    spans = [F.explode(F.sequence(square(F.least(f"a{k}", f"b{k}")), square(F.greatest(f"a{k}", f"b{k}")))).alias(f"_s{k}") for k in "xy"]
 
     def placed(polygons: DataFrame, key: str, prefix: str) -> DataFrame:
-        e = edges(polygons).select("*", spans[0]).select("*", spans[1])
-        return e.select("_sx", "_sy", F.col("feature_id").alias(key), *[F.col(c).alias(prefix + c) for c in ("ax", "ay", "bx", "by")])
+        return squares(polygons, step).select("_sx", "_sy", F.col("feature_id").alias(key), *[F.col(c).alias(prefix + c) for c in ("ax", "ay", "bx", "by")])
 
     met = placed(features, "_p", "f").join(placed(areas, "_q", "g"), ["_sx", "_sy"])
     fa, fb, ga, gb = ([F.col(f"{s}{end}x"), F.col(f"{s}{end}y")] for s in "fg" for end in "ab")

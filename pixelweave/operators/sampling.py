@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweave.grid import GridSpec
+from pixelweave.sources.shared import discard, written
+from pixelweave.sources.tiled import TiledLayer, key_of, stack_tiles
 
 
 def ranked(px: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -126,23 +128,59 @@ def sampled_classes(drawn: DataFrame) -> DataFrame:
     return drawn.groupBy("strata").agg(F.count("*").alias("n"))
 
 
+def around(px: DataFrame, rows: str, cols: str, places: DataFrame) -> DataFrame:
+    """``px`` between the first and the last row and column of ``places (row, col)``: two ranges that reach the scan."""
+    r0, r1, c0, c1 = places.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if r0 is None:
+        return px.limit(0)
+    return px.filter(F.col(rows).between(r0, r1) & F.col(cols).between(c0, c1))
+
+
 def extract(points: DataFrame, layers: DataFrame, names: list[str], width: int) -> DataFrame:
-    """``points (row, col)`` with the layers' values where all are known, cell_id and trial."""
-    t = points.select("row", "col").join(layers.select("row", "col", *names), ["row", "col"]).dropna(subset=names)
+    """``points (row, col)`` with the layers' values where all are known, cell_id and trial. Points are counted: few are
+    broadcast, and the layers are filtered by their range and keys where they lie."""
+    own = written(points.select("row", "col"))
+    t = around(layers.select("row", "col", *names), "row", "col", own).join(few(own), ["row", "col"]).dropna(subset=names)
     return t.select(*names, (F.col("row").cast("long") * width + F.col("col")).alias("cell_id"), F.lit(1).alias("trial"))
 
 
+FEW_POINTS = 1_000_000
+
+
+def few(places: DataFrame) -> DataFrame:
+    """Marked for broadcast if there are at most ``FEW_POINTS``."""
+    return F.broadcast(places) if places.limit(FEW_POINTS + 1).count() <= FEW_POINTS else places
+
+
+def extract_tiled(points: DataFrame, layers: dict[str, TiledLayer], width: int) -> DataFrame:
+    """As ``extract``, from tiled layers: only the row groups with tiles of the points are read."""
+    side = next(iter(layers.values())).side
+    own = written(points.select("row", "col", key_of(side).alias("_of")))
+    tiles = own.select("_of").distinct().limit(MOST_TILES + 1).collect()
+    if len(tiles) <= MOST_TILES:
+        layers = {n: x.only([t for (t,) in tiles]) for n, x in layers.items()}
+    t = stack_tiles(layers).join(few(own.select("row", "col")), ["row", "col"]).dropna(subset=[*layers])
+    return t.select(*layers, (F.col("row").cast("long") * width + F.col("col")).alias("cell_id"), F.lit(1).alias("trial"))
+
+
+MOST_TILES = 10_000  # so many tiles can be named in a filter
+
+
 def extract_at(points: DataFrame, target: GridSpec, layers: list[tuple[DataFrame, GridSpec, list[str]]]) -> DataFrame:
     """``points (x, y)`` with the values of layers on grids of their own: for each grid the pixel that holds the point.
 
-    A point outside a grid, or without a value in any layer, is left out. ``cell_id`` is the pixel on the target grid.
+    A point outside a grid, or without a value in any layer, is left out. ``cell_id`` is the pixel on the target grid. Each
+    grid's layer is filtered by the points that are left, in its own rows and columns, and is not shuffled for few points.
     """
     row, col = target.pixel(F.col("x"), F.col("y"))
-    t = points.select("x", "y", row.alias("_row"), col.alias("_col")).filter("_row IS NOT NULL AND _col IS NOT NULL")
+    t = written(points.select("x", "y", row.alias("_row"), col.alias("_col")).filter("_row IS NOT NULL AND _col IS NOT NULL"))
     every: list[str] = []
     for i, (px, grid, names) in enumerate(layers):
         r, c = grid.pixel(F.col("x"), F.col("y"))
-        own = px.select(F.col("row").alias(f"_r{i}"), F.col("col").alias(f"_c{i}"), *names)
-        t = t.withColumn(f"_r{i}", r).withColumn(f"_c{i}", c).join(own, [f"_r{i}", f"_c{i}"])
+        held = t.withColumn(f"_r{i}", r).withColumn(f"_c{i}", c).filter(F.col(f"_r{i}").isNotNull() & F.col(f"_c{i}").isNotNull())
+        own = px.select(F.col("row").alias(f"_r{i}"), F.col("col").alias(f"_c{i}"), *names).dropna(subset=names)
+        own = around(own, f"_r{i}", f"_c{i}", held.select(F.col(f"_r{i}").alias("row"), F.col(f"_c{i}").alias("col")))
+        t, before = written(own.join(few(held), [f"_r{i}", f"_c{i}"]).drop(f"_r{i}", f"_c{i}")), t
+        discard(before)
         every += names
-    return t.dropna(subset=every).select(*every, target.flat_id(F.col("_row"), F.col("_col")).alias("cell_id"), F.lit(1).alias("trial"))
+    return t.select(*every, target.flat_id(F.col("_row"), F.col("_col")).alias("cell_id"), F.lit(1).alias("trial"))

@@ -145,22 +145,76 @@ def density_map(px: DataFrame, rates: DataFrame, juris_ha: float, years: int, ca
     return S.densities(px, t.select("cat", dens.alias("defor_dens")), cat)
 
 
+def dependency_levels(keys: Sequence[str], needs: dict[str, Sequence[str]]) -> list[list[str]]:
+    """``keys`` in levels, each in name order: a key comes after all that it needs, directly or through keys that are not in
+    ``keys``. A cycle raises ValueError."""
+    level: dict[str, int] = {}
+    for start in sorted({*keys, *needs}):
+        path, stack = [], [(start, iter(needs.get(start, ())))] if start not in level else []
+        path += [start] if stack else []
+        while stack:
+            key, rest = stack[-1]
+            for other in rest:
+                if other in path:
+                    raise ValueError("layers depend on each other in a circle: " + " > ".join([*path[path.index(other) :], other]))
+                if other not in level:
+                    stack.append((other, iter(needs.get(other, ()))))
+                    path.append(other)
+                    break
+            else:
+                level[key] = max((level[n] + 1 for n in needs.get(key, ())), default=0)
+                stack.pop()
+                path.pop()
+    out: dict[int, list[str]] = {}
+    for key in sorted(set(keys)):
+        out.setdefault(level[key], []).append(key)
+    return [out[i] for i in sorted(out)]
+
+
+def outdated(stale: set[str], needs: dict[str, Sequence[str]]) -> set[str]:
+    """``stale`` and every layer that needs one of them, directly or not."""
+    out = set(stale)
+    while more := {key for key, other in needs.items() if key not in out and out.intersection(other)}:
+        out |= more
+    return out
+
+
 def harmonise(
     raw: DataFrame,
     processed: DataFrame,
     signature: str,
     run: Callable[[str], tuple[DataFrame, str]],
     sink: Callable[[str, DataFrame], None],
-    order: Sequence[str] = ()
+    order: Sequence[str] = (),
+    needs: dict[str, Sequence[str]] | None = None,
 ) -> list[str]:
-    """Redo every layer that is not current: ``run(key)`` gives its pixels and path, ``sink`` writes them. Returns the keys
-    done, in name order or ``order``. The catalog has a row a layer, so its keys may be listed."""
-    status = C.harmonisation(raw, processed, signature)
-    keys = sorted((r["key"] for r in status.filter("status <> 'current'").collect()), key=lambda k: (order.index(k) if k in order else len(order), k))
-    for key in keys:
-        px, path = run(key)
-        sink(path, px)
-    return keys
+    """Redo every layer that is not current: ``run(key)`` gives its pixels and path, ``sink`` writes them.
+
+    ``needs`` names the layers that a layer is made from. A layer is redone after all that it needs, and whenever one of them
+    is redone; a circle raises ValueError before anything is written. Within a level keys go by ``order``, then by name.
+    Returns the keys done, in order. The catalog has a row a layer, so its keys may be listed.
+    """
+    needs = needs or {}
+    rows = C.harmonisation(raw, processed, signature).select("key", "status").collect()
+    known = {r["key"] for r in rows}
+    todo = outdated({r["key"] for r in rows if r["status"] != "current"}, needs) & known
+    place = lambda k: (order.index(k) if k in order else len(order), k)
+    done = []
+    for level in dependency_levels(sorted(todo), needs):
+        for key in sorted(level, key=place):
+            px, path = run(key)
+            sink(path, px)
+            done.append(key)
+    return done
+
+
+def threshold_statistics(px: DataFrame, dist: str, loss: str, pixel_area: float, percent: float = 99.5, last: float = 5000.0, classes: int | None = None) -> DataFrame:
+    """One row of a window or class fit: its threshold, the share of events within it, the events' hectares, and of a class
+    fit the number of classes."""
+    at = R.distance_threshold(R.distance_table(px, dist, loss, STEP, last, pixel_area), percent)
+    total = px.agg((F.count_if(F.col(loss) == 1) * pixel_area).alias("tot_defor_ha"))
+    out = at.join(F.broadcast(total)).select("dist_thresh", F.col("perc").alias("perc_thresh"), "tot_defor_ha")  # one row each
+    return out if classes is None else out.withColumn("n_classes", F.lit(classes))
 
 
 def change_layer(catalog: DataFrame, op: str, start: str, end: str, read: Callable[[str], DataFrame]) -> tuple[str, DataFrame]:

@@ -4,13 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelweave.functions import scalars as S
+from pixelweave.operators import bagging as B
+from pixelweave.operators import derived as D
 from pixelweave.operators import evaluation as EV
+from pixelweave.operators import geometry as GEO
+from pixelweave.operators import models as M
+from pixelweave.operators import neighborhood as N
+from pixelweave.operators import sampling as P
+from pixelweave.operators import spatial as SP
 from pixelweave.operators import tiles as TI
+from pixelweave.operators import workflows as WF
 from pixelweave.plans.flows import folder, later
-from pixelweave.plans.tables import AREA, PX, SQL, W, WIDTH, query, rounded
+from pixelweave.plans.queries import FEATURES, scaled, split_rows
+from pixelweave.plans.tables import AREA, PX, SQL, W, WIDTH, grid, parcels, query, rounded
+from pixelweave.sources import layers as IO
 from pixelweave.sources import tiled as TL
 
 
@@ -79,3 +90,146 @@ e AS (SELECT *, ndefor * 0.09e0 AS o, nfor * 0.09e0 AS w, p - ndefor * 0.09e0 AS
 SELECT prediction, model, period, truth, csize, round(sqrt(avg(e * e)), 8) AS "RMSE", round(sqrt(sum(w * e * e) / sum(w)), 8) AS "wRMSE", round(quantile_cont(abs(e), 0.5), 8) AS "MedAE",
   round(pow(corr(p, o), 2), 8) AS "R2", count(*) AS ncell FROM e GROUP BY ALL""",
 )(lambda px: rounded(two_datasets(px), 8))
+
+
+# --- Points of tiled layers.
+
+query("extract_tiled", SQL["extract_points"])(
+    lambda px: P.extract_tiled(P.systematic(px, 5, 5), {n: layer(px, n) for n in ("elevation", "pa", "loss")}, WIDTH)
+)
+
+# --- Statistics of fits.
+
+TREES = 20
+
+
+def forest(px: DataFrame) -> tuple[B.Forest, DataFrame]:
+    fitting, _ = split_rows(scaled(px))
+    return B.forest_fit(fitting, "loss", FEATURES, trees=TREES), fitting
+
+
+query("forest_statistics")(lambda px: (lambda f: rounded(B.forest_statistics(*f, "loss"), 6))(forest(px)))
+query("bagged_forest_apply")(lambda px: B.forest_apply(forest(px)[0], scaled(px)).withColumn("code", S.risk_code(PX("p"))))
+
+
+def spatial_model(px: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, float], DataFrame]:
+    t = scaled(px).withColumn("cell", N.cell_index(PX("row"), PX("col"), 25, WIDTH))
+    high = px.agg(F.max("row")).first()[0] // 25 + 1
+    links = N.cell_neighbors(t.select("cell").distinct(), high, N.cells_across(25, WIDTH))
+    return t, links, *M.spatial_fit(t, "loss", FEATURES, links)
+
+
+def spatial_coefficients(px: DataFrame) -> DataFrame:
+    t, links, beta, rho = spatial_model(px)
+    return rounded(SP.coefficient_table(px.sparkSession, beta, SP.covariance(t, "loss", FEATURES, links, beta, rho)), 5)
+
+
+def spatial_statistics(px: DataFrame) -> DataFrame:
+    t, _, beta, rho = spatial_model(px)
+    return rounded(SP.spatial_statistics(t, "loss", FEATURES, beta, rho), 5)
+
+
+query("spatial_coefficients")(spatial_coefficients)
+query("spatial_statistics")(spatial_statistics)
+REACH = "WITH r AS (" + SQL["dist_threshold"] + "), n AS (" + W + "SELECT round(count(*) FILTER (WHERE loss = 1) * 0.09e0, 8) AS ha FROM l) SELECT dist_thresh, perc AS perc_thresh, ha AS tot_defor_ha{more} FROM r, n"
+query("window_statistics", REACH.format(more=""))(lambda px: rounded(WF.threshold_statistics(px, "edge", "loss", AREA, 60.0), 8))
+query("class_statistics", REACH.format(more=", 29 AS n_classes"))(lambda px: rounded(WF.threshold_statistics(px, "edge", "loss", AREA, 60.0, classes=29), 8))
+
+# --- Layers made from other layers.
+
+
+def dependent_run(px: DataFrame) -> DataFrame:
+    """The forest layer is stale; the distance to its edge is on record as current, but is made from it, and follows it."""
+    spark, at = px.sparkSession, folder(px, "dependent")
+    raw = spark.createDataFrame(
+        [(n, None, "raster", "continuous", None, True, 5) for n in ("away", "forest", "slope")], "name string, year int, data_type string, raster_type string, method string, active boolean, modified_at int"
+    )
+    out = spark.createDataFrame(
+        [(n, None, "continuous", None, "g", f"/{n}", 9) for n in ("away", "slope")],
+        "name string, year int, raster_type string, levels array<double>, grid_signature string, path string, modified_at int",
+    )
+
+    def run(key: str) -> tuple[DataFrame, str]:
+        if key == "forest":
+            return px.select("row", "col", PX("forest_t2").alias("value")), f"{at}/forest"
+        base = IO.read_layer(spark, f"{at}/forest", "int")  # there is one only if the forest was done first
+        return D.distance_layer(base, "value", "edge", 30.0).select("row", "col", PX("value_edge").alias("value")), f"{at}/{key}"
+
+    done = WF.harmonise(raw, out, "g", run, lambda path, layer: IO.write_layer(layer, path), needs={"away": ["forest"], "slope": []})
+    kinds = {"forest": "int", "away": "double"}
+    parts = [IO.read_layer(spark, f"{at}/{k}", kinds[k]).select("row", "col", PX("value").cast("double").alias("value"), F.lit(k).alias("layer"), F.lit(i).alias("done")) for i, k in enumerate(done)]
+    return rounded(parts[0].union(parts[1]), 6)
+
+
+query(
+    "harmonise_dependent",
+    W + """, z AS (SELECT row, col FROM g WHERE forest_t2 = 0)
+SELECT row, col, CAST(forest_t2 AS DOUBLE) AS value, 'forest' AS layer, 0 AS done FROM g
+UNION ALL SELECT a.row, a.col, round(min(sqrt(pow(a.row - z.row, 2) + pow(a.col - z.col, 2))) * 30e0, 6), 'away', 1 FROM g a, z WHERE a.forest_t2 IS NOT NULL GROUP BY a.row, a.col""",
+)(dependent_run)
+
+# --- Shapes: triangles with slanted edges, concave corners, squares with a hole, one a nation.
+
+X0, Y0, RES = 500_000.0, 100_000.0, 30.0
+TRIANGLE = [(1.2, 1.3), (25.7, 4.1), (8.4, 17.6)]
+CORNER = [(2.3, 2.3), (20.3, 2.3), (20.3, 8.3), (9.3, 8.3), (9.3, 17.3), (2.3, 17.3)]
+OUTER, HOLE = [(3.3, 2.3), (22.3, 2.3), (22.3, 18.3), (3.3, 18.3)], [(8.3, 5.3), (15.3, 5.3), (15.3, 12.3), (8.3, 12.3)]
+
+
+def shapes(spark: SparkSession, d: str) -> DataFrame:
+    k = PX("n_nationkey")
+    left, top = k % 5 * 30, F.floor(k / 5) * 20
+    ring = lambda points: F.array(*[F.array(X0 + (left + x) * RES, Y0 - (top + y) * RES) for x, y in [*points, points[0]]])
+    rings = F.when(k % 3 == 0, F.array(ring(TRIANGLE))).when(k % 3 == 1, F.array(ring(CORNER))).otherwise(F.array(ring(OUTER), ring(HOLE)))
+    return spark.read.parquet(f"{d}/nation.parquet").select((k + 1).cast("long").alias("feature_id"), rings.alias("rings"))
+
+
+def _sides(points: list[tuple[float, float]]) -> list[tuple[tuple[float, float], tuple[float, float]]]:
+    return list(zip(points, [*points[1:], points[0]], strict=True))
+
+
+_INSIDE = " AND ".join(f"({bx - ax:.3f}e0 * (y - {ay}e0) - {by - ay:.3f}e0 * (x - {ax}e0) > 0)" for (ax, ay), (bx, by) in _sides(TRIANGLE))
+# The unit square (x, y) to (x + 1, y + 1) meets the triangle if no edge of either parts them.
+_MEETS = "x < 25.7e0 AND x + 1 > 1.2e0 AND y < 17.6e0 AND y + 1 > 1.3e0 AND " + " AND ".join(
+    f"(greatest({bx - ax:.3f}e0 * (y - {ay}e0), {bx - ax:.3f}e0 * (y + 1 - {ay}e0)) + greatest({ay - by:.3f}e0 * (x - {ax}e0), {ay - by:.3f}e0 * (x + 1 - {ax}e0)) > 0)" for (ax, ay), (bx, by) in _sides(TRIANGLE)
+)
+_PLACE = W + ", p AS (SELECT g.row, g.col, k, g.col{at} - k % 5 * 30 AS x, g.row{at} - floor(k / 5) * 20 AS y FROM g, (SELECT n_nationkey AS k FROM nation)) "
+query(
+    "rasterize_shapes",
+    _PLACE.format(at=" + 0.5e0") + f"""SELECT row, col, CAST(k + 1 AS INT) AS value FROM p WHERE CASE k % 3 WHEN 0 THEN {_INSIDE}
+WHEN 1 THEN x > 2.3e0 AND y > 2.3e0 AND ((x < 20.3e0 AND y < 8.3e0) OR (x < 9.3e0 AND y < 17.3e0))
+ELSE x > 3.3e0 AND x < 22.3e0 AND y > 2.3e0 AND y < 18.3e0 AND NOT (x > 8.3e0 AND x < 15.3e0 AND y > 5.3e0 AND y < 12.3e0) END""",
+    lambda s, d: (grid(s, d), shapes(s, d)),
+)(lambda t: IO.rasterize(t[1], t[0].n_rows, X0, Y0, RES, WIDTH, unique=True))
+query(
+    "touched_shapes",
+    _PLACE.format(at="") + f"""SELECT row, col FROM p WHERE CASE k % 3 WHEN 0 THEN {_MEETS}
+WHEN 1 THEN x + 1 > 2.3e0 AND y + 1 > 2.3e0 AND ((x < 20.3e0 AND y < 8.3e0) OR (x < 9.3e0 AND y < 17.3e0))
+ELSE x + 1 > 3.3e0 AND x < 22.3e0 AND y + 1 > 2.3e0 AND y < 18.3e0 AND NOT (x > 8.3e0 AND x + 1 < 15.3e0 AND y > 5.3e0 AND y + 1 < 12.3e0) END""",
+    lambda s, d: (grid(s, d), shapes(s, d)),
+)(lambda t: GEO.touched(t[1], t[0].n_rows, X0, Y0, RES, WIDTH))
+
+
+def slanted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Long thin triangles, and the suppliers' rectangles."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    x, y, w = PX("c_custkey") * 7 % 1000, PX("c_custkey") * 13 % 997, PX("c_nationkey") % 5 + 1.5
+    corners = [(x, y), (x + w * 40, y + w * 13), (x + 3, y + w * 5), (x, y)]
+    ring = F.array(*[F.array(a.cast("double"), b.cast("double")) for a, b in corners])
+    return c.select(PX("c_custkey").cast("long").alias("feature_id"), F.array(ring).alias("rings")), parcels(spark, d)[1]
+
+
+_AXES = ["1e0, 0e0", "0e0, 1e0", "-w * 13, w * 40", "w * 8, 3 - w * 40", "-w * 5, 3e0"]
+_PARTS = [
+    f"""(least(0e0, nx * w * 40 + ny * w * 13, nx * 3 + ny * w * 5) > dx * nx + dy * ny + greatest(0e0, nx * 20) + greatest(0e0, ny * 30)
+  OR greatest(0e0, nx * w * 40 + ny * w * 13, nx * 3 + ny * w * 5) < dx * nx + dy * ny + least(0e0, nx * 20) + least(0e0, ny * 30))"""
+]
+query(
+    "slanted_in_area",
+    """WITH f AS (SELECT CAST(c_custkey AS BIGINT) AS feature_id, CAST(c_custkey * 7 % 1000 AS DOUBLE) AS x, CAST(c_custkey * 13 % 997 AS DOUBLE) AS y, c_nationkey % 5 + 1.5e0 AS w FROM customer),
+a AS (SELECT s_suppkey * 31 % 1000 + 0.25e0 AS u, s_suppkey * 17 % 997 + 0.25e0 AS v FROM supplier)
+SELECT feature_id FROM f WHERE EXISTS (SELECT 1 FROM (SELECT u - x AS dx, v - y AS dy FROM a) WHERE NOT ("""
+    + " OR ".join(_PARTS[0].replace("nx", f"({a.split(', ')[0]})").replace("ny", f"({a.split(', ')[1]})") for a in _AXES)
+    + "))",
+    slanted,
+)(lambda t: GEO.meeting(*t, 16.0).select("feature_id"))

@@ -10,7 +10,7 @@ A layer is a folder of versions: a write that fails at any point leaves the laye
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -38,6 +38,9 @@ class TiledLayer:
         """The tiles with pixels of the rows ``low`` to ``high``; the scan skips the others."""
         return TiledLayer(self.tiles.filter(F.col("_tile").between(tile_key(low // self.side, 0), tile_key(high // self.side, 2**31))), self.side)
 
+    def only(self, tiles: Sequence[int]) -> TiledLayer:
+        return TiledLayer(self.tiles.filter(F.col("_tile").isin(*tiles) if tiles else F.lit(False)), self.side)
+
     def pixels(self, name: str = "value") -> DataFrame:
         return stack_tiles({name: self})
 
