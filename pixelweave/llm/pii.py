@@ -42,7 +42,6 @@ LOGIN = re.compile(r"://[^\s/@:]+:[^\s/@]+@")
 KEY_ID = re.compile(r"[A-Z0-9]{20}(?![A-Za-z0-9])")
 SECRET = re.compile(r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{8,})")
 IBAN = re.compile(r"[\s:#=-]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-LOWER = {c: c + 32 for c in range(65, 91)}
 DOTTED = re.compile(r"[0-9]\.[0-9]")
 
 
@@ -68,7 +67,7 @@ def luhn(digits: str) -> bool:
 
 def lowered(text: str) -> str:
     """A-Z in lower case; every character keeps its place."""
-    return text.lower() if text.isascii() else text.translate(LOWER)
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # bytes.lower() touches A-Z only
 
 
 def account(number: str) -> bool:
