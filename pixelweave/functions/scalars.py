@@ -27,6 +27,23 @@ def logistic(eta: Column) -> Column:
     return F.when(eta.isNull() | finite, 1 / (1 + F.exp(-eta))).otherwise(F.raise_error(F.lit("the linear predictor is not finite")).cast("double"))
 
 
+def binary_round(value: Column, digits: int) -> Column:
+    """``value`` to ``digits`` decimals by its exact binary value, halves to even: 2.675 is a little below its digits and
+    gives 2.67. The product with 10**digits is taken with its rounding error (both factors split in halves of 26 bits), so
+    the comparison with a half is exact. Numbers too large to have decimals stay as they are."""
+    scale, cut = 10.0**digits, 134217729.0  # 2**27 + 1
+    x, p = value, value * scale
+    high = x * cut - (x * cut - x)
+    low = x - high
+    s_high = scale * cut - (scale * cut - scale)
+    s_low = scale - s_high
+    error = ((high * s_high - p) + high * s_low + low * s_high) + low * s_low
+    whole = F.floor(p).cast("double")
+    over = (p - whole - 0.5) + error
+    up = (over > 0) | ((over == 0) & (whole % 2 != 0))
+    return F.when(F.abs(p) < 2.0**52, F.when(up, whole + 1).otherwise(whole) / scale).otherwise(value)
+
+
 def hectares(pixels: Column, pixel_area: float) -> Column:
     return pixels * F.lit(pixel_area)
 

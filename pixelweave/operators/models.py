@@ -36,6 +36,7 @@ def glm_fit(df: DataFrame, target: str, features: list[str], max_iter: int = 100
     t = written(training(df, target, features))
     n, _ = _class_totals(t)
     fit = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=max_iter, tol=1e-9, regParam=1.0 / n, elasticNetParam=0.0, standardization=False).fit(t)
+    discard(t)
     rows = [("Intercept", float(fit.intercept)), *zip(features, map(float, fit.coefficients), strict=True)]
     return df.sparkSession.createDataFrame(rows, "term string, estimate double")
 
@@ -51,7 +52,9 @@ def forest_fit(
 ) -> RandomForestClassificationModel:
     t = written(training(df, target, features))
     _class_totals(t)
-    return RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed).fit(t)
+    model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed).fit(t)
+    discard(t)
+    return model
 
 
 def forest_apply(model: RandomForestClassificationModel, df: DataFrame, features: list[str], keep: tuple[str, ...] = ("row", "col")) -> DataFrame:

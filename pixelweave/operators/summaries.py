@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.functions.scalars import binary_round
 from pixelweave.operators.ranks import quantiles
 from pixelweave.sources.shared import small
 
@@ -147,8 +148,8 @@ def ordered_indices(indices: DataFrame) -> DataFrame:
 
 
 def rounded_indices(indices: DataFrame) -> DataFrame:
-    """Metrics to two digits, halves to even, as they are written and shown."""
-    return indices.select(*[F.bround(c, 2).alias(c) if c in METRICS else F.col(c) for c in indices.columns])
+    """Metrics to two digits of their binary value, halves to even, as they are written and shown."""
+    return indices.select(*[binary_round(F.col(c), 2).alias(c) if c in METRICS else F.col(c) for c in indices.columns])
 
 
 def effect_summary(effect: DataFrame, value: str = "rho") -> DataFrame:

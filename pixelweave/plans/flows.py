@@ -423,7 +423,7 @@ query("shown_metrics", "SELECT prediction, csize, \"R2\", ncell FROM (" + SQL["i
 )
 query(
     "rounded_indices",
-    "SELECT prediction, csize, round_even(\"RMSE\", 2) AS \"RMSE\", round_even(\"wRMSE\", 2) AS \"wRMSE\", round_even(\"MedAE\", 2) AS \"MedAE\", round_even(\"R2\", 2) AS \"R2\", ncell FROM (" + SQL[
+    "SELECT prediction, csize, " + ", ".join(f"CAST(printf('%.2f', \"{m}\") AS DOUBLE) AS \"{m}\"" for m in ("RMSE", "wRMSE", "MedAE", "R2")) + ", ncell FROM (" + SQL[
         "indices_all"
     ] + ")"
 )(

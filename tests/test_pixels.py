@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from pixelweave.functions import names as NA
@@ -47,3 +49,13 @@ def test_rasterize_square_with_hole(spark):
     shape = spark.createDataFrame([(1, rings)], "feature_id long, rings array<array<array<double>>>")
     got = {(r.row, r.col) for r in IO.rasterize(shape, 5, 0.0, 5.0, 1.0, 5).collect()}
     assert got == {(r, c) for r in range(1, 5) for c in range(4) if not (r in (2, 3) and c in (1, 2))}
+
+
+def test_binary_round_is_that_of_the_exact_value(spark):
+    rnd = random.Random(1)
+    values = [2.675, 0.125, 0.375, 1.005, -2.675, -0.125, 0.0, 1e300, 5e-324, 2.5, 1e15 + 0.3, 0.285, None]
+    values += [rnd.uniform(-1000, 1000) for _ in range(3000)] + [k / 1000 for k in range(-2000, 2000)] + [k / 8 for k in range(-99, 99)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 2, 6):
+        got = df.select("v", S.binary_round(F.col("v"), digits).alias("r")).collect()
+        assert all(r.r is None if r.v is None else r.r == round(r.v, digits) or abs(r.v) * 10**digits >= 2**52 for r in got)
