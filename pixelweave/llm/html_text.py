@@ -3,14 +3,19 @@
 1. Every page is cut into its element subtrees, those inside articles as well; a subtree of some text gets a hash of its
    tags and folded text. Inside an article only boxes (``BOXES``: divisions, sections, lists, tables, figures) of
    ``INSIDE_CHARS`` or more that hold at most half of its text count: a paragraph that many articles share, such as a
-   licence line or a quotation, is their own wording. Per host Spark counts the pages that hold each hash; pages (inside
-   articles: articles) that are copies count once, so that an article published many times is no template.
+   licence line or a quotation, is their own wording. The outermost subtrees beside the article get a second hash, of their
+   skeleton: tags, class words, the skeletons of their children (equal neighbours once) and the share of linked text, but no
+   wording, so menus, adverts and footers whose words change from page to page recur as well. On pages without an article
+   only subtrees of mostly linked text have one that counts. Per host Spark counts the pages that hold each hash; pages
+   (inside articles: articles) that are copies count once, so that an article published many times is no template.
 2. Hashes on many pages of their host are template: ``min_pages``, whatever the size of the host; half of the pages, but
    ``SMALL_HOST`` at least, if that is less. They go back to the pages that hold them, and the extraction leaves out those subtrees.
 3. What is left of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments goes by tag,
-   role and class. Inside an article its own header, captions and labels stay, and classes for links and sharing decide
-   nothing: such boxes go only where they recur. If a page has an article (or main) element, its text is the text of
-   these elements; otherwise that of the body.
+   role and class. Inside an article its own header, figures, paragraphs, captions and labels stay; there a class says so
+   only as a whole word (or the last part of one) on a box, and classes for links and sharing decide nothing: such boxes go
+   only where they recur. If a page has a main element, its text is that of these elements; else that of its articles, but
+   for those less than half as long as the longest (teasers); else that of the body. ``lists=False`` leaves this step out, to
+   see what the counts alone remove.
 
 Reading and walking a page take time in proportion to its length, and no depth of nesting is too deep.
 
@@ -42,6 +47,7 @@ BLOCK = frozenset(
     " summary table tbody td tfoot th thead tr ul".split()
 )
 BOXES = frozenset("div section ul ol dl table details figure blockquote address header".split())
+LISTED = (BOXES - frozenset("figure blockquote address header".split())) | {"article", "span"}  # what a class can remove inside an article
 #: An opening tag closes open elements of the named kinds.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CLOSES_P = BLOCK - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "summary", "caption", "label", "legend"} | frozenset("nav footer aside form".split())
@@ -54,7 +60,7 @@ WITHIN = (
     r"|sidebar|widget|footer|comments?|commentlist|disqus|reply|replies|login|signup|toolbar|pagination|pager"
 )
 AROUND = WITHIN + r"|header|masthead|share|sharing|social|related|recommended|skip\w*"
-BOILER = {inside: re.compile(rf"(?:^|[\s_-])(?:{names})(?:$|[\s_-])") for inside, names in ((True, WITHIN), (False, AROUND))}
+BOILER = {True: re.compile(rf"(?:^|[\s_-])(?:{WITHIN})(?:$|\s)"), False: re.compile(rf"(?:^|[\s_-])(?:{AROUND})(?:$|[\s_-])")}
 START = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*+))")
 TAG_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 ATTR = re.compile(r"([A-Za-z-]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -74,14 +80,17 @@ class Node:
     skip: bool = False
     main: bool = False
     parts: list = field(default_factory=list)  # strings and nodes, in page order
+    words: str = ""  # its class words, sorted
     hash: bytes = b""
     chars: int = 0
+    linked: int = 0  # characters of its text inside links
+    skeleton: bytes = b""
 
 
 def _is_boiler(tag: str, attrs: str, inside: bool) -> bool:
     if tag in SKIP or (tag == "header" and not inside):
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body", "main") or (tag == "article" and not inside):
         return False
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -89,11 +98,19 @@ def _is_boiler(tag: str, attrs: str, inside: bool) -> bool:
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id") and BOILER[inside].search(value):
+        if name in ("class", "id") and (not inside or tag in LISTED) and BOILER[inside].search(value):
             return True
     return False
 
 
+def _class_words(attrs: str) -> str:
+    """The class words of a tag, sorted; numbers in them are left out, as they tell copies of a box apart."""
+    for m in ATTR.finditer(attrs):
+        if m[1].lower() == "class":
+            return " ".join(sorted({re.sub("[0-9]+", "", w) for w in (m[2] or m[3] or m[4] or "").lower().split()}))
+    return ""
+
+
 class _Open:
     """The open elements, and where each kind of them was opened last."""
 
@@ -172,7 +189,7 @@ def parse(page: str) -> Node:
             if place and place >= open_.scopes[-1]:
                 open_.close(place)
             main = tag in ("article", "main") or bool(MAIN_ROLE.search(attrs))
-            node = Node(tag, _is_boiler(tag, attrs, open_.mains > 0), main)
+            node = Node(tag, _is_boiler(tag, attrs, open_.mains > 0), main, words=_class_words(attrs) if attrs else "")
             open_.stack[-1].parts.append(node)
             if not attrs.rstrip().endswith("/"):
                 open_.push(node)
@@ -181,15 +198,16 @@ def parse(page: str) -> Node:
     return root
 
 
-def digest(root: Node) -> list[tuple[Node, Node | None]]:
-    """Sets the hash and text length of every node; returns those without an article below, each with the outermost
-    article around it (or itself)."""
+def digest(root: Node) -> tuple[list[tuple[Node, Node | None]], list[Node]]:
+    """Sets the hashes and text lengths of every node; returns those without an article below, each with the outermost
+    article around it (or itself), and those whose skeleton counts."""
     order: list[tuple[Node, Node | None]] = [(root, root if root.main else None)]
     for node, article in order:
         order.extend((x, article or (x if x.main else None)) for x in node.parts if isinstance(x, Node))
     holds_main: set[int] = set()
     for node, _ in reversed(order):
         h, n, main = xxhash.xxh3_64(node.tag.encode()), 0, node.main
+        bones, last, linked = xxhash.xxh3_64(f"{node.tag} {node.words}".encode()), b"", 0
         for part in node.parts:
             if isinstance(part, str):
                 text = " ".join(part.split())
@@ -197,11 +215,34 @@ def digest(root: Node) -> list[tuple[Node, Node | None]]:
                 h.update(text.encode("utf-8", "surrogatepass") + b"\0")
             else:
                 h.update(part.hash + b"\1")
-                n, main = n + part.chars, main or id(part) in holds_main
-        node.hash, node.chars = h.digest(), n
+                n, main, linked = n + part.chars, main or id(part) in holds_main, linked + part.linked
+                if part.skeleton != last:
+                    bones.update(part.skeleton)
+                    last = part.skeleton
+        node.hash, node.chars, node.linked = h.digest(), n, n if node.tag == "a" else linked
+        bones.update(bytes([4 * node.linked // max(n, 1)]))
+        node.skeleton = bones.digest()
         if main:
             holds_main.add(id(node))
-    return [(node, article) for node, article in order if article or id(node) not in holds_main]
+    return [(node, article) for node, article in order if article or id(node) not in holds_main], _beside(root, holds_main)
+
+
+def _beside(root: Node, holds_main: set[int]) -> list[Node]:
+    """The outermost elements with some text that hold no article: the frame of a page that has one. Without an article,
+    elements of mostly linked text that hold less than half of the page's."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        for part in node.parts:
+            if not isinstance(part, Node) or part.main:
+                continue
+            if id(part) in holds_main or part.tag in ("html", "body"):
+                todo.append(part)
+            elif part.chars and (id(root) in holds_main or (2 * part.linked >= part.chars and 2 * part.chars < root.chars)):
+                out.append(part)
+            elif part.chars:
+                todo.append(part)
+    return out
 
 
 def _number(hash_: bytes) -> int:
@@ -215,7 +256,10 @@ def subtrees(root: Node, min_chars: int, inside_chars: int = INSIDE_CHARS) -> di
     most half of its text: inline wording, paragraphs and the body of an article are content.
     """
     out: dict[int, tuple[list[Node], int]] = {}
-    for node, article in digest(root):
+    nodes, frame = digest(root)
+    for node in frame:
+        out.setdefault(_number(xxhash.xxh3_64(b"skeleton" + node.skeleton).digest()), ([], _number(root.hash)))[0].append(node)
+    for node, article in nodes:
         if article is None:
             if node.chars >= min_chars and node.tag not in ("html", "body", "#root"):
                 out.setdefault(_number(node.hash), ([], _number(root.hash)))[0].append(node)
@@ -224,14 +268,40 @@ def subtrees(root: Node, min_chars: int, inside_chars: int = INSIDE_CHARS) -> di
     return out
 
 
-def _has_main(root: Node) -> bool:
-    todo = [root]
+def _mains(root: Node) -> list[Node]:
+    """The elements whose text is the page's: main elements, else articles that are no teasers; none without either."""
+    found, todo = [], [root]
     while todo:
         node = todo.pop()
         if node.main:
-            return True
-        todo.extend(x for x in node.parts if isinstance(x, Node) and not x.skip)
-    return False
+            found.append(node)
+        else:
+            todo.extend(x for x in node.parts if isinstance(x, Node) and not x.skip)
+    mains = [x for x in found if x.tag != "article"]
+    if mains or len(found) < 2:
+        return mains or found
+    size = {id(x): _length(x) for x in found}
+    return [x for x in found if 2 * size[id(x)] >= max(size.values())]
+
+
+def _length(root: Node) -> int:
+    total, todo = 0, [root]
+    while todo:
+        for part in todo.pop().parts:
+            if isinstance(part, str):
+                total += len(part.strip())
+            elif not part.skip:
+                todo.append(part)
+    return total
+
+
+def _unlisted(root: Node) -> None:
+    """Take back what tags, roles and classes decided, but for the head."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        node.skip = node.tag == "head"
+        todo.extend(x for x in node.parts if isinstance(x, Node))
 
 
 def decoded(text: str) -> str:
@@ -239,14 +309,17 @@ def decoded(text: str) -> str:
     return " ".join(html.unescape(HUGE_REFERENCE.sub("\ufffd", text)).split())
 
 
-def main_text(page: str, template: set[int] = frozenset(), min_chars: int = 1) -> str:
+def main_text(page: str, template: set[int] = frozenset(), min_chars: int = 1, lists: bool = True) -> str:
     """Text of the page without the subtrees whose hash is in ``template``."""
     root = parse(page)
+    if not lists:
+        _unlisted(root)
     if template:
         for h, (nodes, _) in subtrees(root, min_chars).items():
             for node in nodes:
                 node.skip = node.skip or h in template
-    wanted, inside = _has_main(root), 0
+    mains = {id(x) for x in _mains(root)} if lists else set()
+    wanted, inside = bool(mains), 0
     blocks: list[str] = []
     open_: list[str] = []
 
@@ -264,7 +337,7 @@ def main_text(page: str, template: set[int] = frozenset(), min_chars: int = 1) -
         elif left or not node.skip:
             if node.tag in BLOCK or node.main:
                 close()
-            inside += -node.main if left else node.main
+            inside += (id(node) in mains) * (-1 if left else 1)
             if not left:
                 todo.append((node, True))
                 todo.extend((part, False) for part in reversed(node.parts))
@@ -293,17 +366,20 @@ def _hashes(min_chars: int):
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for pages, marks in ((r.values, m) for batch in batches for r, m in zip(*batch.columns, strict=True)):
-        template: dict[int, set[int]] = {}
-        for m in marks.as_py() or ():
-            template.setdefault(m["_at"], set()).add(m["_key"])
-        texts = [main_text(p.as_py() or "", template.get(i, frozenset())) for i, p in enumerate(pages.field("_html"))]
-        yield pa.RecordBatch.from_arrays([pages.field("_c0"), pages.field("_c1"), pa.array(texts, pa.string())], ["_c0", "_c1", "_out"])
+def _texts(min_chars: int, lists: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages, marks in ((r.values, m) for batch in batches for r, m in zip(*batch.columns, strict=True)):
+            template: dict[int, set[int]] = {}
+            for m in marks.as_py() or ():
+                template.setdefault(m["_at"], set()).add(m["_key"])
+            texts = [main_text(p.as_py() or "", template.get(i, frozenset()), min_chars, lists) for i, p in enumerate(pages.field("_html"))]
+            yield pa.RecordBatch.from_arrays([pages.field("_c0"), pages.field("_c1"), pa.array(texts, pa.string())], ["_c0", "_c1", "_out"])
+
+    return run
 
 
 def extract_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, min_chars: int = 1
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, min_chars: int = 1, lists: bool = True
 ) -> DataFrame:
     """Per row of ``pages``: id, url and ``text``. Pages are written once in blocks and stay there; what is template comes to
     the blocks."""
@@ -320,7 +396,7 @@ def extract_text(
     template = counts.join(sizes, "_host").filter(F.col("_n") >= many).select("_host", "_key")
     marks = held.join(template, ["_host", "_key"]).groupBy("_block").agg(F.collect_list(F.struct("_at", "_key")).alias("_marks"))
     met = blocks.join(marks.hint("shuffle_merge"), "_block", "left").select("_rows", "_marks")
-    out = met.mapInArrow(_texts, f"_c0 {id_kind}, _c1 {url_kind}, _out string")
+    out = met.mapInArrow(_texts(min_chars, lists), f"_c0 {id_kind}, _c1 {url_kind}, _out string")
     return out.select(F.col("_c0").alias(id_col), F.col("_c1").alias(url_col), F.col("_out").alias("text"))
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.llm import lexical_search, mixing, prefix_trie
+from pixelweave.llm import html_text, lexical_search, mixing, prefix_trie
 from pixelweave.llm.queries import QUERIES
 
 CLASH = "_c long, _seq long, _k string, _size string, _source int, _pi double, _copies int, _row long, _item int, _doc string, _terms int"
@@ -230,3 +230,34 @@ def test_empty_tables(spark, tmp_path):
     for name in ("op11_mix", "op12_prefix_trie", "op13_lexical_search"):
         df = QUERIES[name](spark, out)
         assert df.collect() == [] and all(t != "void" for _, t in df.dtypes)
+
+
+def test_html_parts_of_an_article_stay_whatever_their_class(spark):
+    page = """<body><nav>Menu</nav><article class="post"><h1>T</h1><figure class="banner"><figcaption>A view.</figcaption></figure><div class="menu-of-the-day"><p>Soup.</p></div>
+<p class="notice">Mind the step.</p><p>Body text goes on for a while here.</p><div class="ad">Buy now</div><div class="site-newsletter">Subscribe</div><article class="comment">First!</article></article>
+<article class="teaser"><a href="/x">Read more</a></article><div class="comments">Nice.</div></body>"""
+    text = html_text.main_text(page)
+    assert text == "T A view. Soup. Mind the step. Body text goes on for a while here."
+    two = "<body><article><p>One long part of the text.</p></article><article><p>Another long part of it.</p></article></body>"
+    assert html_text.main_text(two) == "One long part of the text. Another long part of it."
+    assert html_text.main_text("<main><p>Here.</p></main><article>There, a much longer text than the other.</article>") == "Here."
+
+
+def test_html_frames_go_by_their_skeleton(spark):
+    rnd = random.Random(4)
+    say = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(n))
+    links = lambda n: "".join(f"<li><a href='/{i}'>{say(1)}</a></li>" for i in range(n))
+    art = {i: f"{say(30)}" for i in range(60)}
+    # Frames whose words, and numbers of links, differ from page to page; their tags and classes are on no list.
+    pages = [(i, f"http://a.example/{i}", f"<body><div class='topside w{i}'><ul>{links(3 + i % 4)}</ul></div><div class='xq'>{say(6)}</div><article><p>{art[i]}</p></article><div>{say(4)} <a>{say(1)}</a></div></body>") for i in range(30)]
+    # No article element: mostly linked boxes that recur go, boxes of plain text stay, recurring skeleton or not.
+    pages += [(100 + i, f"http://b.example/{i}", f"<body><div class='rail'><ul>{links(4)}</ul></div><div class='c'><p>{art[30 + i]}</p></div><div class='c2'>{art[i]}</div></body>") for i in range(30)]
+    # A box of links on two pages only of a host.
+    pages += [(200 + i, f"http://c.example/{i}", f"<body><div class='own{'x' * (i < 2)}'><p>{art[i]}</p>{f'<ul>{links(9)}</ul>' if i < 2 else ''}</div></body>") for i in range(30)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    by_counts = {r.page_id: r.text for r in html_text.extract_text(df, lists=False).collect()}
+    both = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    for i in range(30):
+        assert by_counts[i] == both[i] == art[i]
+        assert by_counts[100 + i] == both[100 + i] == f"{art[30 + i]} {art[i]}"
+        assert both[200 + i].startswith(art[i]) and (len(both[200 + i].split()) == 39) == (i < 2)
