@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -65,20 +65,28 @@ def box_sums(px: DataFrame, cols: list[str], half: int) -> DataFrame:
     return halo_tiles(px, cols, half, sums, ", ".join(f"{c} long" for c in cols))
 
 
-def local_rate(px: DataFrame, forest: Column, loss: Column, size: int, years: float, zero_code: int = 2) -> DataFrame:
-    """Rate of the window around each pixel: 2..65535 at population pixels (``zero_code`` where it is zero), 0 elsewhere."""
-    if size % 2 == 0 or size < 1:
+def local_rates(px: DataFrame, forest: Column, loss: Column, sizes: Sequence[int], years: float, zero_code: int = 2) -> DataFrame:
+    """As ``local_rate``, a column ``ldefrate_<size>`` a window: one pass serves all sizes, with the border of the largest."""
+    if not sizes or any(s % 2 == 0 or s < 1 for s in sizes):
         raise ValueError("the window size must be odd")
     marked = px.select("row", "col", F.coalesce(forest, F.lit(False)).cast("long").alias("n"), F.coalesce(loss, F.lit(False)).cast("long").alias("d"))
-    half = size // 2
 
     def sums(_: np.ndarray, layers: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         n, d = (np.nan_to_num(layers[k]).astype(np.int64) for k in ("n", "d"))
-        return {"own": n, "n": _box(n, half), "d": _box(d, half)}
+        return {"own": n} | {f"{k}{s}": _box(v, s // 2) for s in sizes for k, v in (("n", n), ("d", d))}
+
+    t = halo_tiles(marked, ["n", "d"], max(sizes) // 2, sums, "own long, " + ", ".join(f"n{s} long, d{s} long" for s in sizes))
+
+    def coded(s: int) -> Column:
+        theta = 1 - F.pow(1 - F.try_divide(F.col(f"d{s}"), F.col(f"n{s}")), F.lit(1.0 / years))
+        return F.when(F.col("own") == 0, 0).when(F.col(f"d{s}") == 0, zero_code).otherwise(risk_code(theta, 2)).alias(f"ldefrate_{s}")
 
-    t = halo_tiles(marked, ["n", "d"], half, sums, "own long, n long, d long")
-    theta = 1 - F.pow(1 - F.try_divide(F.col("d"), F.col("n")), F.lit(1.0 / years))
-    return t.select("row", "col", F.when(F.col("own") == 0, 0).when(F.col("d") == 0, zero_code).otherwise(risk_code(theta, 2)).alias("ldefrate"))
+    return t.select("row", "col", *[coded(s) for s in sizes])
+
+
+def local_rate(px: DataFrame, forest: Column, loss: Column, size: int, years: float, zero_code: int = 2) -> DataFrame:
+    """Rate of the window around each pixel: 2..65535 at population pixels (``zero_code`` where it is zero), 0 elsewhere."""
+    return local_rates(px, forest, loss, [size], years, zero_code).withColumnRenamed(f"ldefrate_{size}", "ldefrate")
 
 
 def slope(px: DataFrame, value: str, res: float) -> DataFrame:

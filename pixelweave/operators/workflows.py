@@ -66,6 +66,11 @@ def local_rates(px: DataFrame, model: WindowModel, window: int, forest: str, los
     return N.local_rate(px, L.population(F.col(forest), F.col(loss)), L.event(F.col(loss)), window, model.years)
 
 
+def all_local_rates(px: DataFrame, model: WindowModel, forest: str, loss: str) -> DataFrame:
+    """``(row, col, ldefrate_<window>, ...)``: the local rates of all windows of the model, in one pass."""
+    return N.local_rates(px, L.population(F.col(forest), F.col(loss)), L.event(F.col(loss)), model.windows, model.years)
+
+
 def window_apply(
     local: DataFrame,
     px: DataFrame,

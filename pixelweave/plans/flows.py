@@ -34,7 +34,7 @@ from pixelweave.operators import workflows as WF
 from pixelweave.plans.queries import CODE, WINDOW
 from pixelweave.plans.tables import AREA, COUNTS, E, K, PER_CAT, PX, RATE_COLS, SQL, W, WIDTH, YEARS, borders, box, catalog, grid, pixels, query, rounded, trace
 from pixelweave.sources import layers as IO
-from pixelweave.sources.shared import shared_dir
+from pixelweave.sources.shared import shared_dir, written
 
 X0, Y0, RES = 500_000.0, 100_000.0, 30.0
 PERCENT = 60.0
@@ -80,9 +80,17 @@ def class_model(px: DataFrame) -> WF.ClassModel:
     return WF.class_fit(px, "edge", "loss", RES, AREA, PERCENT)
 
 
-def class_rates(px: DataFrame, rates: DataFrame | None = None, second: bool = False) -> DataFrame:
+def class_rates(px: DataFrame, model: WF.ClassModel, rates: DataFrame | None = None, second: bool = False) -> DataFrame:
     forest, loss = ("forest_t2", "loss23") if second else ("forest_t1", "loss")
-    return WF.class_apply(later(px), class_model(px), "edge", forest, loss, "subj", 4 if second else YEARS, AREA, rates)[1]
+    return WF.class_apply(later(px), model, "edge", forest, loss, "subj", 4 if second else YEARS, AREA, rates)[1]
+
+
+def calibrated_rates(px: DataFrame) -> DataFrame:
+    """The second interval's rate table, with the relative rates of the first. The stack is read by several jobs: it is
+    written once, and the model is fitted once."""
+    px = written(px)
+    model = class_model(px)
+    return class_rates(px, model, class_rates(px, model).select("cat", "rate_mod"), True)
 
 
 query(
@@ -106,6 +114,7 @@ WINDOW_MAP = (
 
 
 def window_run(px: DataFrame) -> tuple[DataFrame, DataFrame]:
+    px = written(px)  # the fit, the local rates and the map read it
     m = window_model(px)
     return WF.window_apply(WF.local_rates(px, m, 5, "forest_t1", "loss"), later(px), m, "edge", "forest_t2", "loss23", 4, AREA)
 
@@ -152,7 +161,7 @@ query(
         "vuln2"
     ).replace("FROM t)", "FROM t WHERE nfor > 0)") + rate_columns(4),
 )(
-    lambda px: rounded(class_rates(px, class_rates(px).select("cat", "rate_mod"), True))
+    lambda px: rounded(calibrated_rates(px))
 )
 
 
@@ -264,13 +273,19 @@ def fitted(px: DataFrame) -> tuple[DE.ModelSpec, dict[str, float]]:
     return DE.fitted(px, SPEC)
 
 
-query("glm_map")(lambda px: DE.applied(px, *fitted(px)).select("row", "col", S.risk_code(PX("p")).alias("risk")))
+def glm_map(px: DataFrame) -> DataFrame:
+    px = written(px)  # the scaling, the fit and the map read it
+    return DE.applied(px, *fitted(px)).select("row", "col", S.risk_code(PX("p")).alias("risk"))
+
+
+query("glm_map")(glm_map)
 query("glm_coefficients")(lambda px: rounded(DE.coefficient_table(px.sparkSession, fitted(px)[1]), 5))
 query("glm_statistics")(lambda px: rounded(DE.fit_statistics(px, *fitted(px)), 4))
 
 
 def spatial_run(px: DataFrame) -> DataFrame:
     """Fit with an effect per cell, the effect spread over the pixels, and the map."""
+    px = written(px)
     spec = DE.ModelSpec("loss", ("elevation", "edge"), {"pa": (0, 1)}).frozen(px)
     t = DE.design_rows(px.withColumn("_cell", N.cell_index(PX("row"), PX("col"), 25, WIDTH)), spec)
     terms = spec.terms()

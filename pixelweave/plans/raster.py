@@ -23,6 +23,7 @@ from pixelweave.plans.queries import FEATURES, scaled, split_rows
 from pixelweave.plans.tables import AREA, PX, SQL, W, WIDTH, grid, parcels, query, rounded
 from pixelweave.sources import layers as IO
 from pixelweave.sources import tiled as TL
+from pixelweave.sources.shared import written
 
 
 def layer(px: DataFrame, name: str) -> TL.TiledLayer:
@@ -98,6 +99,14 @@ query("extract_tiled", SQL["extract_points"])(
     lambda px: P.extract_tiled(P.systematic(px, 5, 5), {n: layer(px, n) for n in ("elevation", "pa", "loss")}, WIDTH)
 )
 
+# --- Several windows in one pass.
+
+query(
+    "moving_windows",
+    "SELECT a.row, a.col, a.ldefrate AS ldefrate_5, b.ldefrate AS ldefrate_11, c.ldefrate AS ldefrate_21 FROM ("
+    + SQL["moving_window_5"] + ") a JOIN (" + SQL["moving_window_11"] + ") b ON a.row = b.row AND a.col = b.col JOIN (" + SQL["moving_window_21"] + ") c ON a.row = c.row AND a.col = c.col",
+)(lambda px: WF.all_local_rates(px, WF.WindowModel(0.0, 0.0, (5, 11, 21), 5.0), "forest_t1", "loss"))
+
 # --- Statistics of fits.
 
 TREES = 20
@@ -113,6 +122,7 @@ query("bagged_forest_apply")(lambda px: B.forest_apply(forest(px)[0], scaled(px)
 
 
 def spatial_model(px: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, float], DataFrame]:
+    px = written(px)  # the fit, its sums and its statistics read it
     t = scaled(px).withColumn("cell", N.cell_index(PX("row"), PX("col"), 25, WIDTH))
     high = px.agg(F.max("row")).first()[0] // 25 + 1
     links = N.cell_neighbors(t.select("cell").distinct(), high, N.cells_across(25, WIDTH))
