@@ -189,7 +189,7 @@ def parse(page: str) -> Node:
             if place and place >= open_.scopes[-1]:
                 open_.close(place)
             main = tag in ("article", "main") or bool(MAIN_ROLE.search(attrs))
-            node = Node(tag, _is_boiler(tag, attrs, open_.mains > 0), main, words=_class_words(attrs) if attrs else "")
+            node = Node(tag, _is_boiler(tag, attrs, open_.mains > 0), main, words=_class_words(attrs) if "class" in attrs.lower() else "")
             open_.stack[-1].parts.append(node)
             if not attrs.rstrip().endswith("/"):
                 open_.push(node)
