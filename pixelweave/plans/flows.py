@@ -308,7 +308,12 @@ query(
         8
     )
 )
-query("posterior_table", source=trace)(lambda t: rounded(DE.posterior_table(t), 6))
+query(
+    "posterior_table",
+    "SELECT s.param AS term, round(estimate, 6) AS estimate, round(std, 6) AS std, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(rhat, 6) AS rhat, ess FROM ("
+    + SQL["trace_summary"] + ") s LEFT JOIN (" + SQL["split_rhat"] + ") r ON s.param = r.param LEFT JOIN (" + SQL["effective_sample_size"] + ") n ON s.param = n.param",
+    trace,
+)(lambda t: rounded(DE.posterior_table(t), 6))
 query(
     "worst_mixing",
     "WITH " + E + ", d AS (SELECT iter % 5 AS kind, CASE WHEN iter % 7 > 0 THEN 1e0 + value / 1000 END AS rhat, CASE WHEN iter % 3 > 0 THEN 50 + value END AS ess FROM e) SELECT kind, round(max(rhat), 8) AS rhat, round(min(ess), 8) AS ess, max(rhat) > 1.1e0 OR min(ess) < 100 AS bad FROM d GROUP BY kind HAVING max(rhat) IS NOT NULL AND min(ess) IS NOT NULL",
