@@ -33,7 +33,8 @@ def folder(spark, tmp_path_factory):
     texts += [(100 + i, texts[i][1]) for i in range(10)] + [(5, texts[5][1]), (5, "another text of the same id"), (None, texts[7][1]), (None, None), (200, None), (201, ""), (202, " \n\t\n "), (203, "x"), (204, "tree stone")]
     texts += [(210, "river " * 150_000 + "\n" + line()), (211, "stone," * 30_000), (-9, line()), (2**62, line())]
     out = str(tmp_path_factory.mktemp("odd"))
-    spark.createDataFrame([(k, v, *FILL) for k, v in texts], f"doc_id long, text string, {EXTRA}").repartition(3).write.parquet(f"{out}/documents.parquet")
+    spark.createDataFrame([(k, v, *FILL, "s") for k, v in texts], f"doc_id long, text string, {EXTRA}, source string").repartition(3).write.parquet(f"{out}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", "hello"), (None, 0, None, None)], "conv_id long, turn long, role string, text string").write.parquet(f"{out}/conversations.parquet")
     spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(60)] + [(None, None, None), (0, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
     spark.createDataFrame([("a", " ".join(WORDS[:10])), ("a", "tree stone"), ("b", None), (None, "x"), ("c", "")], "item_id string, text string").write.parquet(f"{out}/benchmark.parquet")
     box = "<div><p>Subscribe now to our letter.</p></div>"
@@ -234,7 +235,7 @@ def test_templates_equal_brute_force(spark):
 
 
 def test_empty_tables(spark, folder, tmp_path):
-    for name in ("documents", "labels", "benchmark", "pages", "embeddings"):
+    for name in ("documents", "labels", "benchmark", "pages", "embeddings", "conversations"):
         spark.read.parquet(f"{folder[0]}/{name}.parquet").filter("false").write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in QUERIES.items():
         assert query(spark, str(tmp_path)).collect() == [], name
