@@ -33,8 +33,8 @@ from pixelweave.llm.common import discard, table, written
 from pixelweave.operators.ranks import positions
 
 BLOCK = 2_000
-LAND = 8
-LARGE = 20  # a document is large if it holds more than 1/LARGE of the mean block of its source
+LAND = 10
+LARGE = 200  # a document is large if it holds more than 1/LARGE of the mean block of its source
 NEAR = 1e-9
 
 
@@ -82,7 +82,7 @@ def landing(size: np.ndarray, pi: np.ndarray, give: float = 0.0, take: float = 0
 def _fly(level: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         size, own = t.column("_size").to_numpy(), t.column("_key").to_numpy()
-        order = np.lexsort((own, -size))
+        order = np.lexsort((size, own))  # sizes in no order, so that those left open differ and their sums lie close
         t, size = t.take(order), size[order].astype(float)
         pi = t.column("_pi").to_pylist()
         source, block = (x.as_py() for x in key)
