@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.sources.layers import rasterize
+from pixelweave.sources.shared import discard, written
 
 
-def edges(polygons: DataFrame) -> DataFrame:
-    """``(feature_id, ax, ay, bx, by)``, one row an edge."""
-    rings = polygons.select("feature_id", F.explode("rings").alias("ring")).filter(F.size("ring") > 1)
+def edges(polygons: DataFrame, *also: str) -> DataFrame:
+    """``(feature_id, ax, ay, bx, by)`` and the columns ``also``, one row an edge."""
+    rings = polygons.select("feature_id", *also, F.explode("rings").alias("ring")).filter(F.size("ring") > 1)
     ends = F.arrays_zip(F.slice("ring", 1, F.size("ring") - 1).alias("a"), F.slice("ring", 2, F.size("ring") - 1).alias("b"))
-    e = rings.select("feature_id", F.explode(ends).alias("e"))
-    return e.select("feature_id", *[F.col(f"e.{end}")[i].alias(f"{end}{axis}") for end in "ab" for i, axis in enumerate("xy")])
+    e = rings.select("feature_id", *also, F.explode(ends).alias("e"))
+    return e.select("feature_id", *also, *[F.col(f"e.{end}")[i].alias(f"{end}{axis}") for end in "ab" for i, axis in enumerate("xy")])
 
 
 def touched(polygons: DataFrame, n_rows: int, x0: float, y0: float, res: float, n_cols: int) -> DataFrame:
@@ -46,21 +47,39 @@ def _side(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column
     return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
 
 
-def _contained(points: DataFrame, polygons: DataFrame, step: float) -> DataFrame:
-    """Pairs (_p, _q): the point of feature _p lies in polygon _q. Edges meet points of their own band of y."""
+def _beside(points: DataFrame, polygons: DataFrame, step: float) -> DataFrame:
+    """Points ``_p, x, y`` with the edges of polygons ``_q`` that share their band of y and a stretch of x that the polygon spans.
+
+    Stretches are ``step`` wide, or so many doublings of it that a polygon lies in two or three. Outside a polygon's span of x its
+    edges to the right are even in number, so points elsewhere need not see them."""
     band = lambda y: F.floor(y / step)
-    e = edges(polygons).filter("ay <> by").select(
+    xs = F.transform(F.flatten("rings"), lambda v: v[0])
+    level = F.greatest(F.ceil(F.log2((F.col("_high") - F.col("_low")) / step)), F.lit(0))
+    sized = polygons.withColumn("_low", F.array_min(xs)).withColumn("_high", F.array_max(xs)).withColumn("_level", level)
+    wide = F.lit(step) * F.pow(F.lit(2.0), F.col("_level"))
+    sized = sized.select("feature_id", "rings", "_level", F.floor(F.col("_low") / wide - SLACK).alias("_from"), F.floor(F.col("_high") / wide + SLACK).alias("_to"))
+    e = edges(sized, "_level", "_from", "_to").filter("ay <> by").withColumn("_at", F.explode(F.sequence("_from", "_to")))
+    e = e.select(
         F.col("feature_id").alias("_q"),
         "ax",
         "ay",
         "bx",
         "by",
+        "_level",
+        "_at",
         F.explode(F.sequence(band(F.least("ay", "by")), band(F.greatest("ay", "by")))).alias("_band")
     )
-    met = points.withColumn("_band", band(F.col("y"))).join(e, "_band")
-    met = met.filter((F.col("y") >= F.least("ay", "by")) & (F.col("y") < F.greatest("ay", "by")))
+    levels = F.broadcast(sized.select("_level").filter("_level IS NOT NULL").distinct())  # a row a doubling: tens at most
+    placed = points.crossJoin(levels).withColumn("_at", F.floor(F.col("x") / wide)).withColumn("_band", band(F.col("y")))
+    return placed.join(e, ["_band", "_level", "_at"])
+
+
+def _contained(points: DataFrame, polygons: DataFrame, step: float) -> DataFrame:
+    """Pairs (_p, _q): the point of feature _p lies in polygon _q."""
+    met = _beside(points, polygons, step).filter((F.col("y") >= F.least("ay", "by")) & (F.col("y") < F.greatest("ay", "by")))
     cross = F.col("ax") + (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
-    return met.filter(cross > F.col("x")).groupBy("_p", "_q").agg(F.count("*").alias("_n")).filter("_n % 2 = 1").select("_p", "_q")
+    at = ["_p", "x", "y", "_q"]
+    return met.filter(cross > F.col("x")).groupBy(*at).agg(F.count("*").alias("_n")).filter("_n % 2 = 1").select("_p", "_q")
 
 
 SLACK = 1e-9  # of a square's side: what rounding may move a crossing by
@@ -83,12 +102,37 @@ def squares(polygons: DataFrame, step: float) -> DataFrame:
     return e.select("*", F.explode(F.sequence(first, last)).alias("_sy"))
 
 
+USUAL_EDGES = 16  # of areas in a square, up to which all areas are met at once
+
+
 def meeting(features: DataFrame, areas: DataFrame, step: float) -> DataFrame:
     """``features`` that meet any of ``areas``: their edges cross or touch, or one holds the other.
 
     ``step`` is the side of the squares by which edges are matched: about the length of a usual edge. A longer edge is a row
-    for each square that it crosses.
+    for each square that it crosses. Where many areas share a square, a part of them chosen by hash comes first, then parts
+    that make four times as many: features that have met one are not compared with the rest. Every feature without a hit is
+    compared with every area near it.
     """
+    crowd = squares(areas, step).groupBy("_sx", "_sy").count().agg(F.try_divide(F.sum(F.col("count") * F.col("count")), F.sum("count"))).first()[0]
+    share = min(1.0, USUAL_EDGES / (crowd or 1.0))
+    if share == 1:
+        hits = _crossing(features, areas, step).union(_inside(features, areas, step)).union(_around(features, areas, step)).distinct()
+        return features.join(hits, "feature_id", "left_semi")
+    place, left, seen = F.pmod(F.xxhash64("feature_id"), F.lit(2**53)), features.select("feature_id", "rings").filter("feature_id IS NOT NULL"), 0
+    while seen < 2**53:
+        upto = min(2**53, 4 * seen or int(share * 2**53))
+        part = areas.filter((place >= seen) & (place < upto))
+        # A corner is a row, an edge is one for each of its squares: corners first.
+        for hits in (_inside, lambda *a: _crossing(*a).union(_around(*a))):
+            before, left = left, written(left.join(hits(left, part, step), "feature_id", "left_anti"))
+            if seen or hits is not _inside:
+                discard(before)
+        seen = upto
+    return features.filter("feature_id IS NOT NULL").join(left.select("feature_id"), "feature_id", "left_anti")
+
+
+def _crossing(features: DataFrame, areas: DataFrame, step: float) -> DataFrame:
+    """``feature_id`` of features with an edge that crosses or touches one of an area."""
 
     def placed(polygons: DataFrame, key: str, prefix: str) -> DataFrame:
         return squares(polygons, step).select("_sx", "_sy", F.col("feature_id").alias(key), *[F.col(c).alias(prefix + c) for c in ("ax", "ay", "bx", "by")])
@@ -99,10 +143,18 @@ def meeting(features: DataFrame, areas: DataFrame, step: float) -> DataFrame:
         F.least(f"ga{k}", f"gb{k}") <= F.greatest(f"fa{k}", f"fb{k}") for k in "xy"
     ]
     apart = (_side(*fa, *fb, *ga) * _side(*fa, *fb, *gb) > 0) | (_side(*ga, *gb, *fa) * _side(*ga, *gb, *fb) > 0)
-    crossing = met.filter(boxes[0] & boxes[1] & boxes[2] & boxes[3] & ~apart).select("_p", "_q")
-    corner = lambda polygons: polygons.select(F.col("feature_id").alias("_p"), F.explode("rings").alias("r")).filter(F.size("r") > 1).select("_p", F.col("r")[0][0].alias("x"), F.col("r")[0][1].alias("y"))
-    # A feature of several parts may have one of them inside: each ring gives a corner.
-    inside = _contained(corner(features), areas, step)
-    around = _contained(corner(areas), features, step).select(F.col("_q").alias("_p"), F.col("_p").alias("_q"))
-    hits = crossing.union(inside).union(around).select(F.col("_p").alias("feature_id")).distinct()
-    return features.join(hits, "feature_id", "left_semi")
+    return met.filter(boxes[0] & boxes[1] & boxes[2] & boxes[3] & ~apart).select(F.col("_p").alias("feature_id"))
+
+
+def _corners(polygons: DataFrame) -> DataFrame:
+    """A corner of each ring, as one of several parts may lie in an area that the others miss."""
+    first = polygons.select(F.col("feature_id").alias("_p"), F.explode("rings").alias("r")).filter(F.size("r") > 1)
+    return first.select("_p", F.col("r")[0][0].alias("x"), F.col("r")[0][1].alias("y")).distinct()
+
+
+def _inside(features: DataFrame, areas: DataFrame, step: float) -> DataFrame:
+    return _contained(_corners(features), areas, step).select(F.col("_p").alias("feature_id"))
+
+
+def _around(features: DataFrame, areas: DataFrame, step: float) -> DataFrame:
+    return _contained(_corners(areas), features, step).select(F.col("_q").alias("feature_id"))

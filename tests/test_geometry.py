@@ -112,3 +112,24 @@ def test_few_points_do_not_shuffle_the_layers(spark, tmp_path):
     tiled = P.extract_tiled(points.filter("row < 900"), layers, 40)
     assert sorted((r.a, r.b) for r in tiled.collect()) == want and "hashpartitioning" not in tiled._jdf.queryExecution().toString()
     assert P.extract_tiled(points.limit(0), layers, 40).collect() == [] and P.extract(points.limit(0), stored, ["a"], 40).collect() == []
+
+
+def test_features_among_crowded_areas_leave_after_their_first_meeting(spark, monkeypatch):
+    a, b = shapes(3, 40, 400), shapes(4, 700, 180)
+    left = []
+    put = GEO.written
+    monkeypatch.setattr(GEO, "written", lambda df: left.append((out := put(df)).count()) or out)
+    got = sorted(r.feature_id for r in GEO.meeting(polygons(spark, a), polygons(spark, b), 16.0).collect())
+    want = [i for i, f in enumerate(a) if any(meet(f, g) for g in b)]
+    assert got == want and 5 < len(got) < 40
+    assert len(left) > 3 and left[-1] == 40 - len(want) and left[1] < 40 - len(want) / 2  # most are settled by the first few areas
+
+
+def test_points_see_only_polygons_that_span_their_place(spark):
+    box = lambda x, y, w: [[(x, y), (x + w, y), (x + w, y + w), (x, y + w)]]
+    small = [box(40 * i, 3, 9) for i in range(100)]  # all in one band of y
+    areas = polygons(spark, [*small, box(-5000, -5000, 10000)])
+    points = spark.createDataFrame([(i, 40.0 * i + (4 if i % 2 else 20), 5.0) for i in range(100)], "_p long, x double, y double")
+    assert GEO._beside(points, areas, 16.0).count() < 100 * 8  # each with each would be 20,000
+    got = {(r._p, r._q) for r in GEO._contained(points, areas, 16.0).collect()}
+    assert got == {(i, 100) for i in range(100)} | {(i, i) for i in range(1, 100, 2)}
