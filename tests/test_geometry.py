@@ -133,3 +133,25 @@ def test_points_see_only_polygons_that_span_their_place(spark):
     assert GEO._beside(points, areas, 16.0).count() < 100 * 8  # each with each would be 20,000
     got = {(r._p, r._q) for r in GEO._contained(points, areas, 16.0).collect()}
     assert got == {(i, 100) for i in range(100)} | {(i, i) for i in range(1, 100, 2)}
+
+
+def test_a_holed_feature_inside_an_area_meets_it(spark):
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    holed = polygons(spark, [[square(10, 20), square(12, 18)], [square(10, 20), square(10, 12)], [square(200, 210)]])
+    assert {r.feature_id for r in GEO.meeting(holed, polygons(spark, [[square(0, 100)]]), 5.0).collect()} == {0, 1}
+
+
+def test_slanted_features_that_only_edges_settle(spark, monkeypatch):
+    """No corner lies in an area: the edges alone decide, and features that have crossed one leave."""
+    rnd = np.random.default_rng(5)
+    a = [[[(0, 10 * i), (300, 10 * i + 90), (1, 10 * i + 2)]] for i in range(60)]  # thin, across many squares
+    at = [(x, y) for x, y in zip(rnd.random(600) * 200 + 50, rnd.random(600) * 300 + 20, strict=True)]
+    b = [[[(x, y), (x + 2, y), (x + 2, y + 2), (x, y + 2)]] for x, y in at]
+    left = []
+    put = GEO.written
+    monkeypatch.setattr(GEO, "written", lambda df: left.append((out := put(df)).count()) or out)
+    monkeypatch.setattr(GEO, "USUAL_EDGES", 4)
+    got = sorted(r.feature_id for r in GEO.meeting(polygons(spark, a), polygons(spark, b), 16.0).collect())
+    want = [i for i, f in enumerate(a) if any(meet(f, g) for g in b)]
+    assert got == want and 5 < len(got) < 60
+    assert left[0] == 60 and left[1] < 60 and left[-1] == 60 - len(want)
