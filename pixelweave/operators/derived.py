@@ -53,12 +53,22 @@ def distance_layer(px: DataFrame, layer: str, kind: str, res: float) -> DataFram
     return out.select("row", "col", F.col("dist").alias(f"{layer}_{kind}"))
 
 
+def steady_sum(v: Column) -> Column:
+    """The sum of doubles, the same in whatever order and parts they come: multiples of 2**-10, then of 2**-40, whose sums are
+    exact up to 2**43 and, for 2**24 values, of the second; what is left is too small to move the last bit."""
+    high = F.rint(v * 2.0**10) / 2.0**10
+    mid = F.rint((v - high) * 2.0**40) / 2.0**40
+    return F.sum(high) + (F.sum(mid) + F.sum(v - high - mid))
+
+
 def year_of_climate(months: DataFrame, value: str, by: tuple[str, ...] = ("row", "col")) -> DataFrame:
     """Whole numbers from monthly rows: ``total`` (metres to millimetres), ``mean``, ``high``, ``low`` and ``median`` (Kelvin to
-    Celsius), one row a pixel. A pixel has a row a month, so its median is exact and small."""
+    Celsius), one row a pixel. A pixel has a row a month, so its median is exact and small. Sums do not depend on how the rows
+    are dealt out, as the last bit of a mean decides where it lies halfway between two whole numbers."""
     v = F.col(value).cast("double")
-    celsius = {"mean": F.avg(v), "high": F.max(v), "low": F.min(v), "median": F.percentile(v, F.lit(0.5))}
-    return months.groupBy(*by).agg(F.round(F.sum(v) * 1000).cast("int").alias("total"), *[F.round(c - 273.15).cast("int").alias(n) for n, c in celsius.items()])
+    total = steady_sum(v)
+    celsius = {"mean": F.try_divide(total, F.count(v)), "high": F.max(v), "low": F.min(v), "median": F.percentile(v, F.lit(0.5))}
+    return months.groupBy(*by).agg(F.round(total * 1000).cast("int").alias("total"), *[F.round(c - 273.15).cast("int").alias(n) for n, c in celsius.items()])
 
 
 def numbered(features: DataFrame, name: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +189,19 @@ def test_harmonise_redoes_what_is_not_current(spark):
     made = {}
     keys = WF.harmonise(raw, out, "g", lambda k: (spark.range(1), f"/{k}"), lambda path, px: made.update({path: px.count()}), order=["b"])
     assert keys == ["b", "a"] and made == {"/b": 1, "/a": 1}
+
+
+def test_means_at_a_tie_do_not_depend_on_the_order_of_rows(spark):
+    """Means of hundredths whose distance to 273.15 ends in .5: the last bit of the sum decides."""
+    rnd, rows, want = np.random.default_rng(9), [], {}
+    for g in range(150):
+        n = 60 + g % 25
+        cents = rnd.integers(0, 15000, n)
+        cents[0] += (65 * n - int(cents.sum())) % (100 * n)
+        values = [int(c) / 100 for c in cents]
+        rows += [(g, v) for v in values]
+        mean = math.fsum(values) / n - 273.15
+        want[g] = int(math.copysign(math.floor(abs(mean) + 0.5), mean))
+    df = spark.createDataFrame(rows, "g long, value double")
+    for dealt in (df.coalesce(1), df.repartition(7), df.sort("value"), df.sort(F.desc("value"))):
+        assert {r.g: r.mean for r in D.year_of_climate(dealt, "value", ("g",)).collect()} == want
