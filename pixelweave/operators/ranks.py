@@ -24,11 +24,12 @@ def _placed(t: DataFrame, by: Sequence[str], order: str, size: Column) -> DataFr
     """``t`` with ``_before``: the sum of ``size`` over the rows of the same ``by`` that come earlier by ``order``."""
     totals = t.groupBy(*by, "_range").agg(F.sum(size).alias("_size"))
     run = Window.partitionBy(*by).orderBy("_range")  # a row a range
-    starts = totals.select(
+    starts = totals.select(  # written, as Spark takes it for as large as the rows until it has a size
         *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
         F.col("_range").alias("_r"),
         (F.sum("_size").over(run) - F.col("_size")).alias("_start")
     )
+    starts = written(starts)
     same = F.col("_range") == F.col("_r")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweave.operators.ranks import positions, quantiles
-from pixelweave.sources.shared import written
+from pixelweave.sources.shared import discard, written
 
 
 def layer_summary(px: DataFrame, names: list[str]) -> DataFrame:
@@ -55,31 +55,47 @@ def split_rhat(trace: DataFrame) -> DataFrame:
     return out.select("param", F.when((F.col("w") > 0) & (F.col("n") > 1), r).alias("rhat"))
 
 
+STRETCH = 4096  # positions of a trace whose lagged products one window takes, at least
+
+
+def _lagged_sums(t: DataFrame, lags: range) -> DataFrame:
+    """``(param, lag, s)`` of ``t (param, i, c)`` with gapless ``i``: the sums of c[i] * c[i + lag], for lags that the trace has.
+
+    Stretches of positions are windows; the first rows of one are also the end of the one before it, for the lags that reach
+    over. A row is shuffled once or twice, however many lags there are.
+    """
+    far = lags[-1]
+    size = max(STRETCH, 8 * far)
+    home = F.floor(F.col("i") / size)
+    parts = F.when((F.col("i") % size < far) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
+    run = Window.partitionBy("param", "part").orderBy("i")
+    own = F.when(home == F.col("part"), F.col("c"))
+    products = t.select("param", "i", "c", F.explode(parts).alias("part")).select("param", *[(own * F.lead("c", lag).over(run)).alias(f"l{lag}") for lag in lags])
+    sums = products.groupBy("param").agg(F.array(*[F.sum(f"l{lag}") for lag in lags]).alias("sums"))
+    return sums.select("param", F.posexplode("sums").alias("at", "s")).filter("s IS NOT NULL").select("param", (F.col("at") + lags[0]).alias("lag"), "s")
+
+
 def effective_sample_size(trace: DataFrame, block: int = 16) -> DataFrame:
     """``(param, ess)`` of ``trace (iter, param, value)``: Geyer's rule, pairs of autocorrelations up to the first that is
     not positive. Lags are tried ``block`` pairs at a time, and only for parameters whose pairs were all positive so far.
     NULL for constant traces and those of fewer than four values; NULL values take no part.
     """
     known = trace.select("iter", "param", "value").dropna(subset=["value"])
-    mean = known.groupBy("param").agg(F.avg("value").alias("_m"))
-    t = positions(known, ["param"], "iter").join(mean, "param").select("param", F.col("_at").alias("i"), (F.col("value") - F.col("_m")).alias("c"), "value")
-    t = written(t)
-    total = written(
-        t.groupBy("param").agg(
-            F.sum(F.col("c") * F.col("c")).alias("v"),
+    about = written(
+        known.groupBy("param").agg(
+            F.avg("value").alias("_m"),
             F.count("*").alias("n"),
             ((F.count("*") >= 4) & (F.min("value") < F.max("value"))).alias("usable")
         )
     )
+    t = written(
+        positions(known, ["param"], "iter").join(about, "param").select("param", F.col("_at").alias("i"), (F.col("value") - F.col("_m")).alias("c"))
+    )
+    total = written(t.groupBy("param").agg(F.sum(F.col("c") * F.col("c")).alias("v")).join(about.drop("_m"), "param"))
     live, pairs, first = t.join(total.filter("usable").select("param"), "param", "left_semi"), None, 0
     while True:
-        lags = F.explode(F.sequence(F.lit(2 * first + 1), F.lit(2 * (first + block)))).alias("lag")
-        a = live.select("param", "i", F.col("c").alias("ahead"), lags).select("param", "lag", "ahead", (F.col("i") + F.col("lag")).alias("i"))
         k = F.floor((F.col("lag") + 1) / 2).alias("k")
-        s = a.join(live.select("param", "i", "c"), ["param", "i"]).groupBy("param", k).agg(
-            F.sum(F.col("ahead") * F.col("c")).alias("s"),
-            F.max("lag").alias("last")
-        )
+        s = _lagged_sums(live, range(2 * first + 1, 2 * (first + block) + 1)).groupBy("param", k).agg(F.sum("s").alias("s"), F.max("lag").alias("last"))
         s = written(
             s.join(total, "param").select(
                 "param",
@@ -92,7 +108,8 @@ def effective_sample_size(trace: DataFrame, block: int = 16) -> DataFrame:
         still = s.groupBy("param").agg(F.count_if("good").alias("g")).filter(F.col("g") == block)
         if still.isEmpty():
             break
-        live, first = live.join(still, "param", "left_semi"), first + block
+        live, first = t.join(still, "param", "left_semi"), first + block
+    discard(t)
     stop = pairs.groupBy("param").agg(F.min(F.when(~F.col("good"), F.col("k"))).alias("stop"))
     tail = pairs.join(stop, "param").filter(F.col("stop").isNull() | (F.col("k") < F.col("stop"))).groupBy("param").agg(F.sum("pair").alias("tail"))
     ess = F.greatest(F.least(F.col("n") / (1 + 2 * F.coalesce("tail", F.lit(0.0))), F.col("n").cast("double")), F.lit(1.0))

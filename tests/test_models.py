@@ -115,3 +115,17 @@ def test_periods_and_rate_tables(spark):
     rows = [("p", "import", "evaluation", "old", 1), ("p", "import", "evaluation", "new", 2), ("p", "import", "persisted", "x", 3), ("q", "mw", "sibling", "s", 1), ("q", "mw", "user", "u", 1), ("r", "jnr", "computed", "c", 1), ("s", "other", "persisted", None, 1)]
     t = spark.createDataFrame(rows, "prediction string, kind string, source string, path string, at long").withColumn("made_at", F.timestamp_seconds("at"))
     assert {(r.prediction, r.path) for r in C.rate_table_source(t).collect()} == {("p", "new"), ("q", "u")}
+
+
+def test_lagged_sums_over_stretches_do_not_join(spark, monkeypatch):
+    monkeypatch.setattr(T, "STRETCH", 1)
+    rng = np.random.default_rng(7)
+    traces = {"long": rng.normal(size=500), "edge": rng.normal(size=128), "next": rng.normal(size=129), "few": rng.normal(size=5)}
+    rows = [(k, i, float(v)) for k, c in traces.items() for i, v in enumerate(c)]
+    df = spark.createDataFrame(rows, "param string, i long, c double").repartition(3)
+    for lags in (range(1, 9), range(9, 17)):
+        out = T._lagged_sums(df, lags)
+        got = {(r.param, r.lag): r.s for r in out.collect()}
+        want = {(k, lag): (c[:-lag] * c[lag:]).sum() for k, c in traces.items() for lag in lags if lag < len(c)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert "Join" not in out._jdf.queryExecution().toString()  # a row a lag, joined, was 32 times the trace
