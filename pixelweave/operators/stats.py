@@ -46,7 +46,7 @@ def trace_summary(trace: DataFrame) -> DataFrame:
 
 def split_rhat(trace: DataFrame) -> DataFrame:
     """Split R-hat of ``trace (iter, param, value)``; NULL for constant or short traces."""
-    n = trace.groupBy("param").agg(F.floor(F.count("*") / 2).alias("h"))
+    n = written(trace.groupBy("param").agg(F.floor(F.count("*") / 2).alias("h")))
     t = positions(trace.select("iter", "param", "value"), ["param"], "iter").join(n, "param")
     t = t.filter(F.col("_at") < 2 * F.col("h")).withColumn("half", (F.col("_at") >= F.col("h")).cast("int"))
     halves = t.groupBy("param", "half").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))

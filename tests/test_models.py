@@ -129,3 +129,17 @@ def test_lagged_sums_over_stretches_do_not_join(spark, monkeypatch):
         want = {(k, lag): (c[:-lag] * c[lag:]).sum() for k, c in traces.items() for lag in lags if lag < len(c)}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
         assert "Join" not in out._jdf.queryExecution().toString()  # a row a lag, joined, was 32 times the trace
+
+
+def test_split_rhat_does_not_deal_the_trace_out_by_parameter(spark):
+    """Few parameters would be few tasks: their counts come by broadcast once their size is known."""
+    trace = spark.range(20_000).select(F.col("id").alias("iter"), F.concat(F.lit("p"), F.col("id") % 3).alias("param"), F.rand(1).alias("value"))
+    trace.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/rhat-trace")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        out = T.split_rhat(spark.read.parquet(path))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert all(abs(r.rhat - 1) < 0.01 for r in out.collect()) and out.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
