@@ -109,26 +109,40 @@ def meeting(features: DataFrame, areas: DataFrame, step: float) -> DataFrame:
     """``features`` that meet any of ``areas``: their edges cross or touch, or one holds the other.
 
     ``step`` is the side of the squares by which edges are matched: about the length of a usual edge. A longer edge is a row
-    for each square that it crosses. Where many areas share a square, a part of them chosen by hash comes first, then parts
-    that make four times as many: features that have met one are not compared with the rest. Every feature without a hit is
-    compared with every area near it.
+    for each square that it crosses. Equal shapes are compared once. Where many areas share a square, a part of them chosen by
+    hash comes first, then parts that make four times as many: features that have met one are not compared with the rest.
+    Every shape without a hit is compared with every area near it.
     """
+    features, areas = features.filter("feature_id IS NOT NULL"), _shapes(areas)
     crowd = squares(areas, step).groupBy("_sx", "_sy").count().agg(F.try_divide(F.sum(F.col("count") * F.col("count")), F.sum("count"))).first()[0]
-    share = min(1.0, USUAL_EDGES / (crowd or 1.0))
-    if share == 1:
-        hits = _crossing(features, areas, step).union(_inside(features, areas, step)).union(_around(features, areas, step)).distinct()
-        return features.join(hits, "feature_id", "left_semi")
-    place, left, seen = F.pmod(F.xxhash64("feature_id"), F.lit(2**53)), features.select("feature_id", "rings").filter("feature_id IS NOT NULL"), 0
-    while seen < 2**53:
-        upto = min(2**53, 4 * seen or int(share * 2**53))
+    if (crowd or 0) <= USUAL_EDGES:
+        shapes = _shapes(features)
+        hits = _inside(shapes, areas, step).union(_crossing(shapes, areas, step)).union(_around(shapes, areas, step)).distinct()
+        met = shapes.join(hits, "feature_id", "left_semi").select("rings")
+        return features.join(met, "rings", "left_semi").select(*features.columns)
+    place, seen, upto = F.pmod(F.xxhash64("feature_id"), F.lit(2**53)), 0, int(USUAL_EDGES / crowd * 2**53)
+    tasks = 2 * features.sparkSession.sparkContext.defaultParallelism
+    out = left = features.select("feature_id", "rings")
+    while seen < 2**53 and not left.isEmpty():
         part = areas.filter((place >= seen) & (place < upto))
-        # A corner is a row, an edge is one for each of its squares: corners first.
-        for hits in (_inside, lambda *a: _crossing(*a).union(_around(*a))):
-            before, left = left, written(left.join(hits(left, part, step), "feature_id", "left_anti"))
-            if seen or hits is not _inside:
-                discard(before)
-        seen = upto
-    return features.filter("feature_id IS NOT NULL").join(left.select("feature_id"), "feature_id", "left_anti")
+        # A corner is a row, an edge is one for each of its squares: corners first. What holds an area uncrossed comes last.
+        for hits in (_inside, _crossing, _around):
+            if left is out:
+                out = written(left.join(hits(left, part, step), "feature_id", "left_anti"))
+                left = _shapes(out)
+            elif not left.isEmpty():
+                dealt = left.repartition(tasks)  # few rows, but each of many squares and pairs
+                before, left = left, written(left.join(hits(dealt, part, step), "feature_id", "left_anti"))
+                if seen or hits is _around:
+                    discard(before)
+        seen, upto = upto, min(2**53, 4 * upto)
+    met_none = out.alias("o").join(left.alias("l"), F.col("o.rings").eqNullSafe(F.col("l.rings")), "left_semi")
+    return features.join(met_none.select("feature_id"), "feature_id", "left_anti")
+
+
+def _shapes(polygons: DataFrame) -> DataFrame:
+    """One polygon of each shape, under the least of its ids."""
+    return polygons.groupBy("rings").agg(F.min("feature_id").alias("feature_id"))
 
 
 def _crossing(features: DataFrame, areas: DataFrame, step: float) -> DataFrame:

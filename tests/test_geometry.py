@@ -155,3 +155,17 @@ def test_slanted_features_that_only_edges_settle(spark, monkeypatch):
     want = [i for i, f in enumerate(a) if any(meet(f, g) for g in b)]
     assert got == want and 5 < len(got) < 60
     assert left[0] == 60 and left[1] < 60 and left[-1] == 60 - len(want)
+
+
+@pytest.mark.parametrize("usual", [1, 10**6])
+def test_equal_shapes_are_compared_once(spark, monkeypatch, usual):
+    a, b = shapes(6, 12, 300), shapes(7, 8, 300)
+    compared = []
+    crossing = GEO._crossing
+    monkeypatch.setattr(GEO, "_crossing", lambda f, g, step: compared.append((f.count(), g.count())) or crossing(f, g, step))
+    monkeypatch.setattr(GEO, "USUAL_EDGES", usual)
+    none = spark.createDataFrame([(1000, None)], "feature_id long, rings array<array<array<double>>>")
+    got = sorted(r.feature_id for r in GEO.meeting(polygons(spark, a * 30).union(none), polygons(spark, b * 30), 16.0).collect())
+    met = [any(meet(f, g) for g in b) for f in a]
+    assert got == [i for i in range(360) if met[i % 12]] and 1 < sum(met) < 12
+    assert max(f for f, _ in compared) <= 13 and max(g for _, g in compared) <= 8
